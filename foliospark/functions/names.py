@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliospark.functions.binding import let, let_all
+
 # Prefix of stored names, reserved device names, length limits.
 STORAGE_PREFIX = r"(?i)^(?:[a-f0-9]{32}_[0-9]{9,11}(?:_[0-9]{1,3}(?=_|$))?(?:_|$))+"
 RESERVED_NAMES = ["con", "prn", "aux", "nul", *[f"com{i}" for i in range(1, 10)], *[f"lpt{i}" for i in range(1, 10)]]
@@ -45,9 +47,8 @@ def clean_stem(stem: Column, fallback: str = "file") -> Column:
     s = F.regexp_replace(s, r" +", " ")
     s = F.regexp_replace(s, r" *_[ _]*", "_")
     s = _strip(F.regexp_replace(s, r"\.{2,}", "."))
-    cut = F.regexp_replace(F.substring(s, 1, MAX_STEM), r"[ _\-.]+$", "")
-    s = F.when(F.length(s) > MAX_STEM, cut).otherwise(s)
-    return F.when(s == "", fallback).otherwise(s)
+    s = F.regexp_replace(F.substring(s, 1, MAX_STEM), r"[ _\-.]+$", "")
+    return let(s, lambda v: F.when(v == "", fallback).otherwise(v))
 
 
 def base_name(path: Column) -> Column:
@@ -60,14 +61,13 @@ def path_suffix(path: Column) -> Column:
 
 
 def path_stem(path: Column) -> Column:
-    name = base_name(path)
-    return F.substring(name, F.lit(1), F.length(name) - F.length(path_suffix(path)))
+    return let(base_name(path), lambda n: F.left(n, F.length(n) - F.length(path_suffix(n))))
 
 
 def clean_extension(ext: Column) -> Column:
     e = F.regexp_replace(F.coalesce(ext, F.lit("")), r"[^\p{L}\p{N}.]", "")
     e = F.regexp_replace(F.regexp_replace(e, r"^\.+|\.+$", ""), r"\.{2,}", ".")
-    return F.when(e == "", "").otherwise(F.concat(F.lit("."), e))
+    return F.regexp_replace(e, r"(?s)^(.+)$", ".$1")
 
 
 def download_name(source: Column, operation: str | None = None, extension: str | None = None,
@@ -88,31 +88,33 @@ def multi_name(first: Column, second: Column, n: Column, operation: str, extensi
     def part(src: Column) -> Column:
         return clean_stem(F.substring(download_name(src, None, ""), 1, MULTI_PART))
 
-    combined = F.when(n == 2, F.concat(part(first), F.lit("_and_"), part(second))).otherwise(
-        F.concat(part(first), F.lit("_and_"), (n - 1).cast("string"), F.lit("_more")))
     tail = f"_{operation}" if operation else ""
-    many = F.concat(clean_stem(strip_prefix(combined), "files"), F.lit(tail), clean_extension(F.lit(extension)))
+    rest = F.when(n == 2, part(second)).otherwise(F.concat((n - 1).cast("string"), F.lit("_more")))
+    combined = strip_prefix(F.concat(part(first), F.lit("_and_"), rest))
+    many = F.concat(clean_stem(combined, "files"), F.lit(tail), clean_extension(F.lit(extension)))
     return (F.when(n == 0, f"files{tail}{extension}").when(n == 1, download_name(first, operation, extension, "files"))
             .otherwise(many))
 
 
 def cut_bytes(text: Column, most: Column | int) -> Column:
-    """Longest prefix of at most ``most`` UTF-8 bytes, never inside a character."""
-    limit = F.lit(most) if isinstance(most, int) else most
-    return F.when(F.octet_length(text) <= limit, text).otherwise(_prefix(text, limit))
+    """Longest prefix of at most ``most`` UTF-8 bytes, never inside a character.
+
+    A character has at most four bytes, so one of the four longest byte prefixes is whole.
+    """
+    limit = F.greatest(F.lit(most) if isinstance(most, int) else most, F.lit(0))
 
+    def cut(v: Column) -> Column:
+        tries = [F.try_validate_utf8(F.substring(F.encode(v["text"], "UTF-8"), F.lit(1), F.greatest(v["n"] - k, F.lit(0))).cast("string"))
+                 for k in range(4)]
+        return F.when(F.octet_length(v["text"]) <= v["n"], v["text"]).otherwise(F.coalesce(*tries))
 
-def _prefix(text: Column, limit: Column) -> Column:
-    ok = F.filter(F.sequence(F.lit(0), F.least(F.length(text), F.greatest(limit, F.lit(0)))),
-                  lambda n: F.octet_length(F.substring(text, F.lit(1), n)) <= limit)
-    return F.substring(text, F.lit(1), F.coalesce(F.array_max(ok), F.lit(0)))
+    return let_all(cut, text=text, n=limit)
 
 
-def _split_ext(name: Column) -> tuple[Column, Column]:
-    """(stem, extension without dot) at the last dot; no extension when the stem would be empty."""
-    has = name.rlike(r"(?s)^.+\.[^.]*$")
-    stem = F.when(has, F.regexp_extract(name, r"(?s)^(.+)\.[^.]*$", 1)).otherwise(name)
-    return stem, F.when(has, F.regexp_extract(name, r"\.([^.]*)$", 1))
+def split_ext(name: Column) -> tuple[Column, Column]:
+    """(stem, extension with its dot) at the last dot; no extension when the stem would be empty."""
+    ext = F.regexp_extract(name, r"(?s)^.+(\.[^.]*)$", 1)
+    return F.left(name, F.length(name) - F.length(ext)), ext
 
 
 def upload_name(raw: Column) -> Column:
@@ -121,33 +123,44 @@ def upload_name(raw: Column) -> Column:
     name = F.regexp_replace(name, r"\p{C}", "")
     name = F.regexp_replace(name, r"[^\p{L}\p{M}\p{N}.\-]", "_")
     name = F.regexp_replace(F.regexp_replace(name, r"^[.\-]+", ""), r"\.+$", "")
-    bad = (F.regexp_replace(name, r"[._\-]+", "") == "") | F.lower(F.split_part(name, F.lit("."), F.lit(1))).isin(RESERVED_NAMES)
-    stem, ext = _split_ext(name)
-    tail = F.when(ext.isNull(), "").otherwise(F.concat(F.lit("."), F.substring(ext, 1, MAX_EXT - 1)))
-    stem = cut_bytes(stem, MAX_ORIGINAL_BYTES - F.octet_length(tail))
-    return F.when(bad, "unnamed").otherwise(F.concat(F.when(stem == "", "unnamed").otherwise(stem), tail))
+
+    def finish(n: Column) -> Column:
+        bad = (F.regexp_replace(n, r"[._\-]+", "") == "") | F.lower(F.split_part(n, F.lit("."), F.lit(1))).isin(RESERVED_NAMES)
+        stem, ext = split_ext(n)
+        parts = let_all(lambda v: F.concat(F.regexp_replace(cut_bytes(v["stem"], MAX_ORIGINAL_BYTES - F.octet_length(v["tail"])),
+                                                            "^$", "unnamed"), v["tail"]),
+                        stem=stem, tail=F.substring(ext, 1, MAX_EXT))
+        return F.when(bad, "unnamed").otherwise(parts)
+
+    return let(name, finish)
 
 
 def stored_name(file_id: Column, original: Column) -> Column:
-    stem, ext = _split_ext(original)
-    tail = F.when(ext.isNull(), "").otherwise(F.concat(F.lit("."), ext))
-    head = F.concat(file_id, F.lit("_"))
-    budget = MAX_STORED_BYTES - F.octet_length(F.concat(head, tail))
-    return F.concat(head, cut_bytes(F.substring(stem, 1, MAX_STORED_STEM), budget), tail)
+    def finish(v: Column) -> Column:
+        stem, tail = split_ext(v["name"])
+        head = F.concat(v["id"], F.lit("_"))
+        budget = MAX_STORED_BYTES - F.octet_length(head) - F.octet_length(tail)
+        return F.concat(head, cut_bytes(F.substring(stem, 1, MAX_STORED_STEM), budget), tail)
+
+    return let_all(finish, id=file_id, name=original)
 
 
 def safe_name(raw: Column, longest: int = 200) -> Column:
     """The stricter sanitiser, from an NFKD text: double archive extensions count as one."""
+    def finish(v: Column) -> Column:
+        stem = F.left(v["name"], F.length(v["name"]) - F.length(v["ext"]))
+        stem = F.regexp_replace(stem, r"[^\p{L}\p{N}_\-.]", "_")
+        stem = F.regexp_replace(F.regexp_replace(stem, r"^\.+", ""), r"\.{2,}", ".")
+        stem = F.regexp_replace(F.regexp_replace(stem, r"_{2,}", "_"), "^$", "file")
+        return F.concat(F.left(stem, F.lit(longest) - F.length(v["ext"])), v["ext"])
+
+    def parts(n: Column) -> Column:
+        double = F.regexp_extract(F.lower(n), r"(\.tar\.(?:gz|bz2|xz))$", 1)
+        ext = F.when(double != "", double).otherwise(F.lower(path_suffix(n)))
+        return let_all(finish, name=n, ext=ext)
+
     name = F.regexp_replace(base_name(raw), r"[\x00-\x1f\x7f]", "")
-    double = F.regexp_extract(F.lower(name), r"(\.tar\.(?:gz|bz2|xz))$", 1)
-    ext = F.when(double != "", double).otherwise(F.lower(path_suffix(name)))
-    stem = F.substring(name, F.lit(1), F.length(name) - F.length(ext))
-    stem = F.regexp_replace(stem, r"[^\p{L}\p{N}_\-.]", "_")
-    stem = F.regexp_replace(F.regexp_replace(stem, r"^\.+", ""), r"\.{2,}", ".")
-    stem = F.regexp_replace(stem, r"_{2,}", "_")
-    stem = F.when(stem == "", "file").otherwise(stem)
-    stem = F.substring(stem, F.lit(1), longest - F.length(ext))
-    return F.when(F.coalesce(raw, F.lit("")) == "", "unnamed_file").otherwise(F.concat(stem, ext))
+    return F.when(F.coalesce(raw, F.lit("")) == "", "unnamed_file").otherwise(let(name, parts))
 
 
 def clean_text_input(text: Column, longest: int = 1000) -> Column:

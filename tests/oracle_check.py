@@ -57,8 +57,9 @@ def compare(spark, con, name, fn, sql, sf_dir):
     a, b = rows_of(df.columns, got), rows_of(cols, want)
     if a == b:
         return None, len(got), t1 - t0, t2 - t1
-    only_a = [r for r in a if r not in set(b)][:2]
-    only_b = [r for r in b if r not in set(a)][:2]
+    in_a, in_b = set(a), set(b)
+    only_a = [r for r in a if r not in in_b][:2]
+    only_b = [r for r in b if r not in in_a][:2]
     return f"rows {len(a)} vs {len(b)}; spark {only_a} duck {only_b}", len(got), t1 - t0, t2 - t1
 
 
@@ -81,7 +82,7 @@ def main() -> int:
         try:
             why, n, ts, td = compare(spark, con, name, fn, ORACLES.get(name), sf_dir)
         except Exception as exc:  # report and go on with the next query
-            why, n, ts, td = f"{type(exc).__name__}: {str(exc)[:700]}", -1, 0, 0
+            why, n, ts, td = f"{type(exc).__name__}: {str(exc)[:500]}", -1, 0, 0
         bad += why is not None
         kind = "sql" if name in ORACLES else "rows"
         print(f"{'ok ' if why is None else 'BAD'} {name:24s} {kind} n={n} spark={ts:.1f}s duck={td:.2f}s {why or ''}", flush=True)
