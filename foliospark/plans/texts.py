@@ -247,7 +247,7 @@ def _(spark, d):
 
 
 @query("human_size", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN s >= 1048576 THEN format('{:.2f} MB', s / 1048576.0) WHEN s >= 1024 THEN format('{:.2f} KB', s / 1024.0) ELSE format('{:.2f} B', s / 1.0) END AS size_text,
- regexp_replace(CASE WHEN s >= 1048576 THEN format('{:.2f}', s / 1048576.0) WHEN s >= 1024 THEN format('{:.2f}', s / 1024.0) ELSE format('{:.2f}', s / 1.0) END, '\\.?0+$', '') ||
+ regexp_replace(CASE WHEN s >= 1048576 THEN format('{:.2f}', round(s / 1048576.0, 2)) WHEN s >= 1024 THEN format('{:.2f}', round(s / 1024.0, 2)) ELSE format('{:.2f}', s / 1.0) END, '\\.?0+$', '') ||
  CASE WHEN s >= 1048576 THEN ' MB' WHEN s >= 1024 THEN ' KB' ELSE ' Bytes' END AS short_text
  FROM (SELECT l_orderkey, l_linenumber, l_partkey, CAST(floor(l_extendedprice) AS BIGINT) * (CASE WHEN l_linenumber = 1 THEN 16 ELSE 1 END) AS s FROM lineitem)""")
 def _(spark, d):
