@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Predefined redaction patterns, with Unicode classes as in the source dialect.
@@ -34,8 +34,9 @@ def find_text(pages: DataFrame, term: str, match_case: bool = False, page: int |
     hit = pages.filter(F.col("text").rlike(pattern))
     pieces = F.split("text", pattern)
     sizes = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.length(p))
-    rows = hit.select("doc_id", "page_no", F.posexplode(sizes).alias("match_no", "gap"), sizes.alias("_s"))
-    start = F.aggregate(F.slice("_s", F.lit(1), F.col("match_no") + 1), F.lit(0), lambda a, x: a + x) + F.col("match_no") * len(term)
+    rows = hit.select("doc_id", "page_no", F.posexplode(sizes).alias("match_no", "gap"))
+    sofar = Window.partitionBy("doc_id", "page_no").orderBy("match_no").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.sum("gap").over(sofar) + F.col("match_no") * len(term)
     return rows.select("doc_id", "page_no", "match_no", start.alias("start"))
 
 

@@ -11,7 +11,7 @@ from foliospark.plans.registry import query
 
 def _versions(spark, d):
     p = view(spark, d, "page_text").select("doc_id", "page_no", "text")
-    changed = F.when(F.col("page_no") % 3 == 0, F.upper("text")).otherwise(F.col("text"))
+    changed = F.when(F.col("page_no") % 3 == 0, F.replace("text", F.lit("e"), F.lit("E"))).otherwise(F.col("text"))
     return p, p.filter(F.col("page_no") % 7 != 0).withColumn("text", changed)
 
 
@@ -19,7 +19,7 @@ def _pairs(spark, d):
     return compare.page_pairs(*_versions(spark, d))
 
 
-_V = ctes("page_text", more="""pairs AS (SELECT doc_id, page_no, text AS a, CASE WHEN page_no % 7 = 0 THEN '' WHEN page_no % 3 = 0 THEN upper(text) ELSE text END AS b, 1 AS ia, CASE WHEN page_no % 7 = 0 THEN 0 ELSE 1 END AS ib FROM page_text),
+_V = ctes("page_text", more="""pairs AS (SELECT doc_id, page_no, text AS a, CASE WHEN page_no % 7 = 0 THEN '' WHEN page_no % 3 = 0 THEN replace(text, 'e', 'E') ELSE text END AS b, 1 AS ia, CASE WHEN page_no % 7 = 0 THEN 0 ELSE 1 END AS ib FROM page_text),
  w AS (SELECT doc_id, page_no, ia, ib, a <> b AS diff, list_distinct(list_filter(string_split_regex(a, '\\s+'), lambda x : x <> '')) AS wa, list_distinct(list_filter(string_split_regex(b, '\\s+'), lambda x : x <> '')) AS wb FROM pairs),
  c AS (SELECT doc_id, page_no, ia, ib, diff, list_filter(wb, lambda x : NOT list_contains(wa, x)) AS added, list_filter(wa, lambda x : NOT list_contains(wb, x)) AS removed FROM w)""")
 
