@@ -176,12 +176,13 @@ def allowed_type(content: Column, declared: Column, allowed: list[str]) -> Colum
 
 def mime_mismatch(extension: Column, mime: Column) -> Column:
     """Message when a detected type does not go with the extension (with its dot)."""
-    ext = F.lower(extension)
-    message = F.concat(F.lit("File content does not match extension '"), ext, F.lit("'"))
-    fits = F.when(mime.isin(ZIP_FAMILY), ext.isin(ZIP_EXTENSIONS))
-    for t, exts in TYPE_EXTENSIONS.items():
-        fits = fits.when(mime == t, ext.isin(exts))
-    return F.when(~F.coalesce(fits, F.lit(True)), message)
+    def check(v: Column) -> Column:
+        fits = F.when(v["mime"].isin(ZIP_FAMILY), v["ext"].isin(ZIP_EXTENSIONS))
+        for t, exts in TYPE_EXTENSIONS.items():
+            fits = fits.when(v["mime"] == t, v["ext"].isin(exts))
+        return F.when(~F.coalesce(fits, F.lit(True)), F.concat(F.lit("File content does not match extension '"), v["ext"], F.lit("'")))
+
+    return let_all(check, mime=mime, ext=F.lower(extension))
 
 
 def upload_error(name: Column, extension: Column, size: Column, content: Column, allowed: list[str]) -> Column:
