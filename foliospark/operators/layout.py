@@ -55,47 +55,73 @@ def tab_rows(words: DataFrame, em: Column, col_left: Column, col_right: Column)
 def find_columns(words: DataFrame, page_width: float, max_cols: int = 3) -> DataFrame:
     """Text columns of each page as an ordered array of (x0, x1).
 
-    Word coverage comes from a sweep of +1/-1 events, so nothing is exploded per pixel.
+    The words of a page are gathered once; all the rest is expressions on that row. Coverage
+    comes from a sweep over +1/-1 events, so nothing is exploded per pixel.
     """
-    lines = words.groupBy(*LINE).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("n"))
-    body = lines.filter(F.col("n") >= 2)
-
-    def at(col, share):
-        return let(F.array_sort(F.collect_list(col)), lambda a: F.get(a, F.floor(share * (F.size(a) - 1)).cast("int")))
-
-    every = lines.groupBy(*PAGE).agg(F.min("x0").alias("min_x"), F.max("x1").alias("max_x"))
-    b = body.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n_body"), at("x0", 0.02).alias("left"), at("x1", 0.98).alias("right"))
-    stats = b.filter((F.col("n_body") >= 8) & (F.col("right") > F.col("left"))).withColumns({
-        "lo": F.floor(F.col("left") + 0.15 * (F.col("right") - F.col("left"))).cast("long"),
-        "hi": F.floor(F.col("right") - 0.15 * (F.col("right") - F.col("left"))).cast("long")})
-    wide = words.join(stats.select(*PAGE), PAGE, "left_semi").join(body.select(*LINE), LINE, "left_semi")
-    edge = F.explode(F.array(F.struct(F.greatest(F.floor("x0"), F.lit(0)).alias("x"), F.lit(1).alias("d")),
-                             F.struct((F.floor("x1") + 1).alias("x"), F.lit(-1).alias("d")))).alias("e")
-    events = wide.select(*PAGE, edge).select(*PAGE, "e.x", "e.d").unionByName(
-        stats.select(*PAGE, F.explode(F.array("lo", "hi")).alias("x"), F.lit(0).alias("d")))
-    ev = events.groupBy(*PAGE, "x").agg(F.sum("d").alias("d"))
-    by_x = Window.partitionBy(*PAGE).orderBy("x")
-    spans = ev.withColumns({"cov": F.sum("d").over(by_x.rowsBetween(Window.unboundedPreceding, 0)), "nxt": F.lead("x").over(by_x)}).join(stats, PAGE)
-    low = spans.filter((F.col("x") >= F.col("lo")) & (F.col("nxt") <= F.col("hi"))).withColumn("free", F.col("cov") <= 0.2 * F.col("n_body"))
-    isle = low.withColumn("isle", F.sum((~F.col("free")).cast("int")).over(by_x.rowsBetween(Window.unboundedPreceding, 0))).filter("free")
-    cuts = isle.groupBy(*PAGE, "isle").agg(F.min("x").alias("a"), F.max("nxt").alias("b")).filter(
-        F.col("b") - F.col("a") >= max(0.02 * page_width, 12))
-    per_page = cuts.groupBy(*PAGE).agg(F.slice(F.array_sort(F.collect_list(F.struct("a", "b"))), 1, max_cols - 1).alias("cuts"))
-    c = stats.join(per_page, PAGE)
-    col = F.expr("transform(sequence(0, size(cuts)), i -> struct(CAST(CASE WHEN i = 0 THEN left ELSE cuts[i - 1].b END AS DOUBLE) AS x0, "
-                 "CAST(CASE WHEN i = size(cuts) THEN right ELSE cuts[i].a END AS DOUBLE) AS x1))")
-    c = c.withColumn("cols", col)
-    # Each column needs four wide lines, and the columns must overlap vertically.
-    cand = c.select(*PAGE, F.posexplode("cols").alias("col", "c"))
-    a, z = F.col("c.x0"), F.col("c.x1")
-    inside = (F.col("x0") >= a - 2) & (F.col("x1") <= z + 2) & ((F.col("x1") - F.col("x0")) >= 0.25 * (z - a))
-    held = cand.join(body, PAGE).filter(inside).groupBy(*PAGE, "col").agg(F.count(F.lit(1)).alias("k"), F.min("y0").alias("top"), F.max("y1").alias("bot"))
-    ok = (held.filter("k >= 4").groupBy(*PAGE).agg(F.count(F.lit(1)).alias("good"), F.max("top").alias("t"), F.min("bot").alias("u"), F.min(F.col("bot") - F.col("top")).alias("s"))
-          .filter((F.col("s") > 0) & ((F.col("u") - F.col("t")) >= 0.5 * F.col("s"))))
-    many = c.join(ok, PAGE).filter(F.col("good") == F.size("cols")).select(*PAGE, F.col("cols").alias("found"))
-    single = F.array(F.struct(F.when(F.col("n_body") >= 8, F.col("left")).otherwise(F.col("min_x")).cast("double").alias("x0"),
-                              F.when(F.col("n_body") >= 8, F.col("right")).otherwise(F.col("max_x")).cast("double").alias("x1")))
-    return every.join(b, PAGE, "left").join(many, PAGE, "left").select(*PAGE, F.coalesce("found", single).alias("cols"))
+    lines = words.groupBy(*LINE).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("n"),
+                                     F.collect_list(F.struct(F.greatest(F.floor("x0"), F.lit(0)).alias("a"), (F.floor("x1") + 1).alias("b"))).alias("ws"))
+    page = lines.groupBy(*PAGE).agg(F.min("x0").alias("min_x"), F.max("x1").alias("max_x"), F.collect_list(F.struct("x0", "x1", "y0", "y1", "n", "ws")).alias("ls"))
+    body = F.filter("ls", lambda v: v["n"] >= 2)
+    return page.select(*PAGE, let(body, lambda ls: _page_columns(ls, page_width, max_cols)).alias("cols"))
+
+
+_CUTS = "array<struct<a:bigint,b:bigint>>"
+
+
+def _page_columns(body: Column, page_width: float, max_cols: int) -> Column:
+    """Columns of one page. Each stage binds its results, so none is computed again per event."""
+    at = lambda arr, share: let(F.array_sort(arr), lambda v: F.get(v, F.floor(share * (F.size(v) - 1)).cast("int")))
+    flat = F.flatten(F.transform(body, lambda v: v["ws"]))
+    events = F.array_sort(F.flatten(F.transform(flat, lambda w: F.array(
+        F.struct(w["a"].alias("x"), F.lit(1).alias("d")), F.struct(w["b"].alias("x"), F.lit(-1).alias("d"))))))
+
+    def bounds(v: Column) -> Column:
+        span = v["right"] - v["left"]
+        return let_all(swept, left=v["left"], right=v["right"], lo=F.floor(v["left"] + 0.15 * span), hi=F.floor(v["right"] - 0.15 * span),
+                       limit=0.2 * F.size(body), events=events)
+
+    def swept(v: Column) -> Column:
+        gap = lambda since, end: let_all(lambda g: F.when(g["b"] - g["a"] >= max(0.02 * page_width, 12), F.array(g)).otherwise(
+            F.array().cast(_CUTS)), a=F.greatest(since, v["lo"]), b=F.least(end, v["hi"]))
+        start = F.struct(F.lit(0).alias("cov"), F.lit(0).cast("long").alias("since"), F.array().cast(_CUTS).alias("cuts"))
+
+        def step(acc: Column, e: Column) -> Column:
+            cov = acc["cov"] + e["d"]
+            closes, opens = (acc["cov"] <= v["limit"]) & (cov > v["limit"]), (acc["cov"] > v["limit"]) & (cov <= v["limit"])
+            return F.struct(cov.alias("cov"), F.when(opens, e["x"]).otherwise(acc["since"]).alias("since"),
+                            F.when(closes, F.concat(acc["cuts"], gap(acc["since"], e["x"]))).otherwise(acc["cuts"]).alias("cuts"))
+
+        cuts = F.aggregate(v["events"], start, step, lambda acc: F.slice(F.concat(acc["cuts"], gap(acc["since"], v["hi"])), 1, max_cols - 1))
+        big = (F.size(body) >= 8) & (v["right"] > v["left"])
+        return let_all(named, left=v["left"], right=v["right"], cuts=F.when(big, cuts).otherwise(F.array().cast(_CUTS)))
+
+    def named(v: Column) -> Column:
+        edges = F.flatten(F.transform(v["cuts"], lambda c: F.array(c["a"].cast("double"), c["b"].cast("double"))))
+        return let_all(checked, single=column(v["left"], v["right"]), edges=F.concat(F.array(v["left"]), edges, F.array(v["right"])))
+
+    def column(x0: Column, x1: Column) -> Column:
+        return F.array(F.struct(x0.cast("double").alias("x0"), x1.cast("double").alias("x1")))
+
+    def checked(v: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(0), F.floor(F.size(v["edges"]) / 2).cast("int") - 1), lambda i: F.struct(
+            F.get(v["edges"], i * 2).alias("x0"), F.get(v["edges"], i * 2 + 1).alias("x1")))
+        return let(found, lambda cols: F.when((F.size(cols) > 1) & F.coalesce(substantial(cols), F.lit(False)), cols).otherwise(v["single"]))
+
+    def substantial(cols: Column) -> Column:
+        """Four wide lines in each column, and columns that overlap vertically."""
+        inside = lambda v, c: (v["x0"] >= c["x0"] - 2) & (v["x1"] <= c["x1"] + 2) & ((v["x1"] - v["x0"]) >= 0.25 * (c["x1"] - c["x0"]))
+        held = F.transform(cols, lambda c: let(F.filter(body, lambda v: inside(v, c)), lambda ls: F.struct(
+            F.size(ls).alias("k"), F.array_min(F.transform(ls, lambda v: v["y0"])).alias("top"), F.array_max(F.transform(ls, lambda v: v["y1"])).alias("bot"))))
+
+        def test(h: Column) -> Column:
+            shortest = F.array_min(F.transform(h, lambda x: x["bot"] - x["top"]))
+            shared = F.array_min(F.transform(h, lambda x: x["bot"])) - F.array_max(F.transform(h, lambda x: x["top"]))
+            return F.forall(h, lambda x: x["k"] >= 4) & (shortest > 0) & (shared >= 0.5 * shortest)
+
+        return let(held, test)
+
+    few = column(F.col("min_x"), F.col("max_x"))
+    return F.when(F.size(body) < 8, few).otherwise(let_all(bounds, left=at(F.transform(body, lambda v: v["x0"]), 0.02), right=at(F.transform(body, lambda v: v["x1"]), 0.98)))
 
 
 def two_columns(words: DataFrame, page_width: float) -> DataFrame:

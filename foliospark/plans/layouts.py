@@ -8,6 +8,7 @@ from foliospark.functions import geometry as geo
 from foliospark.operators import folds, layout, tables
 from foliospark.plans.fixtures import ctes, table, view
 from foliospark.plans.registry import query
+from foliospark.sources.scratch import written
 
 W = ctes("words")
 T2 = ctes("two_col_words")
@@ -27,11 +28,14 @@ def _two_columns(spark, d):
 
 
 def _ordered(spark, d):
-    """Lines with column, order, band and tab flag, on two-column pages."""
+    """Lines with column, order, band and tab flag, on two-column pages.
+
+    Both tables feed several later steps, so they are written once instead of computed for each.
+    """
     w = _two_columns(spark, d)
-    cols = layout.find_columns(w, 1224)
+    cols = written(spark, layout.find_columns(w, 1224), "columns")
     lines = layout.reading_order(layout.assign_columns(layout.lines_of(w), cols)).withColumn("tabbed", F.lit(False))
-    return lines, cols
+    return written(spark, lines.drop("cols"), "lines"), cols
 
 
 @query("line_boxes", W + "SELECT doc_id, page_no, line_no, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1, string_agg(text, ' ' ORDER BY word_no) AS text FROM words GROUP BY ALL")
@@ -227,7 +231,7 @@ def _(spark, d):
     return layout.rotation_vote(_words(spark, d).withColumn("textangle", a))
 
 
-@query("page_suspicious", W + "SELECT doc_id, page_no, (count(*) < 3 AND doc_id % 2 = 0) OR (count(*) >= 3 AND avg(conf) < 55) AS suspicious FROM words GROUP BY ALL")
+@query("page_suspicious", W + "SELECT doc_id, page_no, (count(*) < 3 AND doc_id % 2 = 0) OR (count(*) >= 3 AND avg(conf) < 55) AS suspicious FROM words GROUP BY doc_id, page_no")
 def _(spark, d):
     w = _words(spark, d)
     dark = w.select("doc_id", "page_no").distinct().withColumn("dark", F.when(F.col("doc_id") % 2 == 0, 0.05).otherwise(0.0))
@@ -446,6 +450,5 @@ def _(spark, d):
 
 @query("table_sink", _CELLS + "SELECT doc_id, page_no, CAST(r AS INT) AS row_no, CAST(c AS INT) AS col_no FROM k, (SELECT unnest([0, 1, 2]) AS c)")
 def _(spark, d):
-    from foliospark.sources.scratch import written
     cells = tables.table_rows(tables.table_cells(_cells(spark, d))).select("doc_id", "page_no", "table_no", "row_no", "col_no", "kind", "text", "long_value", "double_value")
     return written(spark, cells.repartition("doc_id"), "tables", "page_no").select("doc_id", F.col("page_no").cast("long").alias("page_no"), "row_no", "col_no")
