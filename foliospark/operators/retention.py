@@ -117,3 +117,13 @@ def purge_client(audit: DataFrame, tasks: DataFrame, inputs: DataFrame, outputs:
     none = tasks.filter(F.lit(False))
     return counts({"tasks_deleted": none, "input_files_deleted": none, "output_files_deleted": none,
                    "audit_logs_deleted": audit.filter(F.col("client_ip") == client_hash)})
+
+
+def sweep(tasks: DataFrame, outputs: DataFrame, inputs: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """What remains after one run of all sweeps; run it from a schedule, or per trigger of a stream."""
+    expired = expired_task_ids(outputs, now)
+    kept = tasks.join(expired, "task_id", "left_anti")
+    kept = kept.join(completed_before(kept, now).select("task_id"), "task_id", "left_anti")
+    kept = kept.join(orphan_tasks(kept, outputs, now).select("task_id"), "task_id", "left_anti")
+    return {"outputs": survivors(outputs, is_expired(F.col("expires_at"), now)), "tasks": kept,
+            "inputs": survivors(inputs, F.col("created_at") < now - interval("HOUR", UPLOAD_HOURS))}

@@ -83,7 +83,7 @@ def _(spark, d):
     return pages.crop_box(p, F.lit(10), F.lit(30), (F.col("doc_id") % 7) * 100, F.lit(20))
 
 
-@query("page_selection", _SEL + "SELECT p.doc_id, p.page_no, p.text FROM page_text p JOIN sel USING (doc_id, page_no)")
+@query("fk_pages", _SEL + "SELECT p.doc_id, p.page_no, p.text FROM page_text p JOIN sel USING (doc_id, page_no)")
 def _(spark, d):
     return view(spark, d, "page_text").join(_selection(spark, d).select("doc_id", "page_no"), ["doc_id", "page_no"]).select("doc_id", "page_no", "text")
 
