@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from foliospark.operators.limits import Limits, SlidingState
@@ -39,8 +40,7 @@ def run_updates(spark: SparkSession, stream: DataFrame, keys: list[str], purpose
 
     stream.writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{path}/batch_id={i}")).option(
         "checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
-    schema = stream.schema.add("batch_id", "long")
-    rows = spark.read.schema(schema).parquet(path)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])).parquet(path)
     values = [c for c in stream.columns if c not in keys]
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
     return last.select(*keys, "v.*")
@@ -55,7 +55,7 @@ class SlidingLimiter(StatefulProcessor):
     def init(self, handle) -> None:
         self.accepted = handle.getListState("accepted", "t double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = SlidingState(self.limits)
         for (t,) in self.accepted.get():
             state.accept(t, 1)
@@ -79,24 +79,30 @@ def sliding_limiter(requests: DataFrame, limits: Limits = Limits()) -> DataFrame
 
 
 class FixedLimiter(StatefulProcessor):
-    """Counters of a client's second, minute and hour; they expire as their buckets pass."""
+    """Counters of a client's latest second, minute and hour buckets.
+
+    Buckets older than two widths are dropped, as the service's counters expire; so the state is
+    at most a few rows, read and written once per batch.
+    """
+
+    WIDTHS = (1, 60, 3600)
 
     def __init__(self, limits: Limits):
         self.limits = limits
 
     def init(self, handle) -> None:
-        self.counts = {w: handle.getMapState(f"count{w}", "bucket long", "n long", 2000 * w) for w in (1, 60, 3600)}
+        self.counts = handle.getListState("counts", "width long, bucket long, n long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["sec", "seq"]).reset_index(drop=True)
+        known = {(w, b): n for w, b, n in self.counts.get()}
         seen = {}
-        for w, state in self.counts.items():
+        for w in self.WIDTHS:
             bucket = pdf["sec"] // w
-            n = bucket.groupby(bucket).cumcount() + 1
-            before = {b: (state.getValue((int(b),))[0] if state.containsKey((int(b),)) else 0) for b in bucket.unique()}
-            seen[w] = n + bucket.map(before)
-            for b, top in seen[w].groupby(bucket).max().items():
-                state.updateValue((int(b),), (int(top),))
+            seen[w] = bucket.groupby(bucket).cumcount() + 1 + bucket.map(lambda b: known.get((w, b), 0))
+            known.update({(w, int(b)): int(n) for b, n in seen[w].groupby(bucket).max().items()})
+        newest = {w: max(b for x, b in known if x == w) for w in self.WIDTHS}
+        self.counts.put([(w, b, n) for (w, b), n in known.items() if b >= newest[w] - 1])
         kind = pd.Series([None] * len(pdf), dtype=object)
         for w, limit, name in ((3600, self.limits.hour, "hour"), (60, self.limits.minute, "minute"), (1, self.limits.burst, "burst")):
             kind = kind.mask(seen[w] > limit, name)
@@ -108,7 +114,7 @@ class FixedLimiter(StatefulProcessor):
 
 def fixed_limiter(requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
     schema = "client string, seq long, in_second long, in_minute long, in_hour long, limit_type string"
-    return requests.groupBy("client").transformWithStateInPandas(FixedLimiter(limits), schema, "Append", "ProcessingTime")
+    return requests.groupBy("client").transformWithStateInPandas(FixedLimiter(limits), schema, "Append", "None")
 
 
 def usage_stream(log: DataFrame, lateness: str = "1 day") -> DataFrame:
@@ -143,7 +149,7 @@ class LatestProgress(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "status string, done boolean, deadline long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["ts", "seq"])
         status, done, deadline = self.last.get() if self.last.exists() else (None, False, None)
         out = []
@@ -157,7 +163,7 @@ class LatestProgress(StatefulProcessor):
         self.last.update((status, done, deadline))
         yield pd.DataFrame(out, columns=["task_id", "seq", "ts", "status"])
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         _, done, deadline = self.last.get()
         rows = [] if done else [(key[0], -1, pd.Timestamp(deadline, unit="ms"), "failed")]
         yield pd.DataFrame(rows, columns=["task_id", "seq", "ts", "status"])
@@ -182,7 +188,7 @@ class ExpiryTimer(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("state", "expiry long, purged boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["ts", "seq"])
         out, expiry = [], self.state.get()[0] if self.state.exists() else None
         for ts, given in zip(pdf["ts"], pdf["expires_at"]):
@@ -197,8 +203,8 @@ class ExpiryTimer(StatefulProcessor):
             expiry = shorter
         yield pd.DataFrame(out, columns=["task_id", "what", "ts"])
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        at = expired.getExpiryTimeInMs()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
         self.state.update((self.state.get()[0], True))
         yield pd.DataFrame([(key[0], "purge", pd.Timestamp(at, unit="ms"))], columns=["task_id", "what", "ts"])
 
@@ -218,7 +224,7 @@ class SubscriptionFold(StatefulProcessor):
     def init(self, handle) -> None:
         self.state = handle.getValueState("state", "status string, tier string, plan string, applied long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["ts", "seq"])
         now = self.state.get() if self.state.exists() else None
         said = {"active": "active", "past_due": "past_due", "canceled": "cancelled", "unpaid": "cancelled"}
