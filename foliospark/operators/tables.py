@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as geo
 from foliospark.functions import text as tx
-from foliospark.functions.binding import let
+from foliospark.functions.binding import let, let_all
 from foliospark.functions.numbers import is_number, parse_number, snap_size
 
 TABLE = ["doc_id", "page_no", "table_no"]
@@ -24,21 +24,33 @@ def _nearest(lines: Column, value: Column) -> Column:
 
 
 def grid_lines(cells: DataFrame, tolerance: float = 2.0) -> DataFrame:
-    """Row and column span of each cell; cells over several slots are merged ranges."""
-    g = cells.groupBy(*TABLE).agg(_distinct_edges(F.flatten(F.collect_list(F.array("x0", "x1"))), tolerance).alias("xs"),
-                                  _distinct_edges(F.flatten(F.collect_list(F.array("y0", "y1"))), tolerance).alias("ys"))
-    d = cells.join(g, TABLE).withColumns({"c0": _nearest(F.col("xs"), F.col("x0")), "c1": _nearest(F.col("xs"), F.col("x1")),
-                                          "r0": _nearest(F.col("ys"), F.col("y0")), "r1": _nearest(F.col("ys"), F.col("y1"))})
-    d = d.filter((F.col("c1") > F.col("c0")) & (F.col("r1") > F.col("r0")))
-    return d.withColumn("merged", (F.col("c1") - F.col("c0") > 1) | (F.col("r1") - F.col("r0") > 1))
+    """Row and column span of each cell; cells over several slots are merged ranges.
+
+    The cells of a table, which lies on one page, are gathered once and placed within that row;
+    nothing is joined back. ``filled`` tells whether the table has any text.
+    """
+    text = F.regexp_replace(tx.strip(F.coalesce("text", F.lit(""))), r"[ \t]*\n[ \t]*", "\n")
+    g = cells.groupBy(*TABLE).agg(F.collect_list(F.struct("x0", "y0", "x1", "y1", text.alias("text"))).alias("cs"))
+
+    def edges(cs: Column) -> Column:
+        xs = F.flatten(F.transform(cs, lambda c: F.array(c["x0"], c["x1"])))
+        ys = F.flatten(F.transform(cs, lambda c: F.array(c["y0"], c["y1"])))
+        return let_all(place, cs=cs, xs=_distinct_edges(xs, tolerance), ys=_distinct_edges(ys, tolerance), filled=F.exists(cs, lambda c: c["text"] != ""))
+
+    def place(v: Column) -> Column:
+        spans = F.transform(v["cs"], lambda c: F.struct(
+            _nearest(v["ys"], c["y0"]).alias("row_no"), _nearest(v["xs"], c["x0"]).alias("col_no"), _nearest(v["ys"], c["y1"]).alias("row_end"),
+            _nearest(v["xs"], c["x1"]).alias("col_end"), c["text"].alias("text"), v["filled"].alias("filled")))
+        real = F.filter(spans, lambda s: (s["row_end"] > s["row_no"]) & (s["col_end"] > s["col_no"]))
+        return F.struct(v["xs"].alias("xs"), v["ys"].alias("ys"), real.alias("cells"))
+
+    d = g.select(*TABLE, let(F.col("cs"), edges).alias("t")).select(*TABLE, "t.xs", F.inline("t.cells"))
+    return d.withColumn("merged", (F.col("row_end") - F.col("row_no") > 1) | (F.col("col_end") - F.col("col_no") > 1))
 
 
 def table_cells(cells: DataFrame) -> DataFrame:
     """Cells in long form (table, row_no, col_no, text); tables without any text are dropped."""
-    t = F.regexp_replace(tx.strip(F.col("text")), r"[ \t]*\n[ \t]*", "\n")
-    d = grid_lines(cells).withColumns({"text": t, "row_no": F.col("r0"), "col_no": F.col("c0")})
-    full = d.filter(F.col("text") != "").select(*TABLE).distinct()
-    return d.join(full, TABLE, "left_semi")
+    return grid_lines(cells).filter("filled")
 
 
 def header_rows(cells: DataFrame, keys: list[str] = TABLE) -> DataFrame:

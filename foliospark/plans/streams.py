@@ -138,7 +138,7 @@ def _(spark, d):
     return streams.run_to_table(spark, streams.latest_progress(s), "progress-stream").filter("seq >= 0").select("task_id", "seq", "status")
 
 
-@query("stalled_tasks", ctes("status_log", more="f AS (SELECT task_id, min(ts) AS f FROM status_log GROUP BY task_id)") + "SELECT task_id, date_trunc('milliseconds', f) + INTERVAL 10 MINUTE AS failed_at FROM f WHERE NOT EXISTS (SELECT 1 FROM status_log s WHERE s.task_id = f.task_id AND s.status IN ('completed', 'failed', 'cancelled'))")
+@query("stalled_tasks", ctes("status_log", more="f AS (SELECT task_id, min(ts) AS f FROM status_log GROUP BY task_id)") + "SELECT task_id, date_trunc('milliseconds', f) + INTERVAL 10 MINUTE AS failed_at FROM f WHERE NOT EXISTS (SELECT 1 FROM status_log s WHERE s.task_id = f.task_id AND s.status IN ('completed', 'failed', 'cancelled') AND date_trunc('milliseconds', s.ts) <= date_trunc('milliseconds', f) + INTERVAL 10 MINUTE)")
 def _(spark, d):
     streams.use_state_store(spark)
     s = event_stream(spark, d, VIEWS["status_log"][1]).select("task_id", "seq", "ts", "status")

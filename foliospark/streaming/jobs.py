@@ -159,7 +159,8 @@ class LatestProgress(StatefulProcessor):
                 self.handle.registerTimer(deadline)
             if new != status:
                 out.append((key[0], int(seq), ts, new))
-            status, done = new, done or new in ("completed", "failed", "cancelled")
+            in_time = _us(ts) // 1000 <= deadline
+            status, done = new, done or (in_time and new in ("completed", "failed", "cancelled"))
         self.last.update((status, done, deadline))
         yield pd.DataFrame(out, columns=["task_id", "seq", "ts", "status"])
 
