@@ -61,11 +61,18 @@ def header_rows(cells: DataFrame, keys: list[str] = TABLE) -> DataFrame:
 
 
 def table_rows(cells: DataFrame, keys: list[str] = TABLE) -> DataFrame:
-    """Typed cells: header cells stay text, others are numbers where they look like it."""
-    d = cells.join(header_rows(cells, keys), keys, "left").withColumn("v", parse_number(F.col("text")))
-    typed = (F.col("row_no") > 0) | ~F.coalesce("has_header", F.lit(False))
-    kind = F.when(F.coalesce("text", F.lit("")) == "", "empty").when(typed, F.col("v.kind")).otherwise("text")
-    return d.withColumns({"kind": kind, "long_value": F.when(typed, F.col("v.long_value")), "double_value": F.when(typed, F.col("v.double_value"))}).drop("v")
+    """Typed cells: header cells stay text, others are numbers where they look like it.
+
+    The header vote runs as a window over the table, whose cells already lie together.
+    """
+    table = Window.partitionBy(*keys)
+    first = (F.col("row_no") == 0) & (F.coalesce("text", F.lit("")) != "")
+    d = cells.withColumn("v", parse_number(F.col("text"))).select(*cells.columns, "v.*")
+    n, k = F.count_if(first).over(table), F.count_if(first & (F.col("kind") != "text")).over(table)
+    d = d.withColumns({"_n": n, "_k": k}).withColumn("has_header", (F.col("_n") > 0) & (F.col("_k") <= F.floor(F.col("_n") / 2)))
+    typed = (F.col("row_no") > 0) | ~F.col("has_header")
+    kind = F.when(F.coalesce("text", F.lit("")) == "", "empty").when(typed, F.col("kind")).otherwise("text")
+    return d.withColumns({"kind": kind, "long_value": F.when(typed, F.col("long_value")), "double_value": F.when(typed, F.col("double_value"))}).drop("_n", "_k")
 
 
 def table_chains(tables: DataFrame) -> DataFrame:
