@@ -361,7 +361,8 @@ def _boxes(spark, d):
     return _words(spark, d).select("doc_id", "page_no", (F.col("line_no") * 100 + F.col("word_no")).alias("box_no"), F.col("x0").alias("x"), y.alias("y"), (F.col("x1") - F.col("x0")).alias("width"), "text")
 
 
-@query("visual_lines")
+@query("visual_lines", W.rstrip() + """, b AS (SELECT doc_id, page_no, line_no * 100 + word_no AS box_no, x0, x1, dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY line_no, word_no % 4 = 3) - 1 AS "group" FROM words),
+ g AS (SELECT *, x0 - lag(x1) OVER (PARTITION BY doc_id, page_no, "group" ORDER BY x0) AS gap FROM b) SELECT doc_id, page_no, box_no, "group", CASE WHEN gap > 20 THEN 'tab' WHEN gap > 5 THEN 'space' ELSE 'none' END AS joint FROM g""")
 def _(spark, d):
     return folds.visual_lines(_boxes(spark, d)).select("doc_id", "page_no", "box_no", "group", "joint")
 
@@ -432,7 +433,8 @@ def _(spark, d):
     return tables.table_rows(tables.table_cells(_cells(spark, d))).select("doc_id", "page_no", "row_no", "col_no", "kind", "long_value", "double_value")
 
 
-@query("table_continuation")
+@query("table_continuation", _CELLS.rstrip() + """, h AS (SELECT doc_id, page_no, (f, format('{:,.2f}', p), ln) AS head, page_no - row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS isle FROM k WHERE r = 0)
+ SELECT doc_id, page_no, 0::BIGINT AS table_no, CASE WHEN true THEN CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY isle) - 1 AS INT) END AS chain_no, page_no > min(page_no) OVER (PARTITION BY doc_id, isle) AND head = first_value(head) OVER (PARTITION BY doc_id, isle ORDER BY page_no) AS drop_header FROM h""")
 def _(spark, d):
     c = tables.table_cells(_cells(spark, d))
     t = c.groupBy("doc_id", "page_no", "table_no").agg(

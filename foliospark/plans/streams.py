@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from foliospark.operators import archives, layout, retention
 from foliospark.plans.fixtures import NOW, VIEWS, ctes, now, table, view
-from foliospark.plans.registry import query
+from foliospark.plans import operations  # noqa: F401  (its SQL is reused below)
+from foliospark.plans.registry import ORACLES, query
 from foliospark.sources import scans, sinks
 from foliospark.sources.scratch import shared_dir
 from foliospark.streaming import jobs as streams
@@ -116,7 +117,7 @@ def _(spark, d):
     return streams.run_updates(spark, streams.download_counter(s), ["file_id"], "download-stream")
 
 
-@query("fixed_limiter_stream", ctes("requests") + """SELECT seq, client, count(*) OVER (PARTITION BY client, sec ORDER BY seq) AS in_second, count(*) OVER (PARTITION BY client, sec // 60 ORDER BY sec, seq) AS in_minute,
+@query("fixed_limiter", ctes("requests") + """SELECT seq, client, count(*) OVER (PARTITION BY client, sec ORDER BY seq) AS in_second, count(*) OVER (PARTITION BY client, sec // 60 ORDER BY sec, seq) AS in_minute,
  count(*) OVER (PARTITION BY client, sec // 3600 ORDER BY sec, seq) AS in_hour FROM requests""")
 def _(spark, d):
     streams.use_state_store(spark)
@@ -145,14 +146,15 @@ def _(spark, d):
     return streams.run_to_table(spark, streams.latest_progress(s), "stalled-stream").filter("seq = -1").select("task_id", F.col("ts").cast("timestamp_ntz").alias("failed_at"))
 
 
-@query("expiry_timer")
+@query("expiry_timer", """WITH f AS (SELECT user_id AS task_id, date_trunc('milliseconds', min(ts)) AS f FROM events WHERE event_type <> 'error' GROUP BY user_id)
+ SELECT task_id, 'expiry' AS what, f + INTERVAL 120 SECOND AS ts FROM f UNION ALL SELECT task_id, 'purge', f + INTERVAL 121 SECOND FROM f""")
 def _(spark, d):
     streams.use_state_store(spark)
     s = event_stream(spark, d, ["user_id AS task_id", "event_id AS seq", "ts", "ts + INTERVAL 1 HOUR AS expires_at", "CASE WHEN event_type = 'error' THEN 'HEAD' ELSE 'GET' END AS method"])
-    return streams.run_to_table(spark, streams.expiry_timer(s), "expiry-stream")
+    return streams.run_to_table(spark, streams.expiry_timer(s), "expiry-stream").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("subscription_stream")
+@query("subscription_stream", f"SELECT sub_id, status, tier, plan, applied FROM ({ORACLES['subscription_fold']})")
 def _(spark, d):
     streams.use_state_store(spark)
     k = "CAST(get_json_object(props, '$.k') AS BIGINT) % 4"

@@ -97,6 +97,13 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", names.file_extension(F.col("url")).alias("ext"), names.mime_from_name(F.col("url")).alias("mime"))
 
 
+@query("mime_from_name", """SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'image/jpeg' WHEN 3 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN 4 THEN 'text/csv'
+ ELSE 'application/octet-stream' END AS mime FROM lineitem""")
+def _(spark, d):
+    name = F.concat(F.lit("file."), F.col("l_partkey").cast("string"), F.expr("CASE l_linenumber WHEN 1 THEN '.PDF' WHEN 2 THEN '.jpeg' WHEN 3 THEN '.docx' WHEN 4 THEN '.csv' ELSE '.q' END"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", names.mime_from_name(name).alias("mime"))
+
+
 @query("url_name", "SELECT page_id, replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '.', '_') || '.pdf' AS name FROM pages")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", names.url_name(F.col("url")).alias("name"))
@@ -121,7 +128,7 @@ def _(spark, d):
     return pairs.select("doc_id", "line_no", text.dehyphenate(p, n).alias("joined"))
 
 
-@query("paragraph_text")
+@query("paragraph_text", "SELECT doc_id, array_to_string(string_split(text, chr(10)), ' ') AS paragraph FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", text.paragraph_text(F.split("text", "\n")).alias("paragraph"))
 
