@@ -76,7 +76,7 @@ def table_rows(cells: DataFrame, keys: list[str] = TABLE) -> DataFrame:
 
 
 def table_chains(tables: DataFrame) -> DataFrame:
-    """Chain of each table: a table on the next page continues the chain whose head looks alike.
+    """Head of each table's chain: a table on the next page continues the chain whose head looks alike.
 
     ``tables`` has doc_id, page_no, table_no, n_cols, widths, header, merged. A chain can only run
     over consecutive pages, so documents are first cut where a page without tables (or a table
@@ -90,21 +90,28 @@ def table_chains(tables: DataFrame) -> DataFrame:
     runs = starts.select("doc_id", "page_no", F.sum("cut").over(w).alias("run"))
     item = F.struct("page_no", "table_no", "n_cols", "widths", "header", "merged")
     g = d.join(runs, ["doc_id", "page_no"]).groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(item)).alias("ts"))
-    start = F.struct(F.lit(None).cast("struct<n_cols:int,widths:array<double>,header:array<string>,merged:boolean>").alias("head"), F.lit(-2).cast("long").alias("last_page"),
-                     F.lit(-1).alias("chain"), F.array().cast("array<struct<page_no:bigint,table_no:bigint,chain_no:int,drop_header:boolean>>").alias("out"))
+    start = F.struct(F.lit(None).cast(f"struct<{_LOOK}>").alias("head"), F.lit(-2).cast("long").alias("last_page"),
+                     F.array().cast("array<struct<page_no:bigint,table_no:bigint,head_page:bigint,head_table:bigint,drop_header:boolean>>").alias("out"))
 
     def step(a: Column, t: Column) -> Column:
         head = a["head"]
         same_header = head["header"] == t["header"]
         widths = F.forall(F.zip_with(head["widths"], t["widths"], lambda x, y: F.abs(x - y) < 3), lambda ok: F.coalesce(ok, F.lit(True)))
         joins = head.isNotNull() & (t["page_no"] == a["last_page"] + 1) & (head["n_cols"] == t["n_cols"]) & ~t["merged"] & ~head["merged"] & (same_header | widths)
-        return let(F.struct(F.coalesce(joins, F.lit(False)).alias("j"), same_header.alias("s")), lambda v: F.struct(
-            F.when(v["j"], head).otherwise(F.struct(t["n_cols"].alias("n_cols"), t["widths"].alias("widths"), t["header"].alias("header"), t["merged"].alias("merged"))).alias("head"),
-            t["page_no"].alias("last_page"), (a["chain"] + F.when(v["j"], 0).otherwise(1)).alias("chain"),
-            F.array_append(a["out"], F.struct(t["page_no"].alias("page_no"), t["table_no"].alias("table_no"), (a["chain"] + F.when(v["j"], 0).otherwise(1)).alias("chain_no"),
-                                              (v["j"] & F.coalesce(v["s"], F.lit(False))).alias("drop_header"))).alias("out")))
+        new = F.struct(*[t[c].alias(c) for c in ("page_no", "table_no", "n_cols", "widths", "header", "merged")])
 
-    return g.select("doc_id", "run", F.inline(F.aggregate("ts", start, step, lambda a: a["out"])))
+        def advance(v: Column) -> Column:
+            head = F.when(v["joins"], v["old"]).otherwise(v["new"])
+            row = F.struct(t["page_no"].alias("page_no"), t["table_no"].alias("table_no"), head["page_no"].alias("head_page"), head["table_no"].alias("head_table"),
+                           (v["joins"] & v["same"]).alias("drop_header"))
+            return F.struct(head.alias("head"), t["page_no"].alias("last_page"), F.array_append(a["out"], row).alias("out"))
+
+        return let_all(advance, joins=F.coalesce(joins, F.lit(False)), same=F.coalesce(same_header, F.lit(False)), old=head, new=new)
+
+    return g.select("doc_id", F.inline(F.aggregate("ts", start, step, lambda a: a["out"])))
+
+
+_LOOK = "page_no:bigint,table_no:bigint,n_cols:int,widths:array<double>,header:array<string>,merged:boolean"
 
 
 def ruled_cells(words: DataFrame, grids: DataFrame, dpi: float = 72.0) -> DataFrame:

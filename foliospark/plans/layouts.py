@@ -434,13 +434,13 @@ def _(spark, d):
 
 
 @query("table_continuation", _CELLS.rstrip() + """, h AS (SELECT doc_id, page_no, (f, format('{:,.2f}', p), ln) AS head, page_no - row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS isle FROM k WHERE r = 0)
- SELECT doc_id, page_no, 0::BIGINT AS table_no, CASE WHEN true THEN CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY isle) - 1 AS INT) END AS chain_no, page_no > min(page_no) OVER (PARTITION BY doc_id, isle) AND head = first_value(head) OVER (PARTITION BY doc_id, isle ORDER BY page_no) AS drop_header FROM h""")
+ SELECT doc_id, page_no, 0::BIGINT AS table_no, min(page_no) OVER (PARTITION BY doc_id, isle) AS head_page, page_no > min(page_no) OVER (PARTITION BY doc_id, isle) AND head = first_value(head) OVER (PARTITION BY doc_id, isle ORDER BY page_no) AS drop_header FROM h""")
 def _(spark, d):
     c = tables.table_cells(_cells(spark, d))
     t = c.groupBy("doc_id", "page_no", "table_no").agg(
         (F.size(F.first("xs")) - 1).alias("n_cols"), F.first(F.expr("transform(sequence(0, size(xs) - 2), i -> xs[i + 1] - xs[i])")).alias("widths"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("row_no") == 0, F.struct("col_no", "text")))), lambda v: v["text"]).alias("header"), F.bool_or("merged").alias("merged"))
-    return tables.table_chains(t).select("doc_id", "page_no", "table_no", "chain_no", "drop_header")
+    return tables.table_chains(t).select("doc_id", "page_no", "table_no", "head_page", "drop_header")
 
 
 @query("ruled_table_items")

@@ -166,7 +166,7 @@ def test_table_chain_and_merged_header(spark):
     t = c.groupBy("doc_id", "page_no", "table_no").agg(F.lit(3).alias("n_cols"), F.array(*[F.lit(100.0)] * 3).alias("widths"), F.bool_or("merged").alias("merged"),
                                                       F.transform(F.array_sort(F.collect_list(F.when(F.col("row_no") == 0, F.struct("col_no", "text")))), lambda v: v["text"]).alias("header"))
     got = tables.table_chains(t).orderBy("page_no").collect()
-    assert [(r.chain_no, r.drop_header) for r in got] == [(0, False), (0, True)]
+    assert [(r.head_page, r.drop_header) for r in got] == [(1, False), (1, True)]
     group = [(1, 1, 0, 50., 0., 250., 20., "Group"), (1, 1, 0, 250., 0., 350., 20., "Total")] + grid(1, 20, ["a", "b", "1"])
     m = {r.text: r for r in tables.table_cells(spark.createDataFrame(group, schema)).collect()}
     assert m["Group"].merged and m["Total"].col_no == 2 and not m["a"].merged
