@@ -213,17 +213,24 @@ def paragraph_breaks(lines: DataFrame, columns: DataFrame, pitch: DataFrame) ->
     Pairwise rules are window expressions; only what depends on the open list item is folded, over
     the lines of one page.
     """
-    wide = lines.filter(F.col("n_words") >= 3)
-
-    def at(col, share):
-        return let(F.array_sort(F.collect_list(col)), lambda a: F.get(a, F.floor(share * (F.size(a) - 1)).cast("int")))
-
-    dense = wide.groupBy(*PAGE, "col").agg(F.count(F.lit(1)).alias("k"), at("x0", 0.1).alias("dl"), at("x1", 0.9).alias("dr"))
-    given = columns.select(*PAGE, F.posexplode("cols").alias("col", "c"))
-    ref = given.join(dense, [*PAGE, "col"], "left").select(
-        *PAGE, "col", F.when(F.col("k") >= 3, F.col("dl")).otherwise(F.col("c.x0")).alias("cl"), F.when(F.col("k") >= 3, F.col("dr")).otherwise(F.col("c.x1")).alias("cr"))
-    both = ref.groupBy(*PAGE).agg(F.min("cl").alias("cl"), F.max("cr").alias("cr")).withColumn("col", F.lit(-1))
-    d = lines.join(ref.unionByName(both), [*PAGE, "col"]).join(pitch, PAGE)
+    page = Window.partitionBy(*PAGE)
+    wide = F.collect_list(F.when(F.col("n_words") >= 3, F.struct("col", "x0", "x1"))).over(page)
+    pick = lambda v, name, share: let(F.array_sort(F.transform(v, lambda x: x[name])), lambda a: F.get(a, F.floor(share * (F.size(a) - 1)).cast("int")))
+
+    def extents(v: Column) -> Column:
+        """Left and right of each column: from its lines when there are three, else as given."""
+        return F.transform(v["cols"], lambda c, i: let(F.filter(v["wide"], lambda x: x["col"] == i), lambda mine: F.struct(
+            F.when(F.size(mine) >= 3, pick(mine, "x0", 0.1)).otherwise(c["x0"]).alias("cl"), F.when(F.size(mine) >= 3, pick(mine, "x1", 0.9)).otherwise(c["x1"]).alias("cr"))))
+
+    def own(refs: Column) -> Column:
+        """The line's column, or all of them for a full-width line."""
+        spread = F.struct(F.array_min(F.transform(refs, lambda r: r["cl"])).alias("cl"), F.array_max(F.transform(refs, lambda r: r["cr"])).alias("cr"))
+        return F.when(F.col("col") >= 0, F.get(refs, F.col("col"))).otherwise(spread)
+
+    keep = lines.columns
+    d = lines.join(columns.select(*PAGE, "cols"), PAGE).join(pitch, PAGE).withColumn("_w", wide)
+    d = d.withColumn("_r", let(let_all(extents, cols=F.col("cols"), wide=F.col("_w")), own))
+    d = d.select(*keep, "pitch", "_r.cl", "_r.cr")
     d = d.withColumn("mark", geo.list_marker(F.get("words", F.lit(0)), F.get("words", F.lit(1)), F.col("size_pt"), F.col("cl")))
     w = Window.partitionBy(*PAGE).orderBy("pos")
     d = d.withColumn("p", F.lag(F.struct("col", "tabbed", "size_pt", "base", "par", "x0", "x1")).over(w))
@@ -237,17 +244,19 @@ def paragraph_breaks(lines: DataFrame, columns: DataFrame, pitch: DataFrame) ->
     indent = ((F.col("x0") - F.col("cl")) > 1.2 * em) & ((p["x0"] - F.col("cl")) < 0.6 * em)
     ragged = (((p["x1"] - p["x0"]) < 0.55 * width) & ((F.col("x1") - F.col("x0")) < 0.55 * width) & ((p["x0"] - F.col("cl")) < 0.1 * width) & (F.abs(p["x0"] - F.col("x0")) < 0.05 * width))
     d = d.withColumns({"hard": hard, "soft": short | (new_par & (indent | ragged)), "hang": F.col("x0") + 1.5 * em, "left": F.col("mark.text_left")})
-    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("item"), F.array().cast("array<struct<line_no:bigint,para:int>>").alias("out"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("item"), F.array().cast("array<int>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         brk = x["hard"] | F.when(a["item"].isNotNull(), x["hang"] < a["item"]).otherwise(x["soft"])
         return let(brk, lambda b: F.struct((a["n"] + b.cast("int")).alias("n"), F.when(b, x["left"]).otherwise(a["item"]).alias("item"),
-                                           F.array_append(a["out"], F.struct(x["line_no"].alias("line_no"), (a["n"] + b.cast("int")).alias("para"))).alias("out")))
-
-    order = F.array_sort(F.collect_list(F.struct("pos", F.col("line_no").cast("long").alias("line_no"), "hard", "soft", "hang", "left")))
-    folded = d.groupBy(*PAGE).agg(F.aggregate(order, start, step, lambda a: a["out"]).alias("out"))
-    numbered = folded.select(*PAGE, F.inline("out"))
-    return d.drop("p", "hard", "soft", "hang", "left").join(numbered, LINE)
+                                           F.array_append(a["out"], a["n"] + b.cast("int")).alias("out")))
+
+    # The lines of a page travel through the fold whole, so that nothing is joined back.
+    row = F.struct("pos", "hard", "soft", "hang", "left", F.struct(*[c for c in keep if c not in PAGE], "pitch", "cl", "cr", "mark").alias("line"))
+    page_rows = d.groupBy(*PAGE).agg(F.array_sort(F.collect_list(row), lambda p, q: (p["pos"] - q["pos"]).cast("int")).alias("rows"))
+    numbered = let(F.col("rows"), lambda rows: let(F.aggregate(rows, start, step, lambda a: a["out"]), lambda paras: F.zip_with(
+        rows, paras, lambda r, n: F.struct(r["line"].alias("line"), n.alias("para")))))
+    return page_rows.select(*PAGE, F.inline(numbered)).select(*PAGE, "line.*", "para")
 
 
 def paragraphs(lines: DataFrame) -> DataFrame:

@@ -152,6 +152,11 @@ def _numbered(spark, d):
     return layout.paragraph_breaks(lines, cols, layout.line_pitch(lines))
 
 
+def _paragraphs(spark, d):
+    """Paragraphs feed several aggregates of the same query: written once."""
+    return written(spark, layout.paragraphs(_numbered(spark, d)), "paragraphs")
+
+
 @query("paragraph_breaks")
 def _(spark, d):
     return _numbered(spark, d).select("doc_id", "page_no", "line_no", "col", "pos", "para")
@@ -164,23 +169,23 @@ def _(spark, d):
 
 @query("justify_prior")
 def _(spark, d):
-    return layout.justify_prior(layout.paragraphs(_numbered(spark, d))).select("doc_id", "page_no", "para", "n_lines", "justified", "align")
+    return layout.justify_prior(_paragraphs(spark, d)).select("doc_id", "page_no", "para", "n_lines", "justified", "align")
 
 
 @query("heading_levels")
 def _(spark, d):
-    return layout.headings(layout.paragraphs(_numbered(spark, d))).select("doc_id", "page_no", "para", "size_pt", "body", "heading")
+    return layout.headings(_paragraphs(spark, d)).select("doc_id", "page_no", "para", "size_pt", "body", "heading")
 
 
 @query("document_finalise")
 def _(spark, d):
-    h = layout.headings(layout.paragraphs(_numbered(spark, d)))
+    h = layout.headings(_paragraphs(spark, d))
     return h.groupBy("doc_id", "body").agg(F.count(F.lit(1)).alias("paragraphs"), F.count_if(F.col("heading") > 0).alias("headings"))
 
 
 @query("outline_of_text")
 def _(spark, d):
-    return layout.outline(layout.paragraphs(_numbered(spark, d))).select("doc_id", "page_no", "para", "kind", "text")
+    return layout.outline(_paragraphs(spark, d)).select("doc_id", "page_no", "para", "kind", "text")
 
 
 @query("align_of", W.rstrip() + """, l AS (SELECT doc_id, page_no, par, line_no, min(x0) AS x0, max(x1) AS x1 FROM words GROUP BY ALL), n AS (SELECT *, count(*) OVER p AS n, row_number() OVER (PARTITION BY doc_id, page_no, par ORDER BY line_no) AS i FROM l WINDOW p AS (PARTITION BY doc_id, page_no, par)),
