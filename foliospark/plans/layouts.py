@@ -458,4 +458,4 @@ def _(spark, d):
 @query("table_sink", _CELLS + "SELECT doc_id, page_no, CAST(r AS INT) AS row_no, CAST(c AS INT) AS col_no FROM k, (SELECT unnest([0, 1, 2]) AS c)")
 def _(spark, d):
     cells = tables.table_rows(tables.table_cells(_cells(spark, d))).select("doc_id", "page_no", "table_no", "row_no", "col_no", "kind", "text", "long_value", "double_value")
-    return written(spark, cells.repartition("doc_id"), "tables", "page_no").select("doc_id", F.col("page_no").cast("long").alias("page_no"), "row_no", "col_no")
+    return written(spark, cells, "tables", "page_no").select("doc_id", F.col("page_no").cast("long").alias("page_no"), "row_no", "col_no")

@@ -28,14 +28,14 @@ def _(spark, d):
     return inv.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length", "modificationTime")
 
 
-@query("json_log_scan", """SELECT event_type AS level, count(*) AS n, round(sum(value), 2) AS duration_ms, count(*) FILTER (event_type = 'error') AS with_exception FROM events GROUP BY event_type""")
+@query("json_log_scan", """SELECT event_type AS level, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS duration_ms, count(*) FILTER (event_type = 'error') AS with_exception FROM events GROUP BY event_type""")
 def _(spark, d):
     log = table(spark, d, "events").select(F.col("ts").alias("timestamp"), F.col("event_type").alias("level"), F.lit("app").alias("logger"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("message"),
                                            F.col("value").alias("duration_ms"), F.when(F.col("event_type") == "error", "Traceback").alias("exception"))
     path = shared_dir(spark, "logs")
     log.write.json(path)
     s = scans.json_log_scan(spark, path)
-    return s.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("duration_ms"), 2).alias("duration_ms"), F.count("exception").alias("with_exception"))
+    return s.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("duration_ms").cast("decimal(18,4)")).cast("double").alias("duration_ms"), F.count("exception").alias("with_exception"))
 
 
 @query("progress_events", ctes("status_log") + "SELECT status, count(*) AS n, CAST(sum(progress) AS BIGINT) AS progress FROM status_log GROUP BY status")
@@ -74,11 +74,11 @@ def _(spark, d):
     return lines.select("doc_id", "page_no", F.col("par").cast("long").alias("par"), F.col("line_in_par").cast("long").alias("line_in_par"), "x0", "y0", "x1", "y1", "base", "n_words")
 
 
-@query("ocr_tsv_lines", ctes("words") + """SELECT doc_id, page_no, line_no, string_agg(text, ' ' ORDER BY x0, word_no) AS text, min(x0) * 0.36 AS x, (max(x1) - min(x0)) * 0.36 AS width, greatest(8, least(avg(y1 - y0) * 0.36 * 0.75, 24)) AS font_size FROM words WHERE conf > 30 GROUP BY ALL""")
+@query("ocr_tsv_lines", ctes("words") + """SELECT doc_id, page_no, line_no, string_agg(text, ' ' ORDER BY x0, word_no) AS text, round(min(x0) * 0.36, 6) AS x, round((max(x1) - min(x0)) * 0.36, 6) AS width, round(greatest(8, least(avg(y1 - y0) * 0.36 * 0.75, 24)), 6) AS font_size FROM words WHERE conf > 30 GROUP BY ALL""")
 def _(spark, d):
     w = view(spark, d, "words").select("doc_id", "page_no", F.lit(1).alias("block"), "line_no", "word_no", "text", "conf", F.col("x0").alias("left"), F.col("y0").alias("top"),
                                        (F.col("x1") - F.col("x0")).alias("width"), (F.col("y1") - F.col("y0")).alias("height"))
-    return layout.ocr_tsv_lines(w, 200.0).select("doc_id", "page_no", "line_no", "text", "x", "width", "font_size")
+    return layout.ocr_tsv_lines(w, 200.0).select("doc_id", "page_no", "line_no", "text", *[F.round(c, 6).alias(c) for c in ("x", "width", "font_size")])
 
 
 @query("extracted_text_sink", ctes("page_text") + "SELECT doc_id, page_no, CASE WHEN page_no > 1 THEN chr(10) || chr(10) ELSE '' END || '--- Page ' || page_no || ' ---' || chr(10) || text AS piece FROM page_text")
