@@ -85,9 +85,9 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", names.unicode_normalize(F.col("text"), "NFC").alias("nfc"))
 
 
-@query("valid_filename", r"SELECT page_id, NOT contains(u, '..') AND NOT contains(u, '/') AND NOT contains(u, '\') AND length(u) <= 255 AND u <> '' AS ok FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN substr(html, 1, 300) ELSE regexp_extract(url, '([^/]*)$', 1) END AS u FROM pages)")
+@query("valid_filename", r"SELECT page_id, NOT contains(u, '..') AND NOT contains(u, '/') AND NOT contains(u, '\') AND length(u) <= 255 AND u <> '' AS ok FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN html ELSE regexp_extract(url, '([^/]*)$', 1) END AS u FROM pages)")
 def _(spark, d):
-    u = F.expr("CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN substr(html, 1, 300) ELSE regexp_extract(url, '([^/]*)$', 1) END")
+    u = F.expr("CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN html ELSE regexp_extract(url, '([^/]*)$', 1) END")
     return table(spark, d, "pages").select("page_id", names.valid_filename(u).alias("ok"))
 
 
@@ -153,7 +153,8 @@ def _(spark, d):
     return _noisy(spark, d).select("doc_id", F.posexplode(text.paragraphs_of(text.clean_ocr_text(F.col("t")))).alias("par_no", "paragraph"))
 
 
-_MIX = """CASE doc_id % 6 WHEN 0 THEN text WHEN 1 THEN '.שלום עולם ' || left(text, 3) WHEN 2 THEN 'مرحبا بالعالم' || left(text, 40) WHEN 3 THEN 'こんにちは世界' || text WHEN 4 THEN '한국어 ' || text ELSE '中文文本 ประเทศ' || text END"""
+_AZ, _HE, _AR = "abcdefghijklmnopqrstuvwxyz", "אבגדהוזחטיכלמנסעפצקרשתאבגד", "ابتثجحخدذرزسشصضطظعغفقكلمنه"
+_MIX = f"""CASE doc_id % 6 WHEN 0 THEN text WHEN 1 THEN translate(lower(text), '{_AZ}', '{_HE}') WHEN 2 THEN translate(lower(text), '{_AZ}', '{_AR}') WHEN 3 THEN 'こんにちは世界' || text WHEN 4 THEN '한국어 ' || text ELSE '中文文本 ประเทศ' || text END"""
 
 
 @query("script_class", rf"""SELECT doc_id, CASE WHEN regexp_matches(t, '[\x{{0590}}-\x{{08ff}}\x{{0900}}-\x{{0dff}}\x{{0e00}}-\x{{0eff}}]') THEN 'complex' WHEN regexp_matches(t, '[\x{{2e80}}-\x{{9fff}}\x{{ac00}}-\x{{d7af}}]') THEN 'east_asian' ELSE 'latin' END AS script,
@@ -211,7 +212,7 @@ def _(spark, d):
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "f.kind", "f.format", "f.start")
 
 
-_MD = """CASE line_no % 9 WHEN 0 THEN '# ' || text WHEN 1 THEN '## ' || text WHEN 2 THEN '- **' || left(text, 20) || '** x' WHEN 3 THEN '12. ' || text WHEN 4 THEN '| a | ' || left(text, 12) || ' |'
+_MD = """CASE line_no % 9 WHEN 0 THEN '# ' || text WHEN 1 THEN '## ' || text WHEN 2 THEN '- **' || text || '** x' WHEN 3 THEN '12. ' || text WHEN 4 THEN '| a | ' || text || ' |'
  WHEN 5 THEN '|---|:-:|' WHEN 6 THEN '[IMAGE: p]' WHEN 7 THEN '' ELSE text END"""
 
 
@@ -224,10 +225,10 @@ def _(spark, d):
 
 
 @query("markdown_cells", ctes("line_text") + r"""SELECT doc_id, line_no, array_to_string(list_transform(list_slice(cs, 2, len(cs) - 1), lambda c : trim(c)), '¦') AS cells, CAST(len(cs) - 2 AS INT) AS n FROM (
- SELECT doc_id, line_no, string_split('| a | ' || replace(left(text, 12), '*', ' ') || ' | ' || CAST(line_no AS VARCHAR) || ' |', '|') AS cs FROM line_text WHERE NOT contains(text, '_'))""")
+ SELECT doc_id, line_no, string_split('| a | ' || translate(text, '*_|', '   ') || ' | ' || CAST(line_no AS VARCHAR) || ' |', '|') AS cs FROM line_text)""")
 def _(spark, d):
-    line = F.expr("'| a | ' || replace(left(text, 12), '*', ' ') || ' | ' || CAST(line_no AS STRING) || ' |'")
-    m = view(spark, d, "line_text").filter(~F.col("text").contains("_")).select("doc_id", "line_no", line.alias("t"))
+    line = F.expr("'| a | ' || translate(text, '*_|', '   ') || ' | ' || CAST(line_no AS STRING) || ' |'")
+    m = view(spark, d, "line_text").select("doc_id", "line_no", line.alias("t"))
     cells = text.markdown_cells(F.col("t"))
     return m.filter(~text.is_separator_row(F.col("t"))).select("doc_id", "line_no", F.array_join(cells, "¦").alias("cells"), F.size(cells).alias("n"))
 
