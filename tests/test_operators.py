@@ -182,3 +182,24 @@ def test_hocr(spark):
     w = scans.hocr_scan(df).orderBy("word_no").collect()
     assert [(r.text, r.bold, r.conf, r.base) for r in w] == [("A&B", True, 96.0, 36.0), ("7", False, 20.0, 36.0)]
     assert [(r.x0, r.y1) for r in scans.hocr_photos(df).collect()] == [(1.0, 4.0)]
+
+
+def test_split_runs_keep_the_head(spark):
+    def p(pos, jc, text, left=0, before=0, size=22):
+        return (1, 1, pos, jc, left, 0, 0, "A", "A", size, size, before, False, text)
+
+    rows = [p(0, "both", "head"), p(1, "left", "tail", left=30), p(2, "left", "more"), p(3, "left", "far", before=200), p(4, "both", "next"), p(5, "left", "big", size=30)]
+    schema = ("doc_id long, page_no long, pos long, jc string, left int, first_line int, hanging int, font_first string, font_last string, "
+              "size_first int, size_last int, before int, blocked boolean, text string")
+    got = folds.split_runs(spark.createDataFrame(rows, schema)).orderBy("pos").collect()
+    assert [r.head_pos for r in got] == [0, 0, 0, 3, 4, 5]
+
+
+def test_bold_words_follow_neighbours(spark):
+    ratios = [0.10] * 16 + [0.20, None, 0.20, 0.10, 0.20]
+    texts = ["word"] * 16 + ["bold", "x", "bold", "word", "ab"]
+    rows = [(1, 1, i // 8, i % 8, t, 14.0, r) for i, (t, r) in enumerate(zip(texts, ratios))]
+    df = spark.createDataFrame(rows, "doc_id long, page_no long, line_no long, word_no long, text string, fsize double, stroke_ratio double")
+    got = [r.bold for r in layout.bold_words(df).orderBy("line_no", "word_no").collect()]
+    # The unmeasured "x" lies between bold words; the short last word has no bold neighbour.
+    assert got == [False] * 16 + [True, True, True, False, False]
