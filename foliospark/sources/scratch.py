@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``; only where that is unset, a temporary one."""
+    """A fresh path under ``spark.checkpoint.dir``.
+
+    Where it is unset, a session on one machine (``local[...]``) gets a temporary folder; on a cluster
+    executors would write to their own disks, so that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="foliospark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
@@ -22,4 +29,4 @@ def written(spark: SparkSession, df: DataFrame, purpose: str, partition_by: str
     path = shared_dir(spark, purpose)
     writer = df.write.mode("append")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
