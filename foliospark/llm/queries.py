@@ -6,11 +6,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.llm import chat_tree, html_extract, language_id, packing, toxicity
 from foliospark.llm.bpe_codec import encode_decode
 from foliospark.llm.catalog import query
-from foliospark.llm.common import table
+from foliospark.llm.common import fold, table
 from foliospark.llm.quality_rules import quality_rules
 
+GPT = packing.Tokens(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),))
+
+
+def pack_with_digests(docs: DataFrame) -> DataFrame:
+    out = packing.pack_documents(docs, GPT, payload=packing.ids_crc32, payload_type="long")
+    return out.withColumnRenamed("payload", "ids_crc32")
+
+
+@query("op2_pack")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_with_digests(table(spark, sf_dir, "documents"))
+
+
+def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Train on rows whose fold of four is not 2 and score every row."""
+    model = toxicity.train(spark, docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) != 2)
+    return toxicity.score(docs, model)
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity_scores(spark, table(spark, sf_dir, "documents"), sf_dir)
+    return scores.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
 
 @query("op5_bpe_codec")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,3 +47,31 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_quality_rules")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op8_chat_tree")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    back = chat_tree.read_back(*chat_tree.prefix_trees(rows))
+    loss = F.array_join("loss_texts", "")
+    return back.select("conv_id", "n_turns", F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+                       F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query("op9_html_extract")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.main_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
+
+
+def languages(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Train on rows whose fold of three is not 1 and predict every row."""
+    model = language_id.train(spark, docs, fold(F.col("doc_id"), 3) != 1, public_tokenizers.path("piece_bpe_32k.model"))
+    return language_id.identify(docs, model)
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(spark, table(spark, sf_dir, "documents")).select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
