@@ -3,7 +3,7 @@
 Only confirmed toxic examples and unlabelled text are used. With prior ``pi`` of toxic text, a scorer ``g`` and a
 loss ``l(margin)``, the risk is ``pi * P[l(g)] + max(0, U[l(-g)] - pi * P[l(-g)])``: the unlabelled mean counts as
 negative after the share of hidden positives is taken out, and the difference is not allowed below zero, where a
-flexible model would only be fitting noise. The scorer is linear over the presence of selected words.
+flexible model would only be fitting noise. The scorer is linear over the presence of selected words and word beginnings.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from foliospark.llm.common import map_columns
 from foliospark.sources.scratch import written
 
 WORD = re.compile(r"\w+")
+#: Beginnings of words that are features besides the words, so that inflected and compounded forms are met.
+BEGINNINGS = (3, 4, 5)
 #: Bounds of the training sample (rows with the smallest id hashes) and of the word list of the model.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_WORDS = 4000, 12000, 768
 #: A word enters the model if it is in this many sample documents and commoner among toxic ones by this many standard errors.
@@ -27,6 +29,12 @@ MIN_DOCUMENTS, MIN_Z = 4, 3.5
 CUT = 0.3
 
 
+def features(text: str | None) -> set[str]:
+    """Distinct lower-case words of the whole text and, after ``^``, the beginnings of longer ones."""
+    words = set(WORD.findall((text or "").lower()))
+    return words.union(*[{"^" + w[:n] for w in words if len(w) > n} for n in BEGINNINGS])
+
+
 @dataclass
 class Model:
     weights: dict[str, float]
@@ -34,7 +42,7 @@ class Model:
     prior: float
 
     def score(self, text: str | None) -> float:
-        found = self.weights.keys() & set(WORD.findall((text or "").lower()))
+        found = self.weights.keys() & features(text)
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.bias + sum(self.weights[w] for w in sorted(found))))))
 
 
@@ -90,7 +98,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, may_learn: Co
            .unionByName(docs.where(may_learn & F.col("doc_id").isNotNull()).select("doc_id").orderBy(order, "doc_id").limit(max_unlabelled).withColumn("positive", F.lit(False))))
 
     def words(ids, flags, texts):
-        return {"doc_id": ids, "positive": flags, "words": [sorted(set(WORD.findall((t or "").lower()))) for t in texts]}
+        return {"doc_id": ids, "positive": flags, "words": [sorted(features(t)) for t in texts]}
 
     rows = map_columns(docs.join(F.broadcast(ids), "doc_id").select("doc_id", "positive", "text"), words, "doc_id long, positive boolean, words array<string>")
     rows = written(spark, rows, "toxicity-sample")
