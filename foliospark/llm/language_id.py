@@ -29,35 +29,60 @@ SMOOTHING = 0.05
 CACHED = 200_000
 
 
+#: Multiplier of the rolling hash of pieces (an odd 64-bit constant).
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+
 @functools.cache
-def pieces_of(path: str) -> tuple[dict[str, int], int]:
-    """Pieces made of letters (and the word start) with their numbers, and the longest; number 0 is any other letter."""
+def pieces_of(path: str) -> tuple[int, list[tuple[np.ndarray, np.ndarray]]]:
+    """The number of pieces made of letters (and the word start), and per length their sorted hashes with their numbers; number 0 is any other letter."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    names = sorted({p for i in range(model.get_piece_size()) if (p := model.id_to_piece(i)).replace(START, "", 1).isalpha() or p == START} - {""})
-    names = [p for p in names if p == p.lower()]
-    return {p: i + 1 for i, p in enumerate(names)}, max(map(len, names))
+    names = {p for i in range(model.get_piece_size()) if (p := model.id_to_piece(i)).replace(START, "", 1).isalpha() or p == START} - {""}
+    groups = defaultdict(list)
+    for n, p in enumerate(sorted(p for p in names if p == p.lower()), 1):
+        groups[len(p)].append((n, p))
+    tables = []
+    for size in range(1, max(groups) + 1):
+        members = groups[size]
+        hashes = substring_hashes(codes_of([p for _, p in members], size), size)[:, 0]
+        order = np.argsort(hashes)
+        tables.append((hashes[order], np.array([n for n, _ in members], np.int32)[order]))
+    return sum(map(len, groups.values())), tables
+
+
+def codes_of(words: list[str], size: int) -> np.ndarray:
+    return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), size).astype(np.uint64)
+
+
+def substring_hashes(codes: np.ndarray, size: int, shorter: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of all substrings of ``size`` characters; from those one shorter if given."""
+    if shorter is not None:
+        return shorter[:, :codes.shape[1] - size + 1] * MULTIPLIER + codes[:, size - 1:]
+    out = np.zeros((len(codes), codes.shape[1] - size + 1), np.uint64)
+    for k in range(size):
+        out = out * MULTIPLIER + codes[:, k:codes.shape[1] - size + 1 + k]
+    return out
 
 
 def lattices(words: list[str], path: str):
     """Words grouped by length: (positions in ``words``, piece number for each word, end and piece length, or -1)."""
-    pieces, longest = pieces_of(path)
-    get, groups = pieces.get, defaultdict(list)
+    _, tables = pieces_of(path)
+    groups = defaultdict(list)
     for i, w in enumerate(words):
         groups[len(w) + 1].append(i)
     for size, members in groups.items():
-        width = min(longest, size)
-        rows = []
-        for i in members:
-            w = START + words[i]
-            for end in range(1, size + 1):
-                low = max(0, end - width)
-                found = [get(w[j:end], -1) for j in range(end - 1, low - 1, -1)]
-                if found[0] < 0:
-                    found[0] = 0
-                if len(found) < width:
-                    found += [-1] * (width - len(found))
-                rows.append(found)
-        yield np.array(members), np.array(rows, np.int32).reshape(len(members), size, width)
+        for at in range(0, len(members), 4096):
+            some = members[at:at + 4096]
+            codes = codes_of([START + words[i] for i in some], size)
+            lattice = np.full((len(some), size, min(len(tables), size)), -1, np.int32)
+            hashes = None
+            for length, (known, numbers) in enumerate(tables[:size], 1):
+                hashes = substring_hashes(codes, length, hashes)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                    lattice[:, length - 1:, length - 1] = np.where(known[place] == hashes, numbers[place], -1)
+            lattice[:, :, 0] = np.maximum(lattice[:, :, 0], 0)
+            yield np.array(some), lattice
 
 
 def forward(lattice: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -127,8 +152,7 @@ class Scorer:
     def learn(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.model.languages)))
         for members, lattice in lattices(words, self.model.vocabulary):
-            for at in range(0, len(members), 4096):
-                out[members[at:at + 4096]] = forward(lattice[at:at + 4096], self.model.table)
+            out[members] = forward(lattice, self.model.table)
         return out
 
     def totals(self, words: list[str]) -> np.ndarray:
@@ -194,21 +218,20 @@ def train(spark: SparkSession, docs: DataFrame, may_learn: Column, vocabulary: s
 
 def fit(counts, languages: list[str], vocabulary: str, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities by expectation-maximisation over rows (lang, word, n), from a uniform start."""
-    pieces, _ = pieces_of(vocabulary)
+    count, _ = pieces_of(vocabulary)
     words = sorted({r["word"] for r in counts})
     place, lang = {w: i for i, w in enumerate(words)}, {x: i for i, x in enumerate(languages)}
     weights = np.zeros((len(words), len(languages)))
     for r in counts:
         weights[place[r["word"]], lang[r["lang"]]] += r["n"]
-    rows = len(pieces) + 1
+    rows = count + 1
     table = np.full((rows + 1, len(languages)), 1 / rows)
     table[-1] = 0
     groups = list(lattices(words, vocabulary))
     for _ in range(rounds):
         used = np.zeros_like(table)
         for members, lattice in groups:
-            for at in range(0, len(members), 4096):
-                used += expected_counts(lattice[at:at + 4096], table, weights[members[at:at + 4096]])
+            used += expected_counts(lattice, table, weights[members])
         used[-1] = 0
         table = used + SMOOTHING
         table[-1] = 0
