@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import chat_tree, html_extract, language_id, packing, toxicity
+from foliospark.llm import chat_tree, html_extract, language_id, nearest, ngram_join, packing, token_counts, toxicity
 from foliospark.llm.bpe_codec import encode_decode
 from foliospark.llm.catalog import query
 from foliospark.llm.common import fold, table
@@ -15,6 +15,11 @@ from foliospark.llm.quality_rules import quality_rules
 GPT = packing.Tokens(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),))
 
 
+@query("op1_ngram_join")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def pack_with_digests(docs: DataFrame) -> DataFrame:
     out = packing.pack_documents(docs, GPT, payload=packing.ids_crc32, payload_type="long")
     return out.withColumnRenamed("payload", "ids_crc32")
@@ -25,6 +30,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_with_digests(table(spark, sf_dir, "documents"))
 
 
+@query("op3_nearest")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Train on rows whose fold of four is not 2 and score every row."""
     model = toxicity.train(spark, docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) != 2)
@@ -44,6 +54,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: E-mail addresses, IPv4 addresses and phone numbers, as the token-count query masks them.
+MASKED = r"[\w.+-]+@[\w-]+\.[\w.]+|\b\d{1,3}(?:\.\d{1,3}){3}\b|\+?\d[\d ()-]{7,}\d"
+
+
+@query("op6_token_counts")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts before and after two edits that a cleaning run makes: personal data is masked, then a source line is put in front."""
+    docs = table(spark, sf_dir, "documents")
+    front = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("length"), F.concat(F.lit("source: "), F.coalesce("source", F.lit("unknown")), F.lit("\n")).alias("insert")))
+    edits = F.concat(token_counts.replacements(F.col("text"), MASKED, "[masked]"), front.cast(token_counts.EDITS))
+    return token_counts.count_with_edits(docs, edits, token_counts.Counter(GPT.path, GPT.pattern))
+
+
 @query("op7_quality_rules")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
