@@ -22,4 +22,7 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+import corpus_pipeline  # noqa: E402
 from foliospark.llm import queries  # noqa: E402, F401
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -137,9 +137,6 @@ class Model:
     table: np.ndarray
     vocabulary: str
 
-    def scorer(self) -> Scorer:
-        return Scorer(self)
-
 
 class Scorer:
     """Scores texts; log probabilities of the words seen last are kept, up to ``CACHED``."""
@@ -192,6 +189,17 @@ class Scorer:
         return names, scores
 
 
+_scorers: dict[int, Scorer] = {}
+
+
+def shared_scorer(model: Model) -> Scorer:
+    """The scorer of a model in this process; the word cache of another model is given up."""
+    if id(model) not in _scorers:
+        _scorers.clear()
+        _scorers[id(model)] = Scorer(model)
+    return _scorers[id(model)]
+
+
 def train(spark: SparkSession, docs: DataFrame, may_learn: Column, vocabulary: str, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> Model:
     """Fit on rows of ``docs(doc_id, text, lang)`` for which ``may_learn`` holds and ``lang`` is not null.
 
@@ -245,12 +253,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     A null text, or one without a letter, is ``und`` with score 0, as is everything if nothing was learnt. Ties go to
     the language first in order. Repeated rows repeat their result; other columns are ignored. One narrow pass.
     """
-    holder: list[Scorer] = []
-
     def run(ids, texts):
-        if not holder:
-            holder.append(model.scorer())
-        names, scores = holder[0].predict(texts)
+        names, scores = shared_scorer(model).predict(texts)
         return {"doc_id": ids, "lang_pred": names, "score": scores}
 
     return map_columns(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double")

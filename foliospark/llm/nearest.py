@@ -25,10 +25,11 @@ from foliospark.sources.scratch import written
 
 #: Bound of the sample that the codebooks are fitted on (rows with the smallest id hashes), and rounds of fitting.
 SAMPLE, ROUNDS = 20_000, 12
-MOST_CENTROIDS = 256
+CENTROIDS = 64
 #: Share of all entries that a query visits, and the least number of entries.
-VISIT_SHARE, VISIT_LEAST = 0.25, 2000
-ENTRIES, QUERIES = 4096, 2048
+VISIT_SHARE, VISIT_LEAST = 0.5, 2000
+#: Cells of a lane are scored together; blocks of a lane hold about so many entries and queries.
+LANES, ENTRIES, QUERIES = 8, 4096, 2048
 
 
 @dataclass(frozen=True)
@@ -104,17 +105,17 @@ def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "embedding", visit_share: float = VISIT_SHARE) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "embedding", visit_share: float = VISIT_SHARE, centroids: int = CENTROIDS) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row with ``is_query`` the ``k`` found with the largest inner product.
 
     ``vectors`` has ``vec_id`` and the vector column; others are ignored. Rows with a null id, and vectors that are null, zero, of an
-    uncommon width or hold null or non-finite components, take no part. Rows with the same id and vector count once; a
+    uncommon width or hold null or non-finite components, take no part. Of rows that repeat an id the least vector counts; a
     query is never its own result. Ties go to the smaller id. All candidates are returned if there are fewer than ``k``.
     """
     spark = vectors.sparkSession
-    rows = vectors.select("vec_id", F.col(vector).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).dropDuplicates(["vec_id", "vector"])
+    rows = vectors.select("vec_id", F.col(vector).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).groupBy("vec_id").agg(F.min("vector").alias("vector"), F.max("asks").alias("asks"))
     rows = written(spark, rows, "vectors")
-    centroids = max(4, min(MOST_CENTROIDS, math.ceil(2 * rows.count() ** 0.25)))
     books = fit(spark, rows, centroids)
     result = "query_id long, rank int, vec_id long, score double"
     if books is None:
@@ -127,16 +128,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "emb
     entries = (rows.select("vec_id", "vector").withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1)
                .groupBy("vector").agg(F.min("vec_id").alias("entry"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
 
+    wide = len(books.second)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 c1, c2 = books.codes(_matrix(batch.column("vector"), width))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(c1, pa.int32()), pa.array(c2, pa.int32())], names=[*batch.schema.names, "c1", "c2"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(c1 * wide + c2, pa.int32()), pa.array(c1 % LANES, pa.int32())], names=[*batch.schema.names, "cell", "lane"])
 
-    entries = written(spark, entries.mapInArrow(encode, "vector array<float>, entry long, ids array<long>, c1 int, c2 int"), "vector-entries")
-    sizes = np.zeros((len(books.first), len(books.second)), np.int64)
-    for r in entries.groupBy("c1", "c2").count().collect():
-        sizes[r["c1"], r["c2"]] = r["count"]
+    entries = written(spark, entries.mapInArrow(encode, "vector array<double>, entry long, ids array<long>, cell int, lane int"), "vector-entries")
+    sizes = np.zeros((len(books.first), wide), np.int64)
+    for r in entries.groupBy("cell").count().collect():
+        sizes[divmod(r["cell"], wide)] = r["count"]
     wanted = max(VISIT_LEAST, math.ceil(visit_share * sizes.sum()))
 
     asked = rows.where("asks").select(F.col("vec_id").alias("query_id"), "vector").join(entries.select("vector", "entry"), "vector").select("query_id", "entry")
@@ -151,52 +154,46 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "emb
             q = _matrix(batch.column("vector"), width)
             one, two = q[:, :cut] @ books.first.T, q[:, cut:] @ books.second.T
             for i in range(len(q)):
-                by_first: dict[int, list[int]] = {}
+                lanes: dict[int, list[int]] = {}
                 for a, b in visited_cells(one[i], two[i], sizes, wanted):
-                    by_first.setdefault(a, []).append(b)
-                line = batch.slice(i, 1)
-                n = len(by_first)
-                yield pa.RecordBatch.from_arrays([pa.array(line.column("entry").to_pylist() * n, pa.int64()), pa.array(line.column("vector").to_pylist() * n, pa.list_(pa.float32())),
-                                                  pa.array(list(by_first), pa.int32()), pa.array(list(by_first.values()), pa.list_(pa.int32()))], names=["entry", "vector", "c1", "cells"])
-
-    visits = written(spark, asking.mapInArrow(plan, "entry long, vector array<float>, c1 int, cells array<int>"), "vector-visits")
-    counts = visits.groupBy("c1").agg(F.count("*").alias("q")).join(entries.groupBy("c1").agg(F.count("*").alias("e")), "c1")
-    grid = counts.select("c1", F.ceil(F.col("e") / ENTRIES).cast("int").alias("parts"), F.ceil(F.col("q") / QUERIES).cast("int").alias("groups"))
-    grid = F.broadcast(grid)  # one row per centroid of the first half: at most MOST_CENTROIDS
-    left = (entries.join(grid, "c1").withColumn("part", F.pmod(F.xxhash64("entry"), "parts").cast("int"))
-            .withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("c1", "part", "group", "entry", "vector", "c2"))
-    right = (visits.join(grid, "c1").withColumn("group", F.pmod(F.xxhash64("entry"), "groups").cast("int"))
-             .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("c1", "part", "group", "entry", "vector", "cells"))
+                    lanes.setdefault(a % LANES, []).append(a * wide + b)
+                line, n = batch.slice(i, 1), len(lanes)
+                yield pa.RecordBatch.from_arrays([pa.array(line.column("entry").to_pylist() * n, pa.int64()), pa.array(line.column("vector").to_pylist() * n, pa.list_(pa.float64())),
+                                                  pa.array(list(lanes), pa.int32()), pa.array(list(lanes.values()), pa.list_(pa.int32()))], names=["entry", "vector", "lane", "cells"])
+
+    visits = written(spark, asking.mapInArrow(plan, "entry long, vector array<double>, lane int, cells array<int>"), "vector-visits")
+    grid = visits.groupBy("lane").agg(F.count("*").alias("q")).join(entries.groupBy("lane").agg(F.count("*").alias("e")), "lane")
+    grid = F.broadcast(grid.select("lane", F.ceil(F.col("e") / ENTRIES).cast("int").alias("parts"), F.ceil(F.col("q") / QUERIES).cast("int").alias("groups")))  # LANES rows
+    left = (entries.join(grid, "lane").withColumn("part", F.pmod(F.xxhash64("entry"), "parts").cast("int"))
+            .withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("lane", "part", "group", "entry", "vector", "cell"))
+    right = (visits.join(grid, "lane").withColumn("group", F.pmod(F.xxhash64("entry"), "groups").cast("int"))
+             .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("lane", "part", "group", "entry", "vector", "cells"))
 
     def score(held: pa.Table, asks: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if held.num_rows and asks.num_rows:
-            order = np.argsort(held.column("entry").to_numpy())
-            ids = held.column("entry").to_numpy()[order]
-            x, c2 = _matrix(held.column("vector"), width)[order], held.column("c2").to_numpy()[order]
+            ids, x, cell = held.column("entry").to_numpy(), _matrix(held.column("vector"), width), held.column("cell").to_numpy()
             q, names, cells = _matrix(asks.column("vector"), width), asks.column("entry").to_numpy(), asks.column("cells").to_pylist()
-            for i in range(len(q)):
-                open_ = np.zeros(len(books.second), bool)
-                open_[cells[i]] = True
-                at = np.flatnonzero(open_[c2])
-                if not len(at):
-                    continue
-                points = x[at] @ q[i]
-                if len(at) > k + 1:
-                    edge = np.partition(points, len(points) - k - 1)[len(points) - k - 1]
-                    at = at[points >= edge - 1e-9]
-                exact = (x[at] * q[i]).sum(1)
-                best = np.lexsort((ids[at], -exact))[:k + 1]
-                out.append((np.full(len(best), names[i]), ids[at][best], exact[best]))
+            for start in range(0, len(q), 64):
+                some = q[start:start + 64]
+                open_ = np.zeros((len(some), sizes.size), bool)
+                for i, visited in enumerate(cells[start:start + 64]):
+                    open_[i, visited] = True
+                points = np.where(open_[:, cell], some @ x.T, -np.inf)
+                edge = np.partition(points, -k - 1, axis=1)[:, -k - 1] if len(x) > k + 1 else np.full(len(some), -np.inf)
+                for i in range(len(some)):
+                    at = np.flatnonzero((points[i] >= edge[i] - 1e-9) & (points[i] > -np.inf))
+                    exact = (x[at] * some[i]).sum(1)
+                    best = np.lexsort((ids[at], -exact))[:k + 1]
+                    out.append((np.full(len(best), names[start + i]), ids[at][best], exact[best]))
         if not out:
             return pa.table({"query": pa.array([], pa.int64()), "entry": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         return pa.table({"query": np.concatenate([o[0] for o in out]), "entry": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
 
-    scored = left.groupBy("c1", "part", "group").cogroup(right.groupBy("c1", "part", "group")).applyInArrow(score, "query long, entry long, score double")
+    scored = left.groupBy("lane", "part", "group").cogroup(right.groupBy("lane", "part", "group")).applyInArrow(score, "query long, entry long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
     top = scored.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
-    found = F.transform(F.slice(F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda x: F.struct((-F.col("score")).alias("minus"), x.alias("vec_id")))))), 1, k + 1),
-                        lambda s: s)
+    found = F.slice(F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda x: F.struct((-F.col("score")).alias("minus"), x.alias("vec_id")))))), 1, k + 1)
     lists = top.join(entries.select("entry", "ids"), "entry").groupBy("query").agg(found.alias("found"))
     mine = asked.join(lists.withColumnRenamed("query", "entry"), "entry")
     own = F.slice(F.filter("found", lambda s: s["vec_id"] != F.col("query_id")), 1, k)

@@ -35,15 +35,15 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
-def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Train on rows whose fold of four is not 2 and score every row."""
-    model = toxicity.train(spark, docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) != 2)
-    return toxicity.score(docs, model)
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Labels are learnt from rows whose fold of four is not 2."""
+    return toxicity.train(spark, docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) != 2)
 
 
 @query("op4_toxicity")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = toxicity_scores(spark, table(spark, sf_dir, "documents"), sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    scores = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
     return scores.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
@@ -89,12 +89,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
 
 
-def languages(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Train on rows whose fold of three is not 1 and predict every row."""
-    model = language_id.train(spark, docs, fold(F.col("doc_id"), 3) != 1, public_tokenizers.path("piece_bpe_32k.model"))
-    return language_id.identify(docs, model)
+def language_model(spark: SparkSession, docs: DataFrame) -> language_id.Model:
+    """Languages are learnt from rows whose fold of three is not 1."""
+    return language_id.train(spark, docs, fold(F.col("doc_id"), 3) != 1, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 @query("op10_language_id")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return languages(spark, table(spark, sf_dir, "documents")).select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_model(spark, docs)).select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
