@@ -1,28 +1,9 @@
-"""Queries of this subpackage and the SQL of those that SQL can express."""
+"""All queries of this subpackage, the pipeline included; importing this module fills the registry."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register ``fn(spark, sf_dir)`` under ``name``, with the equivalent SQL if there is one."""
-
-    def wrap(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return wrap
-
-
-import corpus_pipeline  # noqa: E402
-from foliospark.llm import queries  # noqa: E402, F401
+import corpus_pipeline
+from foliospark.llm import queries  # noqa: F401
+from foliospark.llm.registry import ORACLES, QUERIES, query
 
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -13,10 +13,11 @@ signatures. A set that meets a dear signature emits the neighbourhoods of all it
 segments are cheap (neither they nor their neighbourhoods are dear), any partner is found through these and it leaves the
 dear buckets. Only sets made up of dear segments for the most part stay in them.
 
-**Verification.** Buckets are not expanded into all pairs. A bucket is checked against one of its members, links are
-contracted into components, and only buckets that still hold several components are checked further, against twice as
-many members in each round, until every pair of different components in a bucket was compared. Comparison is exact, on
-the n-grams of the whole texts.
+**Verification.** Buckets are not expanded into all pairs. A bucket is checked against one of its members, and links are
+contracted into components. Only buckets that still hold several components go on: small ones pair by pair; in large
+ones, what is not in the largest component of its bucket is held against the other components by sketches (counts of
+hashed n-grams, whose distance never exceeds the symmetric difference), in blocks, and only pairs that the sketches can't
+rule out are compared. Links are decided exactly, on the n-grams of the whole texts.
 
 Equal sets are one class throughout.
 """
@@ -39,8 +40,11 @@ from foliospark.sources.scratch import written
 BAND = 1.5
 #: Rows from which a bucket is dear, and rows up to which all pairs of a bucket that still matter are compared at once.
 DEAR, SMALL = 64, 24
-CACHED = 300_000
+#: Bins of a sketch, and rows of a block of sketches.
+BINS, BLOCK = 256, 4096
 U = np.uint64
+#: Odd multipliers for the places of a word in an n-gram.
+FACTORS = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)]
 
 
 def mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -61,31 +65,74 @@ def ngrams(words: list[bytes], n: int) -> set[tuple[bytes, ...]]:
     return set(zip(*[words[i:] for i in range(n)], strict=False)) if len(words) >= n else {tuple(words)}
 
 
-@functools.cache
-def _word_hashes() -> dict[bytes, int]:
-    return {}
+def _inverse(odd: int) -> int:
+    return pow(odd, -1, 1 << 64)
 
 
-def ngram_hashes(words: list[bytes], n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-grams; they only nominate and group, links are decided on the n-grams."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    known = _word_hashes()
-    if len(known) > CACHED:
-        known.clear()
+BASE = 0x5851F42D4C957F2D
+#: Value of each byte in a word hash, the same for A-Z and a-z, and which bytes separate words.
+_LETTERS = mix(np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint64) + U(1), 41)
+_BLANK = np.array([c in b" \t\n\r\x0b\x0c" for c in range(256)])
+#: Bytes hashed at a time, and the length from which a word is hashed on its own.
+SLICE, GIANT = 1 << 18, 1 << 16
+
+
+@functools.cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2^64."""
+    steps = [np.concatenate(([U(1)], np.full(size - 1, U(b), np.uint64))) for b in (BASE, _inverse(BASE))]
+    return np.multiply.accumulate(steps[0]), np.multiply.accumulate(steps[1])
+
+
+def _slice_hashes(raw: bytes) -> np.ndarray:
+    """Hashes of the words of a slice: differences of a running sum over all its bytes, brought to a common place."""
+    data = np.frombuffer(raw, np.uint8)
+    up, down = _powers(1 << max(12, (len(data) + 1).bit_length()))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LETTERS[data] * up[:len(data)], out=total[1:])
+    blank = np.ones(len(data) + 2, bool)
+    blank[1:-1] = _BLANK[data]
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * FACTORS[1], 43)
+    for k in np.flatnonzero(ends - starts >= GIANT):
+        out[k] = xxhash.xxh3_64_intdigest(raw[starts[k]:ends[k]].lower())
+    return out
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words of a text, in order, without making the words."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    if len(raw) <= SLICE:
+        return _slice_hashes(raw)
+    words = raw.split()
+    parts, part, size = [], [], 0
     for w in words:
-        if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.array([known[w] for w in words], np.uint64)
-    if len(h) < n:
-        total = np.zeros(1, np.uint64)
-        for i in range(len(h)):
-            total = mix(total + h[i:i + 1], i + 1)
-        return mix(total, 100 + len(h))
-    total = np.zeros(len(h) - n + 1, np.uint64)
-    for i in range(n):
-        total = mix(total + h[i:len(h) - n + 1 + i], i + 1)
-    return np.unique(total)
+        if size + len(w) >= SLICE:
+            parts.append(part)
+            part, size = [], 0
+        part.append(w if len(w) < SLICE else None)
+        size += len(w) + 1 if len(w) < SLICE else 0
+        if part[-1] is None:
+            part.pop()
+            parts += [part, w]
+            part, size = [], 0
+    parts.append(part)
+    return np.concatenate([np.array([xxhash.xxh3_64_intdigest(p.lower())], np.uint64) if isinstance(p, bytes) else _slice_hashes(b" ".join(p)) for p in parts])
+
+
+def ngram_hashes(text: str | None, n: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the n-grams; they only nominate and group, links are decided on the n-grams."""
+    h = word_hashes(text)
+    if not len(h):
+        return h
+    width = min(n, len(h))
+    total = np.zeros(len(h) - width + 1, np.uint64)
+    for i in range(width):
+        total = (total + h[i:len(h) - width + 1 + i]) * FACTORS[i % len(FACTORS)]
+    total = mix(total, width)
+    total.sort()
+    return total[np.concatenate(([True], total[1:] != total[:-1]))]
 
 
 @functools.cache
@@ -112,43 +159,51 @@ def layouts(size: int, percent: int) -> list[tuple[int, int, int]]:
 WHOLE, LESS, GUEST = 0, 1, 2
 
 
+@functools.cache
+def _salts(band: int, m: int) -> np.ndarray:
+    return mix(np.arange(m, dtype=np.uint64) + U(band << 40), 13)
+
+
 def signatures(hashes: np.ndarray, percent: int, every: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int, int]]:
     """Per layout: (band, signatures, kinds, segments, number of segments, empties).
 
     With ``every``, neighbourhoods of all segments and the signatures of empty segments are given; else what the
-    allocation for empty segments asks for.
+    allocation for empty segments asks for. A signature is the sum of the values of its elements and a salt of its segment.
     """
+    values = mix(hashes, 11)
     for band, m, side in layouts(len(hashes), percent):
-        segment = (mix(hashes, 7000 + band) >> U(33)).astype(np.int64) % m
-        order = np.argsort(segment, kind="stable")
-        segment, value = segment[order], mix(hashes[order], 11)
-        starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
-        filled, sizes = segment[starts], np.diff(np.r_[starts, len(segment)])
+        segment = ((hashes * FACTORS[band % 5] ^ U(band)) * FACTORS[(band + 1) % 5] >> U(33)).astype(np.int64) % m
+        order = np.argsort(segment)
+        segment, value = segment[order], values[order]
+        starts = np.concatenate(([0], np.flatnonzero(segment[1:] != segment[:-1]) + 1))
+        filled = segment[starts]
         sums = np.add.reduceat(value, starts)
-        salt = mix(np.arange(m, dtype=np.uint64) + U(band << 40), 13)
+        salt = _salts(band, m)
         empties = m - len(filled)
-        upto, lost = 0, False
-        if every:
-            upto = m
-        elif empties:
+        guest = GUEST if side else 0
+        sigs, kinds, places = [sums + salt[filled]], [np.full(len(filled), WHOLE + guest, np.int64)], [filled]
+        if every or empties:
+            sizes = np.diff(np.append(starts, len(segment)))
             useful = filled[sizes >= 2]
             lost = len(useful) < empties
-            upto = m if lost else int(useful[empties - 1]) + 1
-        parts = [(mix(sums + salt[filled], 17), filled, WHOLE)]
-        chosen = (segment < upto) & (np.repeat(sizes, sizes) >= 2)
-        if chosen.any():
+            upto = m if every or lost else int(useful[empties - 1]) + 1
+            chosen = (segment < upto) & (np.repeat(sizes, sizes) >= 2)
             whole = np.repeat(sums, sizes)[chosen]
-            parts.append((mix(whole - value[chosen] + salt[segment[chosen]], 17), segment[chosen], LESS))
-        if empties and (lost or every):
-            bare = np.setdiff1d(np.arange(m), filled)
-            parts.append((mix(salt[bare], 17), bare, WHOLE))
-        yield (band, np.concatenate([p[0] for p in parts]), np.concatenate([np.full(len(p[0]), p[2] + (GUEST if side else 0), np.int64) for p in parts]),
-               np.concatenate([p[1] for p in parts]), m, empties)
+            sigs.append(whole - value[chosen] + salt[segment[chosen]])
+            kinds.append(np.full(len(whole), LESS + guest, np.int64))
+            places.append(segment[chosen])
+            if empties and (lost or every):
+                bare = np.setdiff1d(np.arange(m), filled)
+                sigs.append(salt[bare])
+                kinds.append(np.full(len(bare), WHOLE + guest, np.int64))
+                places.append(bare)
+        yield band, np.concatenate(sigs), np.concatenate(kinds), np.concatenate(places), m, empties
 
 
 def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
     """128 bits of a set; the second half, with two low bits free, names its class in signature rows."""
-    high, low = mix(hashes, 19).sum(dtype=np.uint64), mix(hashes, 23).sum(dtype=np.uint64)
+    first = mix(hashes, 19)
+    high, low = first.sum(dtype=np.uint64), ((first ^ (first >> U(29))) * FACTORS[3]).sum(dtype=np.uint64)
     high, low = mix(np.array([high]), len(hashes) + 29), mix(np.array([low]), len(hashes) + 31)
     return int(high.view(np.int64)[0]), int((low & ~U(3)).view(np.int64)[0])
 
@@ -167,7 +222,7 @@ def _batches(df: DataFrame, fn, schema: str) -> DataFrame:
 def set_facts(docs: DataFrame, n: int) -> DataFrame:
     """``doc_id, n_shingles, high, class`` per row."""
     def run(_, ids, texts):
-        sets = [ngram_hashes(words_of(t), n) for t in texts]
+        sets = [ngram_hashes(t, n) for t in texts]
         prints = [fingerprint(h) for h in sets]
         return {"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array([len(h) for h in sets], pa.int64()),
                 "high": pa.array([p[0] for p in prints], pa.int64()), "class": pa.array([p[1] for p in prints], pa.int64())}
@@ -181,7 +236,7 @@ def signature_rows(texts: DataFrame, n: int, percent: int) -> DataFrame:
         seen = state.setdefault("seen", set())
         sigs, ids = [], []
         for t in rows:
-            hashes = ngram_hashes(words_of(t), n)
+            hashes = ngram_hashes(t, n)
             if not len(hashes):
                 continue
             name = fingerprint(hashes)[1]
@@ -202,7 +257,7 @@ def neighbourhood_rows(texts: DataFrame, n: int, percent: int) -> DataFrame:
     def run(_, rows):
         out: list[tuple] = []
         for t in rows:
-            hashes = ngram_hashes(words_of(t), n)
+            hashes = ngram_hashes(t, n)
             if not len(hashes):
                 continue
             name = fingerprint(hashes)[1]
@@ -245,26 +300,69 @@ def candidates(docs: DataFrame, classes: DataFrame, n: int, percent: int, dear:
     dear_rows = rows.where(F.col("held") > dear)
     if dear_rows.isEmpty():
         return cheap
-    dear_sigs = written(spark, dear_rows.select("sig").distinct().withColumn("dear", F.lit(True)), "ngram-dear")
     meets = dear_rows.select(class_of().alias("class")).distinct().join(classes, "class").select(F.col("doc_id"))
-    texts = docs.join(meets, "doc_id", "left_semi")
-    full = written(spark, neighbourhood_rows(texts, n, percent), "ngram-neighbours").join(dear_sigs, "sig", "left")
-    full = full.withColumn("class", class_of()).withColumn("bad", F.col("bare") | F.col("dear").isNotNull())
-    segments = full.groupBy("class", "band", "segment").agg(F.max("bad").alias("bad"), F.max("m").alias("m"))
-    covered = segments.groupBy("class", "band").agg((F.sum((~F.col("bad")).cast("long")) * 2 >= F.max("m")).alias("covered"))
+    full = written(spark, neighbourhood_rows(docs.join(meets, "doc_id", "left_semi"), n, percent), "ngram-neighbours")
+    # Marks of dear signatures and counts of cheap segments come by windows over the rows themselves: nothing is joined back.
+    marks = dear_rows.select("sig").distinct().withColumn("mark", F.lit(True))
+    marked = full.withColumn("mark", F.lit(False)).unionByName(marks, allowMissingColumns=True).withColumn("dear", F.max("mark").over(Window.partitionBy("sig"))).where("id is not null")
+    marked = marked.select("sig", "id", "band", "segment", "m", "bare", "empty", "dear", class_of().alias("class")).repartition("class", "band")
+    segment, whole = Window.partitionBy("class", "band", "segment"), Window.partitionBy("class", "band")
+    marked = (marked.withColumn("bad", F.max(F.col("bare") | F.col("dear")).over(segment)).withColumn("at", F.row_number().over(segment.orderBy("id", "sig")))
+              .withColumn("covered", F.sum(F.when((F.col("at") == 1) & ~F.col("bad"), 1).otherwise(0)).over(whole) * 2 >= F.col("m")))
     # Cheap rows stay, also of segments that count as bad: they are what others' neighbourhoods meet. Dear or empty whole segments stay for sets not covered.
-    stays = (F.col("dear").isNull() & ~F.col("empty")) | (~F.col("covered") & ~is_less())
-    full = written(spark, full.join(covered, ["class", "band"]).where(stays).select("sig", "id"), "ngram-chosen")
+    stays = (~F.col("dear") & ~F.col("empty")) | (~F.col("covered") & ~is_less())
+    full = written(spark, marked.where(stays).select("sig", "id"), "ngram-chosen")
     return cheap.unionByName(shared(full.dropDuplicates(["sig", "id"])).select("sig", "id"))
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Counts of the n-grams by hash, saturating at 255: their distance is at most the symmetric difference of the sets."""
+    counts = np.bincount((mix(hashes, 37) >> U(40)).astype(np.int64) % BINS, minlength=BINS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
 def texts_of(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """``class, text`` for ``members(class, doc_id)``; of rows that repeat an id, those with the n-grams of the class."""
+    """``class, text, size, sketch`` for ``members(class, doc_id)``; of rows that repeat an id, those with the n-grams of the class."""
     def run(_, names, rows):
-        own = [name == fingerprint(ngram_hashes(words_of(t), n))[1] for name, t in zip(names, rows, strict=True)]
-        return {"class": pa.array([x for x, ok in zip(names, own, strict=True) if ok], pa.int64()), "text": pa.array([x for x, ok in zip(rows, own, strict=True) if ok], pa.string())}
+        sets = [ngram_hashes(t, n) for t in rows]
+        own = [i for i, (name, h) in enumerate(zip(names, sets, strict=True)) if name == fingerprint(h)[1]]
+        return {"class": pa.array([names[i] for i in own], pa.int64()), "text": pa.array([rows[i] for i in own], pa.string()),
+                "size": pa.array([len(sets[i]) for i in own], pa.int64()), "sketch": pa.array([sketch(sets[i]) for i in own], pa.binary())}
+
+    return _batches(docs.select("doc_id", "text").join(members, "doc_id").select("class", "text"), run, "class long, text string, size long, sketch binary")
 
-    return _batches(docs.select("doc_id", "text").join(members, "doc_id").select("class", "text"), run, "class long, text string")
+
+def sketched_pairs(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs of different components in a bucket of ``rows(sig, class, less, label)`` that sketches don't rule out.
+
+    Members of the largest component of a bucket are not held against each other. Both sides of a bucket are cut into
+    blocks, so no task holds a bucket, and only surviving pairs leave a block.
+    """
+    counts = rows.groupBy("sig", "label").agg(F.count("*").alias("of_label"))
+    heads = counts.groupBy("sig").agg(F.max_by("label", F.struct("of_label", "label")).alias("major"), F.sum("of_label").alias("held"), (F.sum("of_label") - F.max("of_label")).alias("minors"))
+    heads = heads.select("sig", "major", F.ceil(F.col("held") / BLOCK).cast("int").alias("chunks"), F.ceil(F.col("minors") / BLOCK).cast("int").alias("parts"))
+    full = written(rows.sparkSession, rows.join(heads, "sig").join(sketches, "class"), "ngram-sketches")
+    keys = ["sig", "chunk", "part"]
+    columns = ["class", "less", "label", "size", "sketch"]
+    left = (full.withColumn("chunk", F.pmod(F.xxhash64("class"), "chunks").cast("int"))
+            .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*keys, *columns))
+    right = (full.where("label != major").withColumn("part", F.pmod(F.xxhash64("class", F.lit(1)), "parts").cast("int"))
+             .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*keys, *columns))
+
+    def compare(all_: pa.Table, minor: pa.Table) -> pa.Table:
+        out: list[np.ndarray] = []
+        if all_.num_rows and minor.num_rows:
+            names, labels, sizes, less = (all_.column(c).to_numpy() for c in ("class", "label", "size", "less"))
+            bins = np.frombuffer(b"".join(all_.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+            for name, label, size, is_less_, data in zip(*[minor.column(c).to_pylist() for c in ("class", "label", "size", "less", "sketch")], strict=True):
+                at = np.flatnonzero((labels != label) & ~(less & is_less_))
+                apart = np.abs(bins[at] - np.frombuffer(data, np.uint8).astype(np.int16)).sum(1, dtype=np.int64)
+                near = names[at][apart * (100 + percent) <= (sizes[at] + size) * (100 - percent)]
+                out.append(np.stack([np.minimum(near, name), np.maximum(near, name)]))
+        found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array(found[0]), "b": pa.array(found[1])})
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -289,30 +387,26 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, dear: int =
     rows = candidates(docs, classes, n, percent, dear)
     rows = written(spark, rows.select("sig", class_of().alias("class"), is_less().alias("less")).dropDuplicates(["sig", "class", "less"]), "ngram-candidates")
     members = rows.select("class").distinct().join(classes, "class")
-    texts = written(spark, texts_of(docs, members, n), "ngram-texts")
+    held = written(spark, texts_of(docs, members, n), "ngram-texts")
+    texts = held.select("class", "text")
     done = spark.createDataFrame([], "a long, b long, linked boolean")
     names = spark.createDataFrame([], "node long, label long")
-    first, last = 0, 1
-    while True:
-        bucket = Window.partitionBy("sig")
-        turn = bucket.orderBy("less", "class")
+    bucket = Window.partitionBy("sig")
+    for last in (False, True):
         named = (rows.join(names, rows["class"] == names["node"], "left").select("sig", "class", "less", F.coalesce("label", "class").alias("label"))
                  .withColumn("low", F.min("label").over(bucket)).withColumn("high", F.max("label").over(bucket)).withColumn("held", F.count("*").over(bucket)).where("low != high")
-                 .withColumn("turn", F.row_number().over(turn)).drop("low", "high"))
+                 .withColumn("turn", F.row_number().over(bucket.orderBy("less", "class"))).drop("low", "high"))
         rows = written(spark, named, "ngram-open")
-        ask = (~F.col("less")) & ((F.col("turn") > first) & (F.col("turn") <= last) | ((F.col("held") <= SMALL) & F.lit(first > 0)))
-        asking = rows.where(ask).select("sig", F.col("class").alias("one"), F.col("label").alias("of_one"), F.col("turn").alias("at"))
-        pairs = (rows.join(asking, "sig").where("label != of_one and (less or turn > at)")
-                 .select(F.least("class", "one").alias("a"), F.greatest("class", "one").alias("b")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"))
-        pairs = written(spark, pairs, "ngram-pairs")
-        left = rows.where(~F.col("less") & (F.col("turn") > last) & ((F.col("held") > SMALL) | F.lit(first == 0))).isEmpty()
-        if not pairs.isEmpty():
-            done = done.unionByName(written(spark, verified(pairs, texts, n, percent), "ngram-verified"))
-            names = components(done.where("linked").select("a", "b"))
-        if left:
-            return done.where("linked").select("a", "b"), names
+        some = rows.where(F.col("held") <= SMALL) if last else rows
+        asking = some.where(~F.col("less") & (F.lit(last) | (F.col("turn") == 1))).select("sig", F.col("class").alias("one"), F.col("label").alias("of_one"), F.col("turn").alias("at"))
+        pairs = some.join(asking, "sig").where("label != of_one and (less or turn > at)").select(F.least("class", "one").alias("a"), F.greatest("class", "one").alias("b")).distinct()
+        if last:
+            large = rows.where(F.col("held") > SMALL).select("sig", "class", "less", "label")
+            pairs = pairs.union(sketched_pairs(large, held.select("class", "size", "sketch"), percent)).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
+        done = done.unionByName(written(spark, verified(written(spark, pairs, "ngram-pairs"), texts, n, percent), "ngram-verified"))
+        names = components(done.where("linked").select("a", "b"))
         rows = rows.select("sig", "class", "less")
-        first, last = last, last * 2 + 1
+    return done.where("linked").select("a", "b"), names
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, dear: int = DEAR) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import chat_tree, html_extract, language_id, nearest, ngram_join, packing, token_counts, toxicity
 from foliospark.llm.bpe_codec import encode_decode
-from foliospark.llm.catalog import query
 from foliospark.llm.common import fold, table
 from foliospark.llm.quality_rules import quality_rules
+from foliospark.llm.registry import query
 
 GPT = packing.Tokens(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),))
 
