@@ -4,7 +4,7 @@ Pieces are dealt by hash into blocks of bounded size. Each block is evolved on s
 division of the block into bins; crossover injects whole well-filled bins of one parent into the other, removes the
 bins that hold duplicates, and puts the displaced pieces back by best fit, longest first. Islands send their elite to
 their neighbour between epochs. Bins that are filled are closed; the pieces of the others go to the next level, where
-fewer blocks mix them anew, until one block is left or mixing no longer helps.
+fewer blocks mix them anew, until one block is left.
 """
 
 from __future__ import annotations
@@ -252,7 +252,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Data
     """``key, sequence_id, offset`` for ``items(key, length)`` with distinct keys from 0 and lengths from 1 to ``capacity``.
 
     Full pieces are sequences of their own. Levels go through written tables, so a lost executor repeats one level at
-    most. A level whose open pieces are not below half of its pieces is the last: mixing them once more would not help.
+    most. Each level but the last closes at least half of its pieces, so there are few levels.
     """
     spark = items.sparkSession
     whole = items.where(F.col("length") == capacity).select("key", (-1 - F.col("key")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -261,14 +261,17 @@ def pack(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Data
     while count:
         blocks = -(-count // block)
         placed = written(spark, pack_blocks(left, blocks, level, capacity), "packing-level")
-        still = placed.where(F.col("used") < capacity - SLACK).count()
-        last = blocks == 1 or still * 2 > count
-        closed = placed if last else placed.where(F.col("used") >= capacity - SLACK)
+        last, least = blocks == 1, capacity - SLACK
+        still = placed.where(F.col("used") < least).count()
+        if not last and still * 2 > count:  # few bins are filled: the fuller half is closed instead
+            least = placed.agg(F.percentile_approx("used", 0.5)).first()[0]
+            still = placed.where(F.col("used") < least).count()
+        closed = placed if last else placed.where(F.col("used") >= least)
         number = F.shiftleft(F.lit(level).cast("long"), 50) + F.shiftleft("block", 16) + F.col("bin")
         parts.append(closed.select("key", number.alias("sequence_id"), "offset"))
         if last:
             break
-        left, count, level = placed.where(F.col("used") < capacity - SLACK).select("key", "length"), still, level + 1
+        left, count, level = placed.where(F.col("used") < least).select("key", "length"), still, level + 1
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
