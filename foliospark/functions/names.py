@@ -72,17 +72,13 @@ def clean_extension(ext: Column) -> Column:
 
 def download_name(source: Column, operation: str | None = None, extension: str | None = None,
                   fallback: str = "file") -> Column:
-    """Name a user sees: storage prefix removed, stem cleaned, operation and extension added."""
-    stem = clean_stem(strip_prefix(path_stem(source)), fallback)
+    """Name a user sees: storage prefix removed, stem composed (NFC) and cleaned, operation and extension added."""
+    stem = clean_stem(unicode_normalize(strip_prefix(path_stem(source)), "NFC"), fallback)
     ext = clean_extension(F.lit(extension) if extension is not None else path_suffix(source))
     tail = F.lit(f"_{operation}" if operation else "")
     return F.concat(stem, tail, ext)
 
 
-def clean_download_name(name: Column, fallback: str = "file") -> Column:
-    return download_name(name, fallback=fallback)
-
-
 def multi_name(first: Column, second: Column, n: Column, operation: str, extension: str = ".pdf") -> Column:
     """Name for a result made of several inputs, from the first two sources and their number."""
     def part(src: Column) -> Column:

@@ -20,7 +20,11 @@ INTERNAL_SUFFIX = r"\.(internal|local|localhost|localdomain)$"
 PRIVATE_NETWORKS = ["0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/29", "192.0.0.170/31",
                     "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4"]
 MULTICAST_NETWORKS = ["224.0.0.0/4"]
-PRIVATE_V6, MULTICAST_V6 = r"^(f[cd]|fe[89ab]|2001:0?db8:|::$|::ffff:(0:)?(10|127)\.)", r"^ff"
+# Special IPv6 ranges, as patterns over the 32 hexadecimal digits of an address.
+PRIVATE_V6 = r"^0{31}[01]$|^0064ff9b0001|^0100(0{12})|^20010[01]|^20010db8|^2002|^3fff0|^f[cd]|^fe[89ab]"
+PUBLIC_V6 = r"^2001000[1](0{23})[12]$|^20010003|^200100040112|^2001002|^2001003"
+RESERVED_V6 = r"^00|^01|^0[2-9a-f]|^1|^[4-9a-e]|^f[0-9ab]|^fe[0-7]"
+MULTICAST_V6 = r"^ff"
 BLOCKED_PORTS = [22, 23, 25, 445, 3306, 5432, 6379, 27017, 9200, 11211]
 
 V4 = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$"
@@ -90,15 +94,48 @@ def path_inside(path: Column, base: str) -> Column:
     return let(normal_path(absolute), lambda p: (p == base) | p.startswith(base + "/"))
 
 
+def v6_digits(host: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 literal in any form (``::``, dotted end, zone), else null."""
+    def finish(v: Column) -> Column:
+        def groups(part: Column) -> Column:
+            return F.filter(F.split(part, ":"), lambda g: g != "")
+
+        def full(g: Column) -> Column:
+            missing = 8 - F.size(g["left"]) - F.size(g["right"])
+            zeros = F.repeat(F.lit("0000"), F.greatest(missing, F.lit(0)))
+            digits = F.concat(F.array_join(F.transform(g["left"], lambda x: F.lpad(x, 4, "0")), ""), zeros, F.array_join(F.transform(g["right"], lambda x: F.lpad(x, 4, "0")), ""))
+            valid = v["text"].rlike("^[0-9a-f:]+$") & ~v["text"].rlike("[0-9a-f]{5}|:::|::.*::|^:[^:]|[^:]:$") & F.when(v["text"].contains("::"), missing >= 1).otherwise(missing == 0)
+            return F.when(valid, digits)
+
+        return let_all(full, left=groups(F.split_part(v["text"], F.lit("::"), F.lit(1))), right=groups(F.substring_index(F.concat(v["text"], F.when(v["text"].contains("::"), "").otherwise("::")), "::", -1)))
+
+    dotted = r"^(.*:)(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
+    low = F.lower(F.regexp_replace(host, "%.*$", ""))
+
+    def plain(t: Column) -> Column:
+        pair = [F.lpad(F.lower(F.hex(F.regexp_extract(t, dotted, n).try_cast("int"))), 2, "0") for n in (2, 3, 4, 5)]
+        return F.when(t.rlike(dotted), F.concat(F.regexp_extract(t, dotted, 1), pair[0], pair[1], F.lit(":"), pair[2], pair[3])).otherwise(t)
+
+    return let(low, lambda t: let_all(finish, text=plain(t)))
+
+
+def mapped_v4(digits: Column) -> Column:
+    """Dotted form of an IPv4-mapped IPv6 address, else null."""
+    parts = [F.conv(F.substring(digits, n, 2), 16, 10) for n in (25, 27, 29, 31)]
+    return F.when(digits.rlike("^0{20}ffff"), F.concat_ws(".", *parts))
+
+
 def url_screen(url: Column) -> Column:
     """Message of the first rule a URL breaks, or null when it may be fetched."""
     decoded = F.coalesce(F.try_url_decode(F.replace(url, F.lit("+"), F.lit("%2B"))), url)
 
     def rules(v: Column) -> Column:
         host, low = v["host"], F.lower(v["host"])
-        is_v6 = host.contains(":")
-        private = in_networks(low, PRIVATE_NETWORKS) | (is_v6 & low.rlike(PRIVATE_V6))
-        multicast = in_networks(low, MULTICAST_NETWORKS) | (is_v6 & low.rlike(MULTICAST_V6))
+        v6 = F.when(v["v4"].isNull(), v["v6"])
+        four = F.coalesce(v["v4"], low)
+        private = in_networks(four, PRIVATE_NETWORKS) | F.coalesce(v6.rlike(PRIVATE_V6) & ~v6.rlike(PUBLIC_V6), F.lit(False))
+        reserved = F.coalesce(v6.rlike(RESERVED_V6), F.lit(False))
+        multicast = in_networks(four, MULTICAST_NETWORKS) | F.coalesce(v6.rlike(MULTICAST_V6), F.lit(False))
         return F.coalesce(
             F.when(~F.lower(v["scheme"]).isin("http", "https"),
                    F.concat(F.lit("Protocol '"), F.lower(v["scheme"]), F.lit("' is not allowed. Only HTTP and HTTPS are permitted."))),
@@ -106,13 +143,18 @@ def url_screen(url: Column) -> Column:
             F.when(low.isin(DENIED_HOSTS), F.concat(F.lit("Access to '"), low, F.lit("' is not allowed"))),
             F.when(low.rlike(INTERNAL_SUFFIX), F.concat(F.lit("Access to internal domain '"), low, F.lit("' is not allowed"))),
             F.when(private, F.concat(F.lit("URL resolves to private IP address ("), low, F.lit(")"))),
+            F.when(reserved, F.concat(F.lit("URL resolves to reserved IP address ("), low, F.lit(")"))),
             F.when(multicast, F.concat(F.lit("URL resolves to multicast address ("), low, F.lit(")"))),
             F.when(v["user"].rlike("[^:]"), "URLs with embedded credentials are not allowed"),
             F.when(v["port"].try_cast("int").isin(BLOCKED_PORTS),
                    F.concat(F.lit("Access to port "), v["port"].try_cast("int").cast("string"), F.lit(" is not allowed"))))
 
+    def addressed(v: Column) -> Column:
+        six = F.when(v["host"].contains(":"), v6_digits(v["host"]))
+        return let(six, lambda x: let_all(rules, scheme=v["scheme"], user=v["user"], host=v["host"], port=v["port"], v6=x, v4=mapped_v4(x)))
+
     def parts(n: Column) -> Column:
-        return let_all(rules, scheme=F.regexp_extract(n["url"], r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1),
+        return let_all(addressed, scheme=F.regexp_extract(n["url"], r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1),
                        user=F.regexp_extract(n["net"], r"^(.*)@", 1),
                        host=F.concat(F.regexp_extract(n["net"], r"^(?:.*@)?\[([^\]]*)\]", 1), F.regexp_extract(n["net"], r"^(?:.*@)?([^:\[@]*)(?::[^@]*)?$", 1)),
                        port=F.regexp_extract(n["net"], r":([0-9]+)$", 1))

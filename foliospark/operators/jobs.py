@@ -168,13 +168,6 @@ def merged_metadata(log: DataFrame, keys: list[str]) -> DataFrame:
     return entries.groupBy("task_id", "key").agg(F.max_by("value", F.struct("ts", "seq")).alias("value"))
 
 
-def merge_maps(old: Column, new: Column) -> Column:
-    """Entries of ``new`` over those of ``old``, without relying on a session setting."""
-    kept = F.map_filter(F.coalesce(old, F.create_map().cast("map<string,string>")),
-                        lambda k, v: ~F.coalesce(F.map_contains_key(new, k), F.lit(False)))
-    return F.map_concat(kept, F.coalesce(new, F.create_map().cast("map<string,string>")))
-
-
 def subscription_status(provider: Column, current: Column) -> Column:
     """Status named by the payment provider to the stored one; unknown names change nothing."""
     return (F.when(provider == "active", "active").when(provider == "past_due", "past_due")

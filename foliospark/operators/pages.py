@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.sources.scratch import written
+
 
 def page_counts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
@@ -78,21 +80,25 @@ def kept_links(links: DataFrame, page_map: DataFrame) -> DataFrame:
     return links.join(source, ["doc_id", "src_page"]).join(target, ["doc_id", "dest_page"], "left")
 
 
-def bookmark_remap(bookmarks: DataFrame, page_map: DataFrame, depth: int) -> DataFrame:
-    """Bookmarks kept with their page, or with any child's; then the first child's page is used.
+def bookmark_remap(bookmarks: DataFrame, page_map: DataFrame) -> DataFrame:
+    """Bookmarks kept with their page, or with any child's; then the first kept child's page is used.
 
-    Works bottom-up, one equi join per level of the tree: ``depth`` is the deepest level.
+    Needs doc_id, id, parent_id, ord, dest_page and level (0 for a root). The tree is read once, into a table parted by
+    level, and climbed from its deepest level; there is no limit on the depth.
     """
+    spark = bookmarks.sparkSession
     target = page_map.select("doc_id", F.col("page_no").alias("dest_page"), F.col("out_page").alias("dest"))
-    b = bookmarks.join(target, ["doc_id", "dest_page"], "left")
-    level = b.filter(F.col("level") == depth)
-    kept = [level.filter(F.col("dest").isNotNull())]
-    for lv in range(depth - 1, -1, -1):
-        kids = (kept[-1].groupBy("doc_id", F.col("parent_id").alias("id"))
-                .agg(F.min_by("dest", F.struct("ord", "id")).alias("kid_dest")))
-        here = b.filter(F.col("level") == lv).join(kids, ["doc_id", "id"], "left")
-        here = here.withColumn("dest", F.coalesce("dest", "kid_dest")).drop("kid_dest").select(b.columns)
-        kept.append(here.filter(F.col("dest").isNotNull()))
+    tree = written(spark, bookmarks.join(target, ["doc_id", "dest_page"], "left"), "bookmarks", partition_by="level")
+    deepest = tree.agg(F.max("level")).first()[0]
+    if deepest is None:
+        return tree
+    kept: list[DataFrame] = []
+    for level in range(deepest, -1, -1):
+        here = tree.where(F.col("level") == level)
+        if kept:
+            kids = kept[-1].groupBy("doc_id", F.col("parent_id").alias("id")).agg(F.min_by("dest", F.struct("ord", "id")).alias("kid_dest"))
+            here = here.join(kids, ["doc_id", "id"], "left").withColumn("dest", F.coalesce("dest", "kid_dest")).select(tree.columns)
+        kept.append(written(spark, here.where(F.col("dest").isNotNull()), "bookmarks-kept"))
     return reduce(DataFrame.unionByName, kept)
 
 

@@ -119,11 +119,25 @@ def purge_client(audit: DataFrame, tasks: DataFrame, inputs: DataFrame, outputs:
                    "audit_logs_deleted": audit.filter(F.col("client_ip") == client_hash)})
 
 
-def sweep(tasks: DataFrame, outputs: DataFrame, inputs: DataFrame, now: Column) -> dict[str, DataFrame]:
-    """What remains after one run of all sweeps; run it from a schedule, or per trigger of a stream."""
-    expired = expired_task_ids(outputs, now)
-    kept = tasks.join(expired, "task_id", "left_anti")
-    kept = kept.join(completed_before(kept, now).select("task_id"), "task_id", "left_anti")
-    kept = kept.join(orphan_tasks(kept, outputs, now).select("task_id"), "task_id", "left_anti")
-    return {"outputs": survivors(outputs, is_expired(F.col("expires_at"), now)), "tasks": kept,
-            "inputs": survivors(inputs, F.col("created_at") < now - interval("HOUR", UPLOAD_HOURS))}
+def sweep(tables: dict[str, DataFrame], now: Column) -> dict[str, DataFrame]:
+    """What remains of each table after one run of all seven sweeps; run it from a schedule, or per trigger of a stream.
+
+    ``tables`` holds tasks, inputs, outputs (rows), uploads and results (files on disk: task_id, modified, and for results
+    is_link), usage and audit. Three sweeps remove whole tasks: those with an expired output, those completed for longer
+    than their lifetime, and old ones without any output; the rows and files of a removed task go with it. Then go
+    uploads and results that outlived their time (links are left alone), old usage statistics and old audit rows. Each table is read once.
+    """
+    tasks, outputs = tables["tasks"], tables["outputs"]
+    made = outputs.groupBy("task_id").agg(F.bool_or(is_expired(F.col("expires_at"), now)).alias("expired"))
+    known = tasks.select("task_id", "status", "completed_at", "created_at").join(made, "task_id", "full_outer")
+    lifetime = interval("MINUTE", FILE_EXPIRY_MINUTES + 5)
+    done = (F.col("status") == "completed") & (F.col("completed_at") < now - lifetime)
+    orphan = F.col("expired").isNull() & (F.col("created_at") < now - interval("HOUR", ORPHAN_HOURS))
+    gone = known.where(F.coalesce(F.col("expired"), F.lit(False)) | F.coalesce(done, F.lit(False)) | F.coalesce(orphan, F.lit(False))).select("task_id")
+    kept = {name: tables[name].join(gone, "task_id", "left_anti") for name in ("tasks", "inputs", "outputs", "uploads", "results")}
+    stale = (F.col("modified") < now - interval("MINUTE", processed_age_minutes())) & ~F.col("is_link")
+    kept["uploads"] = survivors(kept["uploads"], F.col("modified") < now - interval("HOUR", UPLOAD_HOURS))
+    kept["results"] = survivors(kept["results"], stale)
+    kept["usage"] = survivors(tables["usage"], F.col("created_at") < now - interval("DAY", USAGE_DAYS))
+    kept["audit"] = survivors(tables["audit"], F.col("created_at") < now - interval("DAY", AUDIT_DAYS))
+    return kept

@@ -57,14 +57,14 @@ def _(spark, d):
     return compare.line_diff(*_versions(spark, d))
 
 
-@query("report_sink", _V.rstrip() + ", " + _LINES + f""", ld AS ({_LD}), h AS (SELECT doc_id, sum(ia) AS na, sum(ib) AS nb FROM pairs GROUP BY doc_id) SELECT line, count(*) AS n FROM (
- SELECT unnest(['PDF Comparison Report', repeat('=', 50), 'Pages in File 1: ' || na, 'Pages in File 2: ' || nb, repeat('=', 50)]) AS line FROM h UNION ALL SELECT '--- Page ' || page_no || ' ---' FROM pairs
- UNION ALL SELECT 'No text differences found.' FROM pairs WHERE a = b UNION ALL SELECT CASE change WHEN 'added' THEN '+' ELSE '-' END || line FROM ld) GROUP BY line""")
+@query("report_sink", _V.rstrip() + ", " + _LINES + f""", ld AS ({_LD}), h AS (SELECT doc_id, sum(ia) AS na, sum(ib) AS nb FROM pairs GROUP BY doc_id) SELECT doc_id, line, count(*) AS n FROM (
+ SELECT doc_id, unnest(['PDF Comparison Report', repeat('=', 50), 'Pages in File 1: ' || na, 'Pages in File 2: ' || nb, repeat('=', 50)]) AS line FROM h UNION ALL SELECT doc_id, '--- Page ' || page_no || ' ---' FROM pairs
+ UNION ALL SELECT doc_id, 'No text differences found.' FROM pairs WHERE a = b UNION ALL SELECT doc_id, CASE change WHEN 'added' THEN '+' ELSE '-' END || line FROM ld) GROUP BY doc_id, line""")
 def _(spark, d):
     from foliospark.sources.sinks import write_reports
     before, after = _versions(spark, d)
     path = write_reports(spark, compare.report_lines(compare.page_pairs(before, after), before, after))
-    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(path).groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("find_text", """SELECT doc_id, 1::BIGINT AS page_no, unnest(range(n)) AS match_no FROM (SELECT doc_id, len(regexp_extract_all(text, '(?i)tion')) AS n FROM documents)""")

@@ -75,7 +75,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "o_orderkey AS file_no",
         "o_custkey AS job",
         "md5(CAST(o_orderkey AS STRING)) || '_' || CAST(1700000000 + o_orderkey AS STRING) || '_' || CAST(o_orderkey % 20 AS STRING) || '_' || "
-        "CASE o_orderstatus WHEN 'O' THEN 'Report  ' WHEN 'P' THEN '__draft;' ELSE 'caf' || chr(233) || '..' END || o_orderpriority || '_.pdf' AS stored_name",
+        "CASE o_orderstatus WHEN 'O' THEN 'Report  ' WHEN 'P' THEN '__draft;' ELSE 'caf' || CASE WHEN o_orderkey % 2 = 0 THEN chr(233) ELSE 'e\u0301' END || '..' END || o_orderpriority || '_.pdf' AS stored_name",
         "CASE o_orderstatus WHEN 'O' THEN 'report' WHEN 'P' THEN 'report_2' ELSE 'scan' END || '.pdf' AS arcname",
     ]),
     "money_text": ("lineitem", [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as geo
@@ -9,6 +10,7 @@ from foliospark.operators import folds, layout, tables
 from foliospark.plans.fixtures import ctes, table, view
 from foliospark.plans.registry import query
 from foliospark.sources.scratch import written
+from foliospark.sources.sinks import write_tables
 
 W = ctes("words")
 T2 = ctes("two_col_words")
@@ -372,17 +374,33 @@ def _(spark, d):
     return folds.visual_lines(_boxes(spark, d)).select("doc_id", "page_no", "box_no", "group", "joint")
 
 
-@query("flow_paragraphs")
+_RECURSIVE = W.replace("WITH", "WITH RECURSIVE", 1).rstrip()
+
+
+@query("flow_paragraphs", _RECURSIVE + """, b AS (SELECT doc_id, page_no, line_no * 100 + word_no AS box_no, x0 AS x, y0 + (word_no % 4) * 2 AS y, text FROM words), ys AS (SELECT DISTINCT doc_id, page_no, y FROM b),
+ nx AS (SELECT a.doc_id, a.page_no, a.y, min(c.y) AS ny FROM ys a JOIN ys c ON c.doc_id = a.doc_id AND c.page_no = a.page_no AND c.y > a.y + 15 GROUP BY ALL),
+ an AS (SELECT doc_id, page_no, min(y) AS y FROM ys GROUP BY ALL UNION ALL SELECT n.doc_id, n.page_no, n.ny FROM an JOIN nx n ON n.doc_id = an.doc_id AND n.page_no = an.page_no AND n.y = an.y),
+ g AS (SELECT b.doc_id, b.page_no, b.box_no, any_value(b.x) AS x, any_value(b.y) AS y, any_value(b.text) AS text, count(*) - 1 AS "group" FROM b JOIN an ON an.doc_id = b.doc_id AND an.page_no = b.page_no AND an.y <= b.y GROUP BY b.doc_id, b.page_no, b.box_no)
+ SELECT doc_id, page_no, "group", string_agg(text, ' ' ORDER BY y, x, box_no) AS text FROM g GROUP BY doc_id, page_no, "group" """)
 def _(spark, d):
     return folds.flow_paragraphs(_boxes(spark, d))
 
 
 @query("same_row_merge")
 def _(spark, d):
-    return folds.same_row_merge(layout.lines_of(_two_columns(spark, d)).withColumn("size_pt", F.lit(11.0))).select("doc_id", "page_no", "line_no", "row_no")
+    return folds.same_row_merge(layout.lines_of(_two_columns(spark, d)).withColumn("size_pt", F.lit(11.0))).select("doc_id", "page_no", "line_no", "row_no", "row_text")
 
 
-@query("box_merge")
+@query("box_merge", _RECURSIVE + """, ln AS (SELECT doc_id, page_no, line_no AS seg_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, 11.0::DOUBLE AS size FROM words GROUP BY doc_id, page_no, line_no),
+ o AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page_no, round(y0, 1), round(y1, 1)) = 1 AS alone, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY round(y0, 1), round(y1, 1), x0, seg_no) AS k FROM ln),
+ r AS (SELECT doc_id, page_no, seg_no, x0, x1, y0, size, k, 0::BIGINT AS box_no, CASE WHEN alone THEN 1 ELSE 0 END AS held, x0 AS fx0, x1 AS fx1, 0.0::DOUBLE AS stride, 'l' AS edge FROM o WHERE k = 1
+ UNION ALL SELECT doc_id, page_no, seg_no, x0, x1, y0, size, k, CASE WHEN ok THEN box ELSE box + 1 END, CASE WHEN ok THEN held + 1 WHEN alone THEN 1 ELSE 0 END, CASE WHEN ok THEN fx0 ELSE x0 END, CASE WHEN ok THEN fx1 ELSE x1 END,
+ CASE WHEN ok THEN y0 - py ELSE 0 END, CASE WHEN ok AND held = 1 THEN CASE WHEN l THEN 'l' WHEN c THEN 'c' ELSE 'r' END WHEN ok THEN edge ELSE 'l' END FROM
+ (SELECT *, alone AND held > 0 AND abs(size - ps) <= 0.1 * ps AND y0 - py > 0.8 * ps AND y0 - py < 2.2 * ps AND CASE WHEN held >= 2 THEN abs(y0 - py - stride) <= 0.12 * stride + 0.3 AND CASE edge WHEN 'l' THEN l WHEN 'c' THEN c ELSE r END ELSE l OR c OR r END AS ok
+ FROM (SELECT o.*, r.box_no AS box, r.held, r.fx0, r.fx1, r.stride, r.edge, r.y0 AS py, r.size AS ps, abs(o.x0 - r.fx0) <= 1.5 AS l, abs((o.x0 + o.x1 - r.fx0 - r.fx1) / 2) <= 1.5 AS c, abs(o.x1 - r.fx1) <= 1.5 AS r
+ FROM r JOIN o ON o.doc_id = r.doc_id AND o.page_no = r.page_no AND o.k = r.k + 1))),
+ m AS (SELECT *, y0 - lag(y0) OVER (PARTITION BY doc_id, page_no, box_no ORDER BY k) AS below, last_value(edge) OVER (PARTITION BY doc_id, page_no, box_no ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS align FROM r)
+ SELECT doc_id, page_no, seg_no, box_no, align, median(below) OVER (PARTITION BY doc_id, page_no, box_no) AS pitch FROM m""")
 def _(spark, d):
     s = _lines(spark, d).select("doc_id", "page_no", F.col("line_no").alias("seg_no"), "x0", "y0", "x1", "y1", F.lit(11.0).alias("size"))
     return folds.box_merge(s).select("doc_id", "page_no", "seg_no", "box_no", "align", "pitch")
@@ -394,51 +412,65 @@ def _(spark, d):
     return folds.picture_merge(p, 12.0)
 
 
-@query("list_groups")
+_LINE_TEXT = ctes("line_text").replace("WITH", "WITH RECURSIVE", 1).rstrip()
+
+
+@query("list_groups", _LINE_TEXT + """, o AS (SELECT doc_id, line_no // 8 AS run, line_no AS pos, length(text) % 3 * 360 AS lft, CASE WHEN length(text) % 5 = 0 THEN 'bullet' ELSE 'number' END AS kind FROM line_text),
+ r AS (SELECT *, 0 AS list_no, CASE WHEN lft = 0 THEN kind END AS a, CASE WHEN lft = 360 THEN kind END AS b, CASE WHEN lft = 720 THEN kind END AS c FROM o WHERE pos % 8 = 0
+ UNION ALL SELECT doc_id, run, pos, lft, kind, list_no + brk, CASE WHEN lft = 0 THEN kind WHEN brk = 0 THEN a END, CASE WHEN lft = 360 THEN kind WHEN brk = 0 THEN b END, CASE WHEN lft = 720 THEN kind WHEN brk = 0 THEN c END
+ FROM (SELECT o.*, r.list_no, r.a, r.b, r.c, CASE WHEN coalesce(CASE o.lft WHEN 0 THEN r.a WHEN 360 THEN r.b ELSE r.c END, o.kind) <> o.kind THEN 1 ELSE 0 END AS brk FROM r JOIN o ON o.doc_id = r.doc_id AND o.run = r.run AND o.pos = r.pos + 1))
+ SELECT doc_id, run, pos, lft AS "left", kind, list_no, dense_rank() OVER (PARTITION BY doc_id, run, list_no ORDER BY lft) - 1 AS level, NOT (count(*) OVER (PARTITION BY doc_id, run, list_no) = 1 AND kind = 'number') AS is_list FROM r""")
 def _(spark, d):
     i = view(spark, d, "line_text").select("doc_id", F.floor(F.col("line_no") / 8).alias("run"), F.col("line_no").alias("pos"), (F.length("text") % 3 * 360).alias("left"),
                                            F.when(F.length("text") % 5 == 0, "bullet").otherwise("number").alias("kind"))
     return folds.list_groups(i)
 
 
-@query("split_runs")
+@query("split_runs", _LINE_TEXT + """, o AS (SELECT doc_id, line_no // 40 AS page_no, line_no AS pos, text, length(text) % 2 = 0 AS just, length(text) % 3 * 30 AS lft, length(text) % 100 AS bef, length(text) % 11 = 0 AS blocked FROM line_text),
+ r AS (SELECT *, pos AS head_pos, just AS hj, lft AS hl, blocked OR trim(text) = '' AS hb FROM o WHERE pos % 40 = 0 UNION ALL
+ SELECT doc_id, page_no, pos, text, just, lft, bef, blocked, CASE WHEN ok THEN head_pos ELSE pos END, CASE WHEN ok THEN hj ELSE just END, CASE WHEN ok THEN hl ELSE lft END, CASE WHEN ok THEN hb ELSE blocked OR trim(text) = '' END
+ FROM (SELECT o.*, r.head_pos, r.hj, r.hl, r.hb, r.hj AND NOT o.just AND NOT r.hb AND NOT o.blocked AND trim(o.text) <> '' AND abs(r.hl - o.lft) <= 40 AND o.bef <= 77 AS ok FROM r JOIN o ON o.doc_id = r.doc_id AND o.page_no = r.page_no AND o.pos = r.pos + 1))
+ SELECT doc_id, page_no, pos, head_pos, text, CASE WHEN pos = head_pos THEN string_agg(text, '') OVER (PARTITION BY doc_id, page_no, head_pos ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS joined FROM r""")
 def _(spark, d):
     n = F.length("text")
     look = {"jc": F.when(n % 2 == 0, "both").otherwise("left"), "left": n % 3 * 30, "first_line": F.lit(0), "hanging": F.lit(0), "font_first": F.lit("Arial"), "font_last": F.lit("Arial"),
             "size_first": F.lit(22), "size_last": F.lit(22), "before": n % 100, "blocked": n % 11 == 0}
-    p = view(spark, d, "line_text").select("doc_id", F.lit(1).cast("long").alias("page_no"), F.col("line_no").cast("long").alias("pos"), "text").withColumns(look)
+    p = view(spark, d, "line_text").select("doc_id", F.floor(F.col("line_no") / 40).alias("page_no"), F.col("line_no").cast("long").alias("pos"), "text").withColumns(look)
     return folds.split_runs(p)
 
 
 def _cells(spark, d):
-    """Each order is a page holding one table: line numbers are rows, three columns of 100 by 20."""
-    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("p"), F.max("l_returnflag").alias("f"))
-    cell = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), t.alias("text")) for c, t in enumerate((F.col("f"), F.format_number("p", 2), F.col("l_linenumber").cast("string")))])).alias("v")
-    c = li.select(F.floor(F.col("l_orderkey") / 4).alias("doc_id"), (F.col("l_orderkey") % 4 + 1).alias("page_no"), F.lit(0).cast("long").alias("table_no"), "l_linenumber", cell)
-    return c.select("doc_id", "page_no", "table_no", (50.0 + 100 * F.col("v.c")).alias("x0"), (20.0 * F.col("l_linenumber") + F.col("v.c") * 0.5).alias("y0"),
-                    (150.0 + 100 * F.col("v.c")).alias("x1"), (20.0 * F.col("l_linenumber") + 20).alias("y1"), F.col("v.text").alias("text"))
+    """Each order is a page holding one table: its rows in order of line number, three columns of 100 by 20; in every third table the last column is text."""
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+    li = table(spark, d, "lineitem").withColumn("rn", F.row_number().over(place))
+    last = F.concat(F.when(F.col("l_orderkey") % 3 == 0, "n").otherwise(""), F.col("l_linenumber").cast("string"))
+    cell = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), t.alias("text")) for c, t in enumerate((F.col("l_returnflag"), F.format_number("l_extendedprice", 2), last))])).alias("v")
+    c = li.select(F.floor(F.col("l_orderkey") / 4).alias("doc_id"), (F.col("l_orderkey") % 4 + 1).alias("page_no"), F.lit(0).cast("long").alias("table_no"), "rn", cell)
+    return c.select("doc_id", "page_no", "table_no", (50.0 + 100 * F.col("v.c")).alias("x0"), (20.0 * F.col("rn") + F.col("v.c") * 0.5).alias("y0"),
+                    (150.0 + 100 * F.col("v.c")).alias("x1"), (20.0 * F.col("rn") + 20).alias("y1"), F.col("v.text").alias("text"))
 
 
-_CELLS = ctes(more="""li AS (SELECT l_orderkey, l_linenumber, max(l_extendedprice) AS p, max(l_returnflag) AS f FROM lineitem GROUP BY ALL), nx AS (SELECT l_orderkey, max(l_linenumber) AS top FROM li GROUP BY ALL),
- k AS (SELECT a.l_orderkey // 4 AS doc_id, a.l_orderkey % 4 + 1 AS page_no, a.l_linenumber AS ln, p, f, (SELECT count(DISTINCT e) FROM (SELECT b.l_linenumber AS e FROM li b WHERE b.l_orderkey = a.l_orderkey UNION ALL SELECT b.l_linenumber + 1 FROM li b WHERE b.l_orderkey = a.l_orderkey) q WHERE q.e < a.l_linenumber) AS r FROM li a)""")
+_CELLS = ctes(more="""k AS (SELECT l_orderkey // 4 AS doc_id, l_orderkey % 4 + 1 AS page_no, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag) - 1 AS r, l_returnflag AS f, l_extendedprice AS p,
+ l_orderkey % 3 = 0 AS hd, l_linenumber AS ln, CASE WHEN l_orderkey % 3 = 0 THEN 'n' ELSE '' END || l_linenumber AS t FROM lineitem)""")
 
 
-@query("grid_lines", _CELLS + "SELECT doc_id, page_no, CAST(r AS INT) AS row_no, CAST(c AS INT) AS col_no, CASE c WHEN 0 THEN f WHEN 1 THEN format('{:,.2f}', p) ELSE CAST(ln AS VARCHAR) END AS text, false AS merged FROM k, (SELECT unnest([0, 1, 2]) AS c)")
+@query("grid_lines", _CELLS + "SELECT doc_id, page_no, CAST(r AS INT) AS row_no, CAST(c AS INT) AS col_no, CASE c WHEN 0 THEN f WHEN 1 THEN format('{:,.2f}', p) ELSE t END AS text, false AS merged FROM k, (SELECT unnest([0, 1, 2]) AS c)")
 def _(spark, d):
     return tables.table_cells(_cells(spark, d)).select("doc_id", "page_no", "row_no", "col_no", "text", "merged")
 
 
-@query("header_row", _CELLS + "SELECT doc_id, page_no, false AS has_header FROM k WHERE r = 0")
+@query("header_row", _CELLS + "SELECT doc_id, page_no, hd AS has_header FROM k WHERE r = 0")
 def _(spark, d):
     return tables.header_rows(tables.table_cells(_cells(spark, d))).select("doc_id", "page_no", "has_header")
 
 
-@query("table_rows", _CELLS + "SELECT doc_id, page_no, CAST(r AS INT) AS row_no, CAST(c AS INT) AS col_no, CASE c WHEN 0 THEN 'text' WHEN 1 THEN 'float' ELSE 'int' END AS kind, CASE c WHEN 2 THEN CAST(ln AS BIGINT) END AS long_value, CASE c WHEN 1 THEN CAST(format('{:.2f}', p) AS DOUBLE) END AS double_value FROM k, (SELECT unnest([0, 1, 2]) AS c)")
+@query("table_rows", _CELLS + """SELECT doc_id, page_no, CAST(r AS INT) AS row_no, CAST(c AS INT) AS col_no, CASE WHEN c = 0 OR hd AND (r = 0 OR c = 2) THEN 'text' WHEN c = 1 THEN 'float' ELSE 'int' END AS kind, CASE WHEN c = 2 AND NOT hd THEN CAST(ln AS BIGINT) END AS long_value,
+ CASE WHEN c = 1 AND NOT (hd AND r = 0) THEN CAST(format('{:.2f}', p) AS DOUBLE) END AS double_value FROM k, (SELECT unnest([0, 1, 2]) AS c)""")
 def _(spark, d):
     return tables.table_rows(tables.table_cells(_cells(spark, d))).select("doc_id", "page_no", "row_no", "col_no", "kind", "long_value", "double_value")
 
 
-@query("table_continuation", _CELLS.rstrip() + """, h AS (SELECT doc_id, page_no, (f, format('{:,.2f}', p), ln) AS head, page_no - row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS isle FROM k WHERE r = 0)
+@query("table_continuation", _CELLS.rstrip() + """, h AS (SELECT doc_id, page_no, (f, format('{:,.2f}', p), t) AS head, page_no - row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS isle FROM k WHERE r = 0)
  SELECT doc_id, page_no, 0::BIGINT AS table_no, min(page_no) OVER (PARTITION BY doc_id, isle) AS head_page, page_no > min(page_no) OVER (PARTITION BY doc_id, isle) AND head = first_value(head) OVER (PARTITION BY doc_id, isle ORDER BY page_no) AS drop_header FROM h""")
 def _(spark, d):
     c = tables.table_cells(_cells(spark, d))
@@ -455,7 +487,8 @@ def _(spark, d):
     return tables.ruled_cells(placed, a)
 
 
-@query("table_sink", _CELLS + "SELECT doc_id, page_no, CAST(r AS INT) AS row_no, CAST(c AS INT) AS col_no FROM k, (SELECT unnest([0, 1, 2]) AS c)")
+@query("table_sink", _CELLS + """SELECT doc_id, page_no, CAST(r AS INT) AS row_no, CAST(c AS INT) AS col_no, CASE c WHEN 0 THEN f WHEN 1 THEN format('{:,.2f}', p) ELSE t END AS text,
+ CASE WHEN c = 2 AND NOT hd THEN CAST(ln AS BIGINT) END AS long_value, CASE WHEN c = 1 AND NOT (hd AND r = 0) THEN CAST(format('{:.2f}', p) AS DOUBLE) END AS double_value FROM k, (SELECT unnest([0, 1, 2]) AS c)""")
 def _(spark, d):
     cells = tables.table_rows(tables.table_cells(_cells(spark, d))).select("doc_id", "page_no", "table_no", "row_no", "col_no", "kind", "text", "long_value", "double_value")
-    return written(spark, cells, "tables", "page_no").select("doc_id", F.col("page_no").cast("long").alias("page_no"), "row_no", "col_no")
+    return spark.read.parquet(write_tables(spark, cells)).select("doc_id", "page_no", "row_no", "col_no", "text", "long_value", "double_value")

@@ -145,17 +145,20 @@ def _(spark, d):
     return pages.kept_links(links, _page_map(spark, d)).select("doc_id", "src_out", "dest_page", "dest_out")
 
 
-# Bookmark tree of a file: page p hangs below page p // 2, so levels are 0..3 for up to 15 pages.
-@query("bookmark_remap", ctes("page_text", more=_MAP + """, b AS (SELECT p.doc_id, p.page_no AS id, p.page_no // 2 AS parent_id, m.out_page AS dest FROM page_text p LEFT JOIN pmap m USING (doc_id, page_no)),
- l3 AS (SELECT * FROM b WHERE id >= 8 AND dest IS NOT NULL), k2 AS (SELECT doc_id, parent_id AS id, arg_min(dest, id) AS kd FROM l3 GROUP BY ALL),
- l2 AS (SELECT * FROM (SELECT b.doc_id, b.id, b.parent_id, coalesce(b.dest, kd) AS dest FROM b LEFT JOIN k2 USING (doc_id, id) WHERE b.id BETWEEN 4 AND 7) WHERE dest IS NOT NULL), k1 AS (SELECT doc_id, parent_id AS id, arg_min(dest, id) AS kd FROM l2 GROUP BY ALL),
- l1 AS (SELECT * FROM (SELECT b.doc_id, b.id, b.parent_id, coalesce(b.dest, kd) AS dest FROM b LEFT JOIN k1 USING (doc_id, id) WHERE b.id BETWEEN 2 AND 3) WHERE dest IS NOT NULL), k0 AS (SELECT doc_id, parent_id AS id, arg_min(dest, id) AS kd FROM l1 GROUP BY ALL),
- l0 AS (SELECT * FROM (SELECT b.doc_id, b.id, b.parent_id, coalesce(b.dest, kd) AS dest FROM b LEFT JOIN k0 USING (doc_id, id) WHERE b.id = 1) WHERE dest IS NOT NULL)""") + "FROM l3 UNION ALL FROM l2 UNION ALL FROM l1 UNION ALL FROM l0")
+# Bookmarks of a document, one per line: in blocks of 32 an even place hangs below the even place before it and an odd one
+# below its neighbour, so a block is 17 levels deep and even places have an odd sibling before them. Every fifth page is kept.
+_TREE = """b AS (SELECT doc_id, CAST(line_no AS BIGINT) AS id, CAST(line_no % 32 AS BIGINT) AS p FROM line_text), t AS (SELECT doc_id, id, CASE WHEN p = 0 THEN -1 WHEN p % 2 = 1 THEN id - 1 ELSE id - 2 END AS parent_id,
+ CASE WHEN id % 5 = 0 THEN id // 5 END AS own FROM b), up AS (SELECT doc_id, id AS node, parent_id, own AS dest, CAST([] AS BIGINT[]) AS way FROM t WHERE own IS NOT NULL
+ UNION ALL SELECT u.doc_id, t.id, t.parent_id, u.dest, list_prepend(u.node, u.way) FROM up u JOIN t ON t.doc_id = u.doc_id AND t.id = u.parent_id)"""
+
+
+@query("bookmark_remap", ctes("line_text", more=_TREE).replace("WITH", "WITH RECURSIVE", 1) + "SELECT doc_id, node AS id, any_value(parent_id) AS parent_id, arg_min(dest, way) AS dest FROM up GROUP BY doc_id, node")
 def _(spark, d):
-    p = view(spark, d, "page_text")
-    b = p.select("doc_id", F.col("page_no").alias("id"), F.floor(F.col("page_no") / 2).alias("parent_id"), F.col("page_no").alias("ord"),
-                 F.col("page_no").alias("dest_page"), F.floor(F.log2(F.col("page_no"))).cast("int").alias("level"))
-    return pages.bookmark_remap(b, _page_map(spark, d), 3).select("doc_id", "id", "parent_id", "dest")
+    lines = view(spark, d, "line_text").select("doc_id", F.col("line_no").cast("long").alias("id"), (F.col("line_no") % 32).cast("long").alias("p"))
+    parent = F.when(F.col("p") == 0, -1).when(F.col("p") % 2 == 1, F.col("id") - 1).otherwise(F.col("id") - 2)
+    b = lines.select("doc_id", "id", parent.alias("parent_id"), F.col("id").alias("ord"), F.col("id").alias("dest_page"), F.floor((F.col("p") + 1) / 2).cast("int").alias("level"))
+    kept = lines.where("id % 5 = 0").select("doc_id", F.col("id").alias("page_no"), F.floor(F.col("id") / 5).alias("out_page"))
+    return pages.bookmark_remap(b, kept).select("doc_id", "id", "parent_id", "dest")
 
 
 @query("chunk_plan", ctes("words") + "SELECT doc_id, (page_no - 1) // 5 AS chunk, min(page_no) AS first_page, max(page_no) AS last_page, count(*) OVER (PARTITION BY doc_id) AS chunks, count(*) OVER (PARTITION BY doc_id) > 2 AS parallel FROM (SELECT DISTINCT doc_id, page_no FROM words) GROUP BY doc_id, (page_no - 1) // 5")

@@ -53,15 +53,18 @@ def _(spark, d):
     return view(spark, d, "audit").select("id", meta.audit_details(F.col("event_type"), fields).alias("details"))
 
 
-_URL = """CASE page_id % 12 WHEN 0 THEN 'ftp://' || h WHEN 1 THEN 'http://127.0.0.1/x' WHEN 2 THEN 'http://10.' || CAST(page_id % 256 AS STRING) || '.0.1/' WHEN 3 THEN 'http://a.internal/' || h
+_URL = """CASE page_id % 20 WHEN 0 THEN 'ftp://' || h WHEN 1 THEN 'http://127.0.0.1/x' WHEN 2 THEN 'http://10.' || CAST(page_id % 256 AS STRING) || '.0.1/' WHEN 3 THEN 'http://a.internal/' || h
  WHEN 4 THEN 'http://user:pw@' || h WHEN 5 THEN 'http://' || h || ':6379/' WHEN 6 THEN 'http://224.0.0.' || CAST(page_id % 256 AS STRING) || '/' WHEN 7 THEN 'http:///nohost' WHEN 8 THEN 'HTTP://%6cocalhost/'
- WHEN 9 THEN '' WHEN 10 THEN 'http://[fe80::1]/' ELSE url END"""
+ WHEN 9 THEN '' WHEN 10 THEN 'http://[fe80::1]/' WHEN 11 THEN 'http://[::ffff:192.168.1.1]/' WHEN 12 THEN 'http://[::FFFF:c0a8:101]:80/' WHEN 13 THEN 'http://[0:0:0:0:0:0:0:1]/'
+ WHEN 14 THEN 'http://[::ffff:a9fe:a9fe]/' WHEN 15 THEN 'http://[2606:4700::' || h || ']/' WHEN 16 THEN 'http://[2606:4700:4700::1111]/' WHEN 17 THEN 'http://[ff02::1]/' WHEN 18 THEN 'http://[4000::1]/' ELSE url END"""
 
 
-@query("url_screen", """SELECT page_id, CASE page_id % 12 WHEN 0 THEN 'Protocol ''ftp'' is not allowed. Only HTTP and HTTPS are permitted.' WHEN 1 THEN 'Access to ''127.0.0.1'' is not allowed'
+@query("url_screen", """SELECT page_id, CASE page_id % 20 WHEN 0 THEN 'Protocol ''ftp'' is not allowed. Only HTTP and HTTPS are permitted.' WHEN 1 THEN 'Access to ''127.0.0.1'' is not allowed'
  WHEN 2 THEN 'URL resolves to private IP address (10.' || (page_id % 256) || '.0.1)' WHEN 3 THEN 'Access to internal domain ''a.internal'' is not allowed' WHEN 4 THEN 'URLs with embedded credentials are not allowed'
  WHEN 5 THEN 'Access to port 6379 is not allowed' WHEN 6 THEN 'URL resolves to multicast address (224.0.0.' || (page_id % 256) || ')' WHEN 7 THEN 'Invalid URL: missing hostname' WHEN 8 THEN 'Access to ''localhost'' is not allowed'
- WHEN 9 THEN 'URL is required' WHEN 10 THEN 'URL resolves to private IP address (fe80::1)' END AS message FROM pages""")
+ WHEN 9 THEN 'URL is required' WHEN 10 THEN 'URL resolves to private IP address (fe80::1)'
+ WHEN 11 THEN 'URL resolves to private IP address (::ffff:192.168.1.1)' WHEN 12 THEN 'URL resolves to private IP address (::ffff:c0a8:101)' WHEN 13 THEN 'URL resolves to private IP address (0:0:0:0:0:0:0:1)'
+ WHEN 14 THEN 'URL resolves to private IP address (::ffff:a9fe:a9fe)' WHEN 17 THEN 'URL resolves to multicast address (ff02::1)' WHEN 18 THEN 'URL resolves to reserved IP address (4000::1)' END AS message FROM pages""")
 def _(spark, d):
     p = table(spark, d, "pages").withColumn("h", F.regexp_extract("url", "://([^/?#]*)", 1)).withColumn("u", F.expr(_URL))
     return p.select("page_id", screen.url_screen(F.col("u")).alias("message"))

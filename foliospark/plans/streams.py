@@ -45,9 +45,14 @@ def _(spark, d):
     return scans.progress_events(spark, path).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("progress").alias("progress"))
 
 
-@query("object_store_io", "SELECT o_orderkey, o_totalprice FROM orders")
+@query("object_store_io", "SELECT o_orderkey, o_totalprice, true AS stored, false AS after_delete FROM orders")
 def _(spark, d):
-    return scans.store_roundtrip(spark, table(spark, d, "orders").select("o_orderkey", "o_totalprice"), shared_dir(spark, "object"))
+    """Put and get a table; of a second object, whether it is there before and after it is deleted."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    spare = shared_dir(spark, "object")
+    scans.store_roundtrip(spark, rows, spare)
+    stored = scans.object_exists(spark, spare) and scans.delete_object(spark, spare)
+    return scans.store_roundtrip(spark, rows, shared_dir(spark, "object")).withColumns({"stored": F.lit(stored), "after_delete": F.lit(scans.object_exists(spark, spare))})
 
 
 def _hocr_pages(spark, d):
@@ -117,12 +122,12 @@ def _(spark, d):
     return streams.run_updates(spark, streams.download_counter(s), ["file_id"], "download-stream")
 
 
-@query("fixed_limiter", ctes("requests") + """SELECT seq, client, count(*) OVER (PARTITION BY client, sec ORDER BY seq) AS in_second, count(*) OVER (PARTITION BY client, sec // 60 ORDER BY sec, seq) AS in_minute,
- count(*) OVER (PARTITION BY client, sec // 3600 ORDER BY sec, seq) AS in_hour FROM requests""")
+@query("fixed_limiter", ctes("requests") + """SELECT *, CASE WHEN in_second > 10 THEN 'burst' WHEN in_minute > 60 THEN 'minute' WHEN in_hour > 1000 THEN 'hour' END AS limit_type FROM (SELECT seq, client, count(*) OVER (PARTITION BY client, sec ORDER BY seq) AS in_second, count(*) OVER (PARTITION BY client, sec // 60 ORDER BY sec, seq) AS in_minute,
+ count(*) OVER (PARTITION BY client, sec // 3600 ORDER BY sec, seq) AS in_hour FROM requests)""")
 def _(spark, d):
     streams.use_state_store(spark)
     r = event_stream(spark, d, VIEWS["requests"][1]).select("client", "sec", "seq")
-    return streams.run_to_table(spark, streams.fixed_limiter(r), "fixed-limiter").select("seq", "client", "in_second", "in_minute", "in_hour")
+    return streams.run_to_table(spark, streams.fixed_limiter(r), "fixed-limiter").select("seq", "client", "in_second", "in_minute", "in_hour", "limit_type")
 
 
 @query("sliding_limiter_stream")
@@ -164,9 +169,24 @@ def _(spark, d):
     return rows.groupBy("sub_id").agg(*[F.max_by(c, "applied").alias(c) for c in ("status", "tier", "plan")], F.max("applied").alias("applied"))
 
 
-@query("retention_sweep", ctes("tasks", "outputs", "inputs") + f"""SELECT 'outputs' AS item, count(*) AS n FROM outputs WHERE NOT expires_at < {TS} UNION ALL
- SELECT 'tasks', count(*) FROM tasks t WHERE NOT (status = 'completed' AND completed_at < {TS} - INTERVAL 7 MINUTE AND completed_at IS NOT NULL) AND NOT (created_at < {TS} - INTERVAL 24 HOUR AND NOT EXISTS (SELECT 1 FROM outputs o WHERE o.task_id = t.task_id)) AND NOT EXISTS (SELECT 1 FROM outputs o WHERE o.task_id = t.task_id AND o.expires_at < {TS})
- UNION ALL SELECT 'inputs', count(*) FROM inputs WHERE NOT created_at < {TS} - INTERVAL 1 HOUR""")
+# The logs lie in another year than the clock: they are moved so that the limits of both sweeps fall into them.
+_MOVED = "INTERVAL {} DAY"
+_GONE = f"""gone AS (SELECT task_id FROM outputs WHERE expires_at < {TS} UNION SELECT task_id FROM tasks WHERE status = 'completed' AND completed_at < {TS} - INTERVAL 7 MINUTE
+ UNION SELECT task_id FROM tasks WHERE created_at < {TS} - INTERVAL 24 HOUR AND task_id NOT IN (SELECT task_id FROM outputs))"""
+
+
+def _left(item: str, source: str, extra: str = "") -> str:
+    return f"SELECT '{item}' AS item, count(*) AS n FROM {source} WHERE task_id NOT IN (SELECT task_id FROM gone){extra}"
+
+
+@query("retention_sweep", ctes("tasks", "outputs", "inputs", more=_GONE) + " UNION ALL ".join([
+    _left("tasks", "tasks"), _left("inputs", "inputs"), _left("outputs", "outputs"), _left("uploads", "inputs", f" AND NOT created_at < {TS} - INTERVAL 1 HOUR"),
+    _left("results", "outputs", f" AND (line_no = 1 OR NOT expires_at - INTERVAL 2 MINUTE < {TS} - INTERVAL 60 MINUTE)"),
+    f"SELECT 'usage', count(*) FROM events WHERE NOT ts - {_MOVED.format(8504)} < {TS} - INTERVAL 90 DAY",
+    f"SELECT 'audit', count(*) FROM events WHERE NOT ts - {_MOVED.format(8779)} < {TS} - INTERVAL 365 DAY"]))
 def _(spark, d):
-    tasks, outputs, inputs = (view(spark, d, v) for v in ("tasks", "outputs", "inputs"))
-    return retention.counts(retention.sweep(tasks, outputs, inputs, now()))
+    tasks, outputs, inputs, events = (view(spark, d, v) for v in ("tasks", "outputs", "inputs", "events"))
+    results = outputs.select("task_id", (F.col("expires_at") - F.expr("INTERVAL 2 MINUTE")).alias("modified"), (F.col("line_no") == 1).alias("is_link"))
+    moved = {name: events.select((F.col("ts") - F.expr(_MOVED.format(days))).alias("created_at")) for name, days in (("usage", 8504), ("audit", 8779))}
+    tables = {"tasks": tasks, "inputs": inputs, "outputs": outputs, "uploads": inputs.select("task_id", F.col("created_at").alias("modified")), "results": results, **moved}
+    return retention.counts(retention.sweep(tables, now()))

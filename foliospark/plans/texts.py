@@ -10,7 +10,7 @@ from foliospark.plans.registry import query
 
 _P = "[a-f0-9]{32}_[0-9]{9,11}_[0-9]{1,3}_"
 _CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '[^\p{{L}}\p{{N}}\p{{M}} _.-]', '_', 'g'), ' +', ' ', 'g'), ' *_[ _]*', '_', 'g'), '\.{{2,}}', '.', 'g'), ' _-.')"""
-_STEM = "regexp_replace(stored_name, '\\.pdf$', '')"
+_STEM = "regexp_replace(nfc_normalize(stored_name), '\\.pdf$', '')"
 _NOPREFIX = f"regexp_replace({_STEM}, '^{_P}', '')"
 
 
@@ -224,6 +224,19 @@ def _(spark, d):
     return m.select("doc_id", "line_no", text.markdown_kind(F.col("t")).alias("kind")).filter(F.col("kind").isNotNull())
 
 
+def _unstyled(x: str) -> str:
+    for pattern in (r"\*\*(.+?)\*\*", r"\*(.+?)\*", "__(.+?)__", "_(.+?)_"):
+        x = f"regexp_replace({x}, '{pattern}', '\\1', 'g')"
+    return x
+
+
+@query("markdown_text", ctes("line_text") + f"""SELECT doc_id, line_no, CASE line_no % 9 WHEN 0 THEN trim(text) WHEN 1 THEN trim(text) WHEN 2 THEN {_unstyled("'**' || text || '** x'")} WHEN 3 THEN {_unstyled("trim(text)")} WHEN 4 THEN '| a | ' || text || ' |'
+ WHEN 5 THEN '|---|:-:|' WHEN 6 THEN '[IMAGE: p]' END AS plain FROM line_text WHERE line_no % 9 < 7 AND trim(text) <> ''""")
+def _(spark, d):
+    m = view(spark, d, "line_text").where("line_no % 9 < 7 AND trim(text) <> ''").select("doc_id", "line_no", F.expr(_MD).alias("t"))
+    return m.select("doc_id", "line_no", text.markdown_text(F.col("t"), text.markdown_kind(F.col("t"))).alias("plain"))
+
+
 @query("markdown_cells", ctes("line_text") + r"""SELECT doc_id, line_no, array_to_string(list_transform(list_slice(cs, 2, len(cs) - 1), lambda c : trim(c)), '¦') AS cells, CAST(len(cs) - 2 AS INT) AS n FROM (
  SELECT doc_id, line_no, string_split('| a | ' || translate(text, '*_|', '   ') || ' | ' || CAST(line_no AS VARCHAR) || ' |', '|') AS cs FROM line_text)""")
 def _(spark, d):
@@ -254,6 +267,17 @@ def _(spark, d):
     return m.select("doc_id", "line_no", "part_no", "v.kind", "v.long_value", "v.double_value")
 
 
+_EDGE = {0: "'\t' || w || '\r\n'", 1: "'\u2003-' || w || '\u00a0'", 2: "w || '00000000000000000000'", 3: "'(' || w || '12345678901234567890)'", 4: "chr(28) || w || '.50'"}
+
+
+@query("parse_number_edges", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN k = 4 THEN 'float' ELSE 'int' END AS kind, CASE k WHEN 0 THEN w WHEN 1 THEN '-' || w WHEN 2 THEN w || '00000000000000000000' WHEN 3 THEN '-' || w || '12345678901234567890' END AS digits,
+ CASE k WHEN 0 THEN CAST(w AS BIGINT) WHEN 1 THEN -CAST(w AS BIGINT) END AS long_value, CASE WHEN k = 4 THEN CAST(w || '.5' AS DOUBLE) END AS double_value FROM (SELECT *, l_linenumber % 5 AS k, CAST(l_partkey + 1 AS VARCHAR) AS w FROM lineitem)""")
+def _(spark, d):
+    cell = F.expr("CASE l_linenumber % 5 " + " ".join(f"WHEN {k} THEN {x}" for k, x in _EDGE.items()) + " END")
+    rows = table(spark, d, "lineitem").withColumn("w", (F.col("l_partkey") + 1).cast("string"))
+    return rows.withColumn("v", numbers.parse_number(cell)).select("l_orderkey", "l_linenumber", "l_partkey", "v.kind", "v.digits", "v.long_value", "v.double_value")
+
+
 @query("human_size", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN s >= 1048576 THEN format('{:.2f} MB', s / 1048576.0) WHEN s >= 1024 THEN format('{:.2f} KB', s / 1024.0) ELSE format('{:.2f} B', s / 1.0) END AS size_text,
  regexp_replace(CASE WHEN s >= 1048576 THEN format('{:.2f}', round(s / 1048576.0, 2)) WHEN s >= 1024 THEN format('{:.2f}', round(s / 1024.0, 2)) ELSE format('{:.2f}', s / 1.0) END, '\\.?0+$', '') ||
  CASE WHEN s >= 1048576 THEN ' MB' WHEN s >= 1024 THEN ' KB' ELSE ' Bytes' END AS short_text

@@ -8,21 +8,23 @@ from pyspark.sql import functions as F
 from foliospark.sources.scratch import shared_dir
 
 
-def write_reports(spark: SparkSession, lines: DataFrame, path: str | None = None) -> str:
-    """Report lines, ordered, one folder per document.
+def write_reports(spark: SparkSession, lines: DataFrame, path: str | None = None, buckets: int = 64) -> str:
+    """Report lines in order of document, page and part, in folders by a hash of the document, which stays a column.
 
     Rows are placed by document and page range, so a long report spreads over several files.
     """
     path = path or shared_dir(spark, "reports")
-    out = lines.repartitionByRange("doc_id", "page_no").sortWithinPartitions("doc_id", "page_no", "part", "line")
-    out.select("doc_id", F.col("line").alias("value")).write.mode("append").partitionBy("doc_id").text(path)
+    placed = lines.select("doc_id", "page_no", "part", "line").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    placed.repartitionByRange("bucket", "doc_id", "page_no").sortWithinPartitions("bucket", "doc_id", "page_no", "part", "line").write.mode("append").partitionBy("bucket").parquet(path)
     return path
 
 
-def write_tables(spark: SparkSession, cells: DataFrame, path: str | None = None) -> str:
-    """Typed cells as Parquet, one folder per document and table."""
+def write_tables(spark: SparkSession, cells: DataFrame, path: str | None = None, buckets: int = 64) -> str:
+    """Typed cells as Parquet in order of table and row, in folders by a hash of the document, which stays a column."""
     path = path or shared_dir(spark, "tables")
-    cells.repartitionByRange("doc_id", "table_no", "row_no").write.mode("append").partitionBy("doc_id", "table_no").parquet(path)
+    placed = cells.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    ordered = placed.repartitionByRange("bucket", "doc_id", "page_no", "table_no").sortWithinPartitions("bucket", "doc_id", "page_no", "table_no", "row_no", "col_no")
+    ordered.write.mode("append").partitionBy("bucket").parquet(path)
     return path
 
 

@@ -1,4 +1,4 @@
-"""Table reader with a declared schema, and the declared schemas of the model."""
+"""Table reader with a declared schema."""
 
 from __future__ import annotations
 
@@ -6,30 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_STR, _LONG, _DBL, _TS = T.StringType(), T.LongType(), T.DoubleType(), T.TimestampNTZType()
-
-
-def _struct(**fields: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
-
-
-TASKS = _struct(id=_STR, tool_type=_STR, status=_STR, created_at=_TS, updated_at=_TS,
-                completed_at=_TS, error_message=_STR, task_metadata=T.MapType(_STR, _STR))
-INPUT_FILES = _struct(id=_STR, task_id=_STR, original_name=_STR, stored_name=_STR, file_path=_STR,
-                      file_size=_LONG, mime_type=_STR, upload_order=T.IntegerType(), created_at=_TS)
-OUTPUT_FILES = _struct(id=_STR, task_id=_STR, file_name=_STR, file_path=_STR, file_size=_LONG,
-                       mime_type=_STR, download_count=_LONG, expires_at=_TS, created_at=_TS)
-USAGE_STATS = _struct(id=_LONG, tool_type=_STR, input_size=_LONG, output_size=_LONG,
-                      processing_time_ms=_LONG, created_at=_TS)
-AUDIT_LOGS = _struct(id=_LONG, event_type=_STR, task_id=_STR, file_id=_STR, client_ip=_STR,
-                     user_agent=_STR, details=T.MapType(_STR, _STR), created_at=_TS)
-WORDS = _struct(doc_id=_LONG, page_no=_LONG, block=_STR, par=_STR, line_no=_LONG, word_no=_LONG,
-                text=_STR, x0=_DBL, y0=_DBL, x1=_DBL, y1=_DBL, conf=_DBL, fsize=_DBL)
-CELLS = _struct(doc_id=_LONG, page_no=_LONG, table_no=_LONG, x0=_DBL, y0=_DBL, x1=_DBL, y1=_DBL,
-                text=_STR)
-
-TASK_STATUSES = ("pending", "queued", "processing", "completed", "failed", "cancelled")
-
 
 def scan_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Parquet table; with a schema, columns are selected and cast to it by name."""
@@ -37,23 +13,3 @@ def scan_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     if schema is None:
         return df
     return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-
-
-def scan_jdbc(spark: SparkSession, url: str, table: str, key: str, lower: int, upper: int,
-              partitions: int, **options: str) -> DataFrame:
-    """Database table read in parallel key ranges."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key,
-                                               lowerBound=lower, upperBound=upper,
-                                               numPartitions=partitions)
-    return reader.options(**options).load()
-
-
-def in_domain(col, values) -> F.Column:
-    """True when a coded column holds one of its declared values."""
-    return F.coalesce(col.isin(*values), F.lit(False))
-
-
-def append_rows(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Append rows to a Parquet table, optionally partitioned by one column."""
-    writer = df.write.mode("append")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)

@@ -79,10 +79,10 @@ def sliding_limiter(requests: DataFrame, limits: Limits = Limits()) -> DataFrame
 
 
 class FixedLimiter(StatefulProcessor):
-    """Counters of a client's latest second, minute and hour buckets.
+    """Counters of one hour of a client: its seconds, its minutes and itself.
 
-    Buckets older than two widths are dropped, as the service's counters expire; so the state is
-    at most a few rows, read and written once per batch.
+    Seconds and minutes lie inside an hour, so hours need nothing from each other and a busy client is as many keys as
+    it has hours. No counter is dropped, however late a request comes in.
     """
 
     WIDTHS = (1, 60, 3600)
@@ -101,8 +101,7 @@ class FixedLimiter(StatefulProcessor):
             bucket = pdf["sec"] // w
             seen[w] = bucket.groupby(bucket).cumcount() + 1 + bucket.map(lambda b: known.get((w, b), 0))
             known.update({(w, int(b)): int(n) for b, n in seen[w].groupby(bucket).max().items()})
-        newest = {w: max(b for x, b in known if x == w) for w in self.WIDTHS}
-        self.counts.put([(w, b, n) for (w, b), n in known.items() if b >= newest[w] - 1])
+        self.counts.put([(w, b, n) for (w, b), n in known.items()])
         kind = pd.Series([None] * len(pdf), dtype=object)
         for w, limit, name in ((3600, self.limits.hour, "hour"), (60, self.limits.minute, "minute"), (1, self.limits.burst, "burst")):
             kind = kind.mask(seen[w] > limit, name)
@@ -114,7 +113,8 @@ class FixedLimiter(StatefulProcessor):
 
 def fixed_limiter(requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
     schema = "client string, seq long, in_second long, in_minute long, in_hour long, limit_type string"
-    return requests.groupBy("client").transformWithStateInPandas(FixedLimiter(limits), schema, "Append", "None")
+    hours = requests.withColumn("hour", F.floor(F.col("sec") / 3600))
+    return hours.groupBy("client", "hour").transformWithStateInPandas(FixedLimiter(limits), schema, "Append", "None")
 
 
 def usage_stream(log: DataFrame, lateness: str = "1 day") -> DataFrame:

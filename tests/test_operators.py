@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 
 from foliospark.operators import archives, folds, layout, limits, redact, skew, tables
 
-DPI = 200.0
-PITCH = 12 * 1.2 * DPI / 72
-
-
 def brute_limiter(rows, burst=10, minute=60, hour=1000):
     accepted, out = {}, {}
     for client, t, seq in sorted(rows, key=lambda r: (r[1], r[2])):
@@ -48,18 +44,11 @@ def test_skew_forms_equal_plain_windows(spark):
 
 
 def test_zip_names(spark):
-    names = ["a.pdf", "a.pdf", "a_2.pdf", "a.pdf", "b.pdf", "b.pdf", "c", "c", "a_2.pdf"]
-    used, want = set(), []
-    for n in names:
-        stem, dot, ext = n.partition(".")
-        c, k = n, 1
-        while c in used:
-            k += 1
-            c = f"{stem}_{k}{dot}{ext}"
-        used.add(c)
-        want.append(c)
-    df = spark.createDataFrame([(1, i, n) for i, n in enumerate(names)], "job long, pos long, arcname string")
-    assert [r.name for r in archives.zip_names(df, 2).orderBy("pos").collect()] == want
+    """Names are unique, free names stay, and the n-th holder of a name gets the first free number from its rank on."""
+    arc = ["m.txt", "m.txt", "m_2.txt", "m.txt", "n", "n", "m_2.txt", "z.tar"]
+    df = spark.createDataFrame([(1, i, n) for i, n in enumerate(arc)], "job long, pos long, arcname string")
+    got = [r.name for r in archives.zip_names(df, 2).orderBy("pos").collect()]
+    assert got == ["m.txt", "m_2.txt", "m_2_2.txt", "m_3.txt", "n", "n_2", "m_2_3.txt", "z.tar"] and len(set(got)) == len(got)
 
 
 def test_find_text_offsets(spark):
@@ -69,68 +58,59 @@ def test_find_text_offsets(spark):
     assert redact.find_text(df, "cat", match_case=True).count() == 1
 
 
-def words_of(lines):
-    """Rows of words from (line_no, text, x0, y, x1, par); words spread evenly over the line."""
-    out = []
-    for no, text, x0, y, x1, par in lines:
-        ws = text.split()
-        step = (x1 - x0) / len(ws)
-        for i, t in enumerate(ws):
-            end = float(x1) if i == len(ws) - 1 else x0 + i * step + step * 0.85
-            out.append((1, 1, no, i, t, float(x0 + i * step), float(y), end, float(y + 33), 95.0, 12 * DPI / 72 * 0.925, par))
-    return out
+SCHEMA = "doc_id long, page_no long, line_no long, word_no long, text string, x0 double, y0 double, x1 double, y1 double, conf double, fsize double, par string"
+STEP = 20.0
 
 
-SCHEMA = "doc_id long, page_no long, line_no long, word_no long, text string, x0 double, y0 double, x1 double, y1 double, conf double, fsize double, par string"
+def line(no, text, left, top, right, par="a", size=10.0):
+    """Words of one line in points, of equal width with a narrow gap, the last one ending at ``right``."""
+    parts = text.split()
+    width = (right - left) / len(parts)
+    return [(1, 1, no, i, t, left + i * width, float(top), right if i + 1 == len(parts) else left + i * width + 0.8 * width, top + size, 90.0, size, par) for i, t in enumerate(parts)]
 
 
-def two_columns():
+def newspaper(rows=9):
+    """Two columns, 40 to 250 and 330 to 560."""
     out = []
-    for i in range(10):
-        out.append((2 * i, "left column words " * 3, 200, 300 + i * PITCH, 780, "l"))
-        out.append((2 * i + 1, "right column words " * 3, 920, 300 + i * PITCH, 1500, "r"))
+    for i in range(rows):
+        out += line(2 * i, "west side story goes on", 40.0, 100 + i * STEP, 250.0, "w") + line(2 * i + 1, "east of here it rains", 330.0, 100 + i * STEP, 560.0, "e")
     return out
 
 
 def test_columns_and_reading_order(spark):
-    w = spark.createDataFrame(words_of(two_columns() + [(99, "Full width title across", 200, 150, 1500, "t")]), SCHEMA)
-    cols = layout.find_columns(w, 1700.0)
+    w = spark.createDataFrame(newspaper() + line(77, "Headline over both columns", 40.0, 50.0, 560.0, "h"), SCHEMA)
+    cols = layout.find_columns(w, 600.0)
     c = cols.first()["cols"]
-    assert len(c) == 2 and c[0]["x1"] < 800 and c[1]["x0"] > 900
-    lines = layout.reading_order(layout.assign_columns(layout.lines_of(w, DPI), cols)).orderBy("pos").collect()
-    assert [r.text.split()[0] for r in lines] == ["Full"] + ["left"] * 10 + ["right"] * 10
-    single = spark.createDataFrame(words_of([(i, "word " * 12, 200, 300 + i * PITCH, 1500, "p") for i in range(12)]), SCHEMA)
-    assert len(layout.find_columns(single, 1700.0).first()["cols"]) == 1
+    assert len(c) == 2 and c[0]["x1"] < 300 and c[1]["x0"] > 300
+    read = layout.reading_order(layout.assign_columns(layout.lines_of(w, 72.0), cols)).orderBy("pos").collect()
+    assert [r.text.split()[0] for r in read] == ["Headline"] + ["west"] * 9 + ["east"] * 9
+    prose = spark.createDataFrame([r for i in range(9) for r in line(i, "plain text of a single wide column", 40.0, 100 + i * STEP, 560.0)], SCHEMA)
+    assert len(layout.find_columns(prose, 600.0).first()["cols"]) == 1
 
 
 def test_gutter_split(spark):
-    joined = words_of([(0, "aaa bbb ccc", 200, 300, 780, "p")]) + [(*r[:3], r[3] + 3, *r[4:]) for r in words_of([(0, "ddd eee fff", 920, 300, 1500, "p")])]
-    cols = layout.find_columns(spark.createDataFrame(words_of(two_columns()), SCHEMA), 1700.0)
-    got = layout.split_gutters(spark.createDataFrame(joined, SCHEMA), cols).orderBy("word_no").collect()
-    assert [r.part for r in got] == [0, 0, 0, 1, 1, 1]
+    across = line(0, "one two", 40.0, 100.0, 250.0) + [(*r[:3], r[3] + 2, *r[4:]) for r in line(0, "three four five", 330.0, 100.0, 560.0)]
+    cols = layout.find_columns(spark.createDataFrame(newspaper(), SCHEMA), 600.0)
+    got = layout.split_gutters(spark.createDataFrame(across, SCHEMA), cols).orderBy("word_no").collect()
+    assert [r.part for r in got] == [0, 0, 1, 1, 1]
 
 
-def paragraphs(spark, lines):
-    """Paragraph sizes of lines (text, y, x1, par, size) in one column from 200 to 1500."""
-    w = spark.createDataFrame(words_of([(i, t, 200, y, x1, par) for i, (t, y, x1, par, _) in enumerate(lines)]), SCHEMA)
-    sizes = F.create_map(*[F.lit(x) for i, v in enumerate(lines) for x in (i, float(v[4]))])
-    # Everything in points: the operators work at 72 dpi.
-    scale = {c: F.col(c) * 72 / DPI for c in ("x0", "y0", "x1", "y1", "fsize")}
-    ls = layout.lines_of(w.withColumns(scale)).withColumns({"size_pt": sizes[F.col("line_no").cast("int")], "base": F.col("y0") + 26.4 * 72 / DPI, "pos": F.col("line_no"),
-                                                            "col": F.lit(0), "tabbed": F.lit(False)})
-    cols = ls.select("doc_id", "page_no").distinct().withColumn("cols", F.array(F.struct(F.lit(72.0).alias("x0"), F.lit(540.0).alias("x1"))))
-    got = layout.paragraph_breaks(ls, cols, layout.line_pitch(ls)).groupBy("para").count().orderBy("para").collect()
-    return [r["count"] for r in got]
+def paragraph_sizes(spark, lines):
+    """Lines per paragraph for (top, right end, par, size) in one column from 50 to 500."""
+    w = spark.createDataFrame([r for i, (top, right, par, size) in enumerate(lines) for r in line(i, "some words on this line", 50.0, top, right, par, float(size))], SCHEMA)
+    ls = layout.lines_of(w).withColumns({"size_pt": F.col("y1") - F.col("y0"), "base": F.col("y0") + 8.0, "pos": F.col("line_no"), "col": F.lit(0), "tabbed": F.lit(False)})
+    cols = ls.select("doc_id", "page_no").distinct().withColumn("cols", F.array(F.struct(F.lit(50.0).alias("x0"), F.lit(500.0).alias("x1"))))
+    return [r["count"] for r in layout.paragraph_breaks(ls, cols, layout.line_pitch(ls)).groupBy("para").count().orderBy("para").collect()]
 
 
-def body(n, y0, par, last=900):
-    return [("word " * 12, y0 + i * PITCH, last if i == n - 1 else 1500, par, 12) for i in range(n)]
+def prose(n, top, par, end=280.0):
+    return [(top + 13.0 * i, end if i + 1 == n else 500.0, par, 11) for i in range(n)]
 
 
 def test_paragraphs(spark):
-    assert paragraphs(spark, body(4, 300, "p1") + body(3, 300 + 4 * PITCH + 8 * DPI / 72, "p2")) == [4, 3]
-    assert paragraphs(spark, body(4, 300, "p1") + body(3, 300 + 4 * PITCH, "p1")) == [4, 3]
-    assert paragraphs(spark, [("Big heading", 200, 700, "h", 24)] + body(3, 330, "p1")) == [1, 3]
+    assert paragraph_sizes(spark, prose(5, 100.0, "a") + prose(4, 100.0 + 5 * 13 + 9, "b")) == [5, 4]
+    assert paragraph_sizes(spark, prose(5, 100.0, "a") + prose(4, 165.0, "a")) == [5, 4]
+    assert paragraph_sizes(spark, [(60.0, 260.0, "t", 22), *prose(4, 110.0, "a")]) == [1, 4]
 
 
 def test_visual_lines_keep_the_first_box_as_anchor(spark):
@@ -155,21 +135,22 @@ def test_list_groups(spark):
 
 
 def test_table_chain_and_merged_header(spark):
-    def grid(page, y, texts):
-        return [(1, page, 0, 50. + 100 * i, float(y), 150. + 100 * i, float(y + 20), t) for i, t in enumerate(texts)]
+    def row(page, top, texts):
+        return [(1, page, 0, 30.0 + 80 * i, float(top), 110.0 + 80 * i, top + 15.0, t) for i, t in enumerate(texts)]
 
     schema = "doc_id long, page_no long, table_no long, x0 double, y0 double, x1 double, y1 double, text string"
-    cells = grid(1, 0, ["Item", "Qty", "Price"]) + grid(1, 20, ["Product 1", "3", "1,234.50"]) + grid(2, 0, ["Item", "Qty", "Price"]) + grid(2, 20, ["Product 2", "4", "2.00"])
+    head = ["Town", "People", "Area"]
+    cells = row(1, 0, head) + row(1, 15, ["Ulm", "126", "118.69"]) + row(2, 0, head) + row(2, 15, ["Hof", "45", "58.02"])
     c = tables.table_cells(spark.createDataFrame(cells, schema))
     rows = {(r.page_no, r.row_no, r.col_no): (r.kind, r.long_value, r.double_value) for r in tables.table_rows(c).collect()}
-    assert rows[(1, 0, 1)] == ("text", None, None) and rows[(1, 1, 1)] == ("int", 3, None) and rows[(1, 1, 2)] == ("float", None, 1234.5)
-    t = c.groupBy("doc_id", "page_no", "table_no").agg(F.lit(3).alias("n_cols"), F.array(*[F.lit(100.0)] * 3).alias("widths"), F.bool_or("merged").alias("merged"),
+    assert rows[(1, 0, 1)] == ("text", None, None) and rows[(1, 1, 1)] == ("int", 126, None) and rows[(2, 1, 2)] == ("float", None, 58.02)
+    t = c.groupBy("doc_id", "page_no", "table_no").agg(F.lit(3).alias("n_cols"), F.array(*[F.lit(80.0)] * 3).alias("widths"), F.bool_or("merged").alias("merged"),
                                                       F.transform(F.array_sort(F.collect_list(F.when(F.col("row_no") == 0, F.struct("col_no", "text")))), lambda v: v["text"]).alias("header"))
     got = tables.table_chains(t).orderBy("page_no").collect()
     assert [(r.head_page, r.drop_header) for r in got] == [(1, False), (1, True)]
-    group = [(1, 1, 0, 50., 0., 250., 20., "Group"), (1, 1, 0, 250., 0., 350., 20., "Total")] + grid(1, 20, ["a", "b", "1"])
-    m = {r.text: r for r in tables.table_cells(spark.createDataFrame(group, schema)).collect()}
-    assert m["Group"].merged and m["Total"].col_no == 2 and not m["a"].merged
+    wide = [(1, 1, 0, 30.0, 0.0, 190.0, 15.0, "Both"), (1, 1, 0, 190.0, 0.0, 270.0, 15.0, "Third")] + row(1, 15, ["p", "q", "4"])
+    m = {r.text: r for r in tables.table_cells(spark.createDataFrame(wide, schema)).collect()}
+    assert m["Both"].merged and m["Third"].col_no == 2 and not m["p"].merged
 
 
 def test_hocr(spark):
@@ -193,6 +174,27 @@ def test_split_runs_keep_the_head(spark):
               "size_first int, size_last int, before int, blocked boolean, text string")
     got = folds.split_runs(spark.createDataFrame(rows, schema)).orderBy("pos").collect()
     assert [r.head_pos for r in got] == [0, 0, 0, 3, 4, 5]
+    assert [r.joined for r in got] == ["headtailmore", None, None, "far", "next", "big"]
+
+
+def test_same_row_merge_joins_from_the_left(spark):
+    rows = [(1, 1, 0, 200.0, 100.0, 260.0, 110.0, 10.0, "right"), (1, 1, 1, 20.0, 102.0, 90.0, 112.0, 10.0, "left"), (1, 1, 2, 100.0, 101.0, 140.0, 125.0, 20.0, "tall"),
+            (1, 1, 3, 20.0, 120.0, 90.0, 130.0, 10.0, "below")]
+    df = spark.createDataFrame(rows, "doc_id long, page_no long, line_no long, x0 double, y0 double, x1 double, y1 double, size_pt double, text string")
+    got = folds.same_row_merge(df).orderBy("line_no").collect()
+    assert [(r.row_no, r.row_text) for r in got] == [(0, "left right"), (0, "left right"), (1, "tall"), (2, "below")]
+
+
+def test_box_merge_keeps_pitch_and_edge(spark):
+    """Left-aligned lines 12 apart; a wider step, a pair on one line and a larger size each open a box."""
+    def seg(no, top, left=50.0, right=200.0, size=10.0):
+        return (1, 1, no, left, top, right, top + size, size)
+
+    rows = [seg(0, 0.0), seg(1, 12.0, right=180.0), seg(2, 24.0, right=150.0), seg(3, 42.0), seg(4, 60.0, right=90.0), seg(5, 60.0, left=120.0), seg(6, 72.0), seg(7, 90.0, size=16.0)]
+    df = spark.createDataFrame(rows, "doc_id long, page_no long, seg_no long, x0 double, y0 double, x1 double, y1 double, size double")
+    got = folds.box_merge(df).orderBy("seg_no").collect()
+    assert [r.box_no for r in got] == [0, 0, 0, 1, 2, 3, 4, 5]
+    assert [(got[0].align, got[0].pitch), (got[3].align, got[3].pitch)] == [("l", 12.0), ("l", None)]
 
 
 def test_bold_words_follow_neighbours(spark):
