@@ -1,12 +1,14 @@
 """Main text of web pages by consensus paths of their hosts.
 
 Each page's containers are scored by the prose they hold; the pages of a host vote with these scores on generalised
-paths (tags with their classes, digits dropped) and the winning path says where the text of each of its pages lies.
+paths (tags with their classes, digits dropped) and the winning path says where the text of each of its pages lies; beside
+it all text stays that is no furniture and that the host doesn't repeat.
 Only votes are shuffled by host; pages are read again and meet the one winner of their host.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import defaultdict
@@ -39,6 +41,7 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)
     |</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+(?=>|\Z)|[^>]*)(?:>|\Z)|(?P<text>[^<]+|<)""", re.S | re.I | re.X)
 ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 SPLIT = re.compile(r"[^a-z]+")
+MAIN = re.compile(r"(?:[^/]*/)*?main(?:\.[^/]*)?(?=/|\Z)")
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -149,42 +152,48 @@ def parse(page: str) -> list[tuple[Element, str, int]]:
 
 
 def container(element: Element) -> Element:
-    """The element a block's prose is credited to: the article or main part around it, else the parent of its paragraph."""
+    """The element a block's prose is credited to: the article or main part around it, else the innermost div or body, so that
+    cells, list items and sections count for the part they stand in."""
     if element.semantic is not None:
         return element.semantic
-    if element.tag in ("div", "section", "td", "body", "html") or element.parent is None:
-        return element
-    return element.parent
+    while element.tag not in ("div", "body", "html") and element.parent is not None:
+        element = element.parent
+    return element
 
 
-def candidates(page: str | None, most: int = 5) -> list[tuple[str, float]]:
-    """(generalised path, score) of the best containers of a page: prose outside links, half of it again for the parent."""
+def candidates(page: str | None) -> list[tuple[str, float, bytes]]:
+    """(generalised path, prose outside links, digest of the text) of every container of a page, best first."""
     scores: dict[str, float] = defaultdict(float)
+    texts: dict[str, list[str]] = defaultdict(list)
     for element, text, linked in parse(page or ""):
-        prose = len(text.strip()) - linked
-        if prose > 0:
-            at = container(element)
-            scores[at.path] += prose
-            if at.semantic is None and at.parent is not None:
-                scores[at.parent.path] += prose / 2
-    return sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:most]
+        at = container(element).path
+        scores[at] += max(0, len(text.strip()) - linked)
+        texts[at].append(text)
+    return [(p, s, digest("\0".join(texts[p]))) for p, s in sorted(scores.items(), key=lambda x: (-x[1], x[0]))]
 
 
-def extract(page: str | None, path: str | None) -> str:
-    """Text of the blocks inside the containers with the path; if the page has none, of its own best container.
+def digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).digest()
+
+
+def within(path: str, of: str) -> bool:
+    return path == of or path.startswith(of + "/")
 
-    References are decoded, white space inside a block becomes one space, blocks are joined by one space.
-    """
-    blocks = [(e, t) for e, t, _ in parse(page or "")]
 
-    def inside(wanted: str) -> list[str]:
-        start = wanted + "/"
-        return [" ".join(html.unescape(t).split()) for e, t in blocks if e.path == wanted or e.path.startswith(start)]
+def extract(page: str | None, path: str | None, repeated: list[str] | None = None) -> str:
+    """Text of the page without furniture: with the containers of the path all that stands beside them, but for those the host repeats.
 
-    found = inside(path) if path else []
-    if not found:
-        own = candidates(page, 1)
-        found = inside(own[0][0]) if own else []
+    Parts of an article may lie in any containers, so none is left out for its size. What a host repeats from page to page beside
+    its winning path is furniture; a page without that path is read whole. A winner inside main keeps the text to main.
+    References are decoded, white space inside a block becomes one space, blocks are joined by one space.
+    """
+    blocks = [(e.path, container(e).path, t) for e, t, _ in parse(page or "")]
+    gone = set(repeated or ())
+    if not (path and any(within(at, path) for at, _, _ in blocks)):
+        path, gone = next((p for p, _, _ in candidates(page)), ""), set()
+    main = MAIN.match(path)
+    scope = main[0] if main else ""
+    found = (" ".join(html.unescape(t).split()) for at, c, t in blocks if within(at, path) or (not scope or within(at, scope)) and c not in gone)
     return " ".join(t for t in found if t)
 
 
@@ -194,35 +203,43 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """``host, path``: the path with the highest sum of scores over the pages of each host, ties to the path first in order.
+    """``host, path, repeated``: the path with the highest sum of scores over the pages of each host, ties to the path first in order,
+    and the paths off its line whose text the host repeats: seen on three different pages or more, with less than half as many texts.
 
     Partial sums are formed before votes are shuffled, so a host with a third of all pages costs as much as any other.
     """
     def run(hosts, texts):
-        votes: dict[tuple[str, str], float] = defaultdict(float)
+        out: dict[str, list] = {"host": [], "path": [], "page": [], "text": [], "points": []}
         for host, page in zip(hosts, texts, strict=True):
             found = candidates(page)
-            total = sum(s for _, s in found) or 1.0
-            for path, points in found:
-                votes[host, path] += points / total
-        return {"host": [h for h, _ in votes], "path": [p for _, p in votes], "points": list(votes.values())}
-
-    votes = map_columns(pages.select(host_of(F.col("url")).alias("host"), "html"), run, "host string, path string, points double")
-    totals = votes.groupBy("host", "path").agg(F.round(F.sum("points"), 6).alias("points"))
-    return totals.groupBy("host").agg(F.min_by("path", F.struct(-F.col("points"), F.col("path"))).alias("path"))
+            total = sum(s for _, s, _ in found) or 1.0
+            name = digest(page or "")
+            for path, points, text in found:
+                for key, value in zip(out, (host, path, name, text, points / total), strict=True):
+                    out[key].append(value)
+        return out
+
+    votes = map_columns(pages.select(host_of(F.col("url")).alias("host"), "html"), run, "host string, path string, page binary, text binary, points double")
+    seen = votes.groupBy("host", "path", "page", "text").agg(F.sum("points").alias("points"))
+    texts = seen.groupBy("host", "path", "text").agg(F.sum("points").alias("points"), F.count(F.lit(1)).alias("pages"))
+    totals = texts.groupBy("host", "path").agg(F.round(F.sum("points"), 6).alias("points"), F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("texts"))
+    again = F.when((F.col("pages") >= 3) & (2 * F.col("texts") < F.col("pages")), F.col("path"))
+    hosts = totals.groupBy("host").agg(F.min_by("path", F.struct(-F.col("points"), F.col("path"))).alias("path"), F.collect_list(again).alias("repeated"))
+    line = F.concat("path", F.lit("/"))
+    return hosts.withColumn("repeated", F.filter("repeated", lambda r: ~line.startswith(F.concat(r, F.lit("/")))))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, host, path, text`` for every row of ``pages(page_id, url, html)``.
 
     A null or empty page has an empty text; a null url belongs to the host with the empty name. Repeated rows repeat
-    their result; other columns are ignored; a page without the winning container is read by its own best one.
+    their result; other columns are ignored; a page without the winning container is read whole.
     """
     spark = pages.sparkSession
     winners = written(spark, host_paths(pages), "host-paths")
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(winners, "host", "left")
 
-    def run(ids, urls, texts, hosts, paths):
-        return {"page_id": ids, "url": urls, "host": hosts, "path": paths, "text": [extract(t, p) for t, p in zip(texts, paths, strict=True)]}
+    def run(ids, urls, texts, hosts, paths, repeated):
+        return {"page_id": ids, "url": urls, "host": hosts, "path": paths, "text": [extract(*x) for x in zip(texts, paths, repeated, strict=True)]}
 
-    return map_columns(rows.select("page_id", "url", "html", "host", "path"), run, "page_id long, url string, host string, path string, text string")
+    return map_columns(rows.select("page_id", "url", "html", "host", "path", "repeated"), run, "page_id long, url string, host string, path string, text string")

@@ -185,6 +185,23 @@ def test_hosts_vote(spark):
     assert html_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_parts_of_an_article_stay_together():
+    split = "<body><h1>Head</h1><div class=lead><p>{a}</p></div><div class=ad>Buy</div><div class=body><p>{b}</p></div></body>"
+    for a, b in [(49, 51), (51, 49), (5, 95)]:
+        assert html_extract.extract(split.format(a="a" * a, b="b" * b), None) == f"Head {'a' * a} {'b' * b}"
+    table = "<body><div class=post><h1>Head</h1><p>prose</p><table><tr><td>{c}<td>d</table><ul><li>{c}</ul><section><p>end</p></section></div></body>".format(c="cell " * 40)
+    assert html_extract.extract(table, None) == f"Head prose {('cell ' * 40)}d {('cell ' * 40)}end"
+    parts = "".join(f"<div class=part{chr(97 + n)}><p>text {n}</p></div>" for n in range(9))
+    assert html_extract.extract(parts, None) == " ".join(f"text {n}" for n in range(9))
+    assert html_extract.extract("<body><div><p>Outside of main, and longer.</p></div><main><h1>Head</h1><article><p>Inside of main, and it is the longest.</p></article></main>", None) == "Head Inside of main, and it is the longest."
+
+
+def test_hosts_vote_with_all_containers(spark):
+    body = "<body><h1>Head {n}</h1>" + "".join(f"<div class=x{chr(97 + k)}><p>filler {k} of page {{n}}</p></div>" for k in range(6)) + "<div class=story><p>story {n}</p></div><div class=teasers><p>same</p></div></body>"
+    got = html_extract.main_text(spark.createDataFrame([(n, "http://a.example/", body.format(n=n)) for n in range(8)], "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {n: f"Head {n} " + " ".join(f"filler {k} of page {n}" for k in range(6)) + f" story {n}" for n in range(8)}
+
+
 def test_pipeline_on_a_small_corpus(spark, tmp_path):
     """Each stage against its rule: rejected rows go, of each family of near copies the smallest id stays, pieces are whole."""
     import corpus_pipeline
