@@ -37,7 +37,8 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "d
           "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 PLAIN_ROOTS = frozenset(("html", "body", "main"))
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)
-    |<(?P<raw>script|style|noscript|template|svg|math|iframe|object|canvas|title|textarea|select)\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)
+    |<(?:svg|math)(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*+(?<=/)>
+    |<(?P<raw>script|style|noscript|template|svg|math|iframe|object|canvas|title|textarea|select)(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)
     |</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+(?=>|\Z)|[^>]*)(?:>|\Z)|(?P<text>[^<]+|<)""", re.S | re.I | re.X)
 ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 SPLIT = re.compile(r"[^a-z]+")

@@ -185,6 +185,13 @@ def test_hosts_vote(spark):
     assert html_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_raw_elements_end():
+    for tag in ("<svg/>", "<svg class='i' viewBox=\"0 0 1 1\" />", "<math />", "<svg-icon name=x></svg-icon>", "<select-menu></select-menu>", "<object-view>", "<title-bar/>", "<svg><path d='M0'/></svg>", "<SVG><g/></svg >"):
+        assert html_extract.extract(f"<div><p>one {tag} two</p><p>three</p></div>", None) == "one two three", tag
+    assert html_extract.extract("<div><p>one</p><svg/><p>two</p><svg><text>no</text></svg><p>three</p></div>", None) == "one two three"
+    assert html_extract.extract("<p>one</p><script src=x/>no</script><select><option>no</select><p>two</p>", None) == "one two"
+
+
 def test_parts_of_an_article_stay_together():
     split = "<body><h1>Head</h1><div class=lead><p>{a}</p></div><div class=ad>Buy</div><div class=body><p>{b}</p></div></body>"
     for a, b in [(49, 51), (51, 49), (5, 95)]:
