@@ -46,6 +46,12 @@ def test_line_joins(evaluate):
     assert evaluate(text.join_words, [(["red", "fox"],), (["東京", "大阪"],), (["on", "東京", "", "by"],)], "w array<string>") == ["red fox", "東京大阪", "on 東京 by"]
 
 
+def test_markdown_paragraphs_lose_their_stars(evaluate):
+    cases = [("a **b** and *c* d_e_ ", "a b and c d_e_ "), ("stray * star**", "stray  star"), ("", ""), ("  ", ""), ("***x***", "x"), ("plain", "plain"), ("- **b** x", "b x")]
+    got = evaluate(lambda s: text.markdown_text(s, text.markdown_kind(s)), [(c[0],) for c in cases], "s string")
+    assert got == [c[1] for c in cases]
+
+
 def test_paragraph_text_is_the_fold_of_its_joins(evaluate):
     """The linear form must equal joining the lines one after the other with the join of two lines."""
     pool = ["over-", "night", "B-", "-", "1812-", "1815", "京都", "", "   ", " leaf ", "y -", "k", "Öl-", "ähre"]
