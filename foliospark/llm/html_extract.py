@@ -29,6 +29,8 @@ MARKS = frozenset("""ad ads advert adverts advertisement advertising sponsor spo
     comment comments disqus respond replies reply login search searchbox widget pager pagination toolbar footer header hidden
     contentinfo complementary alert dialog""".split())
 COMMENT_MARKS = frozenset("comment comments disqus respond replies reply related recommended sponsored promo ad".split())
+#: Elements that stand for the article of a page.
+SIGNS = frozenset("h1 article main".split())
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header
     hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,11 +49,13 @@ INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "noise", "score", "semantic")
+    __slots__ = ("tag", "parent", "path", "hidden", "mark", "comment", "semantic")
 
-    def __init__(self, tag: str, parent: Element | None, attrs: str):
-        self.tag, self.parent, self.score = tag, parent, 0.0
-        self.noise = parent.noise if parent else False
+    def __init__(self, tag: str, parent: Element | None, attrs: str, spared: bool = False):
+        self.tag, self.parent, self.comment = tag, parent, False
+        self.hidden = parent.hidden if parent else False
+        #: Innermost element around it, itself included, whose tag or words mark furniture.
+        self.mark = parent.mark if parent else None
         self.semantic = parent.semantic if parent else None
         name = tag
         marks: set[str] = set()
@@ -64,29 +68,63 @@ class Element:
                     if key == "class" and words:
                         name += "." + ".".join(sorted(words))
                 elif key == "style":
-                    self.noise |= bool(INVISIBLE.search(value))
+                    self.hidden |= bool(INVISIBLE.search(value))
                 elif key == "hidden" or key == "aria-hidden" and value == "true":
-                    self.noise = True
-        if tag in FURNITURE and not (tag == "header" and self.semantic):
-            self.noise = True
-        elif tag not in PLAIN_ROOTS and marks & (COMMENT_MARKS if tag == "article" else MARKS):
-            self.noise = True
+                    self.hidden = True
+        if spared:
+            pass
+        elif tag in FURNITURE and not (tag == "header" and self.semantic) or tag not in PLAIN_ROOTS and marks & (COMMENT_MARKS if tag == "article" else MARKS):
+            self.mark, self.comment = self, bool(marks & COMMENT_MARKS)
         if tag == "article" or tag == "main" and not self.semantic:
             self.semantic = self
         self.path = f"{parent.path}/{name}" if parent and tag in BLOCKS else parent.path if parent else name
 
+    @property
+    def noise(self) -> bool:
+        return self.hidden or self.mark is not None
+
 
 def parse(page: str) -> list[tuple[Element, str, int]]:
     """Blocks of text in page order, furniture left out: (innermost block element, text as it stands, characters inside links).
 
     A tolerant reading: unknown end tags are skipped, a paragraph ends where a block begins, a page may break off anywhere.
+    Where what a mark takes away is the article itself, the page is read again without that mark.
+    """
+    blocks, spared = read(page, frozenset())
+    return read(page, spared)[0] if spared else blocks
+
+
+def wrappers(order: dict[Element, int], prose: dict[Element | None, int], signs: set[Element | None]) -> frozenset[int]:
+    """Places of the marked elements that hold the article, with the marked elements around them.
+
+    ``prose`` and ``signs`` (an h1, article or main) are given by innermost marked element, None for text without marks. A marked
+    element holds the article if it has more prose than all text without marks and either a sign, or most of the prose while
+    no unmarked part has a sign. Comments, teasers and furniture by tag other than forms need a sign and a page without one elsewhere.
     """
+    clean, total = prose.get(None, 0), sum(prose.values())
+    found = set()
+    for element, held in prose.items():
+        plain = element is not None and not element.comment and (element.tag not in FURNITURE or element.tag == "form")
+        bare = None not in signs
+        if element is not None and held > clean and (element in signs and (plain or bare) or plain and bare and 2 * held > total):
+            up: Element | None = element
+            while up is not None:
+                found.add(order[up])
+                up = up.parent.mark
+    return frozenset(found)
+
+
+def read(page: str, spared: frozenset[int]) -> tuple[list[tuple[Element, str, int]], frozenset[int]]:
+    """Blocks of a page, where the marks of the elements at the given places don't count, and the places of marks to spare."""
     root = Element("html", None, "")
     stack = [root]
     blocks: list[tuple[Element, str, int]] = []
     pending: list[str] = []
-    linked = links = 0
+    linked = links = place = 0
     owner = root
+    order: dict[Element, int] = {}
+    prose: dict[Element | None, int] = defaultdict(int)
+    signs: set[Element | None] = set()
 
     def flush():
         nonlocal linked
@@ -100,9 +138,11 @@ def parse(page: str) -> list[tuple[Element, str, int]]:
     for m in TOKEN.finditer(page):
         kind = m.lastgroup
         if kind == "text":
-            if stack[-1].noise:
+            top, part = stack[-1], m["text"]
+            if not (links or top.hidden):
+                prose[top.mark] += len(part.strip())
+            if top.noise:
                 continue
-            part = m["text"]
             if links:
                 linked += len(part)
             pending.append(part)
@@ -126,7 +166,12 @@ def parse(page: str) -> list[tuple[Element, str, int]]:
                         break
             if tag == "a":
                 links = 1
-            element = Element(tag, stack[-1], m["attrs"])
+            place += 1
+            element = Element(tag, stack[-1], m["attrs"], place in spared)
+            if element.mark is element:
+                order[element] = place
+            elif tag in SIGNS and not element.hidden:
+                signs.add(element.mark)
             if not m["attrs"].endswith("/"):
                 stack.append(element)
             if tag in BLOCKS:
@@ -149,7 +194,7 @@ def parse(page: str) -> list[tuple[Element, str, int]]:
                 flush()
                 owner = next((e for e in reversed(stack) if e.tag in BLOCKS), root)
     flush()
-    return blocks
+    return blocks, wrappers(order, prose, signs) if order else frozenset()
 
 
 def container(element: Element) -> Element:

@@ -185,6 +185,27 @@ def test_hosts_vote(spark):
     assert html_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+ARTICLE = "<h1>Head</h1><p>A paragraph of the article.</p><div class=ad>Buy</div><p>And its end.</p>"
+
+
+def test_marked_wrappers_keep_the_article():
+    for start, end in [("<div class='page has-sidebar'>", "</div>"), ("<div id='header-fixed-layout'>", "</div>"), ("<section class='social-science'>", "</section>"), ("<form id=aspnet action=x>", "</form>"),
+                       ("<article class='post comments-open'><p>intro</p>", "</article>"), ("<form><div class='page has-sidebar'><div>", "</div></div></form>"), ("<form><div class='login-off'><section class='social-science'>", "</section></div></form>")]:
+        page = f"<body><nav>Menu with many words in it, more than the article has</nav>{start}{ARTICLE}{end}<footer>Foot</footer></body>"
+        want = "Head A paragraph of the article. And its end."
+        assert html_extract.extract(page, None) == ("intro " + want if "intro" in start else want), start
+    assert html_extract.extract("<body><p>x</p><form><p>A page without a heading.</p><nav>Menu</nav></form></body>", None) == "x A page without a heading."
+    two = "<body><section class='social-science'><h1>One</h1><p>first part</p></section><section class='social-science'><h1>Two</h1><p>second part</p></section></body>"
+    assert html_extract.extract(two, None) == "One first part Two second part"
+
+
+def test_marks_still_take_furniture():
+    long = "words of furniture " * 30
+    for inner in (f"<footer>{long}</footer>", f"<nav>{long}</nav>", f"<div class=sidebar><p>{long}</p></div>", f"<div class=comments><p>{long}</p></div>", f"<form><p>{long}</p></form>", f"<div class=related><article><h1>Other</h1>{long}</article></div>", f"<div hidden><h1>x</h1>{long}</div>"):
+        assert html_extract.extract(f"<body><div><h1>Head</h1><p>short</p></div>{inner}</body>", None) == "Head short", inner
+    assert html_extract.extract(f"<body><nav>{long}</nav><footer>{long}</footer><div class=comments>{long}</div></body>", None) == ""
+
+
 def test_raw_elements_end():
     for tag in ("<svg/>", "<svg class='i' viewBox=\"0 0 1 1\" />", "<math />", "<svg-icon name=x></svg-icon>", "<select-menu></select-menu>", "<object-view>", "<title-bar/>", "<svg><path d='M0'/></svg>", "<SVG><g/></svg >"):
         assert html_extract.extract(f"<div><p>one {tag} two</p><p>three</p></div>", None) == "one two three", tag
