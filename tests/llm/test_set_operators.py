@@ -109,6 +109,20 @@ def test_search_finds_the_nearest(spark):
     assert nearest.search(df.where("vec_id < 3"), F.lit(True), k=20).count() == 6
 
 
+def test_recall_of_the_share(spark):
+    """Parameters as the query has them, on so many vectors that the share decides, not the least number of entries."""
+    x = np.random.default_rng(5).normal(size=(5000, 64)).round(3)
+    assert nearest.VISIT_SHARE * len(x) > nearest.VISIT_LEAST
+    got = defaultdict(set)
+    for r in nearest.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=20).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    exact = x @ x.T
+    np.fill_diagonal(exact, -np.inf)
+    hits = sum(len(set(np.argsort(-exact[q])[:20].tolist()) & found) for q, found in got.items())
+    assert len(got) == 250 and all(len(found) == 20 for found in got.values())
+    assert 0.9 * 20 * len(got) <= hits < 20 * len(got)
+
+
 def test_cells_come_in_falling_order():
     rng = np.random.default_rng(3)
     a, b, sizes = rng.normal(size=9), rng.normal(size=7), rng.integers(0, 3, (9, 7))
