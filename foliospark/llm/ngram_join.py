@@ -219,15 +219,19 @@ def _batches(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def text_key():
+    return F.xxhash64("text").alias("text_key")
+
+
 def set_facts(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, n_shingles, high, class`` per row."""
-    def run(_, ids, texts):
+    """``doc_id, text_key, n_shingles, high, class`` per row; the key is the hash of the text."""
+    def run(_, ids, texts, keys):
         sets = [ngram_hashes(t, n) for t in texts]
         prints = [fingerprint(h) for h in sets]
-        return {"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array([len(h) for h in sets], pa.int64()),
+        return {"doc_id": pa.array(ids, pa.int64()), "text_key": pa.array(keys, pa.int64()), "n_shingles": pa.array([len(h) for h in sets], pa.int64()),
                 "high": pa.array([p[0] for p in prints], pa.int64()), "class": pa.array([p[1] for p in prints], pa.int64())}
 
-    return _batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, high long, class long")
+    return _batches(docs.select("doc_id", "text", text_key()), run, "doc_id long, text_key long, n_shingles long, high long, class long")
 
 
 def signature_rows(texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -409,6 +413,23 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, dear: int =
     return done.where("linked").select("a", "b"), names
 
 
+def grouped(docs: DataFrame, n: int = 5, percent: int = 80, dear: int = DEAR) -> DataFrame:
+    """``doc_id, text_key, n_shingles, first`` for every row of ``docs(doc_id, text)``: ``first`` is the smallest (doc_id, text_key)
+    of the group that the row's n-grams stand in, null for a row that is in none (without an id or without words)."""
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
+    facts = written(spark, set_facts(docs, n), "ngram-facts")
+    usable = facts.where("n_shingles > 0 and doc_id is not null")
+    classes = usable.groupBy("class", "high", "n_shingles").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    classes = written(spark, classes.withColumn("doc_id", F.col("first.doc_id")), "ngram-classes")
+    _, names = links(docs.where(F.col("doc_id").isNotNull()), classes.select("class", "doc_id"), n, percent, dear)
+    smallest = names.join(classes, names["node"] == classes["class"]).groupBy("label").agg(F.min("first").alias("least"))
+    merged = names.join(smallest, "label").select(F.col("node").alias("class"), "least")
+    own = classes.join(merged, "class", "left").select("class", "high", "n_shingles", F.coalesce("least", "first").alias("first"))
+    return (facts.join(own, ["class", "high", "n_shingles"], "left")
+            .select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first")))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, dear: int = DEAR) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
 
@@ -416,14 +437,4 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, dear: int =
     with fewer than ``n`` words is one n-gram; without words, or null, it is empty and linked with nothing. A null doc_id
     is linked with nothing and its component is null; repeated rows are returned each; other columns are ignored.
     """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    facts = written(spark, set_facts(docs, n), "ngram-facts")
-    usable = facts.where("n_shingles > 0 and doc_id is not null")
-    classes = written(spark, usable.groupBy("class", "high", "n_shingles").agg(F.min("doc_id").alias("doc_id")), "ngram-classes")
-    _, names = links(docs.where(F.col("doc_id").isNotNull()), classes.select("class", "doc_id"), n, percent, dear)
-    smallest = names.join(classes, names["node"] == classes["class"]).groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    merged = names.join(smallest, "label").select(F.col("node").alias("class"), "component_id")
-    own = classes.join(merged, "class", "left").select("class", "high", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return (facts.join(own, ["class", "high", "n_shingles"], "left")
-            .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))
+    return grouped(docs, n, percent, dear).select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))

@@ -244,6 +244,33 @@ def test_hosts_vote_with_all_containers(spark):
     assert {r["page_id"]: r["text"] for r in got} == {n: f"Head {n} " + " ".join(f"filler {k} of page {n}" for k in range(6)) + f" story {n}" for n in range(8)}
 
 
+def test_near_duplicates_go_by_row(spark):
+    """An id on several rows: each group keeps one row, whatever other groups its id stands in."""
+    import corpus_pipeline
+
+    x, y, z = (" ".join(f"{c}{k}" for k in range(40)) for c in "xyz")
+    rows = [(7, x), (7, y), (3, y), (9, x), (7, z), (7, z), (8, z), (5, "odd words"), (5, "odd words"), (None, x), (None, x), (6, ""), (6, "")]
+    docs = spark.createDataFrame([(i, t, f"s{n}", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.dtypes == docs.dtypes
+    assert sorted(r["n_chars"] for r in got.collect()) == [0, 2, 4, 7, 9, 10, 11, 12]
+
+
+def test_short_texts_of_shared_words_stay(spark, monkeypatch):
+    import corpus_pipeline
+
+    class Even:
+        def predict(self, texts):
+            return ["und" if t == "12" else "de" for t in texts], [0.0 if t == "12" else 0.3 for t in texts]
+
+    decided = {}
+    monkeypatch.setattr(corpus_pipeline, "language_model", lambda *_: None)
+    monkeypatch.setattr(corpus_pipeline, "shared_scorer", lambda _: Even())
+    monkeypatch.setattr(corpus_pipeline, "keep_rows", lambda docs, decide: decided.update(zip(["an", "12"], decide(["an", "12"]), strict=True)))
+    corpus_pipeline.keep_languages(spark, None, "")
+    assert decided == {"an": True, "12": False}
+
+
 def test_pipeline_on_a_small_corpus(spark, tmp_path):
     """Each stage against its rule: rejected rows go, of each family of near copies the smallest id stays, pieces are whole."""
     import corpus_pipeline
