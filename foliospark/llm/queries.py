@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import chat_tree, html_extract, language_id, nearest, ngram_join, packing, token_counts, toxicity
+from foliospark.llm import chat_tree, conversation_trie, html_extract, language_id, nearest, ngram_join, packing, periodic_runs, simhash_join, token_counts, toxicity
 from foliospark.llm.bpe_codec import encode_decode
 from foliospark.llm.common import fold, table
 from foliospark.llm.quality_rules import quality_rules
@@ -98,3 +98,37 @@ def language_model(spark: SparkSession, docs: DataFrame) -> language_id.Model:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_model(spark, docs)).select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+#: CRC-32 of a decimal id, bit by bit: its bytes, each followed by eight shifts.
+CRC_SQL = """(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda s: [ascii(s)::BIGINT, 256, 256, 256, 256, 256, 256, 256, 256]))),
+ lambda crc, x: CASE WHEN x < 256 THEN xor(crc, x) WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384) ELSE crc // 2 END))"""
+
+TRIE_SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ o AS (SELECT conv_id, list(struct_pack(id := md5(length(role) || ':' || role || text), chars := length(text)) ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) AS own FROM t GROUP BY conv_id),
+ r AS (SELECT o.conv_id, list_concat(coalesce(list_slice(b.own, 1, h), []), list_slice(o.own, h + 1, len(o.own))) AS turns
+       FROM (SELECT *, xor({CRC_SQL}, 4294967295) % 6 AS h FROM o) o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 100),
+ p AS (SELECT conv_id, d, len(turns) = d AS ends, coalesce(turns[d].chars, 0) AS chars, md5(array_to_string(list_transform(list_slice(turns, 1, d), lambda x: x.id), ',')) AS id,
+       CASE WHEN d > 0 THEN md5(array_to_string(list_transform(list_slice(turns, 1, d - 1), lambda x: x.id), ',')) END AS up FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM r)),
+ n AS (SELECT id, d AS depth, min(conv_id) AS conv_id, any_value(up) AS up, any_value(chars) AS chars, count(*) AS n_convs,
+       sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY id, d),
+ k AS (SELECT up, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+ m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.up = n.id AND k.depth = n.depth),
+ s AS (SELECT p.id, p.d AS depth, sum((m.n_children = 0)::BIGINT) AS n_leaves, sum((m.n_convs - 1) * m.chars) AS saved_tokens FROM m JOIN p ON p.conv_id = m.conv_id AND p.d <= m.depth GROUP BY ALL)
+ SELECT m.conv_id::BIGINT AS conv_id, m.depth::BIGINT AS depth, u.conv_id::BIGINT AS parent_conv_id, m.n_convs::BIGINT AS n_convs, m.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves,
+        s.saved_tokens::BIGINT AS saved_tokens, m.ends_sha256 FROM m JOIN s ON s.id = m.id AND s.depth = m.depth LEFT JOIN m u ON u.id = m.up AND u.depth = m.depth - 1"""
+
+
+@query("op11_conversation_trie", TRIE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), rewrite=True)
+
+
+@query("op13_simhash_join")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_join.near_duplicates(table(spark, sf_dir, "documents"), n=4, budget=4)
