@@ -39,7 +39,7 @@ def centre_inside(a: tuple[Column, ...], b: tuple[Column, ...], margin: float =
 
 def median_of(values: Column) -> Column:
     n = F.size(values)
-    return F.when(n > 0, let(F.array_sort(values), lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2))
+    return F.when(n > 0, let(F.sort_array(values), lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2))
 
 
 def grid_index(lines: Column, centre: Column) -> Column:

@@ -35,6 +35,6 @@ def zip_names(entries: DataFrame, block: int = 100_000) -> DataFrame:
         return let(name, lambda n: F.struct(F.array_append(a["used"], n).alias("used"), F.array_append(a["out"], F.struct(
             e["pos"].cast("long").alias("pos"), e["arcname"].alias("arcname"), n.alias("name"))).alias("out")))
 
-    folded = d.filter("_mixed").groupBy("job", "_root").agg(F.array_sort(F.collect_list(item)).alias("es"))
+    folded = d.filter("_mixed").groupBy("job", "_root").agg(F.sort_array(F.collect_list(item)).alias("es"))
     mixed = folded.select("job", F.inline(F.aggregate("es", start, step, lambda a: a["out"])))
     return simple.unionByName(mixed)

@@ -24,9 +24,10 @@ def box(prefix: str = "") -> tuple[Column, ...]:
 
 def lines_of(words: DataFrame, dpi: float = 72.0) -> DataFrame:
     """Lines with box, ordered words, text and size in points."""
-    word = F.struct("x0", "word_no", "text", "y0", "x1", "y1", "conf", "fsize")
+    bold = F.col("bold") if "bold" in words.columns else F.lit(None).cast("boolean").alias("bold")
+    word = F.struct("x0", "word_no", "text", "y0", "x1", "y1", "conf", "fsize", bold)
     g = words.groupBy(*LINE).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
-                                 F.min("par").alias("par"), F.array_sort(F.collect_list(word)).alias("words"))
+                                 F.min("par").alias("par"), F.sort_array(F.collect_list(word)).alias("words"))
     return g.withColumns({"text": tx.join_words(F.transform("words", lambda w: w["text"])), "size_pt": geo.line_size(F.col("words"), dpi),
                           "base": F.col("y1"), "n_words": F.size("words")})
 
@@ -42,7 +43,7 @@ def tab_rows(words: DataFrame, em: Column, col_left: Column, col_right: Column)
     """Segments of tabbed lines with their tab stop: right-set at the margin, else left."""
     s = tab_segments(words, em).groupBy(*LINE, "segment").agg(
         F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max(em).alias("em"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda w: w["text"]), " ").alias("text"))
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_no", "text"))), lambda w: w["text"]), " ").alias("text"))
     line = Window.partitionBy(*LINE)
     order = line.orderBy("segment")
     s = s.withColumns({"segments": F.count(F.lit(1)).over(line), "before": F.lag("x1").over(order)}).filter(F.col("segments") > 1)
@@ -55,73 +56,46 @@ def tab_rows(words: DataFrame, em: Column, col_left: Column, col_right: Column)
 def find_columns(words: DataFrame, page_width: float, max_cols: int = 3) -> DataFrame:
     """Text columns of each page as an ordered array of (x0, x1).
 
-    The words of a page are gathered once; all the rest is expressions on that row. Coverage
-    comes from a sweep over +1/-1 events, so nothing is exploded per pixel.
+    Word edges are +1/-1 events, added up per page and x; a running sum gives how many words cover a place. Only the places
+    where coverage crosses the limit go on; what lies between an opening and the next closing is a gutter if it is wide enough.
     """
-    lines = words.groupBy(*LINE).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("n"),
-                                     F.collect_list(F.struct(F.greatest(F.floor("x0"), F.lit(0)).alias("a"), (F.floor("x1") + 1).alias("b"))).alias("ws"))
-    page = lines.groupBy(*PAGE).agg(F.min("x0").alias("min_x"), F.max("x1").alias("max_x"), F.collect_list(F.struct("x0", "x1", "y0", "y1", "n", "ws")).alias("ls"))
-    body = F.filter("ls", lambda v: v["n"] >= 2)
-    return page.select(*PAGE, let(body, lambda ls: _page_columns(ls, page_width, max_cols)).alias("cols"))
-
-
-_CUTS = "array<struct<a:bigint,b:bigint>>"
-
-
-def _page_columns(body: Column, page_width: float, max_cols: int) -> Column:
-    """Columns of one page. Each stage binds its results, so none is computed again per event."""
-    at = lambda arr, share: let(F.array_sort(arr), lambda v: F.get(v, F.floor(share * (F.size(v) - 1)).cast("int")))
-    flat = F.flatten(F.transform(body, lambda v: v["ws"]))
-    events = F.array_sort(F.flatten(F.transform(flat, lambda w: F.array(
-        F.struct(w["a"].alias("x"), F.lit(1).alias("d")), F.struct(w["b"].alias("x"), F.lit(-1).alias("d"))))))
-
-    def bounds(v: Column) -> Column:
-        span = v["right"] - v["left"]
-        return let_all(swept, left=v["left"], right=v["right"], lo=F.floor(v["left"] + 0.15 * span), hi=F.floor(v["right"] - 0.15 * span),
-                       limit=0.2 * F.size(body), events=events)
-
-    def swept(v: Column) -> Column:
-        gap = lambda since, end: let_all(lambda g: F.when(g["b"] - g["a"] >= max(0.02 * page_width, 12), F.array(g)).otherwise(
-            F.array().cast(_CUTS)), a=F.greatest(since, v["lo"]), b=F.least(end, v["hi"]))
-        start = F.struct(F.lit(0).alias("cov"), F.lit(0).cast("long").alias("since"), F.array().cast(_CUTS).alias("cuts"))
-
-        def step(acc: Column, e: Column) -> Column:
-            cov = acc["cov"] + e["d"]
-            closes, opens = (acc["cov"] <= v["limit"]) & (cov > v["limit"]), (acc["cov"] > v["limit"]) & (cov <= v["limit"])
-            return F.struct(cov.alias("cov"), F.when(opens, e["x"]).otherwise(acc["since"]).alias("since"),
-                            F.when(closes, F.concat(acc["cuts"], gap(acc["since"], e["x"]))).otherwise(acc["cuts"]).alias("cuts"))
-
-        cuts = F.aggregate(v["events"], start, step, lambda acc: F.slice(F.concat(acc["cuts"], gap(acc["since"], v["hi"])), 1, max_cols - 1))
-        big = (F.size(body) >= 8) & (v["right"] > v["left"])
-        return let_all(named, left=v["left"], right=v["right"], cuts=F.when(big, cuts).otherwise(F.array().cast(_CUTS)))
-
-    def named(v: Column) -> Column:
-        edges = F.flatten(F.transform(v["cuts"], lambda c: F.array(c["a"].cast("double"), c["b"].cast("double"))))
-        return let_all(checked, single=column(v["left"], v["right"]), edges=F.concat(F.array(v["left"]), edges, F.array(v["right"])))
-
-    def column(x0: Column, x1: Column) -> Column:
-        return F.array(F.struct(x0.cast("double").alias("x0"), x1.cast("double").alias("x1")))
-
-    def checked(v: Column) -> Column:
-        found = F.transform(F.sequence(F.lit(0), F.floor(F.size(v["edges"]) / 2).cast("int") - 1), lambda i: F.struct(
-            F.get(v["edges"], i * 2).alias("x0"), F.get(v["edges"], i * 2 + 1).alias("x1")))
-        return let(found, lambda cols: F.when((F.size(cols) > 1) & F.coalesce(substantial(cols), F.lit(False)), cols).otherwise(v["single"]))
-
-    def substantial(cols: Column) -> Column:
-        """Four wide lines in each column, and columns that overlap vertically."""
-        inside = lambda v, c: (v["x0"] >= c["x0"] - 2) & (v["x1"] <= c["x1"] + 2) & ((v["x1"] - v["x0"]) >= 0.25 * (c["x1"] - c["x0"]))
-        held = F.transform(cols, lambda c: let(F.filter(body, lambda v: inside(v, c)), lambda ls: F.struct(
-            F.size(ls).alias("k"), F.array_min(F.transform(ls, lambda v: v["y0"])).alias("top"), F.array_max(F.transform(ls, lambda v: v["y1"])).alias("bot"))))
-
-        def test(h: Column) -> Column:
-            shortest = F.array_min(F.transform(h, lambda x: x["bot"] - x["top"]))
-            shared = F.array_min(F.transform(h, lambda x: x["bot"])) - F.array_max(F.transform(h, lambda x: x["top"]))
-            return F.forall(h, lambda x: x["k"] >= 4) & (shortest > 0) & (shared >= 0.5 * shortest)
-
-        return let(held, test)
-
-    few = column(F.col("min_x"), F.col("max_x"))
-    return F.when(F.size(body) < 8, few).otherwise(let_all(bounds, left=at(F.transform(body, lambda v: v["x0"]), 0.02), right=at(F.transform(body, lambda v: v["x1"]), 0.98)))
+    counted = words.select(*LINE, "x0", "y0", "x1", "y1", F.count(F.lit(1)).over(Window.partitionBy(*LINE)).alias("n"))
+    lines = counted.groupBy(*LINE).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("n").alias("n")).repartition(*PAGE)
+    body = F.col("n") >= 2
+    nth = lambda c, share: let(F.sort_array(F.collect_list(F.when(body, F.col(c)))), lambda v: F.get(v, F.floor(share * (F.size(v) - 1)).cast("int")))
+    page = lines.groupBy(*PAGE).agg(F.min("x0").alias("min_x"), F.max("x1").alias("max_x"), F.count_if(body).alias("k"), nth("x0", 0.02).alias("left"), nth("x1", 0.98).alias("right"))
+    span = F.col("right") - F.col("left")
+    page = page.withColumns({"lo": F.floor(F.col("left") + 0.15 * span).cast("double"), "hi": F.floor(F.col("right") - 0.15 * span).cast("double")})
+    wide = max(0.02 * page_width, 12)
+    gutter = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+
+    edges = F.array(F.struct(F.greatest(F.floor("x0"), F.lit(0)).alias("x"), F.lit(1).alias("d")), F.struct((F.floor("x1") + 1).alias("x"), F.lit(-1).alias("d")))
+    order = Window.partitionBy(*PAGE).orderBy("x")
+    events = counted.filter(body).select(*PAGE, F.inline(edges)).groupBy(*PAGE, "x").agg(F.sum("d").alias("d"))
+    covered = events.withColumn("over", F.sum("d").over(order)).join(page, PAGE)
+    limit = 0.2 * F.col("k")
+    opens = F.col("over") <= limit
+    crossing = covered.filter(((F.col("over") - F.col("d")) <= limit) != opens).withColumns({"then": F.lead("x").over(order), "first": F.row_number().over(order) == 1})
+    low = F.when(opens, F.greatest("x", "lo")).when(F.col("first"), F.col("lo"))
+    high = F.least(F.when(opens, F.coalesce("then", "hi")).otherwise(F.col("x")), "hi")
+    cuts = crossing.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.when(high - low >= wide, gutter(low.cast("double"), high.cast("double"))))).alias("cuts"))
+
+    whole = F.when(F.col("hi") - F.col("lo") >= wide, F.array(gutter(F.col("lo"), F.col("hi")))).otherwise(F.array().cast("array<struct<a:double,b:double>>"))
+    found = page.filter((F.col("k") >= 8) & (F.col("right") > F.col("left"))).join(cuts, PAGE, "left").withColumn("cuts", F.slice(F.coalesce("cuts", whole), 1, max_cols - 1))
+    marks = F.concat(F.array("left"), F.flatten(F.transform("cuts", lambda c: F.array(c["a"], c["b"]))), F.array("right"))
+    split = let(marks, lambda m: F.transform(F.sequence(F.lit(0), F.floor(F.size(m) / 2).cast("int") - 1), lambda i: F.struct(F.get(m, 2 * i).alias("x0"), F.get(m, 2 * i + 1).alias("x1"))))
+    found = found.filter(F.size("cuts") > 0).select(*PAGE, split.alias("cols"))
+
+    # Four wide lines in each column, and columns that overlap vertically.
+    parts = lines.filter(body).withColumnsRenamed({"x0": "a", "x1": "b"}).join(found, PAGE).select(*PAGE, "a", "b", "y0", "y1", F.size("cols").alias("parts"), F.posexplode("cols").alias("i", "c"))
+    inside = (F.col("a") >= F.col("c.x0") - 2) & (F.col("b") <= F.col("c.x1") + 2) & (F.col("b") - F.col("a") >= 0.25 * (F.col("c.x1") - F.col("c.x0")))
+    parts = parts.filter(inside).groupBy(*PAGE, "parts", "i").agg(F.count(F.lit(1)).alias("lines"), F.min("y0").alias("top"), F.max("y1").alias("bottom"))
+    shortest, shared = F.min(F.col("bottom") - F.col("top")), F.min("bottom") - F.max("top")
+    good = parts.groupBy(*PAGE, "parts").agg(F.count(F.lit(1)).alias("held"), F.min("lines").alias("lines"), ((shortest > 0) & (shared >= 0.5 * shortest)).alias("beside"))
+    good = good.filter("held = parts and lines >= 4 and beside").select(*PAGE)
+    single = lambda x0, x1: F.array(F.struct(x0.cast("double").alias("x0"), x1.cast("double").alias("x1")))
+    otherwise = F.when(F.col("k") < 8, single(F.col("min_x"), F.col("max_x"))).otherwise(single(F.col("left"), F.col("right")))
+    return page.join(found.join(good, PAGE, "left_semi"), PAGE, "left").select(*PAGE, F.coalesce("cols", otherwise).alias("cols"))
 
 
 def two_columns(words: DataFrame, page_width: float) -> DataFrame:
@@ -207,30 +181,26 @@ def line_pitch(lines: DataFrame) -> DataFrame:
     return d.groupBy(*PAGE).agg(F.when(F.count("_r") >= 3, F.percentile("_r", F.lit(0.5))).otherwise(1.2).alias("pitch"))
 
 
+def column_extents(lines: DataFrame, columns: DataFrame) -> DataFrame:
+    """Extents of each column of a page, and of all of them as column -1: ``col_left, col_right`` as found, ``cl, cr`` from the column's own lines where it has three."""
+    pick = lambda c, share: let(F.sort_array(F.collect_list(c)), lambda v: F.when(F.size(v) >= 3, F.get(v, F.floor(share * (F.size(v) - 1)).cast("int"))))
+    own = lines.filter("n_words >= 3").groupBy(*PAGE, "col").agg(pick("x0", 0.1).alias("cl"), pick("x1", 0.9).alias("cr"))
+    each = columns.select(*PAGE, F.posexplode("cols").alias("col", "c")).join(own, [*PAGE, "col"], "left").select(
+        *PAGE, "col", F.col("c.x0").alias("col_left"), F.col("c.x1").alias("col_right"), F.coalesce("cl", "c.x0").alias("cl"), F.coalesce("cr", "c.x1").alias("cr"))
+    across = each.groupBy(*PAGE).agg(F.lit(-1).alias("col"), F.min("col_left").alias("col_left"), F.max("col_right").alias("col_right"), F.min("cl").alias("cl"), F.max("cr").alias("cr"))
+    return each.unionByName(across)
+
+
 def paragraph_breaks(lines: DataFrame, columns: DataFrame, pitch: DataFrame) -> DataFrame:
-    """Paragraph number of each ordered line (``pos``, ``col``, ``tabbed``, ``words``, ``size_pt``, ``base``, ``par``).
+    """Paragraph number of each ordered line (``pos``, ``col``, ``tabbed``, ``words``, ``size_pt``, ``base``, ``par``); ``opens`` marks its first line.
 
-    Pairwise rules are window expressions; only what depends on the open list item is folded, over
-    the lines of one page.
+    Most breaks depend on two neighbouring lines. The rest depends on the open list item, which is no more than the place its
+    text hangs at, or nothing: a marked line opens it, a line to the left of it, or any hard break, closes it. So between two hard
+    breaks the item is known from the first line until the first line that leaves it, and no state has to be folded.
     """
-    page = Window.partitionBy(*PAGE)
-    wide = F.collect_list(F.when(F.col("n_words") >= 3, F.struct("col", "x0", "x1"))).over(page)
-    pick = lambda v, name, share: let(F.array_sort(F.transform(v, lambda x: x[name])), lambda a: F.get(a, F.floor(share * (F.size(a) - 1)).cast("int")))
-
-    def extents(v: Column) -> Column:
-        """Left and right of each column: from its lines when there are three, else as given."""
-        return F.transform(v["cols"], lambda c, i: let(F.filter(v["wide"], lambda x: x["col"] == i), lambda mine: F.struct(
-            F.when(F.size(mine) >= 3, pick(mine, "x0", 0.1)).otherwise(c["x0"]).alias("cl"), F.when(F.size(mine) >= 3, pick(mine, "x1", 0.9)).otherwise(c["x1"]).alias("cr"))))
-
-    def own(refs: Column) -> Column:
-        """The line's column, or all of them for a full-width line."""
-        spread = F.struct(F.array_min(F.transform(refs, lambda r: r["cl"])).alias("cl"), F.array_max(F.transform(refs, lambda r: r["cr"])).alias("cr"))
-        return F.when(F.col("col") >= 0, F.get(refs, F.col("col"))).otherwise(spread)
-
-    keep = lines.columns
-    d = lines.join(columns.select(*PAGE, "cols"), PAGE).join(pitch, PAGE).withColumn("_w", wide)
-    d = d.withColumn("_r", let(let_all(extents, cols=F.col("cols"), wide=F.col("_w")), own))
-    d = d.select(*keep, "pitch", "_r.cl", "_r.cr")
+    d = lines.repartition(*PAGE)
+    d = d.join(column_extents(d, columns), [*PAGE, "col"]).join(pitch, PAGE)
+    keep = [*lines.columns, "pitch", "cl", "cr", "col_left", "col_right", "mark"]
     d = d.withColumn("mark", geo.list_marker(F.get("words", F.lit(0)), F.get("words", F.lit(1)), F.col("size_pt"), F.col("cl")))
     w = Window.partitionBy(*PAGE).orderBy("pos")
     d = d.withColumn("p", F.lag(F.struct("col", "tabbed", "size_pt", "base", "par", "x0", "x1")).over(w))
@@ -243,32 +213,87 @@ def paragraph_breaks(lines: DataFrame, columns: DataFrame, pitch: DataFrame) ->
     short = (F.col("cr") - p["x1"]) > 0.3 * width
     indent = ((F.col("x0") - F.col("cl")) > 1.2 * em) & ((p["x0"] - F.col("cl")) < 0.6 * em)
     ragged = (((p["x1"] - p["x0"]) < 0.55 * width) & ((F.col("x1") - F.col("x0")) < 0.55 * width) & ((p["x0"] - F.col("cl")) < 0.1 * width) & (F.abs(p["x0"] - F.col("x0")) < 0.05 * width))
-    d = d.withColumns({"hard": hard, "soft": short | (new_par & (indent | ragged)), "hang": F.col("x0") + 1.5 * em, "left": F.col("mark.text_left")})
-    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("item"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        brk = x["hard"] | F.when(a["item"].isNotNull(), x["hang"] < a["item"]).otherwise(x["soft"])
-        return let(brk, lambda b: F.struct((a["n"] + b.cast("int")).alias("n"), F.when(b, x["left"]).otherwise(a["item"]).alias("item"),
-                                           F.array_append(a["out"], a["n"] + b.cast("int")).alias("out")))
-
-    # The lines of a page travel through the fold whole, so that nothing is joined back.
-    row = F.struct("pos", "hard", "soft", "hang", "left", F.struct(*[c for c in keep if c not in PAGE], "pitch", "cl", "cr", "mark").alias("line"))
-    page_rows = d.groupBy(*PAGE).agg(F.array_sort(F.collect_list(row), lambda p, q: (p["pos"] - q["pos"]).cast("int")).alias("rows"))
-    numbered = let(F.col("rows"), lambda rows: let(F.aggregate(rows, start, step, lambda a: a["out"]), lambda paras: F.zip_with(
-        rows, paras, lambda r, n: F.struct(r["line"].alias("line"), n.alias("para")))))
-    return page_rows.select(*PAGE, F.inline(numbered)).select(*PAGE, "line.*", "para")
-
-
-def paragraphs(lines: DataFrame) -> DataFrame:
-    """Paragraph rows from numbered lines: text, box, size, alignment and marker."""
-    line = F.struct("pos", "text", "x0", "x1", "size_pt", "base", "mark", "tabbed", "y0")
-    g = lines.groupBy(*PAGE, "para", "col").agg(F.array_sort(F.collect_list(line)).alias("ls"), F.min("cl").alias("cl"), F.max("cr").alias("cr"), F.min("x0").alias("x0"),
-                                                F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.percentile("size_pt", F.lit(0.5)).alias("size_pt"))
-    first = F.get("ls", F.lit(0))
+    d = d.withColumns({"hard": hard, "soft": short | (new_par & (indent | ragged)), "hang": F.col("x0") + 1.5 * em}).withColumn("piece", F.sum(F.col("hard").cast("int")).over(w))
+    piece = Window.partitionBy(*PAGE, "piece")
+    d = d.withColumn("item", F.max(F.when(F.col("hard"), F.col("mark.text_left"))).over(piece))
+    d = d.withColumn("leaves", F.min(F.when(~F.col("hard") & (F.col("hang") < F.col("item")), F.col("pos"))).over(piece))
+    left = F.col("item").isNull() | (F.col("pos") > F.col("leaves"))
+    opens = F.col("hard") | F.coalesce(F.col("pos") == F.col("leaves"), F.lit(False)) | (F.coalesce(left, F.lit(False)) & F.col("soft"))
+    return d.withColumn("opens", opens).withColumn("para", F.sum(F.col("opens").cast("int")).over(w).cast("int")).select(*keep, "opens", "para")
+
+
+def paragraphs(lines: DataFrame, dpi: float = 72.0, gap_em: float = 2.5) -> DataFrame:
+    """Paragraph rows from numbered lines: runs of one weight, tab stops, indents, pitch, box, alignment and marker.
+
+    Runs are islands over the words of a paragraph; how a word meets the next is decided by these two. A tabbed paragraph is one line
+    and has a run of a tab before each further segment. A list marker leaves the text; the label of a numbered item comes back as its first run.
+    """
+    para, points = [*PAGE, "para"], 72.0 / dpi
+    d = lines.repartition(*PAGE)
+    em = F.col("size_pt") * dpi / 72.0
+    mark = F.when(F.col("opens"), geo.list_marker(F.get("words", F.lit(0)), F.get("words", F.lit(1)), em, F.col("col_left")))
+    d = d.withColumns({"mark": mark, "em": em, "step": F.col("base") - F.lag("base").over(Window.partitionBy(*para).orderBy("pos"))})
+
+    at_first = lambda c: F.max(F.when(F.col("opens"), F.col(c)))
+    line = F.struct("pos", "x0", "x1")
+    rows = d.groupBy(*para, "col").agg(
+        F.max("col_left").alias("cl"), F.max("col_right").alias("cr"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
+        F.percentile("size_pt", F.lit(0.5)).alias("size_pt"), F.count(F.lit(1)).cast("int").alias("n_lines"), at_first("tabbed").alias("tabbed"), at_first("mark").alias("mark"),
+        at_first("x0").alias("first_x0"), at_first("base").alias("first_base"), F.max_by("base", "pos").alias("last_base"), at_first("em").alias("em"),
+        F.min(F.when(~F.col("opens"), F.col("x0"))).alias("rest_x0"), F.percentile("step", F.lit(0.5)).alias("step"), F.sort_array(F.collect_list(line)).alias("ls"))
+
+    listed = F.col("mark").isNotNull() & ~F.col("tabbed")
+    ws = d.select(*para, "pos", "opens", "tabbed", "em", "col_left", "col_right", listed.alias("listed"), F.posexplode("words").alias("i", "w"))
+    ws = ws.filter(~(F.col("listed") & (F.col("i") == 0)) & (F.col("w.text") != "")).select(*para, "pos", "i", "tabbed", "em", "col_left", "col_right", "w.text", "w.x0", "w.x1", F.coalesce("w.bold", F.lit(False)).alias("bold"))
+    w = Window.partitionBy(*para).orderBy("pos", "i")
+    ws = ws.withColumns({"before": F.lag("bold").over(w), "cut": F.coalesce(F.col("tabbed") & (F.col("x0") - F.lag("x1").over(w) > gap_em * F.col("em")), F.lit(False))})
+    ws = ws.withColumn("new", F.col("cut") | F.coalesce(F.col("before") != F.col("bold"), F.lit(True)))
+    ws = ws.withColumns({"segment": F.sum(F.col("cut").cast("int")).over(w), "run": F.sum(F.col("new").cast("int")).over(w), "next": F.lead(F.struct("text", "bold", "pos", "cut")).over(w)})
+    text, nxt = F.col("text"), F.col("next")
+    spaced = F.when(tx.both_cjk(text, nxt["text"]), text).otherwise(F.concat(text, F.lit(" ")))
+    shorter = F.left(text, F.length(text) - 1)
+    how = tx.line_joint(text, nxt["text"], ~F.col("new") | (F.length(text) >= 3))
+    split_word = text.rlike(r"\p{L}-$") & nxt["text"].rlike(r"^\p{Ll}")
+    joined = F.when(nxt["bold"] != F.col("bold"), F.when(split_word, shorter).otherwise(spaced)).otherwise(F.when(how == "glue", text).when(how == "drop", shorter).otherwise(F.concat(text, F.lit(" "))))
+    piece = F.when(nxt.isNull() | nxt["cut"], text).when(nxt["pos"] == F.col("pos"), spaced).otherwise(joined)
+    runs = ws.withColumn("piece", piece).groupBy(*para, "segment", "run").agg(F.max("bold").alias("bold"), F.sum(F.length("text") * F.col("bold").cast("int")).alias("bold_letters"), F.sum(F.length("text")).alias("letters"),
+                                                                             F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "i", "piece"))), lambda x: x["piece"]), "").alias("text"))
+    run = F.struct("segment", "run", "text", "bold")
+    runs = runs.groupBy(*para).agg(F.sort_array(F.collect_list(F.when(F.col("text") != "", run))).alias("runs"), F.sum("bold_letters").alias("bold_letters"), F.sum("letters").alias("letters"))
+
+    parts = ws.filter("tabbed").groupBy(*para, "segment", "em", "col_left", "col_right").agg(F.min("x0").alias("a"), F.max("x1").alias("b"))
+    by = Window.partitionBy(*para).orderBy("segment")
+    parts = parts.withColumns({"gap": F.col("a") - F.lag("b").over(by), "last": F.lead("segment").over(by).isNull()})
+    right = F.col("last") & (F.col("col_right") - F.col("b") < 0.04 * (F.col("col_right") - F.col("col_left"))) & (F.col("gap") > 4 * F.col("em"))
+    stop = lambda at, kind: F.struct((at * points).cast("double").alias("at"), kind.alias("kind"))
+    tabs = parts.filter("segment > 0").groupBy(*para).agg(F.sort_array(F.collect_list(F.struct("segment", stop(F.when(right, F.col("b")).otherwise(F.col("a")) - F.col("col_left"), F.when(right, "right").otherwise("left")).alias("stop")))).alias("stops"))
+
+    d = rows.join(runs, para, "left").join(tabs, para, "left")
+    listed, tabbed = F.col("mark").isNotNull() & ~F.col("tabbed"), F.col("tabbed")
+    offset = lambda c: (c - F.col("cl")) * points
     ext = F.transform("ls", lambda v: F.struct(v["x0"].alias("x0"), v["x1"].alias("x1")))
-    align = F.when(first["mark"].isNotNull() | first["tabbed"], "left").otherwise(geo.align_of(ext, F.col("cl"), F.col("cr"), F.lit(False)))
-    return g.select(*PAGE, "para", "col", "cl", "cr", "x0", "y0", "x1", "y1", "size_pt", tx.paragraph_text(F.transform("ls", lambda v: v["text"])).alias("text"),
-                    F.size("ls").alias("n_lines"), first["mark"]["kind"].alias("list_kind"), first["tabbed"].alias("tabbed"), align.alias("align"), ext.alias("extents"))
+    d = d.withColumns({"extents": ext, "cont": F.coalesce("rest_x0", "x0"), "first_at": offset(F.col("first_x0")), "hung": F.greatest(F.lit(0.0), offset(F.col("mark.text_left")))})
+    d = d.withColumn("align", F.when(F.col("mark").isNotNull() | tabbed, "left").otherwise(geo.align_of(F.col("extents"), F.col("cl"), F.col("cr"), F.lit(False))))
+    flush = F.col("align").isin("left", "justify")
+    lone = (F.col("n_lines") == 1) & (F.col("first_x0") - F.col("cl") > 0.06 * (F.col("cr") - F.col("cl")))
+    left = F.when(tabbed, 0.0).when(listed, F.col("hung")).when(flush & lone, F.col("first_at")).when(flush & (offset(F.col("cont")) > 6), offset(F.col("cont"))).otherwise(0.0)
+    hanging = (F.col("first_x0") - F.col("cont")) * points
+    first = (F.when(tabbed, 0.0).when(listed, F.greatest(F.col("first_at"), F.lit(0.0)) - F.col("hung"))
+             .when(flush & (F.col("n_lines") > 1) & (F.abs(hanging) > 0.7 * F.col("size_pt")), hanging).otherwise(0.0))
+    leading = tabbed & (F.col("first_x0") - F.col("cl") > 0.5 * F.col("em"))
+    no_runs, no_tabs = F.array().cast("array<struct<text:string,bold:boolean>>"), F.array().cast("array<struct<at:double,kind:string>>")
+    one_run = lambda text: F.array(F.struct(text.alias("text"), F.lit(False).alias("bold")))
+    own = F.coalesce(F.flatten(F.transform("runs", lambda r, i: F.concat(F.when((i > 0) & (r["segment"] > F.get("runs", i - 1)["segment"]), one_run(F.lit("\t"))).otherwise(no_runs),
+                                                                          F.array(F.struct(r["text"].alias("text"), r["bold"].alias("bold")))))), no_runs)
+    label = F.when(listed & (F.col("mark.kind") == "number"), one_run(F.concat("mark.text", F.lit("\t")))).when(leading, one_run(F.lit("\t"))).otherwise(no_runs)
+    stops = F.coalesce(F.transform("stops", lambda x: x["stop"]), no_tabs)
+    d = d.withColumns({"runs": F.concat(label, own), "left_indent": left, "first_indent": first, "line_pitch": F.coalesce(F.greatest(F.col("step") * points, "size_pt"), F.lit(0.0)),
+                       "tabs": F.when(listed & (F.col("mark.kind") == "number"), F.array(stop(F.col("hung") / points, F.lit("left")))).when(leading, F.concat(F.array(stop(F.col("first_at") / points, F.lit("left"))), stops)).otherwise(stops)})
+    pitch = F.when(F.col("line_pitch") > 0, F.col("line_pitch")).otherwise(F.col("size_pt") * 1.2)
+    d = d.withColumns({"text": F.array_join(F.transform("runs", lambda r: r["text"]), ""), "top": F.col("first_base") * points - 0.8 * pitch, "bottom": F.col("last_base") * points + 0.2 * pitch})
+    heavy = F.coalesce((F.col("letters") > 0) & (F.col("bold_letters") >= 0.7 * F.col("letters")), F.lit(False))
+    return d.select(*para, "col", "cl", "cr", "x0", "y0", "x1", "y1", "size_pt", "text", "n_lines", F.when(listed, F.col("mark.kind")).alias("list_kind"), "tabbed", "align", "extents", "runs", "tabs",
+                    "left_indent", "first_indent", "line_pitch", "top", "bottom", tx.is_rtl_line(F.col("text")).alias("rtl"), heavy.alias("all_bold"))
 
 
 def justify_prior(paras: DataFrame) -> DataFrame:
@@ -374,7 +399,7 @@ def bold_words(words: DataFrame) -> DataFrame:
 
         return F.aggregate(F.transform(ws, lambda w, i: F.struct(i.alias("i"), w["word_no"].alias("word_no"), w["b0"].alias("b0"), w["len"].alias("len"))), start, step, lambda a: a["out"])
 
-    ws = F.array_sort(F.collect_list(F.struct(F.col("word_no").cast("long").alias("word_no"), "b0", F.length("text").alias("len"))))
+    ws = F.sort_array(F.collect_list(F.struct(F.col("word_no").cast("long").alias("word_no"), "b0", F.length("text").alias("len"))))
     return d.groupBy(*LINE).agg(let(ws, over).alias("out")).select(*LINE, F.inline("out"))
 
 
@@ -461,7 +486,7 @@ def word_in_grid(words: DataFrame, grids: DataFrame, pictures: DataFrame) -> Dat
     Grids and pictures of a page are few; they travel with the page as arrays, so each word is
     tested in place and no word is duplicated by a range join.
     """
-    g = grids.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("grid_no", "x0", "y0", "x1", "y1"))).alias("grids"))
+    g = grids.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("grid_no", "x0", "y0", "x1", "y1"))).alias("grids"))
     p = pictures.groupBy(*PAGE).agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("pics"))
     d = words.join(g, PAGE, "left").join(p, PAGE, "left")
     f = lambda b: (b["x0"], b["y0"], b["x1"], b["y1"])
@@ -500,7 +525,7 @@ def ocr_tsv_lines(words: DataFrame, dpi: float) -> DataFrame:
     scale = 72.0 / dpi
     w = words.filter((F.trim("text") != "") & (F.col("conf") > 30))
     g = w.groupBy(*PAGE, "block", "line_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "word_no", F.trim("text").alias("text")))), lambda v: v["text"]), " ").alias("text"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("left", "word_no", F.trim("text").alias("text")))), lambda v: v["text"]), " ").alias("text"),
         (F.min("left") * scale).alias("x"), (F.min("top") * scale).alias("y"), (F.max(F.col("left") + F.col("width")) * scale).alias("right"),
         (F.max(F.col("top") + F.col("height")) * scale).alias("bottom"), geo.tsv_font_size(F.avg("height"), dpi).alias("font_size"))
     return g.select(*PAGE, "block", "line_no", "text", "x", "y", (F.col("right") - F.col("x")).alias("width"), (F.col("bottom") - F.col("y")).alias("height"), "font_size")

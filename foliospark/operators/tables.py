@@ -89,7 +89,7 @@ def table_chains(tables: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
     runs = starts.select("doc_id", "page_no", F.sum("cut").over(w).alias("run"))
     item = F.struct("page_no", "table_no", "n_cols", "widths", "header", "merged")
-    g = d.join(runs, ["doc_id", "page_no"]).groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(item)).alias("ts"))
+    g = d.join(runs, ["doc_id", "page_no"]).groupBy("doc_id", "run").agg(F.sort_array(F.collect_list(item)).alias("ts"))
     start = F.struct(F.lit(None).cast(f"struct<{_LOOK}>").alias("head"), F.lit(-2).cast("long").alias("last_page"),
                      F.array().cast("array<struct<page_no:bigint,table_no:bigint,head_page:bigint,head_table:bigint,drop_header:boolean>>").alias("out"))
 
@@ -124,7 +124,7 @@ def ruled_cells(words: DataFrame, grids: DataFrame, dpi: float = 72.0) -> DataFr
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     d = d.withColumns({"col_no": geo.grid_index(F.col("xs"), cx), "row_no": geo.grid_index(F.col("ys"), cy), "cy": cy})
     size = d.filter("fsize > 0").groupBy(*key).agg(snap_size(F.percentile("fsize", F.lit(0.5)) * 72.0 / dpi / geo.FSIZE_TO_EM).alias("size"))
-    ws = F.array_sort(F.collect_list(F.struct("cy", "x0", "word_no", "text", F.col("y1") - F.col("y0"))))
+    ws = F.sort_array(F.collect_list(F.struct("cy", "x0", "word_no", "text", F.col("y1") - F.col("y0"))))
     g = d.groupBy(*key, "row_no", "col_no").agg(ws.alias("ws"), F.min("x0").alias("tx0"), F.max("x1").alias("tx1"), F.bool_and("bold").alias("all_bold"),
                                                F.first("xs").alias("xs"))
     # Visual lines of a cell: a word starts one when its centre leaves the line's first word by 0.6 of its height.

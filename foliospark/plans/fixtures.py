@@ -153,7 +153,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         base, exprs, _ = _DIALECT[name]
     else:
         base, exprs = VIEWS[name]
-    return view(spark, sf_dir, base).selectExpr(*exprs)
+    rows = view(spark, sf_dir, base)
+    if name == "flat_words":
+        # Documents are dealt before they become words: less is moved, and what is keyed by document and page stays where it is.
+        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return rows.selectExpr(*exprs)
 
 
 def _body(name: str) -> tuple[str, str]:

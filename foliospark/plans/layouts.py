@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as geo
+from foliospark.functions.numbers import SIZE_STEPS
 from foliospark.operators import folds, layout, tables
 from foliospark.plans.fixtures import ctes, table, view
 from foliospark.plans.registry import query
@@ -25,18 +26,18 @@ def _lines(spark, d):
 
 
 def _two_columns(spark, d):
-    """Words of a two-column page: each side's line is a line of its own."""
-    return view(spark, d, "two_col_words").withColumn("line_no", F.col("line_no") * 2 + F.col("side"))
+    """Words of a two-column page: each side's line is a line of its own; long words are bold."""
+    return view(spark, d, "two_col_words").withColumns({"line_no": F.col("line_no") * 2 + F.col("side"), "bold": F.length("text") >= 8})
 
 
 def _ordered(spark, d):
-    """Lines with column, order, band and tab flag, on two-column pages.
+    """Lines with column, order, band and tab flag (every tenth line), on two-column pages.
 
     Both tables feed several later steps, so they are written once instead of computed for each.
     """
     w = _two_columns(spark, d)
     cols = written(spark, layout.find_columns(w, 1224), "columns")
-    lines = layout.reading_order(layout.assign_columns(layout.lines_of(w), cols)).withColumn("tabbed", F.lit(False))
+    lines = layout.reading_order(layout.assign_columns(layout.lines_of(w), cols)).withColumn("tabbed", F.col("line_no") % 10 == 9)
     return written(spark, lines.drop("cols"), "lines"), cols
 
 
@@ -65,7 +66,29 @@ def _(spark, d):
     return layout.tab_rows(_words(spark, d), F.lit(11.0), F.lit(72.0), F.lit(548.0)).select("doc_id", "page_no", "line_no", "segment", "text", "kind", "stop")
 
 
-@query("find_columns")
+#: Words, lines and columns of two-column pages; ``fc`` has a row per column.
+_COLUMNS = T2.rstrip() + r""", w0 AS (SELECT * EXCLUDE (line_no, side), line_no * 2 + side AS line_no, length(text) >= 8 AS bold FROM two_col_words),
+ l0 AS (SELECT doc_id, page_no, line_no, count(*) AS n, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1, max(y1) AS base, min(par) AS par, string_agg(text, '' ORDER BY x0, word_no) AS t,
+   coalesce(median(fsize) FILTER (conf >= 50), median(fsize)) / 0.925 AS a, max(y1 - y0) / 0.70 AS b FROM w0 GROUP BY ALL),
+ l AS (SELECT * EXCLUDE (t, a, b), CASE WHEN length(t) >= 6 AND regexp_matches(t, '[\p{Lu}\p{Nd}bdfhklt]') AND NOT regexp_matches(t, '[gjpqy,;()\[\]{}|/@Q]') AND NOT regexp_matches(t, '[^\x{00}-\x{2ff}]')
+   AND 0.9 * b <= a * 1.35 AND b > a THEN least(b, a * 1.3) ELSE a END AS size_pt FROM l0),
+ pg AS (SELECT doc_id, page_no, min(x0) AS mn, max(x1) AS mx, count(*) FILTER (n >= 2) AS k, list_sort(list(x0) FILTER (n >= 2)) AS xs, list_sort(list(x1) FILTER (n >= 2)) AS ys FROM l GROUP BY ALL),
+ ps AS (SELECT *, xs[floor(0.02 * (k - 1))::INT + 1] AS lf, ys[floor(0.98 * (k - 1))::INT + 1] AS rt FROM pg),
+ pb AS (SELECT *, floor(lf + 0.15 * (rt - lf)) AS lo, floor(rt - 0.15 * (rt - lf)) AS hi FROM ps),
+ ev AS (SELECT doc_id, page_no, x, sum(d) AS d FROM (SELECT doc_id, page_no, greatest(floor(w0.x0), 0) AS x, 1 AS d FROM w0 JOIN l USING (doc_id, page_no, line_no) WHERE n >= 2
+   UNION ALL SELECT doc_id, page_no, floor(w0.x1) + 1, -1 FROM w0 JOIN l USING (doc_id, page_no, line_no) WHERE n >= 2) GROUP BY ALL),
+ cv AS (SELECT ev.*, sum(d) OVER (PARTITION BY doc_id, page_no ORDER BY x) AS o, 0.2 * k AS lim, lo, hi FROM ev JOIN pb USING (doc_id, page_no)),
+ cx AS (SELECT *, lead(x) OVER w AS nx, row_number() OVER w AS rn FROM cv WHERE (o - d <= lim) <> (o <= lim) WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY x)),
+ ga AS (SELECT doc_id, page_no, CASE WHEN o <= lim THEN greatest(x, lo) WHEN rn = 1 THEN lo END AS a, CASE WHEN o <= lim THEN least(coalesce(nx, hi), hi) ELSE least(x, hi) END AS b FROM cx),
+ gn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY a) AS i FROM (SELECT * FROM ga UNION ALL SELECT doc_id, page_no, lo, hi FROM pb ANTI JOIN cx USING (doc_id, page_no)) WHERE b - a >= 24.48),
+ gc AS (SELECT doc_id, page_no, list(a ORDER BY i) AS cas, list(b ORDER BY i) AS cbs FROM gn JOIN pb USING (doc_id, page_no) WHERE i <= 2 AND k >= 8 AND rt > lf GROUP BY ALL),
+ tc AS (SELECT doc_id, page_no, i AS col, CASE WHEN i = 0 THEN lf ELSE cbs[i] END AS x0, CASE WHEN i = len(cas) THEN rt ELSE cas[i + 1] END AS x1, len(cas) + 1 AS m FROM (SELECT *, unnest(range(len(cas) + 1)) AS i FROM gc JOIN pb USING (doc_id, page_no))),
+ tb AS (SELECT tc.doc_id, tc.page_no, m, col, count(*) AS c, min(y0) AS t, max(y1) AS b FROM tc JOIN l ON l.doc_id = tc.doc_id AND l.page_no = tc.page_no AND l.n >= 2 AND l.x0 >= tc.x0 - 2 AND l.x1 <= tc.x1 + 2 AND l.x1 - l.x0 >= 0.25 * (tc.x1 - tc.x0) GROUP BY ALL),
+ ok AS (SELECT doc_id, page_no FROM tb GROUP BY doc_id, page_no HAVING count(*) = any_value(m) AND min(c) >= 4 AND min(b - t) > 0 AND min(b) - max(t) >= 0.5 * min(b - t)),
+ fc AS (SELECT doc_id, page_no, col::INT AS col, x0, x1 FROM tc SEMI JOIN ok USING (doc_id, page_no) UNION ALL SELECT doc_id, page_no, 0, CASE WHEN k < 8 THEN mn ELSE lf END, CASE WHEN k < 8 THEN mx ELSE rt END FROM pb ANTI JOIN ok USING (doc_id, page_no))"""
+
+
+@query("find_columns", _COLUMNS + " SELECT doc_id, page_no, col, x0, x1 FROM fc")
 def _(spark, d):
     c = layout.find_columns(_two_columns(spark, d), 1224)
     return c.select("doc_id", "page_no", F.posexplode("cols").alias("col", "c")).select("doc_id", "page_no", "col", "c.x0", "c.x1")
@@ -149,6 +172,39 @@ def _(spark, d):
     return layout.line_pitch(lines).select("doc_id", "page_no", F.round("pitch", 9).alias("pitch"))
 
 
+def _mark(em: str, left: str) -> str:
+    """SQL struct of the list marker of a line from its first two words ``f`` and ``g``, null without one."""
+    number, width, gap = "^(\\(?[0-9]{1,3}[.)]|\\(?[a-zA-Z][.)]|\\(?[ivxIVX]{1,4}[.)])$", "(f.x1 - f.x0)", "(g.x0 - f.x1)"
+    numeric = f"regexp_matches(f.text, '{number}') AND {gap} >= 0.2 * {em}"
+    symbol = f"(list_contains({geo.BULLET_CHARS + geo.BULLET_SYMBOLS}, f.text) OR (length(f.text) <= 1 AND NOT regexp_matches(f.text, '^[\\p{{L}}\\p{{N}}]$')))"
+    return f"""CASE WHEN {numeric} THEN CASE WHEN regexp_matches(regexp_replace(f.text, '[().]', '', 'g'), '^[0-9]+$') OR f.x0 - {left} >= 0.8 * {em} THEN {{kind: 'number', label: f.text, hang: g.x0}} END
+ WHEN {symbol} THEN CASE WHEN {gap} >= 0.45 * {em} AND {width} <= 1.2 * {em} THEN {{kind: 'bullet', label: f.text, hang: g.x0}} END
+ WHEN list_contains({geo.BULLET_LETTERS}, f.text) AND {gap} >= 0.6 * {em} AND {width} <= 0.7 * {em} AND f.y1 - f.y0 < 0.7 * (g.y1 - g.y0) AND f.x0 - {left} >= 0 THEN {{kind: 'bullet', label: f.text, hang: g.x0}} END"""
+
+
+#: Numbered lines ``nl``: the breaks are walked line by line with the open item as the only state.
+_BREAKS = _COLUMNS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", ac AS (SELECT l.doc_id, l.page_no, line_no, any_value(l.x0) AS x0, any_value(l.x1) AS x1, any_value(y0) AS y0, any_value(n) AS n, count(*) AS ncols,
+   count(*) FILTER (least(l.x1, fc.x1) - greatest(l.x0, fc.x0) > 0.15 * (fc.x1 - fc.x0)) AS hits, min(struct_pack(d := abs((l.x0 + l.x1) / 2 - (fc.x0 + fc.x1) / 2), i := col)).i AS best FROM l JOIN fc USING (doc_id, page_no) GROUP BY l.doc_id, l.page_no, line_no),
+ ab AS (SELECT *, CASE WHEN ncols = 1 THEN 0 WHEN hits >= 2 THEN -1 ELSE best END AS col FROM ac),
+ ad AS (SELECT *, CASE WHEN ncols > 1 THEN count(*) FILTER (col = -1) OVER (PARTITION BY doc_id, page_no ORDER BY y0, x0, line_no ROWS UNBOUNDED PRECEDING) ELSE 0 END AS band FROM ab),
+ ao AS (SELECT doc_id, page_no, line_no, col, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY band, (col = -1 AND ncols > 1) DESC, CASE WHEN ncols > 1 THEN col ELSE 0 END, y0, x0, line_no) AS pos FROM ad),
+ ol AS (SELECT l.*, col, pos, line_no % 10 = 9 AS tabbed FROM l JOIN ao USING (doc_id, page_no, line_no)),
+ pr AS (SELECT *, (base - lag(base) OVER w) / lag(size_pt) OVER w AS r, lag(par) OVER w = par AND lag(col) OVER w = col AND abs(lag(size_pt) OVER w - size_pt) < 0.1 * greatest(lag(size_pt) OVER w, 1) AS near FROM ol WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY pos)),
+ pt AS (SELECT doc_id, page_no, CASE WHEN count(*) FILTER (near AND r > 0.9 AND r < 2.2) >= 3 THEN median(r) FILTER (near AND r > 0.9 AND r < 2.2) ELSE 1.2 END AS pitch FROM pr GROUP BY ALL),
+ xs AS (SELECT doc_id, page_no, col, list_sort(list(x0)) AS a, list_sort(list(x1)) AS b FROM ol WHERE n >= 3 GROUP BY ALL),
+ ce AS (SELECT fc.doc_id, fc.page_no, fc.col, x0 AS c0, x1 AS c1, CASE WHEN len(a) >= 3 THEN a[floor(0.1 * (len(a) - 1))::INT + 1] ELSE x0 END AS cl, CASE WHEN len(b) >= 3 THEN b[floor(0.9 * (len(b) - 1))::INT + 1] ELSE x1 END AS cr FROM fc LEFT JOIN xs USING (doc_id, page_no, col)),
+ ca AS (SELECT * FROM ce UNION ALL SELECT doc_id, page_no, -1, min(c0), max(c1), min(cl), max(cr) FROM ce GROUP BY ALL),
+ wr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, line_no ORDER BY x0, word_no) - 1 AS i FROM w0),
+ lm AS (SELECT o.*, c0, c1, cl, cr, pitch, greatest(size_pt, 1) AS em, {_mark("greatest(size_pt, 1)", "cl")} AS mk, {_mark("greatest(size_pt, 1)", "c0")} AS own FROM ol o JOIN ca USING (doc_id, page_no, col) JOIN pt USING (doc_id, page_no)
+   LEFT JOIN wr f ON f.doc_id = o.doc_id AND f.page_no = o.page_no AND f.line_no = o.line_no AND f.i = 0 LEFT JOIN wr g ON g.doc_id = o.doc_id AND g.page_no = o.page_no AND g.line_no = o.line_no AND g.i = 1),
+ lg AS (SELECT *, lag(col) OVER w AS pc, lag(tabbed) OVER w AS ptab, lag(size_pt) OVER w AS psz, lag(base) OVER w AS pbase, lag(par) OVER w AS ppar, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1 FROM lm WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY pos)),
+ lh AS (SELECT *, pc IS NULL OR pc <> col OR ptab OR tabbed OR mk IS NOT NULL OR abs(size_pt - psz) > CASE WHEN par <> ppar THEN 0.1 ELSE 0.2 END * greatest(size_pt, psz) OR base - pbase > 1.3 * pitch * greatest(size_pt, psz) + 0.5 OR base - pbase < 0.3 * pitch * greatest(size_pt, psz) AS hard,
+   cr - px1 > 0.3 * greatest(cr - cl, 1) OR (par <> ppar AND ((x0 - cl > 1.2 * em AND px0 - cl < 0.6 * em) OR (px1 - px0 < 0.55 * greatest(cr - cl, 1) AND x1 - x0 < 0.55 * greatest(cr - cl, 1) AND px0 - cl < 0.1 * greatest(cr - cl, 1) AND abs(px0 - x0) < 0.05 * greatest(cr - cl, 1)))) AS soft FROM lg),
+ walk AS (SELECT doc_id, page_no, pos, mk.hang AS item, 1 AS para, true AS opens FROM lh WHERE pos = 1
+   UNION ALL SELECT h.doc_id, h.page_no, h.pos, CASE WHEN b THEN h.mk.hang ELSE item END, para + b::INT, b FROM (SELECT lh.*, item, para, hard OR CASE WHEN item IS NOT NULL THEN x0 + 1.5 * em < item ELSE soft END AS b FROM walk JOIN lh ON lh.doc_id = walk.doc_id AND lh.page_no = walk.page_no AND lh.pos = walk.pos + 1) h),
+ nl AS (SELECT lh.*, para, opens FROM lh JOIN walk USING (doc_id, page_no, pos))"""
+
+
 def _numbered(spark, d):
     lines, cols = _ordered(spark, d)
     return layout.paragraph_breaks(lines, cols, layout.line_pitch(lines))
@@ -159,33 +215,81 @@ def _paragraphs(spark, d):
     return written(spark, layout.paragraphs(_numbered(spark, d)), "paragraphs")
 
 
-@query("paragraph_breaks")
+@query("paragraph_breaks", _BREAKS + " SELECT doc_id, page_no, line_no, col, pos, para FROM nl")
 def _(spark, d):
     return _numbered(spark, d).select("doc_id", "page_no", "line_no", "col", "pos", "para")
 
 
-@query("paragraphs")
+#: Alignment of a paragraph of ``pl`` from the extents of its lines; ``prior`` says whether its page is justified.
+_ALIGN = """CASE WHEN k = 1 THEN CASE WHEN r1 - l0 > 0.9 * wd THEN CASE WHEN {prior} THEN 'justify' ELSE 'left' END WHEN abs((l0 - c0) - (c1 - r1)) <= 0.04 * wd AND l0 - c0 > 0.06 * wd THEN 'center' WHEN c1 - r1 <= 0.03 * wd AND l0 - c0 > 0.1 * wd THEN 'right' ELSE 'left' END
+ WHEN (k >= 3 AND b1 - b0 <= tol AND abs(bm - c1) <= 0.05 * wd AND n1 - n0 <= 2 * tol) OR (k = 2 AND abs(b1 - c1) <= tol AND {prior}) THEN 'justify'
+ WHEN m1 - m0 <= tol * 1.5 AND l1 - l0 > 3 * tol AND r1 - r0 > 3 * tol THEN 'center' WHEN r1 - r0 <= tol AND l1 - l0 > 3 * tol THEN 'right' ELSE 'left' END"""
+
+#: Paragraphs ``pf`` with runs, tab stops, indents and box.
+_PARAS = _BREAKS + r""", li AS (SELECT *, CASE WHEN opens THEN own END AS mark, base - lag(base) OVER (PARTITION BY doc_id, page_no, para ORDER BY pos) AS step, row_number() OVER (PARTITION BY doc_id, page_no, para ORDER BY pos) AS li, count(*) OVER (PARTITION BY doc_id, page_no, para) AS k FROM nl),
+ pl AS (SELECT doc_id, page_no, para, any_value(col) AS col, any_value(c0) AS c0, any_value(c1) AS c1, any_value(k) AS k, median(size_pt) AS size_pt, max(size_pt) FILTER (opens) AS em, bool_or(tabbed) FILTER (opens) AS tabbed, any_value(mark) AS mark, max(x0) FILTER (opens) AS fx, min(x0) FILTER (NOT opens) AS rx, median(step) AS step,
+   max(base) FILTER (opens) AS fb, arg_max(base, pos) AS lb, greatest(any_value(c1 - c0), 1) AS wd, greatest(0.014 * greatest(any_value(c1 - c0), 1), 4) AS tol, min(x0) AS l0, max(x0) AS l1, min(x1) AS r0, max(x1) AS r1, min((x0 + x1) / 2) AS m0, max((x0 + x1) / 2) AS m1,
+   min(x1) FILTER (li < k OR k = 1) AS b0, max(x1) FILTER (li < k OR k = 1) AS b1, avg(x1) FILTER (li < k) AS bm, min(x0) FILTER (li > 1 OR k <= 2) AS n0, max(x0) FILTER (li > 1 OR k <= 2) AS n1 FROM li GROUP BY doc_id, page_no, para),
+ q0 AS (SELECT wr.doc_id, wr.page_no, para, pos, i, text, wr.x0, wr.x1, bold, tabbed, size_pt AS em, c0, c1 FROM wr JOIN li USING (doc_id, page_no, line_no) WHERE text <> '' AND NOT (mark IS NOT NULL AND NOT tabbed AND i = 0)),
+ q1 AS (SELECT *, coalesce(tabbed AND x0 - lag(x1) OVER w > 2.5 * em, false) AS cut, coalesce(lag(bold) OVER w <> bold, true) AS turn FROM q0 WINDOW w AS (PARTITION BY doc_id, page_no, para ORDER BY pos, i)),
+ q2 AS (SELECT *, sum(cut::INT) OVER w AS seg, sum((cut OR turn)::INT) OVER w AS run, lead(text) OVER w AS nt, lead(bold) OVER w AS nb, lead(pos) OVER w AS np, lead(cut) OVER w AS nc FROM q1 WINDOW w AS (PARTITION BY doc_id, page_no, para ORDER BY pos, i)),
+ q3 AS (SELECT *, CASE WHEN nt IS NULL OR nc THEN text WHEN np = pos THEN text || ' ' WHEN nb <> bold THEN CASE WHEN regexp_matches(text, '\p{L}-$') AND regexp_matches(nt, '^\p{Ll}') THEN text[:-2] ELSE text || ' ' END
+   WHEN regexp_matches(text, '.[-\x{ad}\x{2010}]$') AND (NOT (cut OR turn) OR length(text) >= 3) AND regexp_matches(text, '\p{L}.$') AND regexp_matches(nt, '^\p{Ll}') THEN text[:-2]
+   WHEN regexp_matches(text, '.[-\x{ad}\x{2010}]$') AND (NOT (cut OR turn) OR length(text) >= 3) AND regexp_matches(text, '[\p{L}\p{N}].$') AND regexp_matches(nt, '^[\p{L}\p{N}]') THEN text ELSE text || ' ' END AS piece FROM q2),
+ q4 AS (SELECT doc_id, page_no, para, seg, run, string_agg(piece, '' ORDER BY pos, i) AS rt, bool_or(bold) AS rb, sum(length(text)) AS rl FROM q3 GROUP BY ALL),
+ q5 AS (SELECT doc_id, page_no, para, list({seg: seg, run: run, rt: rt, rb: rb} ORDER BY run) AS rs, sum(rl) AS letters, coalesce(sum(rl) FILTER (rb), 0) AS heavy FROM q4 GROUP BY ALL),
+ s1 AS (SELECT doc_id, page_no, para, seg, min(x0) AS a, max(x1) AS b, any_value(em) AS em, any_value(c0) AS c0, any_value(c1) AS c1 FROM q2 WHERE tabbed GROUP BY doc_id, page_no, para, seg),
+ s2 AS (SELECT *, a - lag(b) OVER w AS gap, lead(seg) OVER w IS NULL AND c1 - b < 0.04 * (c1 - c0) AS ends FROM s1 WINDOW w AS (PARTITION BY doc_id, page_no, para ORDER BY seg)),
+ s3 AS (SELECT doc_id, page_no, para, string_agg(CASE WHEN ends AND gap > 4 * em THEN round(b - c0, 6)::VARCHAR || 'right' ELSE round(a - c0, 6)::VARCHAR || 'left' END, ' ' ORDER BY seg) AS ts FROM s2 WHERE seg > 0 GROUP BY ALL),
+ pm AS (SELECT *, CASE WHEN mark IS NOT NULL OR tabbed THEN 'left' ELSE """ + _ALIGN.format(prior="false") + r""" END AS align, mark IS NOT NULL AND NOT tabbed AS listed, tabbed AND fx - c0 > 0.5 * em AS leads, coalesce(rx, fx) AS cont FROM pl LEFT JOIN q5 USING (doc_id, page_no, para) LEFT JOIN s3 USING (doc_id, page_no, para)),
+ pf AS (SELECT *, list_concat(CASE WHEN listed AND mark.kind = 'number' THEN [{t: mark.label || chr(9), b: false}] WHEN leads THEN [{t: chr(9), b: false}] ELSE [] END,
+   flatten(list_transform(coalesce(rs, []), lambda r, i: list_concat(CASE WHEN i > 1 AND r.seg > rs[i - 1].seg THEN [{t: chr(9), b: false}] ELSE [] END, [{t: r.rt, b: r.rb}])))) AS runs,
+   concat_ws(' ', CASE WHEN listed AND mark.kind = 'number' THEN round(greatest(0, mark.hang - c0), 6)::VARCHAR || 'left' WHEN leads THEN round(fx - c0, 6)::VARCHAR || 'left' END, ts) AS tabs,
+   CASE WHEN tabbed THEN 0 WHEN listed THEN greatest(0, mark.hang - c0) WHEN align NOT IN ('left', 'justify') THEN 0 WHEN k = 1 AND fx - c0 > 0.06 * (c1 - c0) THEN fx - c0 WHEN cont - c0 > 6 THEN cont - c0 ELSE 0 END AS left_indent,
+   CASE WHEN tabbed THEN 0 WHEN listed THEN greatest(fx - c0, 0) - greatest(0, mark.hang - c0) WHEN align IN ('left', 'justify') AND k > 1 AND abs(fx - cont) > 0.7 * size_pt THEN fx - cont ELSE 0 END AS first_indent,
+   coalesce(greatest(step, size_pt), 0) AS line_pitch FROM pm),
+ pp AS (SELECT *, array_to_string(list_transform(runs, lambda r: r.t), '') AS text, CASE WHEN listed THEN mark.kind END AS list_kind FROM pf)"""
+
+
+@query("paragraphs", _PARAS + r""" SELECT doc_id, page_no, para, col, k AS n_lines, align, list_kind, round(size_pt, 6) AS size_pt, text, array_to_string(list_transform(runs, lambda r: CASE WHEN r.b THEN '<b>' ELSE '<n>' END || r.t), '') AS runs, coalesce(tabs, '') AS tabs,
+ round(left_indent, 6)::DOUBLE AS left_indent, round(first_indent, 6)::DOUBLE AS first_indent, round(line_pitch, 6)::DOUBLE AS line_pitch, round(fb - 0.8 * CASE WHEN line_pitch > 0 THEN line_pitch ELSE size_pt * 1.2 END, 6) AS top,
+ round(lb + 0.2 * CASE WHEN line_pitch > 0 THEN line_pitch ELSE size_pt * 1.2 END, 6) AS bottom, false AS rtl, coalesce(letters > 0 AND heavy >= 0.7 * letters, false) AS all_bold FROM pp""")
+def _(spark, d):
+    p = layout.paragraphs(_numbered(spark, d))
+    runs = F.array_join(F.transform("runs", lambda r: F.concat(F.when(r["bold"], "<b>").otherwise("<n>"), r["text"])), "")
+    tabs = F.array_join(F.transform("tabs", lambda t: F.concat(F.round(t["at"], 6).cast("string"), t["kind"])), " ")
+    figures = ["size_pt", "left_indent", "first_indent", "line_pitch", "top", "bottom"]
+    return p.select("doc_id", "page_no", "para", "col", "n_lines", "align", "list_kind", "text", runs.alias("runs"), tabs.alias("tabs"), *[F.round(c, 6).alias(c) for c in figures], "rtl", "all_bold")
+
+
+_VOTED = _PARAS + """, vo AS (SELECT doc_id, page_no, count(*) FILTER (plain AND k >= 3) >= 2 AND count(*) FILTER (plain AND k >= 3 AND align = 'justify') >= 0.6 * count(*) FILTER (plain AND k >= 3) AS justified FROM (SELECT *, mark IS NULL AND NOT tabbed AS plain FROM pp) GROUP BY ALL)"""
+
+
+@query("justify_prior", _VOTED + " SELECT doc_id, page_no, para, k AS n_lines, justified, CASE WHEN mark IS NULL AND NOT tabbed AND k <= 2 THEN " + _ALIGN.format(prior="justified") + " ELSE align END AS align FROM pp JOIN vo USING (doc_id, page_no)")
 def _(spark, d):
-    return layout.paragraphs(_numbered(spark, d)).select("doc_id", "page_no", "para", "col", "n_lines", "align", "list_kind", F.round("size_pt", 6).alias("size_pt"), "text")
+    return layout.justify_prior(_paragraphs(spark, d)).select("doc_id", "page_no", "para", "n_lines", "justified", "align")
 
 
-@query("justify_prior")
-def _(spark, d):
-    return layout.justify_prior(_paragraphs(spark, d)).select("doc_id", "page_no", "para", "n_lines", "justified", "align")
+_SNAP = f"(list_min(list_transform({list(map(float, SIZE_STEPS))}, lambda s: {{d: abs(s - size_pt) / s, s: s}})).s)"
+_HEADS = _PARAS + """, sz AS (SELECT doc_id, {snap} AS s, sum(greatest(length(text), 1)) AS w FROM pp GROUP BY ALL), bd AS (SELECT doc_id, max(struct_pack(w := w, s := -s)).s * -1 AS body FROM sz GROUP BY doc_id),
+ fz AS (SELECT pp.* EXCLUDE (size_pt), body, CASE WHEN abs({snap} - body) / body < 0.09 THEN body ELSE {snap} END AS size_pt FROM pp JOIN bd USING (doc_id)),
+ cd AS (SELECT *, NOT tabbed AND list_kind IS NULL AND size_pt >= body * 1.15 AND k <= 3 AND length(trim(text)) <= 140 AND NOT ends_with(trim(text), '.') AS cand FROM fz),
+ lv AS (SELECT doc_id, size_pt, row_number() OVER (PARTITION BY doc_id ORDER BY size_pt DESC) AS lvl FROM (SELECT DISTINCT doc_id, size_pt FROM cd WHERE cand)),
+ hd AS (SELECT cd.*, CASE WHEN cand AND lvl <= 3 THEN lvl ELSE 0 END AS heading FROM cd LEFT JOIN lv USING (doc_id, size_pt))""".replace("{snap}", _SNAP)
 
 
-@query("heading_levels")
+@query("heading_levels", _HEADS + " SELECT doc_id, page_no, para, size_pt, body, heading FROM hd")
 def _(spark, d):
     return layout.headings(_paragraphs(spark, d)).select("doc_id", "page_no", "para", "size_pt", "body", "heading")
 
 
-@query("document_finalise")
+@query("document_finalise", _HEADS + " SELECT doc_id, body, count(*) AS paragraphs, count(*) FILTER (heading > 0) AS headings FROM hd GROUP BY ALL")
 def _(spark, d):
     h = layout.headings(_paragraphs(spark, d))
     return h.groupBy("doc_id", "body").agg(F.count(F.lit(1)).alias("paragraphs"), F.count_if(F.col("heading") > 0).alias("headings"))
 
 
-@query("outline_of_text")
+@query("outline_of_text", _HEADS + " SELECT doc_id, page_no, para, CASE WHEN heading > 0 THEN 'heading' || heading WHEN list_kind IS NOT NULL THEN list_kind ELSE 'paragraph' END AS kind, text FROM hd")
 def _(spark, d):
     return layout.outline(_paragraphs(spark, d)).select("doc_id", "page_no", "para", "kind", "text")
 
@@ -195,7 +299,7 @@ def _(spark, d):
  SELECT doc_id, page_no, par, CASE WHEN n = 1 THEN CASE WHEN r1 - l0 > 0.9 * 476 THEN 'left' WHEN abs((l0 - 72) - (548 - r1)) <= 0.04 * 476 AND l0 - 72 > 0.06 * 476 THEN 'center' WHEN 548 - r1 <= 0.03 * 476 AND l0 - 72 > 0.1 * 476 THEN 'right' ELSE 'left' END
  WHEN n >= 3 AND b1 - b0 <= 6.664 AND abs(bm - 548) <= 0.05 * 476 THEN 'justify' WHEN c1 - c0 <= 6.664 * 1.5 AND l1 - l0 > 3 * 6.664 AND r1 - r0 > 3 * 6.664 THEN 'center' WHEN r1 - r0 <= 6.664 AND l1 - l0 > 3 * 6.664 THEN 'right' ELSE 'left' END AS align FROM g""")
 def _(spark, d):
-    ext = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "x0", "x1"))), lambda v: F.struct(v["x0"].alias("x0"), v["x1"].alias("x1")))
+    ext = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "x0", "x1"))), lambda v: F.struct(v["x0"].alias("x0"), v["x1"].alias("x1")))
     p = _lines(spark, d).groupBy("doc_id", "page_no", "par").agg(ext.alias("e"))
     return p.select("doc_id", "page_no", "par", geo.align_of(F.col("e"), F.lit(72.0), F.lit(548.0), F.lit(False)).alias("align"))
 
@@ -271,7 +375,7 @@ def _blocks(spark, d):
     first = F.min_by("text", "line_no")
     return lines.groupBy("doc_id", "page_no", F.col("par").alias("block_no")).agg(
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), first.alias("first_text"), F.min_by(F.col("y1") - F.col("y0"), "line_no").alias("first_height"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda v: v["text"]), " ").alias("text")).withColumn("block_type", F.lit("text"))
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda v: v["text"]), " ").alias("text")).withColumn("block_type", F.lit("text"))
 
 
 _BLK = W.rstrip() + """, l AS (SELECT doc_id, page_no, par, line_no, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1, string_agg(text, ' ' ORDER BY word_no) AS text FROM words GROUP BY ALL),
@@ -476,7 +580,7 @@ def _(spark, d):
     c = tables.table_cells(_cells(spark, d))
     t = c.groupBy("doc_id", "page_no", "table_no").agg(
         (F.size(F.first("xs")) - 1).alias("n_cols"), F.first(F.expr("transform(sequence(0, size(xs) - 2), i -> xs[i + 1] - xs[i])")).alias("widths"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("row_no") == 0, F.struct("col_no", "text")))), lambda v: v["text"]).alias("header"), F.bool_or("merged").alias("merged"))
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("row_no") == 0, F.struct("col_no", "text")))), lambda v: v["text"]).alias("header"), F.bool_or("merged").alias("merged"))
     return tables.table_chains(t).select("doc_id", "page_no", "table_no", "head_page", "drop_header")
 
 

@@ -62,11 +62,11 @@ def _hocr_pages(spark, d):
     word = F.concat(F.lit("<span class='ocrx_word' title='"), bbox("x0", "y0", "x1", "y1"), F.lit("; x_wconf "), F.col("conf").cast("int").cast("string"), F.lit("; x_fsize "),
                     F.col("fsize").cast("int").cast("string"), F.lit("'>"), F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</span>"))
     line = w.groupBy("doc_id", "page_no", "par", "line_no").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
-                                                                F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", word.alias("h")))), lambda v: v["h"]), "\n").alias("h"))
+                                                                F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_no", word.alias("h")))), lambda v: v["h"]), "\n").alias("h"))
     span = F.concat(F.lit("<span class='ocr_line' title='"), bbox("x0", "y0", "x1", "y1"), F.lit("; baseline 0 -3'>"), "h", F.lit("</span>"))
-    par = line.groupBy("doc_id", "page_no", "par").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", span.alias("h")))), lambda v: v["h"]), "\n").alias("h"))
+    par = line.groupBy("doc_id", "page_no", "par").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", span.alias("h")))), lambda v: v["h"]), "\n").alias("h"))
     p = F.concat(F.lit("<p class='ocr_par'>"), "h", F.lit("</p>"))
-    page = par.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("par", p.alias("h")))), lambda v: v["h"]), "\n").alias("h"))
+    page = par.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("par", p.alias("h")))), lambda v: v["h"]), "\n").alias("h"))
     return page.select("doc_id", "page_no", F.concat(F.lit("<div class='ocr_carea' id='b'>"), "h", F.lit("</div>")).alias("hocr"))
 
 

@@ -205,3 +205,42 @@ def test_bold_words_follow_neighbours(spark):
     got = [r.bold for r in layout.bold_words(df).orderBy("line_no", "word_no").collect()]
     # The unmeasured "x" lies between bold words; the short last word has no bold neighbour.
     assert got == [False] * 16 + [True, True, True, False, False]
+
+
+def test_list_items_hang_and_a_line_to_the_left_leaves_them(spark):
+    """Continuation lines of an item hang at its text, whatever their length; a line at the margin starts a paragraph, a hung one does not."""
+    def words(no, left, text, right, top):
+        return line(no, text, left, top, right, "p", 11.0)
+
+    def item(no, label, text, right, top):
+        label_at, rest = (1, 1, no, 0, label, 62.0, top, 68.0, top + 11, 90.0, 11.0, "p"), words(no, 80.0, text, right, top)
+        return [label_at, *[(*r[:3], r[3] + 1, *r[4:]) for r in rest]]
+
+    rows = item(0, "1.", "an item that goes on", 500.0, 100.0) + words(1, 80.0, "short", 120.0, 113.0) + words(2, 80.0, "and on again", 500.0, 126.0)
+    rows += words(3, 50.0, "the margin again, a full line", 500.0, 139.0) + words(4, 50.0, "which continues here", 500.0, 152.0) + item(5, "•", "bullet", 300.0, 165.0)
+    rows += words(6, 50.0, "unlike this interna-", 500.0, 178.0) + words(7, 50.0, "tional line", 200.0, 191.0)
+    w = spark.createDataFrame(rows, SCHEMA).withColumn("bold", F.col("text").isin("margin", "again,", "interna-"))
+    ls = layout.lines_of(w).withColumns({"size_pt": F.lit(11.0), "base": F.col("y0") + 8.0, "pos": F.col("line_no") + 1, "col": F.lit(0), "tabbed": F.lit(False)})
+    cols = ls.select("doc_id", "page_no").distinct().withColumn("cols", F.array(F.struct(F.lit(50.0).alias("x0"), F.lit(500.0).alias("x1"))))
+    pitch = ls.select("doc_id", "page_no").distinct().withColumn("pitch", F.lit(13 / 11))
+    got = layout.paragraphs(layout.paragraph_breaks(ls, cols, pitch)).orderBy("para").collect()
+    assert [(r.n_lines, r.list_kind) for r in got] == [(3, "number"), (2, None), (1, "bullet"), (2, None)]
+    assert [[(x.text, x.bold) for x in r.runs] for r in got] == [
+        [("1.\t", False), ("an item that goes on short and on again", False)],
+        [("the ", False), ("margin again, ", True), ("a full line which continues here", False)],
+        [("bullet", False)],
+        [("unlike this ", False), ("interna", True), ("tional line", False)]]
+    assert [[(t.at, t.kind) for t in r.tabs] for r in got] == [[(30.0, "left")], [], [], []]
+    assert [(r.left_indent, r.first_indent) for r in got] == [(30.0, -18.0), (0.0, 0.0), (30.0, -18.0), (0.0, 0.0)]
+    assert [(r.top, r.bottom, r.line_pitch) for r in got[:2]] == [(108 - 0.8 * 13, 134 + 0.2 * 13, 13.0), (147 - 0.8 * 13, 160 + 0.2 * 13, 13.0)]
+    assert not got[1].rtl and not got[1].all_bold and got[0].text.startswith("1.\tan item")
+
+
+def test_tabbed_lines_have_stops(spark):
+    row = lambda i, text, x0, x1: (1, 1, 0, i, text, float(x0), 100.0, float(x1), 111.0, 90.0, 11.0, "p")
+    w = spark.createDataFrame([row(0, "1.", 60, 66), row(1, "Name", 150, 170), row(2, "Total", 300, 320), row(3, "sum", 323, 340), row(4, "12", 480, 498)], SCHEMA)
+    ls = layout.lines_of(w).withColumns({"size_pt": F.lit(11.0), "base": F.col("y0") + 8.0, "pos": F.lit(1), "col": F.lit(0), "tabbed": F.lit(True)})
+    cols = ls.select("doc_id", "page_no").withColumn("cols", F.array(F.struct(F.lit(50.0).alias("x0"), F.lit(500.0).alias("x1"))))
+    got = layout.paragraphs(layout.paragraph_breaks(ls, cols, ls.select("doc_id", "page_no", F.lit(1.2).alias("pitch")))).first()
+    assert got.text == "\t1.\tName\tTotal sum\t12" and got.align == "left" and got.list_kind is None
+    assert [(t.at, t.kind) for t in got.tabs] == [(10.0, "left"), (100.0, "left"), (250.0, "left"), (448.0, "right")]
