@@ -77,63 +77,87 @@ class SlidingState:
         return k, None, None
 
 
-_FOLD_SCHEMA = "client string, chunk long, t double, n long, k long, limit_type string, retry_after long"
+_FOLD_SCHEMA = "client string, t double, n long, k long, limit_type string, retry_after long"
 
 
 def _fold(limits: Limits):
-    """Walk sorted rows; only the state of the current client and chunk is held."""
+    """Walk sorted rows; only the state of the current client and span is held."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for pdf in batches:
             out = []
-            for client, chunk, t, n, carried in pdf[["client", "chunk", "t", "n", "carried"]].itertuples(index=False):
-                if (client, chunk) != current:
-                    current, state = (client, chunk), SlidingState(limits)
+            for client, span, t, n, carried in pdf[["client", "span", "t", "n", "carried"]].itertuples(index=False):
+                if (client, span) != current:
+                    current, state = (client, span), SlidingState(limits)
                 if carried:
                     state.accept(t, n)
                     continue
-                out.append((client, chunk, t, n, *state.offer(t, n)))
-            res = pd.DataFrame(out, columns=["client", "chunk", "t", "n", "k", "limit_type", "retry_after"])
+                out.append((client, t, n, *state.offer(t, n)))
+            res = pd.DataFrame(out, columns=["client", "t", "n", "k", "limit_type", "retry_after"])
             res["retry_after"] = res["retry_after"].astype("Int64")
             yield res
 
     return run
 
 
-def _folded(instants: DataFrame, carry: DataFrame, limits: Limits) -> DataFrame:
-    rows = instants.withColumn("carried", F.lit(False)).unionByName(carry.withColumn("carried", F.lit(True)))
-    placed = rows.repartition("client", "chunk").sortWithinPartitions("client", "chunk", "t")
-    return placed.mapInPandas(_fold(limits), _FOLD_SCHEMA)
+def _folded(instants: DataFrame, carry: DataFrame | None, limits: Limits) -> DataFrame:
+    rows = instants.select("client", "span", "t", "n", F.lit(False).alias("carried"))
+    if carry is not None:
+        rows = rows.unionByName(carry.select("client", "span", "t", "n", F.lit(True).alias("carried")))
+    placed = rows.repartition("client", "span").sortWithinPartitions("client", "span", "t")
+    return placed.mapInPandas(_fold(limits), _FOLD_SCHEMA).withColumn("chunk", F.floor(F.col("t") / HOUR))
+
+
+HOUR = 3600
+KEY = ["client", "chunk"]
 
 
 def sliding_window(spark: SparkSession, requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Decision per request when only accepted requests are remembered, for true sliding windows.
 
-    Each decision depends on earlier ones, so a client is sequential by nature. To keep a busy
-    client from becoming one task, its time is cut into hours, and hours are decided in parallel.
-    An hour needs only what the hour before accepted (at most the hourly limit). Every round
-    redoes the hours whose inherited acceptances changed, until none does; the first hour of a
-    run is right at once, hence each next one after it, and the end result is exact. Rounds go
-    through tables in the shared folder, so a lost executor does not replay earlier rounds.
+    Each decision depends on earlier ones, so a client is sequential by nature. To keep a busy client
+    from becoming one task, its time is cut into hours, and hours are first decided in parallel, each as
+    if it were the first. An hour needs only what the hour before accepted, so the hours whose inheritance
+    differs from what they were decided with are redone, and with them the hours that follow in a span that doubles with every
+    round: one task walks a span with its real state. So there are as many rounds as the number of hours has
+    binary digits, at most, and a client without limits hit is never walked again. A round writes what it
+    redid, nothing else; the newest round of an hour counts. Rounds go through tables in the shared
+    folder, so a lost executor does not replay earlier rounds.
     """
     instants = (requests.groupBy("client", F.col("t").cast("double").alias("t")).agg(F.count(F.lit(1)).alias("n"))
-                .withColumn("chunk", F.floor(F.col("t") / 3600)).select("client", "chunk", "t", "n"))
-    key = ["client", "chunk"]
+                .withColumn("chunk", F.floor(F.col("t") / HOUR)).select("client", "chunk", "t", "n"))
     instants = written(spark, instants, "limit-instants")
-    chunks = instants.select(*key).distinct()
-    used = instants.filter(F.lit(False))
-    decided = written(spark, _folded(instants, used, limits), "limit-round")
+
+    def given(rows: DataFrame) -> DataFrame:
+        """What an hour hands on: a hash of its acceptances, zero for none."""
+        hashed = F.sum(F.when(F.col("k") > 0, F.xxhash64("t", "k").cast("decimal(20,0)")))
+        return rows.groupBy(*KEY).agg(F.coalesce(hashed, F.lit(0)).cast("decimal(38,0)").alias("gives"))
+
+    width, rounds = 1, 0
+    decided = written(spark, _folded(instants.withColumn("span", F.col("chunk")), None, limits).withColumn("round", F.lit(0)), "limit-round")
+    hours = written(spark, given(decided).withColumns({"takes": F.lit(0).cast("decimal(38,0)"), "round": F.lit(0)}), "limit-hours")
     while True:
-        carry = (decided.filter(F.col("k") > 0).select("client", (F.col("chunk") + 1).alias("chunk"), "t", F.col("k").alias("n"))
-                 .join(chunks, key, "left_semi"))
-        moved = carry.withColumn("d", F.lit(1)).unionByName(used.withColumn("d", F.lit(-1)))
-        changed = written(spark, moved.groupBy(*key, "t", "n").agg(F.sum("d").alias("d")).filter("d <> 0").select(*key).distinct(), "limit-changed")
-        if changed.isEmpty():
+        latest = hours.groupBy(*KEY).agg(F.max_by(F.struct("gives", "takes", "round"), "round").alias("v")).select(*KEY, "v.*")
+        handed = latest.select("client", (F.col("chunk") + 1).alias("chunk"), F.col("gives").alias("due"))
+        stale = latest.join(handed, KEY, "left").filter(F.coalesce("due", F.lit(0)) != F.col("takes")).select(*KEY)
+        width, rounds = 2 * width, rounds + 1
+        span = F.floor(F.col("chunk") / width)
+        starts = written(spark, stale.withColumn("span", span).groupBy("client", "span").agg(F.min("chunk").alias("start")), "limit-stale")
+        if starts.isEmpty():
             break
-        redone = _folded(instants.join(changed, key, "left_semi"), carry.join(changed, key, "left_semi"), limits)
-        decided = written(spark, decided.join(changed, key, "left_anti").unionByName(redone), "limit-round")
-        used = carry
+        redo = instants.withColumn("span", span).join(starts, ["client", "span"]).filter("chunk >= start")
+        wanted = starts.withColumn("chunk", F.col("start") - 1).join(latest.select(*KEY, "round"), KEY).select(*KEY, "span", "round")
+        carry = decided.filter("k > 0").join(wanted, [*KEY, "round"]).select("client", "span", "t", F.col("k").alias("n"))
+        again = written(spark, _folded(redo, carry, limits).withColumn("round", F.lit(rounds)), "limit-round")
+        gives = given(again)
+        own = gives.select("client", (F.col("chunk") + 1).alias("chunk"), F.col("gives").alias("inside"))
+        first = starts.select("client", F.col("start").alias("chunk"), F.lit(True).alias("first"))
+        takes = F.coalesce(F.when(F.col("first"), F.col("due")).otherwise(F.col("inside")), F.lit(0)).cast("decimal(38,0)")
+        gives = gives.join(own, KEY, "left").join(first, KEY, "left").join(handed, KEY, "left").select(*KEY, "gives", takes.alias("takes"), F.lit(rounds).alias("round"))
+        hours = hours.unionByName(written(spark, gives, "limit-hours"))
+        decided = decided.unionByName(again)
+    decided = decided.join(latest.select(*KEY, "round"), [*KEY, "round"]).drop("round")
     order = F.row_number().over(_same_instant())
     d = requests.withColumn("t", F.col("t").cast("double")).withColumn("_rn", order).join(decided.drop("chunk", "n"), ["client", "t"])
     ok = F.col("_rn") <= F.col("k")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,43 +78,42 @@ def table_rows(cells: DataFrame, keys: list[str] = TABLE) -> DataFrame:
     return d.withColumns({"kind": kind, "long_value": F.when(typed, F.col("long_value")), "double_value": F.when(typed, F.col("double_value"))}).drop("_n", "_k")
 
 
+def _chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk sorted tables; only the head of the open chain is held."""
+    place, head, at = None, None, None
+    for pdf in batches:
+        out = []
+        for doc, run, page, no, n_cols, widths, header, merged in pdf.itertuples(index=False):
+            if (doc, run) != place:
+                place, head = (doc, run), None
+            follows = head is not None and page == at + 1 and n_cols == head[2] and not merged and not head[5]
+            same = follows and list(header) == list(head[4])
+            joins = same or (follows and len(widths) and len(head[3]) and all(abs(x - y) < 3 for x, y in zip(head[3], widths)))
+            if not joins:
+                head = (page, no, n_cols, widths, header, merged)
+            at = page
+            out.append((doc, page, no, head[0], head[1], same))
+        yield pd.DataFrame(out, columns=["doc_id", "page_no", "table_no", "head_page", "head_table", "drop_header"])
+
+
 def table_chains(tables: DataFrame) -> DataFrame:
     """Head of each table's chain: a table on the next page continues the chain whose head looks alike.
 
     ``tables`` has doc_id, page_no, table_no, n_cols, widths, header, merged. A chain can only run
-    over consecutive pages, so documents are first cut where a page without tables (or a table
-    that can join nothing) ends every chain; only such a run of pages is folded.
+    over consecutive pages, so documents are first cut where a page without tables ends every
+    chain. Likeness to a head is no equivalence, so a run of pages is walked in order: its rows stream
+    through a task that holds one head, and no row or array grows with the run.
     """
-    d = tables.withColumn("ord", F.struct("page_no", "table_no"))
-    pages = d.select("doc_id", "page_no").distinct()
+    pages = tables.select("doc_id", "page_no").distinct()
     before = pages.select("doc_id", (F.col("page_no") + 1).alias("page_no"), F.lit(1).alias("linked"))
     starts = pages.join(before, ["doc_id", "page_no"], "left").withColumn("cut", F.when(F.col("linked").isNull(), 1).otherwise(0))
     w = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
     runs = starts.select("doc_id", "page_no", F.sum("cut").over(w).alias("run"))
-    item = F.struct("page_no", "table_no", "n_cols", "widths", "header", "merged")
-    g = d.join(runs, ["doc_id", "page_no"]).groupBy("doc_id", "run").agg(F.sort_array(F.collect_list(item)).alias("ts"))
-    start = F.struct(F.lit(None).cast(f"struct<{_LOOK}>").alias("head"), F.lit(-2).cast("long").alias("last_page"),
-                     F.array().cast("array<struct<page_no:bigint,table_no:bigint,head_page:bigint,head_table:bigint,drop_header:boolean>>").alias("out"))
-
-    def step(a: Column, t: Column) -> Column:
-        head = a["head"]
-        same_header = head["header"] == t["header"]
-        widths = F.forall(F.zip_with(head["widths"], t["widths"], lambda x, y: F.abs(x - y) < 3), lambda ok: F.coalesce(ok, F.lit(True)))
-        joins = head.isNotNull() & (t["page_no"] == a["last_page"] + 1) & (head["n_cols"] == t["n_cols"]) & ~t["merged"] & ~head["merged"] & (same_header | widths)
-        new = F.struct(*[t[c].alias(c) for c in ("page_no", "table_no", "n_cols", "widths", "header", "merged")])
-
-        def advance(v: Column) -> Column:
-            head = F.when(v["joins"], v["old"]).otherwise(v["new"])
-            row = F.struct(t["page_no"].alias("page_no"), t["table_no"].alias("table_no"), head["page_no"].alias("head_page"), head["table_no"].alias("head_table"),
-                           (v["joins"] & v["same"]).alias("drop_header"))
-            return F.struct(head.alias("head"), t["page_no"].alias("last_page"), F.array_append(a["out"], row).alias("out"))
-
-        return let_all(advance, joins=F.coalesce(joins, F.lit(False)), same=F.coalesce(same_header, F.lit(False)), old=head, new=new)
-
-    return g.select("doc_id", F.inline(F.aggregate("ts", start, step, lambda a: a["out"])))
-
-
-_LOOK = "page_no:bigint,table_no:bigint,n_cols:int,widths:array<double>,header:array<string>,merged:boolean"
+    look = [F.col("page_no").cast("long").alias("page_no"), F.col("table_no").cast("long").alias("table_no"), "n_cols", F.coalesce("widths", F.array().cast("array<double>")).alias("widths"),
+            F.transform("header", lambda h: F.coalesce(h, F.lit(""))).alias("header"), F.coalesce("merged", F.lit(False)).alias("merged")]
+    placed = tables.join(runs, ["doc_id", "page_no"]).select("doc_id", "run", *look).repartition("doc_id", "run").sortWithinPartitions("doc_id", "run", "page_no", "table_no")
+    doc = tables.schema["doc_id"].dataType.simpleString()
+    return placed.mapInPandas(_chained, f"doc_id {doc}, page_no long, table_no long, head_page long, head_table long, drop_header boolean")
 
 
 def ruled_cells(words: DataFrame, grids: DataFrame, dpi: float = 72.0) -> DataFrame:

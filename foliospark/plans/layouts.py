@@ -349,7 +349,13 @@ def _(spark, d):
     return layout.page_suspicious(w, dark)
 
 
-@query("bold_reference")
+@query("bold_reference", W.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """, w0 AS (SELECT *, fsize + 2 AS fs, CASE WHEN length(text) >= 2 AND (fsize + 2) / 0.925::DOUBLE >= 12 THEN 0.1::DOUBLE + (word_no % 5) * 0.02::DOUBLE END AS ratio FROM words),
+ p AS (SELECT doc_id, page_no, count(*) AS k, count(ratio) AS m, median(ratio) AS ref, median(fs) AS med FROM w0 GROUP BY ALL),
+ b AS (SELECT doc_id, page_no, line_no, word_no, length(text) AS len, CASE WHEN k >= 15 AND m >= 15 THEN ratio > ref * CASE WHEN fs > 1.15::DOUBLE * med THEN 1.2::DOUBLE ELSE 1.28::DOUBLE END END AS b0 FROM w0 JOIN p USING (doc_id, page_no)),
+ n AS (SELECT *, coalesce(lead(b0) OVER w, false) AS nx, row_number() OVER w AS i, lead(word_no) OVER w IS NULL AS last FROM b WINDOW w AS (PARTITION BY doc_id, page_no, line_no ORDER BY word_no)),
+ r AS (SELECT doc_id, page_no, line_no, word_no, i, coalesce(b0, false) AND NOT (len < 4 AND NOT nx) AS bold FROM n WHERE i = 1
+  UNION ALL SELECT n.doc_id, n.page_no, n.line_no, n.word_no, n.i, coalesce(n.b0, NOT n.last AND r.bold AND n.nx) AND NOT (n.len < 4 AND NOT r.bold AND NOT n.nx) FROM r JOIN n ON n.doc_id = r.doc_id AND n.page_no = r.page_no AND n.line_no = r.line_no AND n.i = r.i + 1)
+ SELECT doc_id, page_no, line_no, word_no, bold FROM r""")
 def _(spark, d):
     w = _words(spark, d).withColumns({"fsize": F.col("fsize") + 2, "stroke_ratio": F.lit(0.1) + (F.col("word_no") % 5) * 0.02})
     return layout.bold_words(w)
@@ -490,7 +496,12 @@ def _(spark, d):
     return folds.flow_paragraphs(_boxes(spark, d))
 
 
-@query("same_row_merge")
+@query("same_row_merge", T2.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """, l AS (SELECT doc_id, page_no, line_no * 2 + side AS line_no, min(x0) AS x0, min(y0) AS y0, max(y1) AS y1, string_agg(text, ' ' ORDER BY x0, word_no) AS text FROM two_col_words GROUP BY doc_id, page_no, line_no, side),
+ k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY (y0 + y1) / 2, x0, line_no) AS i FROM l),
+ r AS (SELECT doc_id, page_no, line_no, i, x0, text, [{a: y0, b: y1}] AS heads, 0::BIGINT AS row_no FROM k WHERE i = 1
+  UNION ALL SELECT doc_id, page_no, line_no, i, x0, text, CASE WHEN hit IS NULL THEN list_append(heads, {a: y0, b: y1}) ELSE heads END, coalesce(hit - 1, len(heads)) FROM (
+   SELECT k.*, r.heads, list_position(list_transform(r.heads, lambda h: least(h.b - h.a, k.y1 - k.y0) > 0 AND least(h.b, k.y1) - greatest(h.a, k.y0) >= least(h.b - h.a, k.y1 - k.y0) * 0.6), true) AS hit FROM r JOIN k ON k.doc_id = r.doc_id AND k.page_no = r.page_no AND k.i = r.i + 1))
+ SELECT doc_id, page_no, line_no, row_no, string_agg(text, ' ' ORDER BY x0, line_no) OVER (PARTITION BY doc_id, page_no, row_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS row_text FROM r""")
 def _(spark, d):
     return folds.same_row_merge(layout.lines_of(_two_columns(spark, d)).withColumn("size_pt", F.lit(11.0))).select("doc_id", "page_no", "line_no", "row_no", "row_text")
 

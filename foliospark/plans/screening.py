@@ -135,13 +135,27 @@ def _(spark, d):
     return limits.fixed_window(view(spark, d, "requests")).select("seq", lim.alias("lim"), left.alias("remaining"), reset.alias("reset"))
 
 
-@query("sliding_limiter")
+def sliding_sql(who: str, where: str, minute: int, hour: int) -> str:
+    """Requests walked one by one per client; the state is the list of accepted times of the last hour."""
+    return ctes("requests").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""", e AS (SELECT {who} AS client, sec::DOUBLE AS t, seq, row_number() OVER (PARTITION BY {who} ORDER BY sec, seq) AS i FROM requests WHERE {where}),
+ r AS (SELECT client, seq, i, true AS allowed, NULL::VARCHAR AS limit_type, NULL::BIGINT AS retry_after, [t] AS acc FROM e WHERE i = 1
+  UNION ALL SELECT client, seq, i, kind IS NULL, kind, CASE kind WHEN 'burst' THEN 1 WHEN 'minute' THEN floor(m[1] + 60 - t)::BIGINT + 1 WHEN 'hour' THEN floor(a[1] + 3600 - t)::BIGINT + 1 END, CASE WHEN kind IS NULL THEN list_append(a, t) ELSE a END FROM (
+   SELECT *, CASE WHEN len(list_filter(m, lambda x: x > t - 1)) >= 10 THEN 'burst' WHEN len(m) >= {minute} THEN 'minute' WHEN len(a) >= {hour} THEN 'hour' END AS kind FROM (
+    SELECT *, list_filter(a, lambda x: x > t - 60) AS m FROM (SELECT e.*, list_filter(r.acc, lambda x: x > e.t - 3600) AS a FROM r JOIN e ON e.client = r.client AND e.i = r.i + 1))))
+ SELECT seq, client, allowed, limit_type, retry_after FROM r"""
+
+
+_SLIDING = sliding_sql("client", "true", 60, 1000)
+_ENDPOINT = sliding_sql("client || '|' || path", "starts_with(path, '/api/')", 30, 500)
+
+
+@query("sliding_limiter", _SLIDING)
 def _(spark, d):
     r = view(spark, d, "requests").select("client", F.col("sec").alias("t"), "seq")
     return limits.sliding_window(spark, r).select("seq", "client", "allowed", "limit_type", "retry_after")
 
 
-@query("endpoint_limiter")
+@query("endpoint_limiter", _ENDPOINT)
 def _(spark, d):
     r = view(spark, d, "requests").filter(screen.is_limited_path(F.col("path")))
     r = r.select(F.concat_ws("|", "client", "path").alias("client"), F.col("sec").alias("t"), "seq")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliospark.operators import archives, layout, retention
 from foliospark.plans.fixtures import NOW, VIEWS, ctes, now, table, view
-from foliospark.plans import operations  # noqa: F401  (its SQL is reused below)
+from foliospark.plans import operations, screening  # noqa: F401  (their SQL is reused below)
 from foliospark.plans.registry import ORACLES, query
 from foliospark.sources import scans, sinks
 from foliospark.sources.scratch import shared_dir
@@ -45,6 +45,15 @@ def _(spark, d):
     return scans.progress_events(spark, path).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("progress").alias("progress"))
 
 
+@query("progress_stream", ctes("status_log") + "SELECT CAST(task_id AS VARCHAR) AS task_id, status, count(*) AS n, CAST(sum(progress) AS BIGINT) AS progress FROM status_log GROUP BY ALL")
+def _(spark, d):
+    """Progress messages as a live source: what is published to the folder is read as a stream and drained."""
+    path = shared_dir(spark, "progress")
+    view(spark, d, "status_log").select(F.col("task_id").cast("string").alias("task_id"), "progress", "status", F.col("ts").alias("timestamp")).write.json(path)
+    t = streams.run_to_table(spark, scans.progress_events(spark, path, stream=True), "progress-stream")
+    return t.groupBy("task_id", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("progress").alias("progress"))
+
+
 @query("object_store_io", "SELECT o_orderkey, o_totalprice, true AS stored, false AS after_delete FROM orders")
 def _(spark, d):
     """Put and get a table; of a second object, whether it is there before and after it is deleted."""
@@ -91,7 +100,10 @@ def _(spark, d):
     return sinks.extracted_text(view(spark, d, "page_text"))
 
 
-@query("zip_names")
+@query("zip_names", ctes("stored_names").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """, e AS (SELECT job, file_no AS pos, arcname, regexp_replace(arcname, '[.]pdf$', '') AS stem, row_number() OVER (PARTITION BY job ORDER BY file_no) AS k FROM stored_names),
+ r AS (SELECT job, pos, arcname, k, arcname AS name, [arcname] AS used FROM e WHERE k = 1 UNION ALL SELECT job, pos, arcname, k, name, list_append(used, name) FROM (SELECT e.*, r.used, CASE WHEN list_contains(r.used, e.arcname)
+   THEN list_filter(list_transform(range(2, len(r.used) + 3), lambda n: e.stem || '_' || n || '.pdf'), lambda c: NOT list_contains(r.used, c))[1] ELSE e.arcname END AS name FROM r JOIN e ON e.job = r.job AND e.k = r.k + 1))
+ SELECT job, pos, arcname, name FROM r""")
 def _(spark, d):
     e = view(spark, d, "stored_names").select("job", F.col("file_no").alias("pos"), "arcname")
     return archives.zip_names(e)
@@ -130,13 +142,20 @@ def _(spark, d):
     return streams.run_to_table(spark, streams.fixed_limiter(r), "fixed-limiter").select("seq", "client", "in_second", "in_minute", "in_hour", "limit_type")
 
 
-@query("sliding_limiter_stream")
+@query("sliding_limiter_stream", ORACLES["sliding_limiter"])
 def _(spark, d):
     streams.use_state_store(spark)
     r = event_stream(spark, d, VIEWS["requests"][1]).select("client", F.col("sec").cast("double").alias("t"), "seq")
     return streams.run_to_table(spark, streams.sliding_limiter(r), "sliding-limiter").select("seq", "client", "allowed", "limit_type", "retry_after")
 
 
+@query("endpoint_limiter_stream", ORACLES["endpoint_limiter"])
+def _(spark, d):
+    streams.use_state_store(spark)
+    r = event_stream(spark, d, VIEWS["requests"][1]).select("client", "path", F.col("sec").cast("double").alias("t"), "seq")
+    return streams.run_to_table(spark, streams.endpoint_limiter(r), "endpoint-limiter").select("seq", "client", "allowed", "limit_type", "retry_after")
+
+
 @query("latest_progress", ctes("status_log") + """SELECT task_id, seq, status FROM (SELECT *, lag(status) OVER (PARTITION BY task_id ORDER BY ts, seq) AS p FROM status_log) WHERE p IS NULL OR p <> status""")
 def _(spark, d):
     streams.use_state_store(spark)

@@ -230,8 +230,13 @@ def _unstyled(x: str) -> str:
     return x
 
 
-@query("markdown_text", ctes("line_text") + f"""SELECT doc_id, line_no, CASE line_no % 9 WHEN 0 THEN trim(text) WHEN 1 THEN trim(text) WHEN 2 THEN {_unstyled("'**' || text || '** x'")} WHEN 3 THEN {_unstyled("trim(text)")} WHEN 4 THEN '| a | ' || text || ' |'
- WHEN 5 THEN '|---|:-:|' WHEN 6 THEN '[IMAGE: p]' END AS plain FROM line_text WHERE line_no % 9 < 7 AND trim(text) <> ''""")
+_STRIPPED = "regexp_replace({}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')".format
+
+
+@query("markdown_text", ctes("line_text", more=f"m AS (SELECT doc_id, line_no, {_MD} AS t FROM line_text), k AS (SELECT *, {_STRIPPED('t')} AS s FROM m)") + f"""
+ SELECT doc_id, line_no, CASE WHEN s = '' THEN '' WHEN regexp_matches(t, '^#{{1,3}} ') THEN {_STRIPPED("regexp_replace(t, '^#{1,3} ', '')")} WHEN regexp_matches(s, '^[-*] ') THEN {_unstyled("substr(s, 3)")}
+ WHEN regexp_matches(s, '^[0-9]+\\.\\s') THEN {_unstyled("regexp_replace(s, '^[0-9]+\\.\\s', '')")} WHEN starts_with(s, '|') OR starts_with(s, '[IMAGE:') THEN s
+ ELSE regexp_replace(t, '\\*\\*([^*]+)\\*\\*|\\*([^*]+)\\*|\\*', '\\1\\2', 'g') END AS plain FROM k""")
 def _(spark, d):
     m = view(spark, d, "line_text").select("doc_id", "line_no", F.expr(_MD).alias("t"))
     return m.select("doc_id", "line_no", text.markdown_text(F.col("t"), text.markdown_kind(F.col("t"))).alias("plain"))

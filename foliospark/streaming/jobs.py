@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from foliospark.operators.limits import Limits, SlidingState
+from foliospark.functions.screen import is_limited_path
+from foliospark.operators.limits import ENDPOINT_LIMITS, Limits, SlidingState
 from foliospark.sources.scratch import shared_dir
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -78,6 +79,12 @@ def sliding_limiter(requests: DataFrame, limits: Limits = Limits()) -> DataFrame
     return requests.groupBy("client").transformWithStateInPandas(SlidingLimiter(limits), schema, "Append", "None")
 
 
+def endpoint_limiter(requests: DataFrame, limits: Limits = ENDPOINT_LIMITS) -> DataFrame:
+    """Sliding limits of each client on each limited path; ``client`` is then ``client|path``."""
+    limited = requests.filter(is_limited_path(F.col("path")))
+    return sliding_limiter(limited.select(F.concat_ws("|", "client", "path").alias("client"), "t", "seq"), limits)
+
+
 class FixedLimiter(StatefulProcessor):
     """Counters of one hour of a client: its seconds, its minutes and itself.
 

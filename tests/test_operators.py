@@ -244,3 +244,51 @@ def test_tabbed_lines_have_stops(spark):
     got = layout.paragraphs(layout.paragraph_breaks(ls, cols, ls.select("doc_id", "page_no", F.lit(1.2).alias("pitch")))).first()
     assert got.text == "\t1.\tName\tTotal sum\t12" and got.align == "left" and got.list_kind is None
     assert [(t.at, t.kind) for t in got.tabs] == [(10.0, "left"), (100.0, "left"), (250.0, "left"), (448.0, "right")]
+
+
+def test_zip_names_of_one_mixed_family(spark):
+    """Repeats and names that look numbered in one archive, against the plain rule; the family is long."""
+    from foliospark.operators import archives
+
+    names = [("scan.pdf", "scan_2.pdf", "scan_2_2.pdf", "scan.pdf", "scan_3.pdf")[i * i % 5] for i in range(400)] + ["scan.pdf"] * 30_000 + [f"scan_{i}.pdf" for i in range(29_000, 31_000)]
+    used, reached, want = set(), {}, []
+    for arcname in names:
+        name, n = arcname, reached.get(arcname, 1)
+        while name in used:
+            n += 1
+            name = f"{arcname[:-4]}_{n}.pdf"
+        used.add(name)
+        reached[arcname] = n
+        want.append(name)
+    df = spark.createDataFrame([(1, i, n) for i, n in enumerate(names)] + [(2, 0, "scan.pdf"), (2, 1, "other.txt")], "job long, pos long, arcname string").repartition(5)
+    got = {(r.job, r.pos): r.name for r in archives.zip_names(df).collect()}
+    assert [got[(1, i)] for i in range(len(names))] == want and got[(2, 0)] == "scan.pdf" and got[(2, 1)] == "other.txt"
+
+
+def test_table_chains_of_a_document_that_never_pauses(spark):
+    """Likeness to a head is no equivalence: widths that drift leave the head, a repeated header rejoins."""
+    rows, head, want = [], None, []
+    for page in range(3000):
+        look = (3, [80.0 + page % 7, 80.0, 80.0], ["a", "b", "c" if page % 50 else "d"], page % 400 == 7)
+        joins = head is not None and not look[3] and not head[1][3] and (look[2] == head[1][2] or abs(look[1][0] - head[1][1][0]) < 3)
+        want.append((head[0] if joins else page, bool(joins and look[2] == head[1][2])))
+        head = head if joins else (page, look)
+        rows.append((1, page, 0, *look))
+    t = spark.createDataFrame(rows, "doc_id long, page_no long, table_no long, n_cols int, widths array<double>, header array<string>, merged boolean").repartition(4)
+    got = tables.table_chains(t).orderBy("page_no").collect()
+    assert [(r.head_page, r.drop_header) for r in got] == want
+
+
+def test_sliding_limiter_over_weeks_of_one_client(spark):
+    """A client that always runs into its hourly limit: what an hour accepts depends on all hours before."""
+    rng = random.Random(8)
+    lim = limits.Limits(burst=3, minute=5, hour=12)
+    times = sorted([rng.randrange(3600 * 24 * 15) for _ in range(4000)] + [3600 * h + rng.randrange(3600) for h in range(360) for _ in range(20)])
+    rows = [("busy", float(t), i) for i, t in enumerate(times)] + [("calm", 500.0 * i, 100_000 + i) for i in range(300)]
+    state, want = {}, {}
+    for client, t, seq in rows:
+        ok, kind, retry = state.setdefault(client, limits.SlidingState(lim)).offer(t, 1)
+        want[seq] = (bool(ok), kind, retry)
+    df = spark.createDataFrame(rows, "client string, t double, seq long").repartition(3)
+    got = {r.seq: (r.allowed, r.limit_type, r.retry_after) for r in limits.sliding_window(spark, df, lim).collect()}
+    assert got == want
