@@ -14,10 +14,12 @@ segments are cheap (neither they nor their neighbourhoods are dear), any partner
 dear buckets. Only sets made up of dear segments for the most part stay in them.
 
 **Verification.** Buckets are not expanded into all pairs. A bucket is checked against one of its members, and links are
-contracted into components. Only buckets that still hold several components go on: small ones pair by pair; in large
+contracted into components. Only buckets that still hold several components go on, against another member as long as that
+closes buckets. Then small ones are compared pair by pair; in large
 ones, what is not in the largest component of its bucket is held against the other components by sketches (counts of
-hashed n-grams, whose distance never exceeds the symmetric difference), in blocks, and only pairs that the sketches can't
-rule out are compared. Links are decided exactly, on the n-grams of the whole texts.
+hashed n-grams, whose distance never exceeds the symmetric difference), in blocks. Pairs that the sketches can't
+rule out are compared from the nearest on, in rounds, and those of what has become one component meanwhile are left out.
+Links are decided exactly, on the n-grams of the whole texts.
 
 Equal sets are one class throughout.
 """
@@ -336,37 +338,54 @@ def texts_of(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     return _batches(docs.select("doc_id", "text").join(members, "doc_id").select("class", "text"), run, "class long, text string, size long, sketch binary")
 
 
-def sketched_pairs(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: pairs of different components in a bucket of ``rows(sig, class, less, label)`` that sketches don't rule out.
+def sketch_blocks(rows: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the buckets of ``rows(sig, class, less, label)`` cut into blocks, so that no task holds a bucket.
 
-    Members of the largest component of a bucket are not held against each other. Both sides of a bucket are cut into
-    blocks, so no task holds a bucket, and only surviving pairs leave a block.
+    The second side asks: it leaves out the largest component of a bucket, whose members need not be held against each other.
     """
     counts = rows.groupBy("sig", "label").agg(F.count("*").alias("of_label"))
     heads = counts.groupBy("sig").agg(F.max_by("label", F.struct("of_label", "label")).alias("major"), F.sum("of_label").alias("held"), (F.sum("of_label") - F.max("of_label")).alias("minors"))
     heads = heads.select("sig", "major", F.ceil(F.col("held") / BLOCK).cast("int").alias("chunks"), F.ceil(F.col("minors") / BLOCK).cast("int").alias("parts"))
     full = written(rows.sparkSession, rows.join(heads, "sig").join(sketches, "class"), "ngram-sketches")
-    keys = ["sig", "chunk", "part"]
-    columns = ["class", "less", "label", "size", "sketch"]
+    columns = [*KEYS, "class", "less", "size", "sketch"]
     left = (full.withColumn("chunk", F.pmod(F.xxhash64("class"), "chunks").cast("int"))
-            .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*keys, *columns))
+            .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*columns))
     right = (full.where("label != major").withColumn("part", F.pmod(F.xxhash64("class", F.lit(1)), "parts").cast("int"))
-             .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*keys, *columns))
+             .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*columns))
+    return left, right
+
+
+KEYS = ["sig", "chunk", "part"]
+
+
+def sketched_pairs(left: DataFrame, right: DataFrame, names: DataFrame, percent: int, low: int, high: int) -> DataFrame:
+    """``a, b, more``: pairs of different components that sketches don't rule out, for each asking row those from the ``low``-th to below the ``high``-th nearest.
+
+    Nearness is the distance of the sketches among all rows of a block, so the places of later rounds follow those of earlier ones;
+    ``more`` (with null ``a, b``) says that a block has pairs further out.
+    """
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.join(names.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
 
     def compare(all_: pa.Table, minor: pa.Table) -> pa.Table:
-        out: list[np.ndarray] = []
+        out, more = [], False
         if all_.num_rows and minor.num_rows:
-            names, labels, sizes, less = (all_.column(c).to_numpy() for c in ("class", "label", "size", "less"))
-            bins = np.frombuffer(b"".join(all_.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
-            for name, label, size, is_less_, data in zip(*[minor.column(c).to_pylist() for c in ("class", "label", "size", "less", "sketch")], strict=True):
-                at = np.flatnonzero((labels != label) & ~(less & is_less_))
-                apart = np.abs(bins[at] - np.frombuffer(data, np.uint8).astype(np.int16)).sum(1, dtype=np.int64)
-                near = names[at][apart * (100 + percent) <= (sizes[at] + size) * (100 - percent)]
-                out.append(np.stack([np.minimum(near, name), np.maximum(near, name)]))
+            classes, labels, sizes, less = (all_.column(c).to_numpy() for c in ("class", "label", "size", "less"))
+            if (labels != labels[0]).any() or (minor.column("label").to_numpy() != labels[0]).any():
+                bins = np.frombuffer(b"".join(all_.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+                for name, label, size, is_less_, data in zip(*[minor.column(c).to_pylist() for c in ("class", "label", "size", "less", "sketch")], strict=True):
+                    apart = np.abs(bins - np.frombuffer(data, np.uint8).astype(np.int16)).sum(1, dtype=np.int64)
+                    near = np.flatnonzero((apart * (100 + percent) <= (sizes + size) * (100 - percent)) & (classes != name) & ~(less & is_less_))
+                    near = near[np.lexsort((classes[near], apart[near]))]
+                    more |= bool((labels[near[high:]] != label).any())
+                    near = near[low:high]
+                    near = classes[near[labels[near] != label]]
+                    out.append(np.stack([np.minimum(near, name), np.maximum(near, name)]))
         found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(found[0]), "b": pa.array(found[1])})
+        rest = [None] if more else []
+        return pa.table({"a": pa.array([*found[0].tolist(), *rest], pa.int64()), "b": pa.array([*found[1].tolist(), *rest], pa.int64()), "more": pa.array([False] * found.shape[1] + [True] * len(rest))})
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "a long, b long").distinct()
+    return named(left).groupBy(*KEYS).cogroup(named(right).groupBy(*KEYS)).applyInArrow(compare, "a long, b long, more boolean")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -396,20 +415,39 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, dear: int =
     done = spark.createDataFrame([], "a long, b long, linked boolean")
     names = spark.createDataFrame([], "node long, label long")
     bucket = Window.partitionBy("sig")
-    for last in (False, True):
-        named = (rows.join(names, rows["class"] == names["node"], "left").select("sig", "class", "less", F.coalesce("label", "class").alias("label"))
-                 .withColumn("low", F.min("label").over(bucket)).withColumn("high", F.max("label").over(bucket)).withColumn("held", F.count("*").over(bucket)).where("low != high")
-                 .withColumn("turn", F.row_number().over(bucket.orderBy("less", "class"))).drop("low", "high"))
-        rows = written(spark, named, "ngram-open")
-        some = rows.where(F.col("held") <= SMALL) if last else rows
-        asking = some.where(~F.col("less") & (F.lit(last) | (F.col("turn") == 1))).select("sig", F.col("class").alias("one"), F.col("label").alias("of_one"), F.col("turn").alias("at"))
-        pairs = some.join(asking, "sig").where("label != of_one and (less or turn > at)").select(F.least("class", "one").alias("a"), F.greatest("class", "one").alias("b")).distinct()
-        if last:
-            large = rows.where(F.col("held") > SMALL).select("sig", "class", "less", "label")
-            pairs = pairs.union(sketched_pairs(large, held.select("class", "size", "sketch"), percent)).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
-        done = done.unionByName(written(spark, verified(written(spark, pairs, "ngram-pairs"), texts, n, percent), "ngram-verified"))
+
+    def ask(pairs: DataFrame) -> None:
+        nonlocal done, names
+        fresh = written(spark, pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "ngram-pairs")
+        done = done.unionByName(written(spark, verified(fresh, texts, n, percent), "ngram-verified"))
         names = components(done.where("linked").select("a", "b"))
-        rows = rows.select("sig", "class", "less")
+
+    # One member of each bucket, another one in each round, asks the members of other components, as long as that closes buckets.
+    turns, before = 0, None
+    while True:
+        named = (rows.join(names, rows["class"] == names["node"], "left").select("sig", "class", "less", F.coalesce("label", "class").alias("label"))
+                 .withColumn("low", F.min("label").over(bucket)).withColumn("high", F.max("label").over(bucket)).withColumn("held", F.count("*").over(bucket)).where("low != high").drop("low", "high"))
+        opened = written(spark, named, "ngram-open")
+        rows = opened.select("sig", "class", "less")
+        count = opened.count()
+        if before is not None and (not count or count > 0.7 * before):
+            break
+        before = count
+        asking = opened.where(~F.col("less")).groupBy("sig").agg(F.min_by(F.struct("class", "label"), F.xxhash64("class", F.lit(turns))).alias("one"))
+        ask(opened.join(asking, "sig").where("label != one.label").select(F.least("class", "one.class").alias("a"), F.greatest("class", "one.class").alias("b")).distinct())
+        turns += 1
+    small, large = opened.where(F.col("held") <= SMALL), opened.where(F.col("held") > SMALL)
+    one = small.where(~F.col("less")).select("sig", F.col("class").alias("one"), F.col("label").alias("of_one"))
+    ask(small.join(one, "sig").where("label != of_one").select(F.least("class", "one").alias("a"), F.greatest("class", "one").alias("b")).distinct())
+    if not large.isEmpty():
+        left, right = (written(spark, side, "ngram-blocks") for side in sketch_blocks(large, held.select("class", "size", "sketch")))
+        low, high = 0, 2
+        while True:
+            found = written(spark, sketched_pairs(left, right, names, percent, low, high), "ngram-near")
+            ask(found.where("not more").select("a", "b").distinct())
+            if found.where("more").isEmpty():
+                break
+            low, high = high, 4 * high
     return done.where("linked").select("a", "b"), names
 
 
