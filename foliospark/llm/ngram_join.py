@@ -383,7 +383,7 @@ def sketched_pairs(left: DataFrame, right: DataFrame, names: DataFrame, percent:
                     out.append(np.stack([np.minimum(near, name), np.maximum(near, name)]))
         found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
         rest = [None] if more else []
-        return pa.table({"a": pa.array([*found[0].tolist(), *rest], pa.int64()), "b": pa.array([*found[1].tolist(), *rest], pa.int64()), "more": pa.array([False] * found.shape[1] + [True] * len(rest))})
+        return pa.table({"a": pa.array([*found[0].tolist(), *rest], pa.int64()), "b": pa.array([*found[1].tolist(), *rest], pa.int64()), "more": pa.array([False] * found.shape[1] + [True] * len(rest), pa.bool_())})
 
     return named(left).groupBy(*KEYS).cogroup(named(right).groupBy(*KEYS)).applyInArrow(compare, "a long, b long, more boolean")
 

@@ -301,3 +301,29 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).dtypes == docs.dtypes
     assert hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("dear", [64, 2])
+def test_large_buckets_go_by_nearest_sketches(spark, monkeypatch, dear):
+    """Stars (copies near one text but not near each other), chains and boilerplate around different texts share buckets of many components."""
+    monkeypatch.setattr(ngram_join, "SMALL", 3)
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    centre = [rng.choice(vocabulary) for _ in range(160)]
+    texts = [centre]
+    for _ in range(40):
+        words = list(centre)
+        for _ in range(3):
+            words[rng.randrange(160)] = rng.choice(vocabulary)
+        texts.append(words)
+    chain = list(centre)
+    for _ in range(25):
+        chain = list(chain)
+        for _ in range(2):
+            chain[rng.randrange(160)] = rng.choice(vocabulary)
+        texts.append(chain)
+    texts += [centre[:120] + [rng.choice(vocabulary) for _ in range(40)] for _ in range(30)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(df, 4, 85, dear).collect()}
+    assert got == brute_components(rows, 4, 85)
