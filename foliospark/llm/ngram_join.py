@@ -359,15 +359,15 @@ KEYS = ["sig", "chunk", "part"]
 
 
 def sketched_pairs(left: DataFrame, right: DataFrame, names: DataFrame, percent: int, low: int, high: int) -> DataFrame:
-    """``a, b, more``: pairs of different components that sketches don't rule out, for each asking row those from the ``low``-th to below the ``high``-th nearest.
+    """``a, b, sig, chunk, part``: pairs of different components that sketches don't rule out, for each asking row those from the ``low``-th to below the ``high``-th nearest.
 
-    Nearness is the distance of the sketches among all rows of a block, so the places of later rounds follow those of earlier ones;
-    ``more`` (with null ``a, b``) says that a block has pairs further out.
+    Nearness is the distance of the sketches among all rows of a block, so the places of later rounds follow those of earlier ones. A
+    row with null ``a, b`` names a block that has pairs further out; in rows of pairs the block is null.
     """
     def named(rows: DataFrame) -> DataFrame:
         return rows.join(names.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
 
-    def compare(all_: pa.Table, minor: pa.Table) -> pa.Table:
+    def compare(key: tuple, all_: pa.Table, minor: pa.Table) -> pa.Table:
         out, more = [], False
         if all_.num_rows and minor.num_rows:
             classes, labels, sizes, less = (all_.column(c).to_numpy() for c in ("class", "label", "size", "less"))
@@ -382,10 +382,12 @@ def sketched_pairs(left: DataFrame, right: DataFrame, names: DataFrame, percent:
                     near = classes[near[labels[near] != label]]
                     out.append(np.stack([np.minimum(near, name), np.maximum(near, name)]))
         found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-        rest = [None] if more else []
-        return pa.table({"a": pa.array([*found[0].tolist(), *rest], pa.int64()), "b": pa.array([*found[1].tolist(), *rest], pa.int64()), "more": pa.array([False] * found.shape[1] + [True] * len(rest), pa.bool_())})
+        ahead, count = [1] if more else [], found.shape[1]
+        pairs = {c: pa.array([*found[i].tolist(), *[None for _ in ahead]], pa.int64()) for i, c in enumerate(("a", "b"))}
+        block = {c: pa.array([None] * count + [k.as_py() for _ in ahead], kind) for c, k, kind in zip(KEYS, key, (pa.int64(), pa.int32(), pa.int32()), strict=True)}
+        return pa.table(pairs | block)
 
-    return named(left).groupBy(*KEYS).cogroup(named(right).groupBy(*KEYS)).applyInArrow(compare, "a long, b long, more boolean")
+    return named(left).groupBy(*KEYS).cogroup(named(right).groupBy(*KEYS)).applyInArrow(compare, "a long, b long, sig long, chunk int, part int")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -444,9 +446,11 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, dear: int =
         low, high = 0, 2
         while True:
             found = written(spark, sketched_pairs(left, right, names, percent, low, high), "ngram-near")
-            ask(found.where("not more").select("a", "b").distinct())
-            if found.where("more").isEmpty():
+            ask(found.where("a is not null").select("a", "b").distinct())
+            ahead = found.where("a is null").select(*KEYS)
+            if ahead.isEmpty():
                 break
+            left, right = left.join(ahead, KEYS, "left_semi"), right.join(ahead, KEYS, "left_semi")
             low, high = high, 4 * high
     return done.where("linked").select("a", "b"), names
 

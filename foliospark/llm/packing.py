@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import functools
 import random
+import re
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -22,6 +23,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from foliospark.llm.common import map_columns
 from foliospark.sources.scratch import written
@@ -34,6 +36,21 @@ SLACK = 1
 END = 0
 
 
+#: Blanks in a row from which the spare tokenizer is used.
+BLANKS = 100_000
+LONG_BLANKS = re.compile(rf"\s{{{BLANKS}}}")
+
+
+@functools.cache
+def spare_encoder(path: str, plain: bool) -> Tokenizer:
+    """Tokenizer of a JSON file; with ``plain`` the special strings are ordinary text."""
+    out = Tokenizer.from_file(path)
+    out.encode_special_tokens = plain
+    out.no_truncation()
+    out.no_padding()
+    return out
+
+
 @functools.cache
 def encoder(path: str, pattern: str, special: tuple[tuple[str, int], ...]) -> tiktoken.Encoding:
     """Byte-level tokenizer over a file of ranks, with the given special strings."""
@@ -44,13 +61,19 @@ def encoder(path: str, pattern: str, special: tuple[tuple[str, int], ...]) -> ti
 
 @dataclass(frozen=True)
 class Tokens:
-    """Where the vocabulary lies and how text is cut before merging."""
+    """Where the vocabulary lies and how text is cut before merging.
+
+    ``spare`` is the same vocabulary as a file of the other library, for texts with runs of blanks that the first one can't cut.
+    """
 
     path: str
     pattern: str
     special: tuple[tuple[str, int], ...] = ()
+    spare: str | None = None
 
     def ids(self, text: str) -> np.ndarray:
+        if self.spare and len(text) > BLANKS and LONG_BLANKS.search(text):
+            return np.array(spare_encoder(self.spare, not self.special).encode(text, add_special_tokens=False).ids, "<u4")
         return encoder(self.path, self.pattern, self.special).encode_to_numpy(text, allowed_special="all").astype("<u4")
 
 

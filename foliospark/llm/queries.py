@@ -12,7 +12,7 @@ from foliospark.llm.common import fold, table
 from foliospark.llm.quality_rules import quality_rules
 from foliospark.llm.registry import query
 
-GPT = packing.Tokens(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),))
+GPT = packing.Tokens(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @query("op1_ngram_join")
@@ -64,7 +64,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     front = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("length"), F.concat(F.lit("source: "), F.coalesce("source", F.lit("unknown")), F.lit("\n")).alias("insert")))
     edits = F.concat(token_counts.replacements(F.col("text"), MASKED, "[masked]"), front.cast(token_counts.EDITS))
-    return token_counts.count_with_edits(docs, edits, token_counts.Counter(GPT.path, GPT.pattern))
+    return token_counts.count_with_edits(docs, edits, token_counts.Counter(GPT.path, GPT.pattern, GPT.spare))
 
 
 @query("op7_quality_rules")

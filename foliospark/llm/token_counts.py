@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.binding import let_all
 from foliospark.llm.common import map_columns
-from foliospark.llm.packing import encoder
+from foliospark.llm.packing import BLANKS, encoder, spare_encoder
 
 BLOCK = 64
 LOOKAHEAD = 3
@@ -27,10 +27,11 @@ CACHED = 300_000
 
 @dataclass(frozen=True)
 class Counter:
-    """Where the ranks of the vocabulary lie and how text is cut into pre-tokens."""
+    """Where the ranks of the vocabulary lie and how text is cut into pre-tokens; ``spare`` is the vocabulary for very long runs of blanks."""
 
     path: str
     pattern: str
+    spare: str | None = None
 
 
 class PieceCounts:
@@ -40,10 +41,13 @@ class PieceCounts:
         self.encode = encoder(counter.path, counter.pattern, ()).encode_ordinary
         self.cut = regex.compile(counter.pattern)
         self.known: dict[str, int] = {}
+        self.spare = counter.spare
 
     def __call__(self, piece: str) -> int:
         n = self.known.get(piece)
         if n is None:
+            if self.spare and len(piece) > BLANKS and piece.isspace():
+                return len(spare_encoder(self.spare, True).encode(piece, add_special_tokens=False).ids)
             n = len(self.encode(piece))
             if len(self.known) >= CACHED:
                 self.known.clear()

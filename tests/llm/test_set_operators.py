@@ -327,3 +327,15 @@ def test_large_buckets_go_by_nearest_sketches(spark, monkeypatch, dear):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(df, 4, 85, dear).collect()}
     assert got == brute_components(rows, 4, 85)
+
+
+def test_near_duplicate_stage_keeps_clashing_and_map_columns(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, "b", {"k": 2}), (1, text, "b", {"k": 1}), (1, text, "a", {"z": 1}), (2, text, "c", {}), (3, "other words altogether, five and more", "keep", None), (4, None, "null", {"n": 0}), (None, text, "no id", {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_key string, more map<string,int>").repartition(3)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    got = sorted(((r.doc_id, r.text_key) for r in out.collect()), key=str)
+    assert got == [(1, "a"), (3, "keep"), (4, "null"), (None, "no id")]

@@ -264,3 +264,17 @@ def test_digests_of_the_codec_query(spark, tmp_path):
     assert got[1]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     assert got[1]["decoded_sha256"] == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert got[2]["n_tokens"] == 0 and got[2]["ids_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t ", "\r\n"])
+def test_millions_of_blanks_in_a_row(blank):
+    from tokenizers import Tokenizer
+
+    from foliospark.llm.queries import GPT
+
+    text = "one" + blank * (3_000_000 // len(blank)) + "two <|endoftext|> three  "
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert GPT.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    counts = token_counts.PieceCounts(token_counts.Counter(GPT.path, GPT.pattern, GPT.spare))
+    library.encode_special_tokens = True
+    assert sum(counts.all(counts.cut.findall(text))) == len(library.encode(text, add_special_tokens=False).ids)
