@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.sources.scratch import written
-
 
 def page_counts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
@@ -83,23 +79,20 @@ def kept_links(links: DataFrame, page_map: DataFrame) -> DataFrame:
 def bookmark_remap(bookmarks: DataFrame, page_map: DataFrame) -> DataFrame:
     """Bookmarks kept with their page, or with any child's; then the first kept child's page is used.
 
-    Needs doc_id, id, parent_id, ord, dest_page and level (0 for a root). The tree is read once, into a table parted by
-    level, and climbed from its deepest level; there is no limit on the depth.
+    Needs doc_id, id, parent_id (null or -1 for a root) and dest_page; ids number an outline in reading order, parents before
+    their children. There the first kept child's page, taken down to the leaves, is the page of the first kept bookmark below,
+    and all that follows a bookmark lies below it until one hangs from an earlier parent. So runs that end at a kept bookmark
+    and the smallest parent between a bookmark and that end decide: two windows, whatever the depth.
     """
-    spark = bookmarks.sparkSession
     target = page_map.select("doc_id", F.col("page_no").alias("dest_page"), F.col("out_page").alias("dest"))
-    tree = written(spark, bookmarks.join(target, ["doc_id", "dest_page"], "left"), "bookmarks", partition_by="level")
-    deepest = tree.agg(F.max("level")).first()[0]
-    if deepest is None:
-        return tree
-    kept: list[DataFrame] = []
-    for level in range(deepest, -1, -1):
-        here = tree.where(F.col("level") == level)
-        if kept:
-            kids = kept[-1].groupBy("doc_id", F.col("parent_id").alias("id")).agg(F.min_by("dest", F.struct("ord", "id")).alias("kid_dest"))
-            here = here.join(kids, ["doc_id", "id"], "left").withColumn("dest", F.coalesce("dest", "kid_dest")).select(tree.columns)
-        kept.append(written(spark, here.where(F.col("dest").isNotNull()), "bookmarks-kept"))
-    return reduce(DataFrame.unionByName, kept)
+    tree = bookmarks.join(target, ["doc_id", "dest_page"], "left")
+    onward = Window.partitionBy("doc_id").orderBy(F.desc("id"))
+    runs = tree.withColumn("_run", F.count("dest").over(onward))
+    back = Window.partitionBy("doc_id", "_run").orderBy(F.desc("id"))
+    ends = runs.withColumns({"_end": F.first("dest").over(back),
+                             "_least": F.min(F.coalesce("parent_id", F.lit(-1))).over(back.rowsBetween(Window.unboundedPreceding, -1))})
+    below = F.col("dest").isNotNull() | (F.col("_least") >= F.col("id"))
+    return ends.where(F.col("_end").isNotNull() & below).withColumn("dest", F.col("_end")).drop("_run", "_end", "_least")
 
 
 def chunk_plan(pages: DataFrame, size: int = 50) -> DataFrame:

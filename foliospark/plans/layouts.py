@@ -521,10 +521,23 @@ def _(spark, d):
     return folds.box_merge(s).select("doc_id", "page_no", "seg_no", "box_no", "align", "pitch")
 
 
-@query("picture_merge")
-def _(spark, d):
-    p = _words(spark, d).filter(F.length("text") > 9).select("doc_id", "page_no", (F.col("line_no") * 100 + F.col("word_no")).alias("pic_no"), "x0", "y0", "x1", "y1")
-    return folds.picture_merge(p, 12.0)
+# All words as pictures, a word's confidence as its fill. In SQL a paragraph's columns are cut where none of its words reaches the next;
+# what is left is a list of boxes per block, in which the first pair in reach is united until there is none.
+_PICS = """p AS (SELECT doc_id, page_no, par, line_no * 100 + word_no AS pic_no, x0, y0, x1, y1, conf / 100 AS fill FROM words),
+ c AS (SELECT *, CASE WHEN x0 - 4 > max(x1) OVER (PARTITION BY doc_id, page_no, par ORDER BY x0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS opens FROM p),
+ k AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, page_no, par ORDER BY x0) AS col FROM c),
+ r AS (SELECT doc_id, page_no, par, col, list({'pic_no': pic_no, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'fill': fill} ORDER BY pic_no) AS b, true AS more FROM k GROUP BY ALL
+ UNION ALL SELECT doc_id, page_no, par, col, CASE WHEN h IS NULL THEN b ELSE list_transform(list_filter(b, lambda v: v.pic_no <> h.b.pic_no), lambda v: CASE WHEN v.pic_no <> h.a.pic_no THEN v ELSE {'pic_no': v.pic_no,
+   'x0': least(h.a.x0, h.b.x0), 'y0': least(h.a.y0, h.b.y0), 'x1': greatest(h.a.x1, h.b.x1), 'y1': greatest(h.a.y1, h.b.y1),
+   'fill': (h.a.fill * ((h.a.x1 - h.a.x0) * (h.a.y1 - h.a.y0)) + h.b.fill * ((h.b.x1 - h.b.x0) * (h.b.y1 - h.b.y0))) / greatest((h.a.x1 - h.a.x0) * (h.a.y1 - h.a.y0) + (h.b.x1 - h.b.x0) * (h.b.y1 - h.b.y0), 1)} END) END, h IS NOT NULL
+ FROM (SELECT *, flatten(list_transform(b, lambda v: list_transform(list_filter(b, lambda w: w.pic_no > v.pic_no AND v.x0 - 4 <= w.x1 AND w.x0 - 4 <= v.x1 AND v.y0 - 4 <= w.y1 AND w.y0 - 4 <= v.y1)[:1], lambda w: {'a': v, 'b': w})))[1] AS h FROM r WHERE more))
+ SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY v.pic_no) - 1 AS pic_no, v.x0 AS x0, v.y0 AS y0, v.x1 AS x1, v.y1 AS y1, round(v.fill, 9) AS fill FROM (SELECT doc_id, page_no, unnest(b) AS v FROM r WHERE NOT more)"""
+
+
+@query("picture_merge", ctes("words", more=_PICS).replace("WITH", "WITH RECURSIVE", 1))
+def _(spark, d):
+    p = _words(spark, d).select("doc_id", "page_no", (F.col("line_no") * 100 + F.col("word_no")).alias("pic_no"), "x0", "y0", "x1", "y1", (F.col("conf") / 100).alias("fill"))
+    return folds.picture_merge(p, 4.0).withColumn("fill", F.round("fill", 9))
 
 
 _LINE_TEXT = ctes("line_text").replace("WITH", "WITH RECURSIVE", 1).rstrip()

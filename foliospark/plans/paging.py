@@ -156,7 +156,7 @@ _TREE = """b AS (SELECT doc_id, CAST(line_no AS BIGINT) AS id, CAST(line_no % 32
 def _(spark, d):
     lines = view(spark, d, "line_text").select("doc_id", F.col("line_no").cast("long").alias("id"), (F.col("line_no") % 32).cast("long").alias("p"))
     parent = F.when(F.col("p") == 0, -1).when(F.col("p") % 2 == 1, F.col("id") - 1).otherwise(F.col("id") - 2)
-    b = lines.select("doc_id", "id", parent.alias("parent_id"), F.col("id").alias("ord"), F.col("id").alias("dest_page"), F.floor((F.col("p") + 1) / 2).cast("int").alias("level"))
+    b = lines.select("doc_id", "id", parent.alias("parent_id"), F.col("id").alias("dest_page"))
     kept = lines.where("id % 5 = 0").select("doc_id", F.col("id").alias("page_no"), F.floor(F.col("id") / 5).alias("out_page"))
     return pages.bookmark_remap(b, kept).select("doc_id", "id", "parent_id", "dest")
 

@@ -6,7 +6,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators import archives, folds, layout, limits, redact, skew, tables
+from foliospark.operators import archives, folds, layout, limits, pages, redact, skew, tables
 
 def brute_limiter(rows, burst=10, minute=60, hour=1000):
     accepted, out = {}, {}
@@ -121,10 +121,62 @@ def test_visual_lines_keep_the_first_box_as_anchor(spark):
     assert [r.joint for r in got] == ["none", "space", "none", "none"]
 
 
+PICTURE = "doc_id long, page_no long, pic_no long, x0 double, y0 double, x1 double, y1 double, fill double"
+
+
+def united(boxes, gap):
+    """Plain form: the first pair in reach unites until no pair is in reach."""
+    boxes = [list(b) for b in boxes]
+    while True:
+        pair = next(((i, j) for i in range(len(boxes)) for j in range(i + 1, len(boxes)) if all(
+            boxes[i][k] - gap <= boxes[j][k + 2] and boxes[j][k] - gap <= boxes[i][k + 2] for k in (0, 1))), None)
+        if pair is None:
+            return boxes
+        a, b = boxes[pair[0]], boxes.pop(pair[1])
+        wa, wb = ((v[2] - v[0]) * (v[3] - v[1]) for v in (a, b))
+        boxes[pair[0]] = [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]), (a[4] * wa + b[4] * wb) / max(wa + wb, 1)]
+
+
 def test_picture_merge_grows(spark):
-    rows = [(1, 1, 0, 0., 0., 10., 10.), (1, 1, 1, 14., 0., 20., 10.), (1, 1, 2, 24., 0., 30., 10.), (1, 1, 3, 100., 100., 110., 110.)]
-    df = spark.createDataFrame(rows, "doc_id long, page_no long, pic_no long, x0 double, y0 double, x1 double, y1 double")
-    assert sorted((r.x0, r.x1) for r in folds.picture_merge(df, 5.0).collect()) == [(0.0, 30.0), (100.0, 110.0)]
+    rows = [(1, 1, 0, 0., 0., 10., 10., 1.), (1, 1, 1, 14., 0., 20., 10., 0.), (1, 1, 2, 24., 0., 30., 10., None), (1, 1, 3, 100., 100., 110., 110., .5), (1, 1, 4, None, 0., 1., 1., .5)]
+    got = sorted(folds.picture_merge(spark.createDataFrame(rows, PICTURE), 5.0).collect())
+    assert [(r.pic_no, r.x0, r.x1, round(r.fill, 6)) for r in got] == [(0, 0.0, 30.0, round(100 / 160 * 200 / 260, 6)), (1, 100.0, 110.0, 0.5)]
+    assert folds.picture_merge(spark.createDataFrame([], PICTURE), 5.0).count() == 0
+
+
+def test_picture_merge_equals_the_plain_form(spark):
+    rng = random.Random(9)
+    papers = {}
+    for page in range(40):
+        papers[page] = [(x := rng.randrange(200), y := rng.randrange(200), x + rng.randrange(25), y + rng.randrange(25), rng.randrange(100) / 100) for _ in range(rng.randrange(1, 30))]
+    rows = [(1, page, i, *map(float, b)) for page, boxes in papers.items() for i, b in enumerate(boxes)]
+    got = {}
+    for r in folds.picture_merge(spark.createDataFrame(rows, PICTURE), 3.0).orderBy("page_no", "pic_no").collect():
+        got.setdefault(r.page_no, []).append([r.x0, r.y0, r.x1, r.y1, r.fill])
+    assert got == {page: united([list(map(float, b)) for b in boxes], 3.0) for page, boxes in papers.items()}
+
+
+def test_bookmark_remap_equals_a_walk_of_the_tree(spark):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for doc in range(30):
+        parents, path = [], []
+        for node in range(rng.randrange(1, 60)):
+            del path[rng.randrange(len(path) + 1):]
+            parents.append(path[-1] if path else None)
+            path.append(node)
+        rows += [(doc, i, p, rng.randrange(40)) for i, p in enumerate(parents)]
+    rows += [(99, i, i - 1 if i else -1, 0 if i == 2999 else 50) for i in range(3000)]
+    kept = {doc: {page: page * 10 for page in range(0, 40, 7)} for doc in {r[0] for r in rows}}
+    own = {(d, i): kept[d].get(page) for d, i, _, page in rows}
+    for d, i, p, _ in sorted(rows, reverse=True):
+        if own[d, i] is not None:
+            want[d, i] = own[d, i]
+        if (d, i) in want and p is not None and p >= 0 and own[d, p] is None:
+            want[d, p] = want[d, i]
+    marks = spark.createDataFrame(rows, "doc_id long, id long, parent_id long, dest_page long")
+    out = pages.bookmark_remap(marks, spark.createDataFrame([(d, p, o) for d, m in kept.items() for p, o in m.items()], "doc_id long, page_no long, out_page long"))
+    assert {(r.doc_id, r.id): r.dest for r in out.collect()} == want
 
 
 def test_list_groups(spark):
