@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliospark.operators import candidates, catalogue, compare, forms, redact
@@ -57,14 +58,19 @@ def _(spark, d):
     return compare.line_diff(*_versions(spark, d))
 
 
-@query("report_sink", _V.rstrip() + ", " + _LINES + f""", ld AS ({_LD}), h AS (SELECT doc_id, sum(ia) AS na, sum(ib) AS nb FROM pairs GROUP BY doc_id) SELECT doc_id, line, count(*) AS n FROM (
- SELECT doc_id, unnest(['PDF Comparison Report', repeat('=', 50), 'Pages in File 1: ' || na, 'Pages in File 2: ' || nb, repeat('=', 50)]) AS line FROM h UNION ALL SELECT doc_id, '--- Page ' || page_no || ' ---' FROM pairs
- UNION ALL SELECT doc_id, 'No text differences found.' FROM pairs WHERE a = b UNION ALL SELECT doc_id, CASE change WHEN 'added' THEN '+' ELSE '-' END || line FROM ld) GROUP BY doc_id, line""")
+@query("report_sink", _V.rstrip() + ", " + _LINES + f""", ld AS ({_LD}), h AS (SELECT doc_id, sum(ia) AS na, sum(ib) AS nb FROM pairs GROUP BY doc_id), l AS (
+ SELECT doc_id, 0 AS page_no, unnest([0, 1, 2, 3, 4]) AS part, unnest(['PDF Comparison Report', repeat('=', 50), 'Pages in File 1: ' || na, 'Pages in File 2: ' || nb, repeat('=', 50)]) AS line FROM h UNION ALL SELECT doc_id, page_no, 0, '--- Page ' || page_no || ' ---' FROM pairs
+ UNION ALL SELECT doc_id, page_no, 1, 'No text differences found.' FROM pairs WHERE a = b UNION ALL SELECT doc_id, page_no, CASE change WHEN 'added' THEN 2 ELSE 1 END, CASE change WHEN 'added' THEN '+' ELSE '-' END || line FROM ld)
+ SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, part, line) AS place, line, 1 AS folders FROM l""")
 def _(spark, d):
+    """Each report as it lies in its files: lines in the order of file and row, and the number of folders that hold it."""
     from foliospark.sources.sinks import write_reports
     before, after = _versions(spark, d)
     path = write_reports(spark, compare.report_lines(compare.page_pairs(before, after), before, after))
-    return spark.read.parquet(path).groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n"))
+    rows = spark.read.parquet(path).select("doc_id", "page_no", "line", "bucket", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    report = Window.partitionBy("doc_id")
+    return rows.select("doc_id", "page_no", F.row_number().over(report.orderBy("file", "row")).cast("long").alias("place"), "line",
+                       (F.max("bucket").over(report) - F.min("bucket").over(report) + 1).alias("folders"))
 
 
 @query("find_text", """SELECT doc_id, 1::BIGINT AS page_no, unnest(range(n)) AS match_no FROM (SELECT doc_id, len(regexp_extract_all(text, '(?i)tion')) AS n FROM documents)""")

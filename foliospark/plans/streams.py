@@ -24,8 +24,11 @@ def event_stream(spark, sf_dir, exprs):
 
 @query("file_inventory")
 def _(spark, d):
-    inv = scans.file_inventory(spark, d, "*.parquet")
-    return inv.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length", "modificationTime")
+    """The tables of the folder, in both modes; no SQL, since a query doesn't know its folder there."""
+    name = F.regexp_extract("path", "([^/]*)$", 1).alias("name")
+    below = scans.file_inventory(spark, d, "*.parquet").select(name, "length", "modificationTime")
+    own = scans.file_inventory(spark, d, "*.parquet", recursive=False, links=True).select(name, F.lit(True).alias("top"))
+    return below.join(own, "name", "left").withColumn("top", F.coalesce("top", F.lit(False)))
 
 
 @query("json_log_scan", """SELECT event_type AS level, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS duration_ms, count(*) FILTER (event_type = 'error') AS with_exception FROM events GROUP BY event_type""")

@@ -1,5 +1,6 @@
 """Operators with state or folds, compared with plain loops on small inputs."""
 
+import os
 import random
 from collections import deque
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.operators import archives, folds, layout, limits, pages, redact, skew, tables
+from foliospark.sources import scans
 
 def brute_limiter(rows, burst=10, minute=60, hour=1000):
     accepted, out = {}, {}
@@ -344,3 +346,23 @@ def test_sliding_limiter_over_weeks_of_one_client(spark):
     df = spark.createDataFrame(rows, "client string, t double, seq long").repartition(3)
     got = {r.seq: (r.allowed, r.limit_type, r.retry_after) for r in limits.sliding_window(spark, df, lim).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("recursive", [True, False])
+@pytest.mark.parametrize("links", [True, False])
+def test_file_inventory_equals_a_walk(spark, tmp_path, recursive, links):
+    root = tmp_path / "up loads"
+    for i, folder in enumerate(("", "a", "a/b", "a/b/c", "a/b/c/d", "é")):
+        (root / folder).mkdir(parents=True, exist_ok=True)
+        (root / folder / f"f{i}.pdf").write_bytes(b"x" * i)
+        (root / folder / f"g{i}.txt").write_bytes(b"y")
+    (root / "linked.pdf").symlink_to(root / "a" / "f1.pdf")
+    (root / "a" / "gone.pdf").symlink_to(root / "nowhere")
+    (root / "a" / "round").symlink_to(root)
+    os.utime(root / "f0.pdf", (1_700_000_000, 1_700_000_000))
+    files = root.rglob("*.pdf") if recursive else root.glob("*.pdf")
+    want = {(str(f), f.stat().st_size) for f in files if f.is_file() and (links or not f.is_symlink())}
+    got = scans.file_inventory(spark, f"file://{root}".replace(" ", "%20"), "*.pdf", recursive, links).collect()
+    assert len(got) == len(want) and {(r.path, r.length) for r in got} == want
+    assert [r.modificationTime.timestamp() for r in got if r.path.endswith("f0.pdf")] == [1_700_000_000]
+    assert scans.file_inventory(spark, str(root / "missing"), None, recursive, links).count() == 0
