@@ -79,10 +79,11 @@ def _(spark, d):
     return redact.find_text(p, "TION").select("doc_id", "page_no", "match_no")
 
 
-@query("find_text_offsets", """SELECT doc_id, page_no, strpos(lower(text), 'the') - 1 AS first_start FROM (SELECT conv_id AS doc_id, turn + 1 AS page_no, text FROM conversations) WHERE contains(lower(text), 'the')""")
+@query("find_text_offsets", """SELECT doc_id, page_no, i - 1 AS match_no, CAST(list_sum(list_transform(parts[:i], lambda p: len(p))) + 3 * (i - 1) AS BIGINT) AS start FROM (SELECT doc_id, page_no, parts, unnest(range(1, len(parts))) AS i FROM (
+ SELECT conv_id AS doc_id, turn + 1 AS page_no, string_split(lower(text), 'the') AS parts FROM conversations))""")
 def _(spark, d):
     f = redact.find_text(view(spark, d, "page_text"), "the")
-    return f.filter("match_no = 0").select("doc_id", "page_no", F.col("start").cast("long").alias("first_start"))
+    return f.select("doc_id", "page_no", F.col("match_no").cast("long").alias("match_no"), F.col("start").cast("long").alias("start"))
 
 
 @query("match_count", ctes("page_text") + "SELECT doc_id, CAST(sum(len(regexp_extract_all(text, '(?i)the'))) AS BIGINT) AS total_matches, count(*) FILTER (regexp_matches(text, '(?i)the')) AS pages_with_matches FROM page_text GROUP BY doc_id")

@@ -242,6 +242,27 @@ def _(spark, d):
     return m.select("doc_id", "line_no", text.markdown_text(F.col("t"), text.markdown_kind(F.col("t"))).alias("plain"))
 
 
+# Words of the lines in turn bold, plain, in italics and behind a single star.
+_STARRED = "array_to_string(list_transform(string_split(t, ' '), lambda w, i: CASE i % 4 WHEN 1 THEN '**' || w || '**' WHEN 3 THEN '*' || w || '*' WHEN 0 THEN '*' || w ELSE w END), ' ')"
+_PAIRED = r"\*\*[^*]+\*\*|\*[^*]+\*|[^*]+"
+
+
+@query("markdown_runs", ctes("line_text", more=f"m AS (SELECT doc_id, line_no, {_MD} AS t FROM line_text), k AS (SELECT *, {_STRIPPED('t')} AS s, {_STRIPPED('t')} <> '' AND NOT regexp_matches(t, '^#{{1,3}} ') AND NOT regexp_matches({_STRIPPED('t')}, '^([-*] |[0-9]+[.][\\s]|[|]|[[]IMAGE:)') AS para FROM m)") + f"""
+ , p AS (SELECT doc_id, line_no, regexp_extract_all({_STARRED}, '{_PAIRED}') AS parts FROM k WHERE para)
+ SELECT doc_id, line_no, n::BIGINT AS run_no, text, bold, italic FROM (SELECT doc_id, line_no, unnest(range(len(parts))) AS n, regexp_replace(unnest(parts), '^[*]+|[*]+$', '', 'g') AS text, starts_with(unnest(parts), '**') AS bold, starts_with(unnest(parts), '*') AND NOT starts_with(unnest(parts), '**') AS italic FROM p)
+ UNION ALL SELECT doc_id, line_no, 0, s, false, true FROM k WHERE NOT para AND starts_with(s, '[IMAGE:')
+ UNION ALL SELECT doc_id, line_no, 0, plain, false, false FROM (SELECT doc_id, line_no, CASE WHEN s = '' OR starts_with(s, '|') OR starts_with(s, '[IMAGE:') THEN '' WHEN regexp_matches(t, '^#{{1,3}} ') THEN {_STRIPPED("regexp_replace(t, '^#{1,3} ', '')")}
+  WHEN regexp_matches(s, '^[-*] ') THEN {_unstyled("substr(s, 3)")} ELSE {_unstyled("regexp_replace(s, '^[0-9]+\\.\\s', '')")} END AS plain FROM k WHERE NOT para) WHERE plain <> ''""")
+def _(spark, d):
+    m = view(spark, d, "line_text").select("doc_id", "line_no", F.expr(_MD).alias("t"))
+    starred = F.array_join(F.transform(F.split("t", " "), lambda w, i: F.when(i % 4 == 0, F.concat(F.lit("**"), w, F.lit("**"))).when(i % 4 == 2, F.concat(F.lit("*"), w, F.lit("*"))).when(
+        i % 4 == 3, F.concat(F.lit("*"), w)).otherwise(w)), " ")
+    kind = text.markdown_kind(F.col("t"))
+    # A line keeps its kind when its words get their stars.
+    line = m.withColumn("kind", kind).withColumn("t", F.when(F.col("kind") == "paragraph", starred).otherwise(F.col("t")))
+    return line.select("doc_id", "line_no", F.posexplode(text.markdown_runs(F.col("t"), F.col("kind"))).alias("run_no", "r")).select("doc_id", "line_no", F.col("run_no").cast("long").alias("run_no"), "r.*")
+
+
 @query("markdown_cells", ctes("line_text") + r"""SELECT doc_id, line_no, array_to_string(list_transform(list_slice(cs, 2, len(cs) - 1), lambda c : trim(c)), '¦') AS cells, CAST(len(cs) - 2 AS INT) AS n FROM (
  SELECT doc_id, line_no, string_split('| a | ' || translate(text, '*_|', '   ') || ' | ' || CAST(line_no AS VARCHAR) || ' |', '|') AS cs FROM line_text)""")
 def _(spark, d):

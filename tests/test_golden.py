@@ -138,3 +138,11 @@ def test_list_labels(evaluate):
         ("decimal", 28), ("lowerLetter", 6), ("bullet", 1), ("lowerRoman", 49), ("upperLetter", 11), ("bullet", 1), None]
     numerals = {"ii": 2, "iv": 4, "xiv": 14, "XC": 90, "cxliv": 144, "lxxxviii": 88, "ccc": 300}
     assert evaluate(text.roman_value, [(n,) for n in numerals], "s string") == list(numerals.values())
+
+
+def test_markdown_runs(evaluate):
+    cases = {"a **b c** *d* e": [("a ", False, False), ("b c", True, False), (" ", False, False), ("d", False, True), (" e", False, False)],
+             "**b": [("b", False, False)], "**a*": [("a", False, True)], "***x***": [("x", True, False)], "# *h* ": [("*h*", False, False)], "- **b** x": [("b x", False, False)],
+             " [IMAGE: p] ": [("[IMAGE: p]", False, True)], "| a |": [], "  ": [], "": [], "***": [], "1. _n_": [("n", False, False)]}
+    got = evaluate(lambda s: text.markdown_runs(s, text.markdown_kind(s)), [(c,) for c in [*cases, None]], "s string")
+    assert [[tuple(r) for r in runs] for runs in got] == [*cases.values(), []]

@@ -232,11 +232,12 @@ def test_split_runs_keep_the_head(spark):
 
 
 def test_same_row_merge_joins_from_the_left(spark):
-    rows = [(1, 1, 0, 200.0, 100.0, 260.0, 110.0, 10.0, "right"), (1, 1, 1, 20.0, 102.0, 90.0, 112.0, 10.0, "left"), (1, 1, 2, 100.0, 101.0, 140.0, 125.0, 20.0, "tall"),
-            (1, 1, 3, 20.0, 120.0, 90.0, 130.0, 10.0, "below")]
-    df = spark.createDataFrame(rows, "doc_id long, page_no long, line_no long, x0 double, y0 double, x1 double, y1 double, size_pt double, text string")
+    rows = [(1, 1, 0, 200.0, 100.0, 260.0, 110.0, 10.0, 108.0, "right"), (1, 1, 1, 20.0, 102.0, 90.0, 112.0, 11.0, 109.0, "left"), (1, 1, 2, 100.0, 101.0, 140.0, 125.0, 20.0, 125.0, "tall"),
+            (1, 1, 3, 20.0, 120.0, 90.0, 130.0, 10.0, 127.0, "below")]
+    df = spark.createDataFrame(rows, "doc_id long, page_no long, line_no long, x0 double, y0 double, x1 double, y1 double, size_pt double, base double, text string")
     got = folds.same_row_merge(df).orderBy("line_no").collect()
     assert [(r.row_no, r.row_text) for r in got] == [(0, "left right"), (0, "left right"), (1, "tall"), (2, "below")]
+    assert [(*r.row_box, r.row_base, r.row_size) for r in got] == [(20.0, 100.0, 260.0, 112.0, 108.5, 11.0)] * 2 + [(100.0, 101.0, 140.0, 125.0, 125.0, 20.0), (20.0, 120.0, 90.0, 130.0, 127.0, 10.0)]
 
 
 def test_box_merge_keeps_pitch_and_edge(spark):
