@@ -431,18 +431,27 @@ def _(spark, d):
 
 
 def _areas(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.lit(1).cast("long").alias("page_no"), F.lit(72.0).alias("x0"), F.lit(100.0).alias("y0"), F.lit(400.0).alias("x1"), F.lit(200.0).alias("y1"))
+    """One box on every page, at a place that depends on document and page."""
+    n_pages = F.greatest(F.lit(1), F.ceil(F.size(F.expr("filter(split(text, '[ \\n]'), w -> w <> '')")) / 432))
+    pages = table(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), n_pages.cast("long"))).alias("page_no"))
+    dx, dy = F.col("page_no") % 3 * 40.0, F.col("doc_id") % 2 * 56.0
+    return pages.select("doc_id", "page_no", (dx + 72).alias("x0"), (dy + 100).alias("y0"), (dx + 400).alias("x1"), (dy + 200).alias("y1"))
 
 
-@query("hidden_text", W.rstrip() + ", l AS (SELECT doc_id, page_no, line_no, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1 FROM words GROUP BY ALL) SELECT doc_id, page_no, line_no FROM l WHERE page_no = 1 AND greatest(0, least(x1, 400) - greatest(x0, 72)) * greatest(0, least(y1, 200) - greatest(y0, 100)) > 0.5 * (x1 - x0) * (y1 - y0)")
+_AREAS = ctes("words", more="a AS (SELECT DISTINCT doc_id, page_no, page_no % 3 * 40 AS dx, doc_id % 2 * 56 AS dy FROM words)").rstrip()
+
+
+@query("hidden_text", _AREAS + """, l AS (SELECT doc_id, page_no, line_no, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1 FROM words GROUP BY ALL) SELECT doc_id, page_no, line_no FROM l JOIN a USING (doc_id, page_no)
+ WHERE greatest(0, least(x1, 400 + dx) - greatest(x0, 72 + dx)) * greatest(0, least(y1, 200 + dy) - greatest(y0, 100 + dy)) > 0.5 * (x1 - x0) * (y1 - y0)""")
 def _(spark, d):
     return layout.hidden_text(_lines(spark, d).drop("words"), _areas(spark, d)).select("doc_id", "page_no", "line_no")
 
 
-@query("word_in_grid", W + """SELECT doc_id, page_no, line_no, word_no, CASE WHEN page_no = 1 AND (x0 + x1) / 2 BETWEEN 70 AND 402 AND (y0 + y1) / 2 BETWEEN 98 AND 202 THEN 'table' WHEN page_no = 1 AND (x0 + x1) / 2 BETWEEN 300 AND 500 AND (y0 + y1) / 2 BETWEEN 150 AND 400 AND conf < 85 THEN 'dropped' ELSE 'text' END AS place FROM words""")
+@query("word_in_grid", _AREAS + """ SELECT doc_id, page_no, line_no, word_no, CASE WHEN (x0 + x1) / 2 - dx BETWEEN 70 AND 402 AND (y0 + y1) / 2 - dy BETWEEN 98 AND 202 THEN 'table'
+ WHEN (x0 + x1) / 2 - dx BETWEEN 300 AND 500 AND (y0 + y1) / 2 - dy BETWEEN 150 AND 400 AND conf < 85 THEN 'dropped' ELSE 'text' END AS place FROM words JOIN a USING (doc_id, page_no)""")
 def _(spark, d):
     a = _areas(spark, d)
-    pics = a.select("doc_id", "page_no", F.lit(300.0).alias("x0"), F.lit(150.0).alias("y0"), F.lit(500.0).alias("x1"), F.lit(400.0).alias("y1"))
+    pics = a.select("doc_id", "page_no", (F.col("x0") + 228).alias("x0"), (F.col("y0") + 50).alias("y0"), (F.col("x1") + 100).alias("x1"), (F.col("y1") + 200).alias("y1"))
     return layout.word_in_grid(_words(spark, d), a.withColumn("grid_no", F.lit(0)), pics).select("doc_id", "page_no", "line_no", "word_no", "place")
 
 
@@ -452,16 +461,16 @@ def _(spark, d):
     return _words(spark, d).select("doc_id", "page_no", "line_no", "word_no", geo.grid_index(xs, (F.col("x0") + F.col("x1")) / 2).alias("col_no"))
 
 
-@query("layout_labels", _BLK + " SELECT doc_id, page_no, block_no, CASE WHEN page_no = 1 AND y0 < 300 AND y1 > 250 THEN 'table' WHEN page_no = 1 AND y0 < 260 AND y1 > 100 THEN 'heading' ELSE 'text' END AS block_type FROM blk")
+@query("layout_labels", _BLK + """ SELECT doc_id, page_no, block_no, CASE WHEN y0 < 300 + doc_id % 2 * 56 AND y1 > 250 + doc_id % 2 * 56 THEN 'table' WHEN y0 < 260 + doc_id % 2 * 56 AND y1 > 100 + doc_id % 2 * 56 THEN 'heading' ELSE 'text' END AS block_type FROM blk""")
 def _(spark, d):
-    doc = table(spark, d, "documents")
     def label(no, name, top, bottom):
-        return doc.select("doc_id", F.lit(1).cast("long").alias("page_no"), F.lit(no).alias("box_no"), F.lit(name).alias("label"), F.lit(0.0).alias("x0"), F.lit(float(top)).alias("y0"), F.lit(600.0).alias("x1"), F.lit(float(bottom)).alias("y1"))
-    labels = label(0, "Section_Header", 100, 260).unionByName(label(1, "Table", 250, 300))
+        return _areas(spark, d).select("doc_id", "page_no", F.lit(no).alias("box_no"), F.lit(name).alias("label"), F.lit(0.0).alias("x0"), (F.col("y0") + top).alias("y0"), F.lit(600.0).alias("x1"), (F.col("y0") + bottom).alias("y1"))
+    labels = label(0, "Section_Header", 0, 160).unionByName(label(1, "Table", 150, 200))
     return layout.layout_labels(_blocks(spark, d), labels).select("doc_id", "page_no", "block_no", "block_type")
 
 
-@query("box_overlap", _BLK + " SELECT doc_id, page_no, block_no FROM blk WHERE NOT (page_no = 1 AND greatest(0, least(x1, 400) - greatest(x0, 72)) * greatest(0, least(y1, 200) - greatest(y0, 100)) / greatest(least((x1 - x0) * (y1 - y0), 328 * 100), 1) > 0.3)")
+@query("box_overlap", _BLK + """ SELECT doc_id, page_no, block_no FROM (SELECT *, page_no % 3 * 40 AS dx, doc_id % 2 * 56 AS dy FROM blk)
+ WHERE NOT greatest(0, least(x1, 400 + dx) - greatest(x0, 72 + dx)) * greatest(0, least(y1, 200 + dy) - greatest(y0, 100 + dy)) / greatest(least((x1 - x0) * (y1 - y0), 328 * 100), 1) > 0.3""")
 def _(spark, d):
     return layout.extra_pictures(_blocks(spark, d), _areas(spark, d)).select("doc_id", "page_no", "block_no")
 
@@ -610,9 +619,17 @@ def _(spark, d):
     return tables.table_chains(t).select("doc_id", "page_no", "table_no", "head_page", "drop_header")
 
 
-@query("ruled_table_items")
+# Words of one line share their middle, those of two lines lie further apart than a line of a cell may.
+@query("ruled_table_items", _AREAS + f""", w AS (SELECT *, CASE WHEN (x0 + x1) / 2 > 200 + dx THEN 1 ELSE 0 END AS col_no, CASE WHEN (y0 + y1) / 2 > 130 + dy THEN 1 ELSE 0 END AS row_no FROM words JOIN a USING (doc_id, page_no)
+  WHERE (x0 + x1) / 2 - dx BETWEEN 70 AND 402 AND (y0 + y1) / 2 - dy BETWEEN 98 AND 202),
+ z AS (SELECT doc_id, page_no, {_SNAP.replace('size_pt', '(m / 0.925)')} AS size FROM (SELECT doc_id, page_no, median(fsize) AS m FROM w GROUP BY ALL)),
+ t AS (SELECT doc_id, page_no, row_no, col_no, line_no, string_agg(text, ' ' ORDER BY x0, text) AS line, min(x0) AS x0, max(x1) AS x1, bool_and(word_no % 2 = 0) AS bold, any_value(dx) AS dx FROM w GROUP BY ALL),
+ g AS (SELECT doc_id, page_no, row_no, col_no, string_agg(line, ' ' ORDER BY line_no) AS text, bool_and(bold) AS all_bold, min(x0) - any_value(dx) - CASE col_no WHEN 0 THEN 72 ELSE 200 END AS lg,
+  CASE col_no WHEN 0 THEN 200 ELSE 400 END + any_value(dx) - max(x1) AS rg, CASE col_no WHEN 0 THEN 128 ELSE 200 END AS wd FROM t GROUP BY doc_id, page_no, row_no, col_no)
+ SELECT doc_id, page_no, 0 AS grid_no, row_no, col_no, text, CASE WHEN abs(lg - rg) < 0.12 * wd AND lg > 0.12 * wd THEN 'center' WHEN rg < lg * 0.5 AND rg < 0.15 * wd AND lg > 0.2 * wd THEN 'right' ELSE 'left' END AS align, all_bold, size FROM g JOIN z USING (doc_id, page_no)""")
 def _(spark, d):
-    a = _areas(spark, d).withColumn("grid_no", F.lit(0)).withColumns({"xs": F.array(*[F.lit(v) for v in (72.0, 200.0, 400.0)]), "ys": F.array(*[F.lit(v) for v in (100.0, 130.0, 200.0)])})
+    ruled = {"xs": F.array("x0", F.col("x0") + 128, "x1"), "ys": F.array("y0", F.col("y0") + 30, "y1")}
+    a = _areas(spark, d).withColumn("grid_no", F.lit(0)).withColumns(ruled)
     placed = layout.word_in_grid(_words(spark, d).withColumn("bold", F.col("word_no") % 2 == 0), a, a.filter(F.lit(False)))
     return tables.ruled_cells(placed, a)
 
