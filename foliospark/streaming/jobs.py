@@ -1,6 +1,6 @@
 """Continuous forms of the limits, usage, audit, progress, expiry and subscription operators.
 
-Stateful processors keep a few values per key. Timers use event time behind a watermark where the
+Stateful processors keep a few values per key and take its rows in order, a span of time after the other. Timers use event time behind a watermark where the
 service uses the wall clock, so that a replay gives the same rows as the live run.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from foliospark.functions.screen import is_limited_path
 from foliospark.operators.limits import ENDPOINT_LIMITS, Limits, SlidingState
 from foliospark.sources.scratch import shared_dir
+from foliospark.streaming.ordered import Aside
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -55,20 +56,21 @@ class SlidingLimiter(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.accepted = handle.getListState("accepted", "t double")
+        self.aside = Aside(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = SlidingState(self.limits)
         for (t,) in self.accepted.get():
             state.accept(t, 1)
-        pdf = pd.concat(list(rows)).sort_values(["t", "seq"])
-        out = []
-        for t, seq in zip(pdf["t"], pdf["seq"]):
-            k, kind, retry = state.offer(float(t), 1)
-            out.append((key[0], int(seq), float(t), bool(k), kind, retry))
+        for pdf in self.aside.in_order(rows, "t", ["t", "seq"]):
+            out = []
+            for t, seq in zip(pdf["t"], pdf["seq"]):
+                k, kind, retry = state.offer(float(t), 1)
+                out.append((key[0], int(seq), float(t), bool(k), kind, retry))
+            res = pd.DataFrame(out, columns=["client", "seq", "t", "allowed", "limit_type", "retry_after"])
+            res["retry_after"] = res["retry_after"].astype("Int64")
+            yield res
         self.accepted.put([(t,) for t, k in state.queues[2] for _ in range(k)])
-        res = pd.DataFrame(out, columns=["client", "seq", "t", "allowed", "limit_type", "retry_after"])
-        res["retry_after"] = res["retry_after"].astype("Int64")
-        yield res
 
     def close(self) -> None:
         pass
@@ -99,20 +101,21 @@ class FixedLimiter(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.counts = handle.getListState("counts", "width long, bucket long, n long")
+        self.aside = Aside(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["sec", "seq"]).reset_index(drop=True)
         known = {(w, b): n for w, b, n in self.counts.get()}
-        seen = {}
-        for w in self.WIDTHS:
-            bucket = pdf["sec"] // w
-            seen[w] = bucket.groupby(bucket).cumcount() + 1 + bucket.map(lambda b: known.get((w, b), 0))
-            known.update({(w, int(b)): int(n) for b, n in seen[w].groupby(bucket).max().items()})
+        for pdf in self.aside.in_order(rows, "sec", ["sec", "seq"]):
+            seen = {}
+            for w in self.WIDTHS:
+                bucket = pdf["sec"] // w
+                seen[w] = bucket.groupby(bucket).cumcount() + 1 + bucket.map(lambda b: known.get((w, b), 0))
+                known.update({(w, int(b)): int(n) for b, n in seen[w].groupby(bucket).max().items()})
+            kind = pd.Series([None] * len(pdf), dtype=object)
+            for w, limit, name in ((3600, self.limits.hour, "hour"), (60, self.limits.minute, "minute"), (1, self.limits.burst, "burst")):
+                kind = kind.mask(seen[w] > limit, name)
+            yield pd.DataFrame({"client": key[0], "seq": pdf["seq"], "in_second": seen[1], "in_minute": seen[60], "in_hour": seen[3600], "limit_type": kind})
         self.counts.put([(w, b, n) for (w, b), n in known.items()])
-        kind = pd.Series([None] * len(pdf), dtype=object)
-        for w, limit, name in ((3600, self.limits.hour, "hour"), (60, self.limits.minute, "minute"), (1, self.limits.burst, "burst")):
-            kind = kind.mask(seen[w] > limit, name)
-        yield pd.DataFrame({"client": key[0], "seq": pdf["seq"], "in_second": seen[1], "in_minute": seen[60], "in_hour": seen[3600], "limit_type": kind})
 
     def close(self) -> None:
         pass
@@ -155,21 +158,22 @@ class LatestProgress(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "status string, done boolean, deadline long")
+        self.aside = Aside(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["ts", "seq"])
         status, done, deadline = self.last.get() if self.last.exists() else (None, False, None)
-        out = []
-        for ts, seq, new in zip(pdf["ts"], pdf["seq"], pdf["status"]):
-            if deadline is None:
-                deadline = _us(ts) // 1000 + self.stall_ms
-                self.handle.registerTimer(deadline)
-            if new != status:
-                out.append((key[0], int(seq), ts, new))
-            in_time = _us(ts) // 1000 <= deadline
-            status, done = new, done or (in_time and new in ("completed", "failed", "cancelled"))
+        for pdf in self.aside.in_order(rows, "ts", ["ts", "seq"]):
+            out = []
+            for ts, seq, new in zip(pdf["ts"], pdf["seq"], pdf["status"]):
+                if deadline is None:
+                    deadline = _us(ts) // 1000 + self.stall_ms
+                    self.handle.registerTimer(deadline)
+                if new != status:
+                    out.append((key[0], int(seq), ts, new))
+                in_time = _us(ts) // 1000 <= deadline
+                status, done = new, done or (in_time and new in ("completed", "failed", "cancelled"))
+            yield pd.DataFrame(out, columns=["task_id", "seq", "ts", "status"])
         self.last.update((status, done, deadline))
-        yield pd.DataFrame(out, columns=["task_id", "seq", "ts", "status"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         _, done, deadline = self.last.get()
@@ -195,21 +199,23 @@ class ExpiryTimer(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", "expiry long, purged boolean")
+        self.aside = Aside(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        out, expiry = [], self.state.get()[0] if self.state.exists() else None
-        for ts, given in zip(pdf["ts"], pdf["expires_at"]):
-            now = _us(ts) // 1000
-            if expiry is None:
-                self.handle.registerTimer(now + self.grace_ms + 1000)
-                expiry = _us(given) // 1000
-            shorter = min(expiry, now + self.grace_ms)
-            if shorter != expiry or not self.state.exists():
-                out.append((key[0], "expiry", pd.Timestamp(shorter, unit="ms")))
-                self.state.update((shorter, False))
-            expiry = shorter
-        yield pd.DataFrame(out, columns=["task_id", "what", "ts"])
+        expiry = self.state.get()[0] if self.state.exists() else None
+        for pdf in self.aside.in_order(rows, "ts", ["ts", "seq"]):
+            out = []
+            for ts, given in zip(pdf["ts"], pdf["expires_at"]):
+                now = _us(ts) // 1000
+                if expiry is None:
+                    self.handle.registerTimer(now + self.grace_ms + 1000)
+                    expiry = _us(given) // 1000
+                shorter = min(expiry, now + self.grace_ms)
+                if shorter != expiry or not self.state.exists():
+                    out.append((key[0], "expiry", pd.Timestamp(shorter, unit="ms")))
+                    self.state.update((shorter, False))
+                expiry = shorter
+            yield pd.DataFrame(out, columns=["task_id", "what", "ts"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()
@@ -231,29 +237,30 @@ class SubscriptionFold(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.state = handle.getValueState("state", "status string, tier string, plan string, applied long")
+        self.aside = Aside(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["ts", "seq"])
         now = self.state.get() if self.state.exists() else None
         said = {"active": "active", "past_due": "past_due", "canceled": "cancelled", "unpaid": "cancelled"}
-        out = []
-        for seq, kind, word, plan in zip(pdf["seq"], pdf["kind"], pdf["provider_status"], pdf["plan"]):
-            if now is None and kind != "checkout":
-                continue
-            status, tier, held, n = now or (None, None, None, 0)
-            if kind == "checkout":
-                status, tier, held = "active", "pro" if plan == "pro" else "business", plan
-            elif kind == "updated":
-                status = said.get(word, status)
-            elif kind == "deleted":
-                status, tier = "cancelled", "free"
-            elif kind == "payment_failed":
-                status = "past_due"
-            now = (status, tier, held, n + 1)
-            out.append((key[0], int(seq), *now))
+        for pdf in self.aside.in_order(rows, "ts", ["ts", "seq"]):
+            out = []
+            for seq, kind, word, plan in zip(pdf["seq"], pdf["kind"], pdf["provider_status"], pdf["plan"]):
+                if now is None and kind != "checkout":
+                    continue
+                status, tier, held, n = now or (None, None, None, 0)
+                if kind == "checkout":
+                    status, tier, held = "active", "pro" if plan == "pro" else "business", plan
+                elif kind == "updated":
+                    status = said.get(word, status)
+                elif kind == "deleted":
+                    status, tier = "cancelled", "free"
+                elif kind == "payment_failed":
+                    status = "past_due"
+                now = (status, tier, held, n + 1)
+                out.append((key[0], int(seq), *now))
+            yield pd.DataFrame(out, columns=["sub_id", "seq", "status", "tier", "plan", "applied"])
         if now is not None:
             self.state.update(now)
-        yield pd.DataFrame(out, columns=["sub_id", "seq", "status", "tier", "plan", "applied"])
 
     def close(self) -> None:
         pass
