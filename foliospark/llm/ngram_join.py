@@ -18,7 +18,8 @@ contracted into components. Only buckets that still hold several components go o
 closes buckets. Then small ones are compared pair by pair; in large
 ones, what is not in the largest component of its bucket is held against the other components by sketches (counts of
 hashed n-grams, whose distance never exceeds the symmetric difference), in blocks. Pairs that the sketches can't
-rule out are compared from the nearest on, in rounds, and those of what has become one component meanwhile are left out.
+rule out are compared from the nearest on, in rounds: each asking row remembers the place that it has reached and takes the next
+ones that are not in its component by then, until none is left.
 Links are decided exactly, on the n-grams of the whole texts.
 
 Equal sets are one class throughout.
@@ -338,56 +339,78 @@ def texts_of(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     return _batches(docs.select("doc_id", "text").join(members, "doc_id").select("class", "text"), run, "class long, text string, size long, sketch binary")
 
 
-def sketch_blocks(rows: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides of the buckets of ``rows(sig, class, less, label)`` cut into blocks, so that no task holds a bucket.
+KEYS = ["sig", "chunk", "part"]
+ROW = [*KEYS, "class", "less", "asks"]
+
 
-    The second side asks: it leaves out the largest component of a bucket, whose members need not be held against each other.
+def sketch_blocks(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The buckets of ``rows(sig, class, less, label)`` cut into blocks, so that no task holds a bucket: rows that are ``held``, rows that ``asks``.
+
+    What is not in the largest component of its bucket asks; the members of that component need not be held against each
+    other. In a bucket of one block a row has both parts; in larger ones it is held once for each part of the asking rows
+    and asks once in each chunk of the held ones.
     """
     counts = rows.groupBy("sig", "label").agg(F.count("*").alias("of_label"))
     heads = counts.groupBy("sig").agg(F.max_by("label", F.struct("of_label", "label")).alias("major"), F.sum("of_label").alias("held"), (F.sum("of_label") - F.max("of_label")).alias("minors"))
     heads = heads.select("sig", "major", F.ceil(F.col("held") / BLOCK).cast("int").alias("chunks"), F.ceil(F.col("minors") / BLOCK).cast("int").alias("parts"))
-    full = written(rows.sparkSession, rows.join(heads, "sig").join(sketches, "class"), "ngram-sketches")
-    columns = [*KEYS, "class", "less", "size", "sketch"]
-    left = (full.withColumn("chunk", F.pmod(F.xxhash64("class"), "chunks").cast("int"))
-            .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*columns))
-    right = (full.where("label != major").withColumn("part", F.pmod(F.xxhash64("class", F.lit(1)), "parts").cast("int"))
-             .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*columns))
-    return left, right
+    minor = F.col("label") != F.col("major")
+    chunk, part = F.pmod(F.xxhash64("class"), "chunks").cast("int"), F.pmod(F.xxhash64("class", F.lit(1)), "parts").cast("int")
 
+    def place(chunk, part, held, asks):
+        return F.struct(chunk.alias("chunk"), part.alias("part"), held.alias("held"), asks.alias("asks"))
 
-KEYS = ["sig", "chunk", "part"]
+    yes, no = F.lit(True), F.lit(False)
+    holding = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: place(chunk, p, yes, no))
+    asking = F.filter(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: place(c, part, no, yes)), lambda _: minor)
+    alone = (F.col("chunks") == 1) & (F.col("parts") == 1)
+    places = F.when(alone, F.array(place(F.lit(0), F.lit(0), yes, minor))).otherwise(F.concat(holding, asking))
+    full = rows.join(heads, "sig").join(sketches, "class")
+    return full.select("sig", "class", "less", "size", "sketch", F.inline(places)).select(*ROW, "held", "size", "sketch")
 
 
-def sketched_pairs(left: DataFrame, right: DataFrame, names: DataFrame, percent: int, low: int, high: int) -> DataFrame:
-    """``a, b, sig, chunk, part``: pairs of different components that sketches don't rule out, for each asking row those from the ``low``-th to below the ``high``-th nearest.
+def sketched_pairs(blocks: DataFrame, ahead: DataFrame | None, names: DataFrame, percent: int, count: int) -> DataFrame:
+    """``a, b`` and ``ROW, apart, after``: for each asking row the ``count`` nearest rows of other components that sketches don't rule out.
 
-    Nearness is the distance of the sketches among all rows of a block, so the places of later rounds follow those of earlier ones. A
-    row with null ``a, b`` names a block that has pairs further out; in rows of pairs the block is null.
+    An asking row goes on behind the place (distance of the sketches, class) that it has reached; ``ahead`` holds the
+    asking rows with partners further out and their places, as this function gives them in rows with null ``a, b``. Rows of a block
+    in which none is left stay out. What is skipped for its component never comes back, since components only grow.
     """
-    def named(rows: DataFrame) -> DataFrame:
-        return rows.join(names.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-
-    def compare(key: tuple, all_: pa.Table, minor: pa.Table) -> pa.Table:
-        out, more = [], False
-        if all_.num_rows and minor.num_rows:
-            classes, labels, sizes, less = (all_.column(c).to_numpy() for c in ("class", "label", "size", "less"))
-            if (labels != labels[0]).any() or (minor.column("label").to_numpy() != labels[0]).any():
-                bins = np.frombuffer(b"".join(all_.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
-                for name, label, size, is_less_, data in zip(*[minor.column(c).to_pylist() for c in ("class", "label", "size", "less", "sketch")], strict=True):
-                    apart = np.abs(bins - np.frombuffer(data, np.uint8).astype(np.int16)).sum(1, dtype=np.int64)
-                    near = np.flatnonzero((apart * (100 + percent) <= (sizes + size) * (100 - percent)) & (classes != name) & ~(less & is_less_))
-                    near = near[np.lexsort((classes[near], apart[near]))]
-                    more |= bool((labels[near[high:]] != label).any())
-                    near = near[low:high]
-                    near = classes[near[labels[near] != label]]
-                    out.append(np.stack([np.minimum(near, name), np.maximum(near, name)]))
-        found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-        ahead, count = [1] if more else [], found.shape[1]
-        pairs = {c: pa.array([*found[i].tolist(), *[None for _ in ahead]], pa.int64()) for i, c in enumerate(("a", "b"))}
-        block = {c: pa.array([None] * count + [k.as_py() for _ in ahead], kind) for c, k, kind in zip(KEYS, key, (pa.int64(), pa.int32(), pa.int32()), strict=True)}
-        return pa.table(pairs | block)
-
-    return named(left).groupBy(*KEYS).cogroup(named(right).groupBy(*KEYS)).applyInArrow(compare, "a long, b long, sig long, chunk int, part int")
+    if ahead is None:
+        rows = blocks.withColumn("apart", F.lit(-1).cast("long")).withColumn("after", F.lit(0).cast("long"))
+    else:
+        rows = blocks.join(ahead.select(*KEYS).distinct(), KEYS, "left_semi").join(ahead.select(*ROW, "apart", "after"), ROW, "left")
+        rows = rows.withColumn("asks", F.col("apart").isNotNull()).where("held or asks")
+    rows = rows.join(names.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+
+    def compare(key: tuple, block: pa.Table) -> pa.Table:
+        classes, labels, sizes, less, held, asks = (block.column(c).to_numpy() for c in ("class", "label", "size", "less", "held", "asks"))
+        found, places = [], []
+        if (labels != labels[0]).any():
+            bins = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+            at, after = block.column("apart").to_pylist(), block.column("after").to_pylist()
+            for i in np.flatnonzero(asks):
+                fit = np.flatnonzero(held & (labels != labels[i]) & ~(less & less[i]))
+                apart = np.abs(bins[fit] - bins[i]).sum(1, dtype=np.int64)
+                close = (apart * (100 + percent) <= (sizes[fit] + sizes[i]) * (100 - percent)) & ((apart > at[i]) | ((apart == at[i]) & (classes[fit] > after[i])))
+                fit, apart = fit[close], apart[close]
+                order = np.lexsort((classes[fit], apart))
+                near = classes[fit[order[:count]]]
+                found.append(np.stack([np.minimum(near, classes[i]), np.maximum(near, classes[i])]))
+                if len(order) > count:
+                    last = order[count - 1]
+                    places.append((int(classes[i]), bool(less[i]), int(apart[last]), int(classes[fit[last]])))
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+        none, more = [None] * pairs.shape[1], len(places)
+        columns = {c: pa.array([*pairs[i].tolist(), *[None] * more], pa.int64()) for i, c in enumerate(("a", "b"))}
+        for c, k, kind in zip(KEYS, key, (pa.int64(), pa.int32(), pa.int32()), strict=True):
+            columns[c] = pa.array(none + [k.as_py()] * more, kind)
+        for i, (c, kind) in enumerate((("class", pa.int64()), ("less", pa.bool_()), ("apart", pa.int64()), ("after", pa.int64()))):
+            columns[c] = pa.array(none + [p[i] for p in places], kind)
+        columns["asks"] = pa.array(none + [True] * more, pa.bool_())
+        return pa.table(columns)
+
+    schema = "a long, b long, sig long, chunk int, part int, class long, less boolean, apart long, after long, asks boolean"
+    return rows.groupBy(*KEYS).applyInArrow(compare, schema)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -442,16 +465,12 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, dear: int =
     one = small.where(~F.col("less")).select("sig", F.col("class").alias("one"), F.col("label").alias("of_one"))
     ask(small.join(one, "sig").where("label != of_one").select(F.least("class", "one").alias("a"), F.greatest("class", "one").alias("b")).distinct())
     if not large.isEmpty():
-        left, right = (written(spark, side, "ngram-blocks") for side in sketch_blocks(large, held.select("class", "size", "sketch")))
-        low, high = 0, 2
-        while True:
-            found = written(spark, sketched_pairs(left, right, names, percent, low, high), "ngram-near")
+        blocks = written(spark, sketch_blocks(large, held.select("class", "size", "sketch")), "ngram-blocks")
+        ahead, count = None, 4
+        while ahead is None or not ahead.isEmpty():
+            found = written(spark, sketched_pairs(blocks, ahead, names, percent, count), "ngram-near")
             ask(found.where("a is not null").select("a", "b").distinct())
-            ahead = found.where("a is null").select(*KEYS)
-            if ahead.isEmpty():
-                break
-            left, right = left.join(ahead, KEYS, "left_semi"), right.join(ahead, KEYS, "left_semi")
-            low, high = high, 4 * high
+            ahead, count = found.where("a is null"), 4 * count
     return done.where("linked").select("a", "b"), names
 
 

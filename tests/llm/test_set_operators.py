@@ -303,10 +303,11 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     assert hashlib.sha256(b"").hexdigest()
 
 
-@pytest.mark.parametrize("dear", [64, 2])
-def test_large_buckets_go_by_nearest_sketches(spark, monkeypatch, dear):
+@pytest.mark.parametrize(("dear", "block"), [(64, 4096), (2, 4096), (64, 7)])
+def test_large_buckets_go_by_nearest_sketches(spark, monkeypatch, dear, block):
     """Stars (copies near one text but not near each other), chains and boilerplate around different texts share buckets of many components."""
     monkeypatch.setattr(ngram_join, "SMALL", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     rng = random.Random(21)
     vocabulary = [f"w{i}" for i in range(5000)]
     centre = [rng.choice(vocabulary) for _ in range(160)]
