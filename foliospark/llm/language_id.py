@@ -22,11 +22,15 @@ from foliospark.sources.scratch import written
 
 LETTERS = regex.compile(r"\p{L}+").findall
 START = "▁"
-#: Bounds of the fit: documents per language (smallest id hashes), words per language (most frequent), word length, languages.
-MAX_DOCS, MAX_WORDS, MAX_LENGTH, MAX_LANGUAGES = 1500, 30_000, 24, 256
+#: Bounds of the fit: documents per language (smallest id hashes), words per language (most frequent), word length; and the
+#: number of languages from which training is refused (the table grows with it).
+MAX_DOCS, MAX_WORDS, MAX_LENGTH, MAX_LANGUAGES = 1500, 30_000, 24, 1024
+#: Buckets into which a language is dealt before its sample is cut.
+SALTS = 256
 ROUNDS = 4
 SMOOTHING = 0.05
-CACHED = 200_000
+#: Words and bytes of the cache of a scorer.
+CACHED, CACHE_BYTES = 200_000, 1 << 27
 
 
 #: Multiplier of the rolling hash of pieces (an odd 64-bit constant).
@@ -139,12 +143,13 @@ class Model:
 
 
 class Scorer:
-    """Scores texts; log probabilities of the words seen last are kept, up to ``CACHED``."""
+    """Scores texts; log probabilities of the words seen last are kept, up to ``CACHED`` words and ``CACHE_BYTES``."""
 
     def __init__(self, model: Model):
         self.model = model
         self.known: dict[str, int] = {}
-        self.values = np.zeros((CACHED, len(model.languages)))
+        self.cached = min(CACHED, CACHE_BYTES // (8 * max(1, len(model.languages))))
+        self.values = np.zeros((self.cached, len(model.languages)))
 
     def learn(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.model.languages)))
@@ -155,13 +160,13 @@ class Scorer:
     def totals(self, words: list[str]) -> np.ndarray:
         """Sum of the log probabilities of the words, per language."""
         new = list({w for w in words if w not in self.known})
-        if len(new) + len(self.known) > CACHED:
+        if len(new) + len(self.known) > self.cached:
             self.known.clear()
             new = list(set(words))
         total = np.zeros(len(self.model.languages))
-        if len(new) > CACHED:
-            for at in range(0, len(words), CACHED):
-                total += self.learn(words[at:at + CACHED]).sum(0)
+        if len(new) > self.cached:
+            for at in range(0, len(words), self.cached):
+                total += self.learn(words[at:at + self.cached]).sum(0)
             return total
         if new:
             base = len(self.known)
@@ -173,7 +178,7 @@ class Scorer:
         split = [LETTERS((t or "").lower()) for t in texts]
         if self.model.languages:
             fresh = list({w for words in split for w in words if w not in self.known})
-            if len(fresh) + len(self.known) <= CACHED and fresh:
+            if len(fresh) + len(self.known) <= self.cached and fresh:
                 self.totals(fresh)
         names, scores = [], []
         for words in split:
@@ -200,17 +205,27 @@ def shared_scorer(model: Model) -> Scorer:
     return _scorers[id(model)]
 
 
-def train(spark: SparkSession, docs: DataFrame, may_learn: Column, vocabulary: str, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> Model:
+def first_of(rows: DataFrame, per: str, salted_by: str, order: list[Column | str], most: int) -> DataFrame:
+    """The first ``most`` rows of each value of ``per``: cut in ``SALTS`` buckets of it, then among what these leave, so that a task sorts no whole group."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(salted_by, F.lit(1)), F.lit(SALTS)))
+    for keys in ([per, "salt"], [per]):
+        salted = salted.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= most)
+    return salted.drop("salt", "place")
+
+
+def train(spark: SparkSession, docs: DataFrame, may_learn: Column, vocabulary: str, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, max_languages: int = MAX_LANGUAGES) -> Model:
     """Fit on rows of ``docs(doc_id, text, lang)`` for which ``may_learn`` holds and ``lang`` is not null.
 
     The sample is bounded: per language the ``max_docs`` documents with the smallest id hashes, of these the
-    ``max_words`` most frequent words of at most ``MAX_LENGTH`` letters; at most ``MAX_LANGUAGES`` languages, the most frequent. Spark counts the words; only the counts reach the driver.
+    ``max_words`` most frequent words of at most ``MAX_LENGTH`` letters. Spark counts the words; only the counts reach the
+    driver. Every language is learnt; more than ``max_languages`` of them are an error.
     """
     rows = docs.where(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (rows.join(F.broadcast(frequent), "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_docs)
-           .select("doc_id", "lang").dropDuplicates(["doc_id", "lang"]))
+    many = rows.select("lang").distinct().limit(max_languages + 1).count()
+    if many > max_languages:
+        raise ValueError(f"more than {max_languages} languages to learn; raise max_languages if these are languages")
+    # Broadcast below: at most max_docs rows of two columns for each of the languages counted above.
+    ids = first_of(rows, "lang", "doc_id", [F.xxhash64("doc_id"), "doc_id"], max_docs).dropDuplicates(["doc_id", "lang"])
 
     def words(langs, texts):
         out = [(lang, w) for lang, t in zip(langs, texts, strict=True) for w in LETTERS((t or "").lower()) if len(w) <= MAX_LENGTH]
@@ -218,32 +233,36 @@ def train(spark: SparkSession, docs: DataFrame, may_learn: Column, vocabulary: s
 
     pairs = map_columns(docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text"), words, "lang string, word string")
     counts = pairs.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    top = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= max_words)
+    top = first_of(counts, "lang", "word", [F.desc("n"), "word"], max_words)
     found = written(spark, top.select("lang", "word", "n"), "language-words").orderBy("word", "lang").collect()
     languages = sorted({r["lang"] for r in found})
     return Model(languages, fit(found, languages, vocabulary), vocabulary)
 
 
 def fit(counts, languages: list[str], vocabulary: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Piece probabilities by expectation-maximisation over rows (lang, word, n), from a uniform start."""
-    count, _ = pieces_of(vocabulary)
-    words = sorted({r["word"] for r in counts})
-    place, lang = {w: i for i, w in enumerate(words)}, {x: i for i, x in enumerate(languages)}
-    weights = np.zeros((len(words), len(languages)))
+    """Piece probabilities by expectation-maximisation over rows (lang, word, n), from a uniform start.
+
+    Languages don't depend on each other, so each is fitted over its own words alone and memory is that of one.
+    """
+    rows = pieces_of(vocabulary)[0] + 1
+    words: dict[str, list] = {x: [] for x in languages}
     for r in counts:
-        weights[place[r["word"]], lang[r["lang"]]] += r["n"]
-    rows = count + 1
-    table = np.full((rows + 1, len(languages)), 1 / rows)
-    table[-1] = 0
-    groups = list(lattices(words, vocabulary))
-    for _ in range(rounds):
-        used = np.zeros_like(table)
-        for members, lattice in groups:
-            used += expected_counts(lattice, table, weights[members])
-        used[-1] = 0
-        table = used + SMOOTHING
-        table[-1] = 0
-        table /= table.sum(0)
+        words[r["lang"]].append((r["word"], r["n"]))
+    table = np.zeros((rows + 1, len(languages)))
+    for at, language in enumerate(languages):
+        amounts = np.array([[n] for _, n in words[language]], float)
+        groups = list(lattices([w for w, _ in words[language]], vocabulary))
+        column = np.full((rows + 1, 1), 1 / rows)
+        column[-1] = 0
+        for _ in range(rounds):
+            used = np.zeros_like(column)
+            for members, lattice in groups:
+                used += expected_counts(lattice, column, amounts[members])
+            used[-1] = 0
+            column = used + SMOOTHING
+            column[-1] = 0
+            column /= column.sum(0)
+        table[:, at] = column[:, 0]
     return table
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import regex
@@ -278,3 +279,34 @@ def test_millions_of_blanks_in_a_row(blank):
     counts = token_counts.PieceCounts(token_counts.Counter(GPT.path, GPT.pattern, GPT.spare))
     library.encode_special_tokens = True
     assert sum(counts.all(counts.cut.findall(text))) == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_language_sample_is_cut_in_buckets_and_refuses_too_many_languages(spark, monkeypatch):
+    """The cut by buckets equals the plain one, ties and repeated rows included; too many languages are an error, not dropped."""
+    from pyspark.sql import Window
+
+    rows = spark.range(3000).selectExpr("id % 700 AS doc_id", "CASE WHEN id % 3 = 0 THEN 'aa' WHEN id % 50 = 1 THEN 'rare' ELSE 'bb' END AS lang")
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    plain = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where("n <= 90").drop("n")
+    for salts in (1, 7, 256):
+        monkeypatch.setattr(language_id, "SALTS", salts)
+        got = language_id.first_of(rows, "lang", "doc_id", order, 90)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and got.columns == rows.columns
+    docs = rows.withColumn("text", F.lit("some words"))
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    with pytest.raises(ValueError, match="languages"):
+        language_id.train(spark, docs, F.lit(True), path, max_languages=2)
+    assert language_id.train(spark, docs, F.lit(True), path, max_languages=3).languages == ["aa", "bb", "rare"]
+
+
+def test_language_cache_follows_the_number_of_languages(monkeypatch):
+    """A scorer whose cache holds a few words gives the results of a large one."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    counts = [{"lang": lang, "word": w, "n": n} for lang, words in (("x", "alpha beta gamma delta"), ("y", "omega sigma alpha tau")) for n, w in enumerate(words.split(), 1)]
+    model = language_id.Model(["x", "y"], language_id.fit(counts, ["x", "y"], path), path)
+    texts = ["alpha beta", "tau tau sigma omega alpha beta gamma", None, "12", "delta", "omega"]
+    whole = language_id.Scorer(model).predict(texts)
+    monkeypatch.setattr(language_id, "CACHE_BYTES", 48)
+    small = language_id.Scorer(model)
+    got = small.predict(texts)
+    assert small.cached == 3 and got[0] == whole[0] and np.allclose(got[1], whole[1])
