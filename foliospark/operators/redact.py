@@ -99,13 +99,16 @@ def redaction_report(documents: DataFrame) -> DataFrame:
 def area_redact(words: DataFrame, areas: DataFrame) -> DataFrame:
     """Words with those touched by an area of their page marked.
 
-    ``areas`` (doc_id, page_no, x0, y0, x1, y1) takes defaults 0, 0, 100, 100. The equi join on
-    document and page keeps the overlap test inside one page; hits are deduplicated per word.
+    ``areas`` (doc_id, page_no, x0, y0, x1, y1) takes defaults 0, 0, 100, 100. The few areas of a page
+    travel as an array to its words, which are read once and joined with nothing else.
     """
+    page = ["doc_id", "page_no"]
     a = areas.select("doc_id", F.coalesce("page_no", F.lit(1)).alias("page_no"),
-                     *[F.coalesce(F.col(c), F.lit(v)).cast("double").alias(f"a{c}") for c, v in (("x0", 0), ("y0", 0), ("x1", 100), ("y1", 100))])
-    key = ["doc_id", "page_no", "line_no", "word_no"]
-    touch = (F.col("x0") < F.col("ax1")) & (F.col("x1") > F.col("ax0")) & (F.col("y0") < F.col("ay1")) & (F.col("y1") > F.col("ay0"))
-    hits = words.join(a, ["doc_id", "page_no"]).filter(touch).select(*key).distinct().withColumn("masked", F.lit(True))
-    out = words.join(hits, key, "left").withColumn("masked", F.coalesce("masked", F.lit(False)))
+                     F.struct(*[F.coalesce(F.col(c), F.lit(v)).cast("double").alias(c) for c, v in (("x0", 0), ("y0", 0), ("x1", 100), ("y1", 100))]).alias("a"))
+    by_page = a.groupBy(*page).agg(F.collect_list("a").alias("_areas"))
+
+    def touches(a):
+        return (F.col("x0") < a["x1"]) & (F.col("x1") > a["x0"]) & (F.col("y0") < a["y1"]) & (F.col("y1") > a["y0"])
+
+    out = words.join(by_page.hint("shuffle_hash"), page, "left").withColumn("masked", F.coalesce(F.exists("_areas", touches), F.lit(False))).drop("_areas")
     return out.withColumn("text", F.when(F.col("masked"), F.repeat(F.lit(MASK), F.length("text"))).otherwise(F.col("text")))

@@ -38,3 +38,10 @@ def test_paragraphs_move_words_twice(spark, tmp_path):
     moved = [line for line in _plan(p).split("\n") if "Generate" in line and "words" in line]
     assert len(moved) == 1
     assert p.agg(F.sum("n_lines")).first()[0] > 0
+
+
+def test_areas_come_to_words_once(spark, tmp_path):
+    d = _documents(spark, tmp_path, ["word " * 900, "a b", None])
+    done = QUERIES["area_redact"](spark, d)
+    assert _plan(done).count("Join") == 1 and "SortMergeJoin" not in _plan(done)
+    assert done.filter("text like '%█%'").count() > 0 and done.count() == 902
