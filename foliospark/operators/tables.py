@@ -18,7 +18,7 @@ TABLE = ["doc_id", "page_no", "table_no"]
 
 def _distinct_edges(values: Column, tolerance: float) -> Column:
     """Sorted edges, each more than the tolerance beyond the last one kept."""
-    return F.aggregate(F.array_sort(F.array_distinct(values)), F.array().cast("array<double>"), lambda kept, v: F.when(
+    return F.aggregate(F.sort_array(F.array_compact(F.array_distinct(values))), F.array().cast("array<double>"), lambda kept, v: F.when(
         (F.size(kept) == 0) | (v - F.get(kept, F.size(kept) - 1) > tolerance), F.array_append(kept, v)).otherwise(kept))
 
 
@@ -36,14 +36,22 @@ def grid_lines(cells: DataFrame, tolerance: float = 2.0) -> DataFrame:
     g = cells.groupBy(*TABLE).agg(F.collect_list(F.struct("x0", "y0", "x1", "y1", text.alias("text"))).alias("cs"))
 
     def edges(cs: Column) -> Column:
-        xs = F.flatten(F.transform(cs, lambda c: F.array(c["x0"], c["x1"])))
-        ys = F.flatten(F.transform(cs, lambda c: F.array(c["y0"], c["y1"])))
-        return let_all(place, cs=cs, xs=_distinct_edges(xs, tolerance), ys=_distinct_edges(ys, tolerance), filled=F.exists(cs, lambda c: c["text"] != ""))
+        xs = F.array_distinct(F.flatten(F.transform(cs, lambda c: F.array(c["x0"], c["x1"]))))
+        ys = F.array_distinct(F.flatten(F.transform(cs, lambda c: F.array(c["y0"], c["y1"]))))
+        return let_all(lines, cs=cs, vx=xs, vy=ys, xs=_distinct_edges(xs, tolerance), ys=_distinct_edges(ys, tolerance), filled=F.exists(cs, lambda c: c["text"] != ""))
+
+    def lines(v: Column) -> Column:
+        # Cells share their edges: the line of each different edge is looked for once.
+        at = lambda edges, kept: F.transform(edges, lambda e: _nearest(kept, e))
+        return let_all(place, cs=v["cs"], xs=v["xs"], ys=v["ys"], filled=v["filled"], vx=v["vx"], vy=v["vy"], ax=at(v["vx"], v["xs"]), ay=at(v["vy"], v["ys"]))
 
     def place(v: Column) -> Column:
+        def line(k: str, edge: Column) -> Column:
+            return F.coalesce(F.get(v[f"a{k}"], (F.array_position(v[f"v{k}"], edge) - 1).cast("int")), F.lit(0))
+
         spans = F.transform(v["cs"], lambda c: F.struct(
-            _nearest(v["ys"], c["y0"]).alias("row_no"), _nearest(v["xs"], c["x0"]).alias("col_no"), _nearest(v["ys"], c["y1"]).alias("row_end"),
-            _nearest(v["xs"], c["x1"]).alias("col_end"), c["text"].alias("text"), v["filled"].alias("filled")))
+            line("y", c["y0"]).alias("row_no"), line("x", c["x0"]).alias("col_no"), line("y", c["y1"]).alias("row_end"),
+            line("x", c["x1"]).alias("col_end"), c["text"].alias("text"), v["filled"].alias("filled")))
         real = F.filter(spans, lambda s: (s["row_end"] > s["row_no"]) & (s["col_end"] > s["col_no"]))
         return F.struct(v["xs"].alias("xs"), v["ys"].alias("ys"), real.alias("cells"))
 
@@ -101,17 +109,16 @@ def table_chains(tables: DataFrame) -> DataFrame:
 
     ``tables`` has doc_id, page_no, table_no, n_cols, widths, header, merged. A chain can only run
     over consecutive pages, so documents are first cut where a page without tables ends every
-    chain. Likeness to a head is no equivalence, so a run of pages is walked in order: its rows stream
+    chain, by a window over the tables themselves: they are read once. Likeness to a head is no equivalence, so a run of pages is walked in order: its rows stream
     through a task that holds one head, and no row or array grows with the run.
     """
-    pages = tables.select("doc_id", "page_no").distinct()
-    before = pages.select("doc_id", (F.col("page_no") + 1).alias("page_no"), F.lit(1).alias("linked"))
-    starts = pages.join(before, ["doc_id", "page_no"], "left").withColumn("cut", F.when(F.col("linked").isNull(), 1).otherwise(0))
-    w = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
-    runs = starts.select("doc_id", "page_no", F.sum("cut").over(w).alias("run"))
+    w = Window.partitionBy("doc_id").orderBy("page_no")
+    before = F.lag("page_no").over(w)
+    cut = before.isNull() | (before < F.col("page_no") - 1)
+    runs = tables.dropna(subset=["doc_id", "page_no"]).withColumn("_cut", cut.cast("int")).withColumn("run", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     look = [F.col("page_no").cast("long").alias("page_no"), F.col("table_no").cast("long").alias("table_no"), "n_cols", F.coalesce("widths", F.array().cast("array<double>")).alias("widths"),
             F.transform("header", lambda h: F.coalesce(h, F.lit(""))).alias("header"), F.coalesce("merged", F.lit(False)).alias("merged")]
-    placed = tables.join(runs, ["doc_id", "page_no"]).select("doc_id", "run", *look).repartition("doc_id", "run").sortWithinPartitions("doc_id", "run", "page_no", "table_no")
+    placed = runs.select("doc_id", "run", *look).repartition("doc_id", "run").sortWithinPartitions("doc_id", "run", "page_no", "table_no")
     doc = tables.schema["doc_id"].dataType.simpleString()
     return placed.mapInPandas(_chained, f"doc_id {doc}, page_no long, table_no long, head_page long, head_table long, drop_header boolean")
 

@@ -45,3 +45,11 @@ def test_areas_come_to_words_once(spark, tmp_path):
     done = QUERIES["area_redact"](spark, d)
     assert _plan(done).count("Join") == 1 and "SortMergeJoin" not in _plan(done)
     assert done.filter("text like '%█%'").count() > 0 and done.count() == 902
+
+
+def test_chains_read_their_tables_once(spark, tmp_path):
+    rows = [(k, 1, 1, 1, 1.0, 9.5, 0.0, 0.0, "R", "O") for k in (4, 5, 7)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    chains = QUERIES["table_continuation"](spark, str(tmp_path))
+    assert _plan(chains).count("FileScan") == 1
+    assert [(r.page_no, r.head_page) for r in chains.orderBy("page_no").collect()] == [(1, 1), (2, 1), (4, 4)]
