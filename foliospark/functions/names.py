@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,9 +18,17 @@ MAX_STEM, MULTI_PART, MAX_ORIGINAL_BYTES, MAX_STORED_BYTES, MAX_STORED_STEM, MAX
 
 
 def _normaliser(form: str):
-    @F.pandas_udf(T.StringType())
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else unicodedata.normalize(form, v))
+    @F.arrow_udf(T.StringType())
+    def run(s: pa.Array) -> pa.Array:
+        # Few rows at a time become Python strings; rows that are in the form already stay as they are.
+        done = []
+        for i in range(0, len(s), 256):
+            part = s.slice(i, 256)
+            texts = part.to_pylist()
+            if not all(v is None or unicodedata.is_normalized(form, v) for v in texts):
+                part = pa.array([None if v is None else unicodedata.normalize(form, v) for v in texts], s.type)
+            done.append(part)
+        return pa.concat_arrays(done) if done else s
 
     return run
 

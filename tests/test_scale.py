@@ -53,3 +53,16 @@ def test_chains_read_their_tables_once(spark, tmp_path):
     chains = QUERIES["table_continuation"](spark, str(tmp_path))
     assert _plan(chains).count("FileScan") == 1
     assert [(r.page_no, r.head_page) for r in chains.orderBy("page_no").collect()] == [(1, 1), (2, 1), (4, 4)]
+
+
+def test_texts_in_normal_form_are_not_rebuilt(spark):
+    import pyarrow as pa
+
+    from foliospark.functions import names
+
+    plain = pa.array(["aé"] * 300 + [None])
+    kept = names._NORMAL["NFC"].func(plain)
+    assert isinstance(kept, pa.Array) and kept.equals(plain)
+    texts = ["é"] * 300 + [None, ""] + ["x"] * 300
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(names.unicode_normalize(F.col("t"), "NFC")).collect()
+    assert [r[0] for r in got] == ["é"] * 300 + [None, ""] + ["x"] * 300
