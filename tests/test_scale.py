@@ -66,3 +66,24 @@ def test_texts_in_normal_form_are_not_rebuilt(spark):
     texts = ["é"] * 300 + [None, ""] + ["x"] * 300
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(names.unicode_normalize(F.col("t"), "NFC")).collect()
     assert [r[0] for r in got] == ["é"] * 300 + [None, ""] + ["x"] * 300
+
+
+def test_purge_parts_grow_with_rows(spark, monkeypatch):
+    import datetime
+
+    from foliospark.operators import retention
+
+    monkeypatch.setattr(retention, "ROWS_PER_TASK", 10)
+    day = datetime.datetime(2000, 1, 1)
+    rows = [(k if k % 50 else None, f"n{k}", datetime.datetime(2002, 1, 1) if k % 3 else day) for k in range(200)] + [(3, "again", day)]
+    outputs = spark.createDataFrame(rows, "task_id long, file_id string, expires_at timestamp")
+    tasks, inputs = outputs.select("task_id"), outputs.select("task_id", F.col("file_id").alias("stored_name"))
+    expired = retention.expired_task_ids(outputs, F.lit("2001-01-01").cast("timestamp"))
+    gone = retention.purge_cascade(tasks, inputs, outputs, expired)
+    plan = _plan(gone)
+    moved = [line for line in plan.split("\n") if "hashpartitioning(task_id" in line]
+    assert moved and all(", 21)" in line for line in moved)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+    ids = {k for k in range(200) if k % 50 and k % 3 == 0}
+    want = sorted([("task", str(k)) for k in ids] + [(kind, f"n{k}") for k in ids for kind in ("input", "output")] + [("task", "3"), ("input", "again"), ("output", "again")])
+    assert sorted((r.kind, r["item"]) for r in gone.collect()) == want
