@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from foliospark.functions.screen import is_limited_path
 from foliospark.operators.limits import ENDPOINT_LIMITS, Limits, SlidingState
 from foliospark.sources.scratch import shared_dir
-from foliospark.streaming.ordered import Aside
+from foliospark.streaming.ordered import Aside, micros
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -145,8 +146,8 @@ def download_counter(requests: DataFrame) -> DataFrame:
     return requests.filter(F.col("method") == "GET").groupBy("file_id").agg(F.count(F.lit(1)).alias("download_count"))
 
 
-def _us(ts) -> int:
-    return int(pd.Timestamp(ts).value // 1000)
+def _instants(ms: list[int]) -> np.ndarray:
+    return np.array(ms, "datetime64[ms]").astype("datetime64[ns]")
 
 
 class LatestProgress(StatefulProcessor):
@@ -161,24 +162,27 @@ class LatestProgress(StatefulProcessor):
         self.aside = Aside(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, done, deadline = self.last.get() if self.last.exists() else (None, False, None)
+        # Every request to the state store is answered over a socket and every frame is turned into a batch of its own:
+        # a key asks once and yields frames with rows only.
+        status, done, deadline = self.last.get() or (None, False, None)
         for pdf in self.aside.in_order(rows, "ts", ["ts", "seq"]):
-            out = []
-            for ts, seq, new in zip(pdf["ts"], pdf["seq"], pdf["status"]):
+            places, changes = [], pdf["status"].tolist()
+            for at, (us, new) in enumerate(zip(micros(pdf["ts"]), changes)):
                 if deadline is None:
-                    deadline = _us(ts) // 1000 + self.stall_ms
+                    deadline = us // 1000 + self.stall_ms
                     self.handle.registerTimer(deadline)
                 if new != status:
-                    out.append((key[0], int(seq), ts, new))
-                in_time = _us(ts) // 1000 <= deadline
+                    places.append(at)
+                in_time = us // 1000 <= deadline
                 status, done = new, done or (in_time and new in ("completed", "failed", "cancelled"))
-            yield pd.DataFrame(out, columns=["task_id", "seq", "ts", "status"])
+            if places:
+                yield pd.DataFrame({"task_id": key[0], "seq": [int(s) for s in pdf["seq"].to_numpy()[places]], "ts": pdf["ts"].to_numpy()[places], "status": [changes[p] for p in places]})
         self.last.update((status, done, deadline))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         _, done, deadline = self.last.get()
-        rows = [] if done else [(key[0], -1, pd.Timestamp(deadline, unit="ms"), "failed")]
-        yield pd.DataFrame(rows, columns=["task_id", "seq", "ts", "status"])
+        if not done:
+            yield pd.DataFrame({"task_id": [key[0]], "seq": [-1], "ts": _instants([deadline]), "status": ["failed"]})
 
     def close(self) -> None:
         pass
@@ -202,25 +206,29 @@ class ExpiryTimer(StatefulProcessor):
         self.aside = Aside(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        expiry = self.state.get()[0] if self.state.exists() else None
+        # The state is read once and written once: a request per row would be answered over a socket each.
+        held = self.state.get()
+        expiry, changed = held[0] if held else None, False
         for pdf in self.aside.in_order(rows, "ts", ["ts", "seq"]):
             out = []
-            for ts, given in zip(pdf["ts"], pdf["expires_at"]):
-                now = _us(ts) // 1000
+            for us, given in zip(micros(pdf["ts"]), micros(pdf["expires_at"])):
+                now, before = us // 1000, expiry
                 if expiry is None:
                     self.handle.registerTimer(now + self.grace_ms + 1000)
-                    expiry = _us(given) // 1000
-                shorter = min(expiry, now + self.grace_ms)
-                if shorter != expiry or not self.state.exists():
-                    out.append((key[0], "expiry", pd.Timestamp(shorter, unit="ms")))
-                    self.state.update((shorter, False))
-                expiry = shorter
-            yield pd.DataFrame(out, columns=["task_id", "what", "ts"])
+                    expiry = given // 1000
+                expiry = min(expiry, now + self.grace_ms)
+                if expiry != before:
+                    out.append(expiry)
+            if out:
+                changed = True
+                yield pd.DataFrame({"task_id": key[0], "what": "expiry", "ts": _instants(out)})
+        if changed:
+            self.state.update((expiry, False))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()
         self.state.update((self.state.get()[0], True))
-        yield pd.DataFrame([(key[0], "purge", pd.Timestamp(at, unit="ms"))], columns=["task_id", "what", "ts"])
+        yield pd.DataFrame({"task_id": [key[0]], "what": ["purge"], "ts": _instants([at])})
 
     def close(self) -> None:
         pass

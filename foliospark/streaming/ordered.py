@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from itertools import chain, groupby
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 
@@ -19,6 +20,22 @@ def spans(times: pd.Series, seconds: int = 60) -> pd.Series:
     return (times // seconds).astype("float64").fillna(NO_TIME).astype("int64")
 
 
+def ordered(rows: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+    """The rows sorted by the columns, nulls last. Most keys have few rows, for which ``sort_values`` by several columns mostly builds categories."""
+    columns = [rows[c].to_numpy() for c in by]
+    if any(c.dtype == object for c in columns):
+        return rows.sort_values(by).reset_index(drop=True)
+    order = np.lexsort(columns[::-1])
+    if (order[1:] > order[:-1]).all():
+        return rows.reset_index(drop=True)
+    return rows.take(order).reset_index(drop=True)
+
+
+def micros(times: pd.Series) -> list[int]:
+    """Instants as microseconds, in one step for the column."""
+    return (times.astype("datetime64[ns]").astype("int64") // 1000).tolist()
+
+
 def _packed(rows: pd.DataFrame) -> bytes:
     sink = pa.BufferOutputStream()
     table = pa.Table.from_pandas(rows, preserve_index=False)
@@ -47,7 +64,7 @@ class Aside:
         first, second = next(rows, None), next(rows, None)
         if second is None:
             if first is not None:
-                yield first.sort_values(by).reset_index(drop=True)
+                yield ordered(first, by)
             return
         for n, chunk in enumerate(chain((first, second), rows)):
             for at, part in chunk.groupby(span(chunk[time])):
@@ -58,4 +75,4 @@ class Aside:
             for place in of_span:
                 parts.append(_unpacked(self.held.getValue(place)[0]))
                 self.held.removeKey(place)
-            yield pd.concat(parts).sort_values(by).reset_index(drop=True)
+            yield ordered(pd.concat(parts), by)

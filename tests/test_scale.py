@@ -87,3 +87,76 @@ def test_purge_parts_grow_with_rows(spark, monkeypatch):
     ids = {k for k in range(200) if k % 50 and k % 3 == 0}
     want = sorted([("task", str(k)) for k in ids] + [(kind, f"n{k}") for k in ids for kind in ("input", "output")] + [("task", "3"), ("input", "again"), ("output", "again")])
     assert sorted((r.kind, r["item"]) for r in gone.collect()) == want
+
+
+class _Kept:
+    """A value of a state store that counts what it is asked."""
+
+    def __init__(self, value=None):
+        self.value, self.asked = value, 0
+
+    def exists(self):
+        self.asked += 1
+        return self.value is not None
+
+    def get(self):
+        self.asked += 1
+        return self.value
+
+    def update(self, value):
+        self.asked += 1
+        self.value = value
+
+
+class _Handle:
+    def __init__(self, value=None):
+        self.kept, self.timers = _Kept(value), []
+
+    def getValueState(self, *_):
+        return self.kept
+
+    def getMapState(self, *_):
+        return {}
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def _fed(processor, handle, frames):
+    processor.init(handle)
+    return [tuple(r) for f in processor.handleInputRows((7,), iter(frames), None) for r in (f.itertuples(index=False) if len(f) else [None])]
+
+
+def test_a_key_asks_its_state_once():
+    import pandas as pd
+
+    from foliospark.streaming.jobs import ExpiryTimer, LatestProgress
+
+    t0 = pd.Timestamp("2024-01-01 00:00:00.123456")
+    at = [t0 + pd.Timedelta(seconds=s) for s in range(200)]
+    rows = pd.DataFrame({"ts": at[::-1], "seq": range(200), "expires_at": [t0 + pd.Timedelta(hours=1)] * 200})
+    handle = _Handle()
+    assert _fed(ExpiryTimer(120), handle, [rows]) == [(7, "expiry", pd.Timestamp("2024-01-01 00:02:00.123"))]
+    assert handle.kept.asked == 2 and handle.kept.value == (int(t0.value // 1000000) + 120000, False)
+    assert handle.timers == [int(t0.value // 1000000) + 121000]
+    again = _Handle(handle.kept.value)
+    assert _fed(ExpiryTimer(120), again, [rows]) == [] and again.kept.asked == 1 and not again.timers
+
+    rows = pd.DataFrame({"ts": at[::-1], "seq": range(200), "status": [None, "queued"] + ["completed"] * 100 + ["queued"] * 98})
+    handle = _Handle()
+    assert _fed(LatestProgress(), handle, [rows]) == [(7, 199, at[0], "queued"), (7, 101, at[98], "completed"), (7, 1, at[198], "queued"), (7, 0, at[199], None)]
+    assert handle.kept.asked == 2 and handle.kept.value == (None, True, int(t0.value // 1000000) + 600000)
+    done = LatestProgress()
+    done.init(handle)
+    assert not list(done.handleExpiredTimer((7,), None, None))
+
+
+def test_rows_are_ordered_as_by_sort_values():
+    import pandas as pd
+
+    from foliospark.streaming.ordered import ordered
+
+    t = pd.to_datetime([3, None, 1, 1, 3, None], unit="s")
+    for seq in ([5, 4, 3, 2, 5, 1], [None, 4, 3, None, 5, 1], pd.Series([5, None, 3, 2, 5, 1], dtype=object)):
+        frame = pd.DataFrame({"t": t, "seq": seq, "row": range(6)}, index=[9, 8, 7, 6, 5, 4])
+        pd.testing.assert_frame_equal(ordered(frame, ["t", "seq"]), frame.sort_values(["t", "seq"]).reset_index(drop=True))
