@@ -160,3 +160,16 @@ def test_rows_are_ordered_as_by_sort_values():
     for seq in ([5, 4, 3, 2, 5, 1], [None, 4, 3, None, 5, 1], pd.Series([5, None, 3, 2, 5, 1], dtype=object)):
         frame = pd.DataFrame({"t": t, "seq": seq, "row": range(6)}, index=[9, 8, 7, 6, 5, 4])
         pd.testing.assert_frame_equal(ordered(frame, ["t", "seq"]), frame.sort_values(["t", "seq"]).reset_index(drop=True))
+
+
+def test_boxes_look_their_height_up(spark):
+    from foliospark.operators import folds
+
+    inf, nan = float("inf"), float("nan")
+    heights = [0.0, 4.0, 5.0, 5.5, 10.5, 11.0, 30.0, 30.0, nan, None, -inf]
+    rows = [(p, 1, i, float(i * 50), y, 10.0, "w") for p in (1, 2) for i, y in enumerate(heights)] + [(3, 1, 0, 0.0, None, 10.0, "w")]
+    lines = folds.visual_lines(spark.createDataFrame(rows, "doc_id long, page_no long, box_no int, x double, y double, width double, text string"))
+    assert "array_position(heights" in _plan(lines) and "filter(anchors" not in _plan(lines)
+    got = {(r.doc_id, r.box_no): r["group"] for r in lines.collect()}
+    want = [1, 1, 1, 2, 2, 3, 4, 4, 5, -1, 0]
+    assert got == {**{(p, i): g for p in (1, 2) for i, g in enumerate(want)}, (3, 0): -1}
