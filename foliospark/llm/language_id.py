@@ -8,8 +8,9 @@ the matching backward pass. Words are independent, so a text costs one look-up p
 from __future__ import annotations
 
 import functools
+import weakref
 from collections import defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import regex
@@ -198,10 +199,11 @@ _scorers: dict[int, Scorer] = {}
 
 
 def shared_scorer(model: Model) -> Scorer:
-    """The scorer of a model in this process; the word cache of another model is given up."""
+    """The scorer of a model in this process. It goes with the model, which a task unpickles anew, so that no word cache stays in a worker for later stages."""
     if id(model) not in _scorers:
         _scorers.clear()
-        _scorers[id(model)] = Scorer(model)
+        _scorers[id(model)] = Scorer(replace(model))
+        weakref.finalize(model, _scorers.pop, id(model), None)
     return _scorers[id(model)]
 
 

@@ -414,19 +414,31 @@ def sketched_pairs(blocks: DataFrame, ahead: DataFrame | None, names: DataFrame,
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """``a, b, linked`` for the class pairs, by comparing the n-gram sets of their texts."""
-    def run(state, a, b, ta, tb):
-        linked = []
-        for x, one, two in zip(a, ta, tb, strict=True):
-            if state.get("name") != x:
-                state["name"], state["set"] = x, ngrams(words_of(one), n)
-            s, t = state["set"], ngrams(words_of(two), n)
-            both = len(s & t)
-            linked.append(100 * both >= percent * (len(s) + len(t) - both))
-        return {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "linked": pa.array(linked, pa.bool_())}
-
-    joined = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
-    return _batches(joined, run, "a long, b long, linked boolean")
+    """``a, b, linked`` for the class pairs, by comparing the n-gram sets of their texts.
+
+    A pair brings the text of ``b`` alone; that of ``a`` comes once, ahead of its pairs. The pairs of a class that is held
+    against many are cut into blocks, so that no task holds them all.
+    """
+    def run(state, a, b, rows):
+        pairs, linked = [], []
+        for x, y, text in zip(a, b, rows, strict=True):
+            t = ngrams(words_of(text), n)
+            if y is None:
+                state["name"], state["set"] = x, t
+            elif state.get("name") == x:
+                s = state["set"]
+                both = len(s & t)
+                pairs.append((x, y))
+                linked.append(100 * both >= percent * (len(s) + len(t) - both))
+        if pairs:
+            return {"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64()), "linked": pa.array(linked, pa.bool_())}
+
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 1")
+    dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
+    heads = dealt.select("a", "part").distinct().join(texts.toDF("a", "text"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    rows = heads.unionByName(dealt.join(texts.toDF("b", "text"), "b").select("a", "part", "b", "text"))
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return _batches(rows.select("a", "b", "text"), run, "a long, b long, linked boolean")
 
 
 def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, dear: int = DEAR) -> tuple[DataFrame, DataFrame]:

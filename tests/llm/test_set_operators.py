@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm import chat_tree, graph, html_extract, nearest, ngram_join
+from foliospark.llm import chat_tree, graph, html_extract, language_id, nearest, ngram_join
 
 
 def brute_components(rows, n, percent):
@@ -340,3 +340,28 @@ def test_near_duplicate_stage_keeps_clashing_and_map_columns(spark):
     assert out.columns == docs.columns and out.dtypes == docs.dtypes
     got = sorted(((r.doc_id, r.text_key) for r in out.collect()), key=str)
     assert got == [(1, "a"), (3, "keep"), (4, "null"), (None, "no id")]
+
+
+def test_pairs_bring_one_text_each(spark, monkeypatch):
+    """The text of a pair's first class comes once ahead of its pairs, in blocks where there are many."""
+    kept, batches = [], ngram_join._batches
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "_batches", lambda df, fn, schema: kept.append(df) or batches(df, fn, schema))
+    base = [f"w{i}" for i in range(40)]
+    texts = {4 * k: " ".join(base[:20 + k]) for k in range(1, 12)}
+    pairs = [(4, 4 * k) for k in range(2, 12)] + [(8, 12)]
+    df = spark.createDataFrame(list(texts.items()), "class long, text string")
+    got = ngram_join.verified(spark.createDataFrame(pairs, "a long, b long"), df, 4, 80).collect()
+    sets = {c: ngram_join.ngrams(ngram_join.words_of(t), 4) for c, t in texts.items()}
+    assert sorted(map(tuple, got)) == sorted((a, b, 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])) for a, b in pairs)
+    rows = kept[0].collect()
+    assert kept[0].columns == ["a", "b", "text"] and sum(r["b"] is not None for r in rows) == len(pairs)
+    assert 2 <= sum(r["a"] == 4 and r["b"] is None for r in rows) <= 4 and sum(r["a"] == 8 and r["b"] is None for r in rows) == 1
+
+
+def test_word_cache_goes_with_its_model():
+    model = language_id.Model([], np.zeros((1, 0)), "")
+    assert language_id.shared_scorer(model) is language_id.shared_scorer(model)
+    assert len(language_id._scorers) == 1
+    del model
+    assert not language_id._scorers
