@@ -126,16 +126,17 @@ def table_chains(tables: DataFrame) -> DataFrame:
 def ruled_cells(words: DataFrame, grids: DataFrame, dpi: float = 72.0) -> DataFrame:
     """Cells of ruled tables from the words inside: text, alignment, bold and table size.
 
-    ``words`` has grid_no set; ``grids`` has xs and ys, the ruled line positions.
+    ``words`` has grid_no set; ``grids`` has xs and ys, the ruled line positions. The words are read once, the size of a
+    table comes by a window over those inside it.
     """
     key = ["doc_id", "page_no", "grid_no"]
-    d = words.filter(F.col("grid_no").isNotNull()).join(grids.select(*key, "xs", "ys"), key)
+    d = words.filter(F.col("grid_no").isNotNull()).join(grids.select(*key, "xs", "ys").hint("shuffle_hash"), key)
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     d = d.withColumns({"col_no": geo.grid_index(F.col("xs"), cx), "row_no": geo.grid_index(F.col("ys"), cy), "cy": cy})
-    size = d.filter("fsize > 0").groupBy(*key).agg(snap_size(F.percentile("fsize", F.lit(0.5)) * 72.0 / dpi / geo.FSIZE_TO_EM).alias("size"))
+    d = d.withColumn("middle", F.percentile(F.when(F.col("fsize") > 0, F.col("fsize")), F.lit(0.5)).over(Window.partitionBy(*key)))
     ws = F.sort_array(F.collect_list(F.struct("cy", "x0", "word_no", "text", F.col("y1") - F.col("y0"))))
     g = d.groupBy(*key, "row_no", "col_no").agg(ws.alias("ws"), F.min("x0").alias("tx0"), F.max("x1").alias("tx1"), F.bool_and("bold").alias("all_bold"),
-                                               F.first("xs").alias("xs"))
+                                               F.first("xs").alias("xs"), F.first("middle").alias("middle"))
     # Visual lines of a cell: a word starts one when its centre leaves the line's first word by 0.6 of its height.
     start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("n"), F.array().cast("array<struct<n:int,x0:double,text:string>>").alias("out"))
 
@@ -148,5 +149,6 @@ def ruled_cells(words: DataFrame, grids: DataFrame, dpi: float = 72.0) -> DataFr
     lines = let(placed, lambda p: F.transform(F.array_distinct(F.transform(p, lambda w: w["n"])), lambda k: tx.join_words(
         F.transform(F.filter(p, lambda w: w["n"] == k), lambda w: w["text"]))))
     left, right = F.get("xs", F.col("col_no")), F.get("xs", F.col("col_no") + 1)
-    return g.join(size, key, "left").select(*key, "row_no", "col_no", tx.paragraph_text(lines).alias("text"),
-                                           geo.cell_align(F.col("tx0") - left, right - F.col("tx1"), right - left).alias("align"), "all_bold", "size")
+    size = F.when(F.col("middle").isNotNull(), snap_size(F.col("middle") * 72.0 / dpi / geo.FSIZE_TO_EM))
+    return g.select(*key, "row_no", "col_no", tx.paragraph_text(lines).alias("text"),
+                    geo.cell_align(F.col("tx0") - left, right - F.col("tx1"), right - left).alias("align"), "all_bold", size.alias("size"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from foliospark.operators import layout, tables
 from foliospark.plans import fixtures, layouts
 from foliospark.plans.catalog import QUERIES
 
@@ -173,3 +174,20 @@ def test_boxes_look_their_height_up(spark):
     got = {(r.doc_id, r.box_no): r["group"] for r in lines.collect()}
     want = [1, 1, 1, 2, 2, 3, 4, 4, 5, -1, 0]
     assert got == {**{(p, i): g for p in (1, 2) for i, g in enumerate(want)}, (3, 0): -1}
+
+
+def test_words_of_ruled_tables_are_read_once(spark, tmp_path):
+    d = _documents(spark, tmp_path, ["word " * 900, "a b", None])
+    cells = QUERIES["ruled_table_items"](spark, d)
+    plan = _plan(cells)
+    assert plan.count("FileScan") == 3 and "SortMergeJoin" not in plan
+    assert sorted({(r.doc_id, r.page_no) for r in cells.collect()}) == [(0, 1), (0, 2), (0, 3)]
+
+
+def test_ruled_table_without_sizes_has_none(spark):
+    words = spark.createDataFrame([(1, 1, 0, 1, "a", 1.0, 1.0, 3.0, 3.0, 0.0, True), (1, 2, 0, 1, "b", 1.0, 1.0, 3.0, 3.0, 11.1, True)],
+                                  "doc_id long, page_no long, grid_no int, word_no long, text string, x0 double, y0 double, x1 double, y1 double, fsize double, bold boolean")
+    grids = spark.createDataFrame([(1, p, 0, [0.0, 5.0, 9.0], [0.0, 9.0]) for p in (1, 2)], "doc_id long, page_no long, grid_no int, xs array<double>, ys array<double>")
+    cells = tables.ruled_cells(words, grids)
+    assert _plan(cells).count("Scan ExistingRDD") == 2
+    assert [(r.page_no, r.text, r.size) for r in cells.orderBy("page_no").collect()] == [(1, "a", None), (2, "b", 12.0)]
