@@ -176,6 +176,21 @@ def test_boxes_look_their_height_up(spark):
     assert got == {**{(p, i): g for p in (1, 2) for i, g in enumerate(want)}, (3, 0): -1}
 
 
+def test_bold_words_are_read_once(spark, tmp_path):
+    d = _documents(spark, tmp_path, ["some words of a text " * 120, "a", None])
+    bold = QUERIES["bold_reference"](spark, d)
+    assert "Join" not in _plan(bold) and _plan(bold).count("FileScan") == 1
+    assert bold.count() == 601
+
+
+def test_bold_flags_of_repeated_words_and_lines_without_page(spark):
+    rows = [(1, 1, 0, i % 9, "long" if i % 3 else "x", 14.0, 0.3 if i % 5 == 0 else 0.1) for i in range(18)] + [(None, 1, 0, 0, "long", 14.0, 0.1)]
+    df = spark.createDataFrame(rows, "doc_id long, page_no long, line_no long, word_no long, text string, fsize double, stroke_ratio double")
+    got = layout.bold_words(df)
+    assert got.schema["word_no"].dataType.simpleString() == "bigint"
+    assert [(r.word_no, r.bold) for r in got.orderBy("word_no", "bold").collect()] == [(i // 2, False) for i in range(18)]
+
+
 def test_words_of_ruled_tables_are_read_once(spark, tmp_path):
     d = _documents(spark, tmp_path, ["word " * 900, "a b", None])
     cells = QUERIES["ruled_table_items"](spark, d)
