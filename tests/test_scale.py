@@ -206,3 +206,12 @@ def test_ruled_table_without_sizes_has_none(spark):
     cells = tables.ruled_cells(words, grids)
     assert _plan(cells).count("Scan ExistingRDD") == 2
     assert [(r.page_no, r.text, r.size) for r in cells.orderBy("page_no").collect()] == [(1, "a", None), (2, "b", 12.0)]
+
+
+def test_bare_lines_gather_only_their_text(spark, tmp_path):
+    words = fixtures.view(spark, _documents(spark, tmp_path, ["some words-\nof a text. " * 200]), "words")
+    full, bare = layout.lines_of(words), layout.lines_of(words, bare=True)
+    assert set(full.columns) - set(bare.columns) == {"words", "size_pt"}
+    assert full.select(bare.columns).exceptAll(bare).count() == 0 == bare.exceptAll(full.select(bare.columns)).count()
+    assert "struct(x0, x0" in _plan(bare) and "conf" not in _plan(bare)
+    assert "conf" not in _plan(QUERIES["same_row_merge"](spark, str(tmp_path)))
