@@ -13,9 +13,10 @@ signatures. A set that meets a dear signature emits the neighbourhoods of all it
 segments are cheap (neither they nor their neighbourhoods are dear), any partner is found through these and it leaves the
 dear buckets. Only sets made up of dear segments for the most part stay in them.
 
-**Verification.** Buckets are not expanded into all pairs. A bucket is checked against one of its members, and links are
-contracted into components. Only buckets that still hold several components go on, against another member as long as that
-closes buckets. Then small ones are compared pair by pair; in large
+**Verification.** Buckets are not expanded into all pairs, and of buckets with the same rows one is asked. A bucket is
+checked against one of its members, and links are contracted into components. Only buckets that still hold several
+components go on, against another member as long as that closes buckets. Pairs that sketches rule out leave before texts
+move. Then small ones are compared pair by pair; in large
 ones, what is not in the largest component of its bucket is held against the other components by sketches (counts of
 hashed n-grams, whose distance never exceeds the symmetric difference), in blocks. Pairs that the sketches can't
 rule out are compared from the nearest on, in rounds: each asking row remembers the place that it has reached and takes the next
@@ -339,6 +340,24 @@ def texts_of(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     return _batches(docs.select("doc_id", "text").join(members, "doc_id").select("class", "text"), run, "class long, text string, size long, sketch binary")
 
 
+def unlike(rows: DataFrame) -> DataFrame:
+    """``rows(sig, class, less)`` without the buckets that hold the same rows as another one, told by 128 bits and the count."""
+    prints = [F.bit_xor(F.xxhash64("class", "less", F.lit(i))).alias(f"print{i}") for i in range(2)]
+    digests = rows.groupBy("sig").agg(*prints, F.count("*").alias("held"))
+    return rows.join(digests.groupBy("print0", "print1", "held").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The class pairs ``a, b`` that ``sketches(class, size, sketch)`` don't rule out."""
+    def run(_, a, b, size_a, size_b, of_a, of_b):
+        x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, BINS).astype(np.int16) for v in (of_a, of_b))
+        close = np.abs(x - y).sum(1, dtype=np.int64) * (100 + percent) <= (np.array(size_a) + np.array(size_b)) * (100 - percent)
+        return {"a": pa.array(np.array(a)[close], pa.int64()), "b": pa.array(np.array(b)[close], pa.int64())}
+
+    both = pairs.join(sketches.toDF("a", "size_a", "of_a"), "a").join(sketches.toDF("b", "size_b", "of_b"), "b")
+    return _batches(both.select("a", "b", "size_a", "size_b", "of_a", "of_b"), run, "a long, b long")
+
+
 KEYS = ["sig", "chunk", "part"]
 ROW = [*KEYS, "class", "less", "asks"]
 
@@ -365,7 +384,7 @@ def sketch_blocks(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     alone = (F.col("chunks") == 1) & (F.col("parts") == 1)
     places = F.when(alone, F.array(place(F.lit(0), F.lit(0), yes, minor))).otherwise(F.concat(holding, asking))
     full = rows.join(heads, "sig").join(sketches, "class")
-    return full.select("sig", "class", "less", "size", "sketch", F.inline(places)).select(*ROW, "held", "size", "sketch")
+    return full.select("sig", "class", "less", "label", "size", "sketch", F.inline(places)).select(*ROW, "held", "label", "size", "sketch")
 
 
 def sketched_pairs(blocks: DataFrame, ahead: DataFrame | None, names: DataFrame, percent: int, count: int) -> DataFrame:
@@ -373,14 +392,15 @@ def sketched_pairs(blocks: DataFrame, ahead: DataFrame | None, names: DataFrame,
 
     An asking row goes on behind the place (distance of the sketches, class) that it has reached; ``ahead`` holds the
     asking rows with partners further out and their places, as this function gives them in rows with null ``a, b``. Rows of a block
-    in which none is left stay out. What is skipped for its component never comes back, since components only grow.
+    in which none is left stay out. What is skipped for its component never comes back, since components only grow. The
+    first time, the labels that the blocks were made with hold; then those of ``names``.
     """
     if ahead is None:
         rows = blocks.withColumn("apart", F.lit(-1).cast("long")).withColumn("after", F.lit(0).cast("long"))
     else:
         rows = blocks.join(ahead.select(*KEYS).distinct(), KEYS, "left_semi").join(ahead.select(*ROW, "apart", "after"), ROW, "left")
-        rows = rows.withColumn("asks", F.col("apart").isNotNull()).where("held or asks")
-    rows = rows.join(names.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+        rows = rows.withColumn("asks", F.col("apart").isNotNull()).where("held or asks").drop("label")
+        rows = rows.join(names.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
 
     def compare(key: tuple, block: pa.Table) -> pa.Table:
         classes, labels, sizes, less, held, asks = (block.column(c).to_numpy() for c in ("class", "label", "size", "less", "held", "asks"))
@@ -441,13 +461,28 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return _batches(rows.select("a", "b", "text"), run, "a long, b long, linked boolean")
 
 
+def renamed(names: DataFrame, links: DataFrame) -> DataFrame:
+    """``names(node, label)`` after further ``links(a, b)``: only the labels that these connect are contracted."""
+    spark = names.sparkSession
+    a, b = names.toDF("a", "of_a"), names.toDF("b", "of_b")
+    fresh = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    roots = components(fresh)
+    if roots.isEmpty():
+        return names
+    moved = names.join(roots.toDF("label", "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    return written(spark, moved.unionByName(roots.join(names, "node", "left_anti")), "ngram-names")
+
+
 def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, dear: int = DEAR) -> tuple[DataFrame, DataFrame]:
     """(``a, b`` verified links between classes that connect what is connected, ``node, label`` components of classes)."""
     spark = docs.sparkSession
     rows = candidates(docs, classes, n, percent, dear)
     rows = written(spark, rows.select("sig", class_of().alias("class"), is_less().alias("less")).dropDuplicates(["sig", "class", "less"]), "ngram-candidates")
+    rows = written(spark, unlike(rows), "ngram-unlike")
     members = rows.select("class").distinct().join(classes, "class")
     held = written(spark, texts_of(docs, members, n), "ngram-texts")
+    if not held.groupBy("class").count().where("count > 1").isEmpty():
+        held = written(spark, held.dropDuplicates(["class"]), "ngram-texts-once")
     texts = held.select("class", "text")
     done = spark.createDataFrame([], "a long, b long, linked boolean")
     names = spark.createDataFrame([], "node long, label long")
@@ -456,33 +491,36 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, dear: int =
     def ask(pairs: DataFrame) -> None:
         nonlocal done, names
         fresh = written(spark, pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "ngram-pairs")
-        done = done.unionByName(written(spark, verified(fresh, texts, n, percent), "ngram-verified"))
-        names = components(done.where("linked").select("a", "b"))
+        if fresh.isEmpty():
+            return
+        found = written(spark, verified(fresh, texts, n, percent), "ngram-verified")
+        done = done.unionByName(found)
+        names = renamed(names, found.where("linked").select("a", "b"))
 
     # One member of each bucket, another one in each round, asks the members of other components, as long as that closes buckets.
-    turns, before = 0, None
+    sketches = held.select("class", "size", "sketch")
+    opened, turns, before = rows.withColumn("label", F.col("class")), 0, None
     while True:
-        named = (rows.join(names, rows["class"] == names["node"], "left").select("sig", "class", "less", F.coalesce("label", "class").alias("label"))
-                 .withColumn("low", F.min("label").over(bucket)).withColumn("high", F.max("label").over(bucket)).withColumn("held", F.count("*").over(bucket)).where("low != high").drop("low", "high"))
-        opened = written(spark, named, "ngram-open")
-        rows = opened.select("sig", "class", "less")
         count = opened.count()
         if before is not None and (not count or count > 0.7 * before):
             break
         before = count
         asking = opened.where(~F.col("less")).groupBy("sig").agg(F.min_by(F.struct("class", "label"), F.xxhash64("class", F.lit(turns))).alias("one"))
-        ask(opened.join(asking, "sig").where("label != one.label").select(F.least("class", "one.class").alias("a"), F.greatest("class", "one.class").alias("b")).distinct())
+        ask(plausible(opened.join(asking, "sig").where("label != one.label").select(F.least("class", "one.class").alias("a"), F.greatest("class", "one.class").alias("b")).distinct(), sketches, percent))
         turns += 1
+        named = (opened.select("sig", "class", "less").join(names.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+                 .withColumn("low", F.min("label").over(bucket)).withColumn("high", F.max("label").over(bucket)).withColumn("held", F.count("*").over(bucket)).where("low != high").drop("low", "high"))
+        opened = written(spark, named, "ngram-open")
     small, large = opened.where(F.col("held") <= SMALL), opened.where(F.col("held") > SMALL)
     one = small.where(~F.col("less")).select("sig", F.col("class").alias("one"), F.col("label").alias("of_one"))
-    ask(small.join(one, "sig").where("label != of_one").select(F.least("class", "one").alias("a"), F.greatest("class", "one").alias("b")).distinct())
+    ask(plausible(small.join(one, "sig").where("label != of_one").select(F.least("class", "one").alias("a"), F.greatest("class", "one").alias("b")).distinct(), sketches, percent))
     if not large.isEmpty():
-        blocks = written(spark, sketch_blocks(large, held.select("class", "size", "sketch")), "ngram-blocks")
+        blocks = written(spark, sketch_blocks(large, sketches), "ngram-blocks")
         ahead, count = None, 4
         while ahead is None or not ahead.isEmpty():
             found = written(spark, sketched_pairs(blocks, ahead, names, percent, count), "ngram-near")
             ask(found.where("a is not null").select("a", "b").distinct())
-            ahead, count = found.where("a is null"), 4 * count
+            ahead, count = found.where("a is null"), 16 * count
     return done.where("linked").select("a", "b"), names
 
 

@@ -359,6 +359,35 @@ def test_pairs_bring_one_text_each(spark, monkeypatch):
     assert 2 <= sum(r["a"] == 4 and r["b"] is None for r in rows) <= 4 and sum(r["a"] == 8 and r["b"] is None for r in rows) == 1
 
 
+def test_pairs_that_sketches_rule_out_bring_no_text(spark, monkeypatch):
+    """Texts that share a passage meet in buckets, and rows that repeat an id have one text: only near pairs are compared, each once."""
+    compared, verified = [], ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *more: compared.extend(map(tuple, pairs.collect())) or verified(pairs, *more))
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [passage + [f"x{rng.randrange(10**6)}" for _ in range(20)] for _ in range(30)]
+    texts += [[*t[:79], "other"] for t in texts[:5]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    df = spark.createDataFrame(rows + rows[:10], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(df, 4, 85).collect()}
+    assert got == brute_components(rows, 4, 85)
+    assert sorted(got[30 + i][1] for i in range(5)) == list(range(5))
+    assert len(compared) == 5
+
+
+def test_buckets_with_the_same_rows_are_asked_once(spark):
+    rows = [(1, 8, False), (1, 12, False), (2, 8, False), (2, 12, False), (3, 8, False), (3, 12, True), (4, 8, False), (4, 12, False), (4, 16, False)]
+    got = ngram_join.unlike(spark.createDataFrame(rows, "sig long, class long, less boolean")).collect()
+    assert sorted({r["sig"] for r in got}) == [1, 3, 4] and len(got) == 7
+
+
+def test_labels_follow_further_links(spark):
+    names = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5)], "node long, label long")
+    links = spark.createDataFrame([(2, 1), (2, 6), (8, 9)], "a long, b long")
+    got = dict(map(tuple, ngram_join.renamed(names, links).select("node", "label").collect()))
+    assert sorted(got) == [1, 2, 5, 6, 8, 9] and len({got[i] for i in (1, 2, 5, 6)}) == 1 and got[8] == got[9] != got[1]
+
+
 def test_word_cache_goes_with_its_model():
     model = language_id.Model([], np.zeros((1, 0)), "")
     assert language_id.shared_scorer(model) is language_id.shared_scorer(model)
