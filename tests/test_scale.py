@@ -90,6 +90,20 @@ def test_purge_parts_grow_with_rows(spark, monkeypatch):
     assert sorted((r.kind, r["item"]) for r in gone.collect()) == want
 
 
+def test_purge_finds_uploads_by_name_prefix(spark):
+    """A file whose row is gone, or stands under another task, belongs to the task that its stored name begins with."""
+    from foliospark.operators import retention
+
+    inputs = spark.createDataFrame([(1, "1_0_a.pdf"), (1, "1_0_a.pdf"), (1, "odd"), (2, "1_1_b.pdf"), (None, "1_2_c.pdf"), (None, "1_2_c.pdf"), (None, "01_d.pdf"), (None, "2_e.pdf"), (1, None)], "task_id long, stored_name string")
+    none = inputs.where("false").withColumn("file_id", F.col("stored_name"))
+    expired = spark.createDataFrame([(1,)], "task_id long").repartition(4, "task_id").distinct()
+    files = lambda *uploads: sorted(((r.task_id, r["item"]) for r in retention.purge_cascade(none, inputs, none, expired, *uploads).collect()), key=str)
+    own = [(1, "1_0_a.pdf"), (1, "1_0_a.pdf"), (1, None), (1, "odd")]
+    assert files() == sorted([*own, (1, "1_1_b.pdf"), (1, "1_2_c.pdf")], key=str)
+    listed = spark.createDataFrame([("1_0_a.pdf",), ("1_9_gone.pdf",), ("1_9_gone.pdf",), ("11_x.pdf",), ("plain",), (None,)], "stored_name string")
+    assert files(listed) == sorted([*own, (1, "1_9_gone.pdf")], key=str)
+
+
 class _Kept:
     """A value of a state store that counts what it is asked."""
 
