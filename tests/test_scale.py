@@ -229,3 +229,13 @@ def test_bare_lines_gather_only_their_text(spark, tmp_path):
     assert full.select(bare.columns).exceptAll(bare).count() == 0 == bare.exceptAll(full.select(bare.columns)).count()
     assert "struct(x0, x0" in _plan(bare) and "conf" not in _plan(bare)
     assert "conf" not in _plan(QUERIES["same_row_merge"](spark, str(tmp_path)))
+
+
+def test_rows_are_merged_by_the_size_of_their_lines(spark, tmp_path):
+    """A heading's line of 16 and the line of 11 beside it share a height and are two rows, as their sizes differ."""
+    words = fixtures.view(spark, _documents(spark, tmp_path, ["over a mere word " * 108, "no, 中文 字 g Tall " * 90, None]), "words")
+    full, sized = layout.lines_of(words), layout.lines_of(words, sized=True)
+    assert set(full.columns) - set(sized.columns) == {"words"}
+    assert full.select(sized.columns).exceptAll(sized).count() == 0 == sized.exceptAll(full.select(sized.columns)).count()
+    rows = {r.line_no: r.row_no for r in QUERIES["same_row_merge"](spark, str(tmp_path)).where("doc_id = 0 and page_no = 1").collect()}
+    assert rows[0] != rows[1] and rows[2] == rows[3]
