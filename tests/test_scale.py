@@ -239,3 +239,27 @@ def test_rows_are_merged_by_the_size_of_their_lines(spark, tmp_path):
     assert full.select(sized.columns).exceptAll(sized).count() == 0 == sized.exceptAll(full.select(sized.columns)).count()
     rows = {r.line_no: r.row_no for r in QUERIES["same_row_merge"](spark, str(tmp_path)).where("doc_id = 0 and page_no = 1").collect()}
     assert rows[0] != rows[1] and rows[2] == rows[3]
+
+
+def test_paragraph_tables_go_when_they_are_read(spark, tmp_path, monkeypatch):
+    """Of what is written on the way only the table that the result reads is left, with the columns that it reads."""
+    import os
+
+    from foliospark.sources import scratch
+
+    d = _documents(spark, tmp_path, ["some words-\nof a text. " * 200, None])
+    cleanup = spark.conf.get(scratch.CLEANUP)
+    monkeypatch.setattr(scratch, "shared_dir", lambda _, purpose: f"{tmp_path}/shared/{purpose}")
+    levels = QUERIES["heading_levels"](spark, d)
+    assert os.listdir(f"{tmp_path}/shared") == ["paragraphs"]
+    assert set(spark.read.parquet(f"{tmp_path}/shared/paragraphs").columns) == {"doc_id", "page_no", "para", "size_pt", "text", "n_lines", "tabbed", "list_kind"}
+    assert levels.count() > 0 and spark.conf.get(scratch.CLEANUP) == cleanup
+
+
+def test_lines_may_bring_only_their_first_two_boxes(spark, tmp_path):
+    d = _documents(spark, tmp_path, ["1. some words-\nof a text. " * 200])
+    lines, cols = layouts._ordered(spark, d)
+    assert lines.schema["words"].dataType.elementType.names == ["text", "x0", "x1", "bold"] and "text" not in lines.columns
+    whole = layout.reading_order(layout.assign_columns(layout.lines_of(layouts._two_columns(spark, d)), cols)).withColumn("tabbed", F.col("line_no") % 10 == 9)
+    full, lean = (layout.paragraphs(layout.paragraph_breaks(x, cols, layout.line_pitch(x))) for x in (whole, lines))
+    assert full.count() == lean.count() and full.exceptAll(lean).isEmpty()
