@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.graph import components
-from foliospark.sources.scratch import written
+from foliospark.sources.scratch import dropped, written
 
 #: Ratio of the largest to the smallest set of a band.
 BAND = 1.5
@@ -300,14 +300,14 @@ def shared(rows: DataFrame, *more: str) -> DataFrame:
             .where("low != high and wholes > 0 and owns > 0").select("sig", "id", "held", *more))
 
 
-def candidates(docs: DataFrame, classes: DataFrame, n: int, percent: int, dear: int) -> DataFrame:
-    """``sig, id``: the buckets that have to be checked, after the allocation by cost."""
+def candidates(docs: DataFrame, classes: DataFrame, n: int, percent: int, dear: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``sig, id``: the buckets that have to be checked, after the allocation by cost; and the written tables that they read."""
     spark = docs.sparkSession
     rows = written(spark, shared(signature_rows(docs, n, percent)), "ngram-buckets")
     cheap = rows.where(F.col("held") <= dear).select("sig", "id")
     dear_rows = rows.where(F.col("held") > dear)
     if dear_rows.isEmpty():
-        return cheap
+        return cheap, [rows]
     meets = dear_rows.select(class_of().alias("class")).distinct().join(classes, "class").select(F.col("doc_id"))
     full = written(spark, neighbourhood_rows(docs.join(meets, "doc_id", "left_semi"), n, percent), "ngram-neighbours")
     # Marks of dear signatures and counts of cheap segments come by windows over the rows themselves: nothing is joined back.
@@ -319,8 +319,9 @@ def candidates(docs: DataFrame, classes: DataFrame, n: int, percent: int, dear:
               .withColumn("covered", F.sum(F.when((F.col("at") == 1) & ~F.col("bad"), 1).otherwise(0)).over(whole) * 2 >= F.col("m")))
     # Cheap rows stay, also of segments that count as bad: they are what others' neighbourhoods meet. Dear or empty whole segments stay for sets not covered.
     stays = (~F.col("dear") & ~F.col("empty")) | (~F.col("covered") & ~is_less())
-    full = written(spark, marked.where(stays).select("sig", "id"), "ngram-chosen")
-    return cheap.unionByName(shared(full.dropDuplicates(["sig", "id"])).select("sig", "id"))
+    chosen = written(spark, marked.where(stays).select("sig", "id"), "ngram-chosen")
+    dropped(full)
+    return cheap.unionByName(shared(chosen.dropDuplicates(["sig", "id"])).select("sig", "id")), [rows, chosen]
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -476,13 +477,16 @@ def renamed(names: DataFrame, links: DataFrame) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, dear: int = DEAR) -> tuple[DataFrame, DataFrame]:
     """(``a, b`` verified links between classes that connect what is connected, ``node, label`` components of classes)."""
     spark = docs.sparkSession
-    rows = candidates(docs, classes, n, percent, dear)
-    rows = written(spark, rows.select("sig", class_of().alias("class"), is_less().alias("less")).dropDuplicates(["sig", "class", "less"]), "ngram-candidates")
-    rows = written(spark, unlike(rows), "ngram-unlike")
+    nominated, read = candidates(docs, classes, n, percent, dear)
+    nominated = written(spark, nominated.select("sig", class_of().alias("class"), is_less().alias("less")).dropDuplicates(["sig", "class", "less"]), "ngram-candidates")
+    dropped(*read)
+    rows = written(spark, unlike(nominated), "ngram-unlike")
+    dropped(nominated)
     members = rows.select("class").distinct().join(classes, "class")
     held = written(spark, texts_of(docs, members, n), "ngram-texts")
     if not held.groupBy("class").count().where("count > 1").isEmpty():
-        held = written(spark, held.dropDuplicates(["class"]), "ngram-texts-once")
+        again, held = held, written(spark, held.dropDuplicates(["class"]), "ngram-texts-once")
+        dropped(again)
     texts = held.select("class", "text")
     done = spark.createDataFrame([], "a long, b long, linked boolean")
     names = spark.createDataFrame([], "node long, label long")
@@ -510,7 +514,8 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, dear: int =
         turns += 1
         named = (opened.select("sig", "class", "less").join(names.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
                  .withColumn("low", F.min("label").over(bucket)).withColumn("high", F.max("label").over(bucket)).withColumn("held", F.count("*").over(bucket)).where("low != high").drop("low", "high"))
-        opened = written(spark, named, "ngram-open")
+        last, opened = opened, written(spark, named, "ngram-open")
+        dropped(last)
     small, large = opened.where(F.col("held") <= SMALL), opened.where(F.col("held") > SMALL)
     one = small.where(~F.col("less")).select("sig", F.col("class").alias("one"), F.col("label").alias("of_one"))
     ask(plausible(small.join(one, "sig").where("label != of_one").select(F.least("class", "one").alias("a"), F.greatest("class", "one").alias("b")).distinct(), sketches, percent))
